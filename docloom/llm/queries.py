@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import chat, exact_dedup, mixing, url_filter
+from docloom.llm import bpe, chat, exact_dedup, language_id, mixing, near_dedup, url_filter
 from docloom.session import table
 
 
@@ -14,10 +15,32 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), weights).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_groups(table(spark, sf_dir, "documents"))
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
+def vocabulary() -> bpe.Vocabulary:
+    return bpe.Vocabulary(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = bpe.encode(table(spark, sf_dir, "documents"), vocabulary())
+    return coded.select(
+        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(bpe.decode(F.col("ids"), vocabulary()), 256).alias("decoded_sha256"),
+    )
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language_id.predict(docs, language_id.train(docs))
+    return found.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "<|im_end|><|im_start|>assistant ok"
@@ -44,7 +67,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_mix_sources, op4_url_filter, op9_chat_format, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op2_mix_sources, op3_simhash_near_dedup, op4_url_filter, op5_bpe_codec, op8_language_id, op9_chat_format, op10_exact_dedup)}
 
 _HOST = "translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -102,9 +125,9 @@ ORACLES: dict[str, str] = {
         sm AS (SELECT suffix, (bad + ks.k * ks.rate) / (n + ks.k) AS mean FROM s, ks),
         dm AS (SELECT d.domain, (d.bad + kd.k * sm.mean) / (d.n + kd.k) AS mean FROM d JOIN sm USING (suffix), kd),
         hm AS (SELECT host, n, kh.k, (bad + kh.k * dm.mean) / (n + kh.k) AS mean FROM h JOIN dm USING (domain), kh),
-        j AS (SELECT page_id, u.host, path, {_rule_cases()} AS fit,
+        j AS (SELECT page_id, host, path, {_rule_cases()} AS fit,
                      mean - {url_filter.Z} * sqrt(mean * (1 - mean) / (n + k + 1)) > {url_filter.THRESHOLD} AS blocked
-              FROM u LEFT JOIN hm ON u.host = hm.host)
+              FROM u LEFT JOIN (SELECT host AS known, n, k, mean FROM hm) ON host = known)
         SELECT page_id, host, path, CASE WHEN fit IS NOT NULL THEN string_split(fit, ' ')[1] END AS rule,
                CASE WHEN fit IS NOT NULL THEN string_split(fit, ' ')[2] WHEN blocked THEN 'block' ELSE 'allow' END AS verdict
         FROM j""",
