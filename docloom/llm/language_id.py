@@ -22,6 +22,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 SAMPLE_DOCS, SAMPLE_CHARS = 40, 20_000
 SEGMENT = 1024
@@ -29,6 +30,9 @@ SEGMENT = 1024
 SPACE, OTHER, WIDTH = 0, 63, 64
 BATCH_SYMBOLS = 1_000_000
 UNKNOWN = "und"
+#: Text of a learnt language has phrases longer than this; a filter may drop what has not.
+LEAST_PHRASE = 2.0
+FOUND = StructType([StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("phrase_chars", DoubleType())])
 
 
 @dataclass(frozen=True)
@@ -178,33 +182,36 @@ def train(docs: DataFrame, learn: Column | None = None, id_col: str = "doc_id",
     return Model(tuple(samples), letters, tuple(samples.values()))
 
 
-def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, lang_pred, score, phrase_chars (symbols per phrase of the winner, 0 for ``und``)."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    id_type = rows.schema["doc_id"].dataType.simpleString()
+def predict_column(text: Column, model: Model) -> Column:
+    """lang_pred, score and phrase_chars (symbols per phrase of the winner, 0 for ``und``) of a text, as a struct."""
 
-    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf(FOUND)
+    def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         parser = parser_of(model) if model.languages else None
         for batch in batches:
-            at = 0
-            while at < len(batch):
-                end, held = at, 0
-                texts = []
-                while end < len(batch) and (held < BATCH_SYMBOLS or end == at):
-                    text = batch["text"].iat[end]
-                    found = symbols(text, parser.table) if parser and isinstance(text, str) else np.zeros(0, np.uint8)
-                    texts.append(found)
-                    held += len(found)
-                    end += 1
-                yield pd.DataFrame({"doc_id": batch["doc_id"].iloc[at:end]} | decide(parser, model, texts))
-                at = end
-
-    return rows.mapInPandas(judge, f"doc_id {id_type}, lang_pred string, score double, phrase_chars double")
-
-
-def decide(parser: Parser | None, model: Model, texts: list[np.ndarray]) -> dict[str, np.ndarray]:
-    if parser is None:
-        return {"lang_pred": np.full(len(texts), UNKNOWN, object), "score": np.zeros(len(texts)), "phrase_chars": np.zeros(len(texts))}
+            parts, texts, held = [], [], 0
+            for text in batch:
+                texts.append(symbols(text, parser.table) if parser and isinstance(text, str) else np.zeros(0, np.uint8))
+                held += len(texts[-1])
+                if held >= BATCH_SYMBOLS:
+                    parts.append(decide(parser, model, texts))
+                    texts, held = [], 0
+            parts.append(decide(parser, model, texts))
+            yield pd.concat(parts, ignore_index=True)
+
+    return judge(text)
+
+
+def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id, lang_pred, score, phrase_chars."""
+    found = predict_column(F.col(text_col).cast("string"), model).alias("found")
+    return docs.select(F.col(id_col).alias("doc_id"), found).select("doc_id", "found.*")
+
+
+def decide(parser: Parser | None, model: Model, texts: list[np.ndarray]) -> pd.DataFrame:
+    n = len(texts)
+    if parser is None or not n:
+        return pd.DataFrame({"lang_pred": np.full(n, UNKNOWN, object), "score": np.zeros(n), "phrase_chars": np.zeros(n)})
     sizes = np.array([len(t) for t in texts])
     phrases = parser.phrases(texts)
     costs = phrases * parser.cost[:, None]
@@ -212,5 +219,7 @@ def decide(parser: Parser | None, model: Model, texts: list[np.ndarray]) -> dict
     score = 1 / np.exp(-np.minimum(costs - costs.min(0), 500)).sum(0)
     known = sizes > 0
     names = np.array(model.languages, object)[best]
-    won = phrases[best, np.arange(len(texts))]
-    return {"lang_pred": np.where(known, names, UNKNOWN), "score": np.where(known, score, 0.0), "phrase_chars": np.where(known, sizes / np.maximum(won, 1), 0.0)}
+    won = phrases[best, np.arange(n)]
+    return pd.DataFrame({
+        "lang_pred": np.where(known, names, UNKNOWN), "score": np.where(known, score, 0.0), "phrase_chars": np.where(known, sizes / np.maximum(won, 1), 0.0)
+    })

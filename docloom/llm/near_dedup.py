@@ -19,7 +19,7 @@ result. Other columns are not read, whatever their names.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -33,72 +33,100 @@ from docloom.session import cut
 WORDS, RADIUS, SEED = 4, 4, 42
 BLOCKS = (11, 11, 11, 11, 10, 10)
 SHARD = 512
+#: For groups of similar texts: five words, a Jaccard similarity of 0.8, and bands of minima that agree for such texts
+#: with a probability of 1 - (1 - 0.8 ** 2) ** 10 > 0.9999.
+SIMILAR_WORDS, SIMILARITY, SIMILAR_RADIUS = 5, 0.8, 20
+BANDS, BAND_ROWS = 10, 2
+_MULTIPLIERS = [np.uint64(xxhash.xxh64_intdigest(str(k), SEED) | 1) for k in range(BANDS * BAND_ROWS)]
 
 
-def fingerprint(text: str | None, words: int = WORDS) -> int:
-    """Bytes' own lower() and split() know exactly A-Z and the white space asked for."""
+def shingle_hashes(text: str | None, words: int = WORDS) -> np.ndarray:
+    """XXH64 of each shingle, repeats included. Bytes' own lower() and split() know exactly A-Z and the white space asked for."""
     found = (text or "").encode().lower().split()
     if not found:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(found)
     ends = np.cumsum([len(w) + 1 for w in found]) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     n = max(len(found) - words + 1, 1)
     spans = zip(starts[:n].tolist(), ends[len(found) - n :].tolist(), strict=True)
-    hashes = np.array([xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in spans], np.uint64)
+    return np.array([xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in spans], np.uint64)
+
+
+def fingerprint(hashes: np.ndarray) -> int:
+    """A bit is set if it is set in over half the hashes."""
     votes = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8)[:, ::-1], axis=1).sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(votes * 2 > n).tobytes(), "big")
+    return int.from_bytes(np.packbits(votes * 2 > len(hashes)).tobytes(), "big")
+
 
+def band_keys(hashes: np.ndarray) -> list[int]:
+    """A key for each band of minima under ``BANDS * BAND_ROWS`` fixed permutations of the hashes; no words, one key."""
+    if not len(hashes):
+        return [0]
+    minima = [(hashes * m).min() for m in _MULTIPLIERS]
+    bands = np.array(minima, np.uint64).reshape(BANDS, BAND_ROWS)
+    return [xxhash.xxh64_intdigest(band.tobytes(), k) >> 1 for k, band in enumerate(bands)]
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
-    """doc_id, text_sha256, fp: the fingerprint as a signed long."""
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, bands: bool = False) -> DataFrame:
+    """doc_id, text_sha256, fp (the fingerprint as a signed long) and, if asked for, the keys of its bands."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.sha2(text, 256).alias("text_sha256"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = np.array([fingerprint(t, words) for t in batch["text"]], np.uint64)
-            yield batch.drop(columns="text").assign(fp=found.view(np.int64))
+            found, keys = [], []
+            for t in batch["text"]:
+                hashes = shingle_hashes(t, words)
+                found.append(fingerprint(hashes))
+                if bands:
+                    keys.append(band_keys(hashes))
+            out = batch.drop(columns="text").assign(fp=np.array(found, np.uint64).view(np.int64))
+            yield out.assign(keys=keys) if bands else out
 
-    return rows.mapInPandas(run, f"doc_id {id_type}, text_sha256 string, fp long")
+    return rows.mapInPandas(run, f"doc_id {id_type}, text_sha256 string, fp long" + ", keys array<bigint>" * bands)
 
 
 class BKTree:
-    """children: distance to the parent -> node; a node is (fingerprint, children)."""
+    """A node is (fingerprint, its places, children); children are keyed by their distance to the parent."""
 
     def __init__(self):
-        self.root: tuple[int, dict] | None = None
+        self.root: tuple[int, list[int], dict] | None = None
 
-    def add(self, value: int) -> None:
+    def add(self, value: int, place: int) -> None:
         if self.root is None:
-            self.root = (value, {})
+            self.root = (value, [place], {})
             return
         node = self.root
-        while True:
-            d = (node[0] ^ value).bit_count()
-            if d == 0:
+        while d := (node[0] ^ value).bit_count():
+            if d not in node[2]:
+                node[2][d] = (value, [place], {})
                 return
-            if d not in node[1]:
-                node[1][d] = (value, {})
-                return
-            node = node[1][d]
+            node = node[2][d]
+        node[1].append(place)
 
-    def within(self, value: int, radius: int) -> list[int]:
+    def within(self, value: int, radius: int) -> list[list[int]]:
         found, open_nodes = [], [self.root] if self.root else []
         while open_nodes:
             node = open_nodes.pop()
             d = (node[0] ^ value).bit_count()
             if d <= radius:
-                found.append(node[0])
-            for edge, child in node[1].items():
+                found.append(node[1])
+            for edge, child in node[2].items():
                 if d - radius <= edge <= d + radius:
                     open_nodes.append(child)
         return found
 
 
-def spanning_links(members: list[int], queries: list[int], radius: int = RADIUS) -> list[tuple[int, int]]:
-    """Links that hold together what the radius links: members with each other if there are no queries, else queries with members."""
+def spanning_links(
+    members: list[tuple[int, int]], queries: list[tuple[int, int]], radius: int, same: Callable[[int, int], bool] | None = None
+) -> list[tuple[int, int]]:
+    """Links that hold together what is linked: members with each other if there are no queries, else queries with members.
+
+    Rows are (fingerprint, place). A link needs fingerprints within the radius and, if ``same`` is given, its word for
+    the two places; it is asked only for places that aren't together yet.
+    """
     tree, parent, links = BKTree(), {}, []
 
     def root(x: int) -> int:
@@ -107,19 +135,20 @@ def spanning_links(members: list[int], queries: list[int], radius: int = RADIUS)
             x = parent[x]
         return x
 
-    def link(value: int) -> None:
-        for other in tree.within(value, radius):
-            a, b = root(value), root(other)
-            if a != b:
-                parent[a] = b
-                links.append((value, other))
+    def link(value: int, place: int) -> None:
+        for others in tree.within(value, radius):
+            for other in others:
+                a, b = root(place), root(other)
+                if a != b and (same is None or same(place, other)):
+                    parent[a] = b
+                    links.append((place, other))
 
-    for m in members:
+    for value, place in members:
         if not queries:
-            link(m)
-        tree.add(m)
-    for q in queries:
-        link(q)
+            link(value, place)
+        tree.add(value, place)
+    for value, place in queries:
+        link(value, place)
     return links
 
 
@@ -135,32 +164,60 @@ def links(values: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFr
     """Distinct fingerprints (fp) -> links (a, b), enough of them to hold every component together."""
     if radius > len(BLOCKS) - 2:
         raise ValueError("two blocks must agree: the radius can be 4 at most")
-    keyed = values.select("fp", F.explode(F.array(*_block_keys(F.col("fp")))).alias("key")).withColumn("spread", F.xxhash64("key"))
-    sizes = keyed.groupBy("key").count().filter("count > 1").withColumn("spread", F.xxhash64("key"))
-    met = keyed.join(sizes, ["key", "spread"]).withColumn("parts", F.ceil(F.col("count") / shard).cast("int"))
-    met = met.withColumn("own", F.pmod(F.xxhash64("fp", "key"), F.col("parts")).cast("int"))
-    last = F.col("parts") - 1
-    as_member = F.transform(F.sequence(F.col("own"), last), lambda j: F.struct(F.col("own").alias("i"), j.alias("j"), (j != F.col("own")).alias("apart"), F.lit(False).alias("query")))
-    as_query = F.when(F.col("own") > 0, F.transform(F.sequence(F.lit(0), F.col("own") - 1), lambda i: F.struct(i.alias("i"), F.col("own").alias("j"), F.lit(True).alias("apart"), F.lit(True).alias("query"))))
-    dealt = met.select("key", "fp", F.explode(F.concat(as_member, F.coalesce(as_query, F.slice(as_member, 1, 0)))).alias("x"))
-    dealt = dealt.select("key", "fp", "x.i", "x.j", "x.apart", "x.query")
+    keyed = values.select(F.col("fp").alias("node"), "fp", F.explode(F.array(*_block_keys(F.col("fp")))).alias("key"))
+    return shard_links(_crowded(keyed), radius, shard)
+
+
+def _crowded(keyed: DataFrame) -> DataFrame:
+    """Rows of shards that hold two at least, with the shard's size. Two keys: see ``exact_dedup``."""
+    spread = F.xxhash64("key").alias("spread")
+    sizes = keyed.groupBy("key").count().filter("count > 1").select("key", "count", spread)
+    return keyed.select("*", spread).join(sizes, ["key", "spread"]).drop("spread")
+
+
+def shard_links(met: DataFrame, radius: int, shard: int = SHARD, threshold: float | None = None) -> DataFrame:
+    """met (key, count, node, fp[, shingles]) -> links (a, b) between nodes; with a threshold, shingle sets decide."""
+    node_type = met.schema["node"].dataType.simpleString()
+    extra = [] if threshold is None else ["shingles"]
+    met = met.withColumn("parts", F.ceil(F.col("count") / shard).cast("int"))
+    met = met.withColumn("own", F.pmod(F.xxhash64("node", "key"), F.col("parts")).cast("int"))
+    own, last = F.col("own"), F.col("parts") - 1
+    as_member = F.transform(F.sequence(own, last), lambda j: F.struct(own.alias("i"), j.alias("j"), F.lit(False).alias("query")))
+    as_query = F.when(own > 0, F.transform(F.sequence(F.lit(0), own - 1), lambda i: F.struct(i.alias("i"), own.alias("j"), F.lit(True).alias("query"))))
+    dealt = met.select("key", "node", "fp", *extra, F.explode(F.concat(as_member, F.coalesce(as_query, F.slice(as_member, 1, 0)))).alias("x"))
+    dealt = dealt.select("key", "node", "fp", *extra, "x.i", "x.j", "x.query")
     group = ["key", "i", "j"]
-    ordered = dealt.repartition(*group).sortWithinPartitions(*group, "query", "fp")
+    ordered = dealt.repartition(*group).sortWithinPartitions(*group, "query", "node")
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for own in _whole_groups(batches, group):
             found = []
-            values_of, queries = own["fp"].to_numpy().view(np.uint64).tolist(), own["query"].to_numpy()
-            apart = own["apart"].to_numpy()
+            values = list(zip(own["fp"].to_numpy().view(np.uint64).tolist(), range(len(own)), strict=True))
+            queries, apart = own["query"].to_numpy(), (own["i"] != own["j"]).to_numpy()
+            same = None if threshold is None else _jaccard(own["shingles"], threshold)
             for start, end in _runs(own, group):
                 cut_at = start + int((~queries[start:end]).sum())
-                if apart[start] and cut_at == end or cut_at == start:
+                if apart[start] and cut_at in (start, end):
                     continue
-                found += spanning_links(values_of[start:cut_at], values_of[cut_at:end], radius)
-            both = np.array(found, np.uint64).reshape(-1, 2).view(np.int64)
-            yield pd.DataFrame({"a": both[:, 0], "b": both[:, 1]})
+                found += spanning_links(values[start:cut_at], values[cut_at:end], radius, same)
+            both, nodes = np.array(found, np.int64).reshape(-1, 2), own["node"].to_numpy()
+            yield pd.DataFrame({"a": nodes[both[:, 0]], "b": nodes[both[:, 1]]})
+
+    return ordered.mapInPandas(search, f"a {node_type}, b {node_type}").distinct()
+
 
-    return ordered.mapInPandas(search, "a long, b long").distinct()
+def _jaccard(shingles: pd.Series, threshold: float) -> Callable[[int, int], bool]:
+    """Whether the shingle sets of two places, sorted distinct hashes, are as similar as the threshold."""
+    sets = [np.frombuffer(s, np.uint64) for s in shingles]
+
+    def same(a: int, b: int) -> bool:
+        x, y = sets[a], sets[b]
+        if min(len(x), len(y)) < threshold * max(len(x), len(y)):
+            return False
+        both = len(np.intersect1d(x, y, assume_unique=True))
+        return both >= threshold * (len(x) + len(y) - both)
+
+    return same
 
 
 def _runs(rows: pd.DataFrame, group: list[str]) -> Iterator[tuple[int, int]]:
@@ -230,11 +287,39 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
-    """The rows that stay, with all their columns: of each component the row with the smallest doc_id, once."""
-    rooted = _rooted(cut(fingerprints(docs, id_col, text_col, words)))
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SIMILAR_WORDS, threshold: float = SIMILARITY) -> DataFrame:
+    """One row per document: doc_id, text_sha256, root: what texts of a Jaccard similarity of ``threshold`` chain together.
+
+    Fingerprints of texts that similar differ in up to ``SIMILAR_RADIUS`` bits, too many for blocks of bits to agree, so
+    minima of the shingles' hashes make the shards. BK-trees search them as above, and a link counts only if the two
+    sets of shingles are as similar as asked for. Texts are fetched once, for shards that hold two texts at least.
+    """
+    rows = cut(fingerprints(docs, id_col, text_col, words, bands=True))
+    keyed = rows.select(F.col("text_sha256").alias("node"), "fp", F.explode("keys").alias("key")).distinct()
+    met = cut(_crowded(keyed))
+    one = rows.groupBy("text_sha256").agg(F.min("doc_id").alias("__id")).withColumnRenamed("text_sha256", "__sha")
+    asked = met.select(F.col("node").alias("__sha")).distinct().join(one, "__sha")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    texts = docs.select(F.col(id_col).alias("__doc"), text.alias("text"), F.sha2(text, 256).alias("__own"))
+    texts = texts.join(asked, F.col("__doc").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__sha"))).select(F.col("__sha").alias("node"), "text")
+
+    def shingle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"node": batch["node"], "shingles": [np.unique(shingle_hashes(t, words)).tobytes() for t in batch["text"]]})
+
+    sets = texts.mapInPandas(shingle, "node string, shingles binary").dropDuplicates(["node"]).withColumn("s", F.xxhash64("node"))
+    full = met.withColumn("s", F.xxhash64("node")).join(sets, ["node", "s"]).drop("s")
+    linked = components(shard_links(full, SIMILAR_RADIUS, SHARD, threshold))
+    linked = linked.select(F.col("node").alias("text_sha256"), "root", F.xxhash64("node").alias("s"))
+    found = rows.select("doc_id", "text_sha256", F.xxhash64("text_sha256").alias("s")).join(linked, ["text_sha256", "s"], "left")
+    return found.select("doc_id", "text_sha256", F.coalesce("root", "text_sha256").alias("root"))
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SIMILAR_WORDS, threshold: float = SIMILARITY) -> DataFrame:
+    """The rows that stay, with all their columns: of each group of similar texts the row with the smallest doc_id, once."""
+    groups = similar_groups(docs, id_col, text_col, words, threshold)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_sha256")).alias("first")
-    kept = rooted.groupBy("root").agg(first).select(F.col("first.doc_id").alias("__id"), F.col("first.text_sha256").alias("__sha")).distinct()
+    kept = groups.groupBy("root").agg(first).select(F.col("first.doc_id").alias("__id"), F.col("first.text_sha256").alias("__sha"))
     own = F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256)
     met = docs.withColumn("__own", own).join(kept, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__sha")), "left_semi")
     return met.dropDuplicates([id_col, "__own"]).drop("__own")

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import bpe, chat, exact_dedup, language_id, mixing, near_dedup, topk, toxicity, url_filter
+from docloom.llm import bpe, chat, exact_dedup, language_id, mixing, near_dedup, topk, toxicity, training_order, url_filter
 from docloom.session import table
 
 
@@ -45,6 +45,11 @@ def op6_voronoi_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op7_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = training_order.materialise(table(spark, sf_dir, "documents"))
+    return training_order.read(manifest).select("slot", "shard", "byte_offset", "doc_id", "seq", "n_tokens", F.crc32("tokens").alias("tokens_crc32"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = language_id.predict(docs, language_id.train(docs))
@@ -77,7 +82,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_mix_sources, op3_simhash_near_dedup, op4_url_filter, op5_bpe_codec, op6_voronoi_top_k, op8_language_id, op9_chat_format, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_mix_sources, op3_simhash_near_dedup, op4_url_filter, op5_bpe_codec, op6_voronoi_top_k, op7_training_order, op8_language_id, op9_chat_format, op10_exact_dedup)}
 
 _HOST = "translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
