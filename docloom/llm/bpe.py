@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
 CHUNK, OVERLAP = 32_768, 512
+#: What follows a pre-token's end may change it that far on: a quote and two letters of a contraction.
+LOOKAHEAD = 4
 MEMO = 200_000
 
 
@@ -86,7 +88,7 @@ class Coder:
         found = []
         for m in self.split.finditer(text, start):
             found.append(m.start())
-            if not last and m.end() >= len(text):
+            if not last and m.end() + LOOKAHEAD > len(text):
                 break
         return np.array(found, np.int64)
 
