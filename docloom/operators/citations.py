@@ -132,6 +132,39 @@ def joined_preferences(chunks: DataFrame, group: str) -> DataFrame:
     )
 
 
+def written_preferences(properties: DataFrame, values: DataFrame, group: str, prefix: str = "ZOTERO_PREF_", limit: int = 255) -> DataFrame:
+    """properties (group, name, value) with each given value (group, value) as chunks 1..n; a group's older chunks go, all else stays."""
+    old = F.startswith("name", F.lit(prefix))
+    kept = properties.join(values.select(group, F.lit(True).alias("__new")), group, "left").filter(~old | F.col("__new").isNull()).drop("__new")
+    rows = values.select(group, F.posexplode(chunk_utf16(F.col("value"), limit)).alias("k", "value"))
+    return kept.unionByName(rows.select(group, F.concat(F.lit(prefix), (F.col("k") + 1).cast("string")).alias("name"), "value"))
+
+
+def payload_findings(fields: DataFrame, keep: list[str]) -> DataFrame:
+    """fields (keep..., payload) -> one row per broken rule of a citation's payload, with the item's place where there is one."""
+    members = F.try_parse_json("payload")
+    kind = lambda v, path: F.coalesce(F.schema_of_variant(F.try_variant_get(v, path, "variant")), F.lit("VOID"))
+    items = F.try_variant_get(members, "$.citationItems", "array<variant>")
+    rows = fields.select(*keep, kind(members, "$").alias("root"), kind(members, "$.properties").alias("properties"), items.alias("items"))
+    whole = F.array_compact(F.array(
+        F.when(~F.startswith("root", F.lit("OBJECT")), "payload is not an object"),
+        F.when(F.startswith("root", F.lit("OBJECT")) & (F.coalesce(F.size("items"), F.lit(0)) <= 0), "citationItems is empty"),
+        F.when(~F.col("properties").isin("VOID") & ~F.startswith("properties", F.lit("OBJECT")), "properties is not an object"),
+    ))
+    of_rows = rows.select(*keep, F.lit(-1).alias("item"), F.explode(whole).alias("message"))
+    each = rows.select(*keep, F.posexplode("items").alias("item", "value"))
+    own = kind(F.col("value"), "$")
+    told = lambda name: kind(F.col("value"), f"$.{name}")
+    is_object = F.startswith(own, F.lit("OBJECT"))
+    of_items = F.array_compact(F.array(
+        F.when(~is_object, "item is not an object"),
+        F.when(is_object & (told("id") == "VOID") & (told("uris") == "VOID") & (told("itemData") == "VOID"), "item without id, uris or itemData"),
+        F.when(is_object & (told("uris") != "VOID") & ~F.startswith(told("uris"), F.lit("ARRAY")), "uris is not an array"),
+        F.when(is_object & (told("itemData") != "VOID") & ~F.startswith(told("itemData"), F.lit("OBJECT")), "itemData is not an object"),
+    ))
+    return of_rows.unionByName(each.select(*keep, "item", F.explode(of_items).alias("message")))
+
+
 def missing_indexes(chunks: DataFrame, group: str) -> DataFrame:
     """Indexes between 1 and a group's largest that it lacks."""
     wanted = chunks.groupBy(group).agg(F.max("idx").alias("last")).select(group, F.explode(F.sequence(F.lit(1), F.col("last").cast("int"))).alias("idx"))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from docloom.plans import citing, editing, locating, staging, structures, summary
+from docloom.plans import citing, editing, guarding, locating, staging, structures, summary
 
 QUERIES = {}
 ORACLES = {}
-for module in (summary, locating, editing, structures, citing, staging):
+for module in (summary, locating, editing, structures, guarding, citing, staging):
     QUERIES |= module.QUERIES
     ORACLES |= module.ORACLES
