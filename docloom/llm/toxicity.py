@@ -47,12 +47,9 @@ MEMO = 300_000
 SIGNS = regex.escape("".join(LEET), special_only=False)
 #: A stretch that may hide a word: letters run together by single signs, signs among letters, or a letter three times.
 SPACED = regex.compile(r"(?<![^\s])\w(?:[\s.\-_*~,'/]{1,2}\w){2,}(?![^\s.,;:!?])")
-TOKEN = regex.compile(r"[^\s]+")
 CORE = regex.compile(rf"^(?:[^\w{SIGNS}]|([{SIGNS}])\1+(?=[^{SIGNS}]))*(.*?)(?:[^\w{SIGNS}]|!|([^\w])\3+)*$", regex.S)
 LEETED = regex.compile(rf"(?=.*\p{{L}})(?=.*[{SIGNS}])")
 REPEATED = regex.compile(r"(\p{L})\1\1")
-SUSPECT = regex.compile(rf"[{SIGNS}]|(\p{{L}})\1\1")
-WORD = regex.compile(r"\p{L}+")
 
 
 def symbol_table() -> np.ndarray:
@@ -67,18 +64,32 @@ def symbol_table() -> np.ndarray:
     return table
 
 
+def codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
+
+
 def trigram_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """gram, count over all texts: counted per partition, then summed. There are at most 64 ** 3 grams."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table, total = symbol_table(), np.zeros(WIDTH**3, np.int64)
+        held, size = [], 0
+
+        def add() -> None:
+            s = np.concatenate(held).astype(np.int32)
+            total[:] += np.bincount((s[:-2] << 12) | (s[1:-1] << 6) | s[2:], minlength=WIDTH**3)
+
+        edge = np.zeros(2, np.uint8)
         for batch in batches:
             for text in batch["text"]:
                 if isinstance(text, str) and text:
-                    s = np.concatenate([[0, 0], table[np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)], [0]]).astype(np.int32)
-                    total += np.bincount((s[:-2] << 12) | (s[1:-1] << 6) | s[2:], minlength=WIDTH**3) if len(s) > 50_000 else 0
-                    if len(s) <= 50_000:
-                        np.add.at(total, (s[:-2] << 12) | (s[1:-1] << 6) | s[2:], 1)
+                    held += [edge, table[codes(text)], edge]
+                    size += len(text)
+                    if size > 1_000_000:
+                        add()
+                        held, size = [], 0
+        if held:
+            add()
         grams = np.flatnonzero(total)
         yield pd.DataFrame({"gram": grams.astype(np.int32), "count": total[grams]})
 
@@ -137,7 +148,12 @@ def viterbi(columns: list[list[tuple[str, float]]], model: np.ndarray, symbol: d
 
 class Restorer:
     def __init__(self, model: np.ndarray):
-        self.model, self.symbol, self.memo = model, {c: k + 1 for k, c in enumerate(LETTERS)}, {}
+        self.model, self.symbol, self.memo, self.tokens = model, {c: k + 1 for k, c in enumerate(LETTERS)}, {}, {}
+        self.letter = symbol_table() > 0
+        self.sign = np.zeros(0x110000, bool)
+        self.sign[[ord(c) for c in LEET]] = True
+        self.space = np.zeros(0x110000, bool)
+        self.space[[c for c in range(0x3001) if chr(c).isspace()]] = True
 
     def stretch(self, text: str, spaced: bool) -> str:
         if (text, spaced) not in self.memo:
@@ -147,17 +163,52 @@ class Restorer:
         return self.memo[text, spaced]
 
     def token(self, token: str) -> str:
-        core = CORE.match(token)[2]
-        if LEETED.search(core) or REPEATED.search(core):
-            return self.stretch(core, False)
-        return token
+        if token not in self.tokens:
+            if len(self.tokens) > MEMO:
+                self.tokens = {}
+            core = CORE.match(token)[2]
+            self.tokens[token] = self.stretch(core, False) if LEETED.search(core) or REPEATED.search(core) else token
+        return self.tokens[token]
+
+    def suspects(self, c: np.ndarray, letter: np.ndarray) -> np.ndarray:
+        """Where a sign stands or a letter comes the third time."""
+        found = self.sign[c]
+        found[2:] |= (c[2:] == c[1:-1]) & (c[1:-1] == c[:-2]) & letter[2:]
+        return np.flatnonzero(found)
+
+    def may_be_spaced(self, c: np.ndarray, letter: np.ndarray) -> bool:
+        """Whether three letters or signs stand alone within reach of each other."""
+        part = letter | self.sign[c]
+        alone = part.copy()
+        alone[1:] &= ~part[:-1]
+        alone[:-1] &= ~part[1:]
+        at = np.flatnonzero(alone)
+        return bool((at[2:] - at[:-2] <= 6).any())
 
     def text(self, text: str) -> str:
         """Lower-cased text with its suspicious stretches restored."""
-        text = SPACED.sub(lambda m: self.stretch(m[0], True), text.lower())
-        if not SUSPECT.search(text):
+        text = text.lower()
+        c = codes(text)
+        letter = self.letter[c]
+        if self.may_be_spaced(c, letter):
+            text = SPACED.sub(lambda m: self.stretch(m[0], True), text)
+            c = codes(text)
+            letter = self.letter[c]
+        at = self.suspects(c, letter)
+        if not len(at):
             return text
-        return TOKEN.sub(lambda m: self.token(m[0]) if SUSPECT.search(m[0]) else m[0], text)
+        space = np.concatenate([[-1], np.flatnonzero(self.space[c]), [len(c)]])
+        owner = np.unique(np.searchsorted(space, at))
+        pieces, done = [], 0
+        for begin, end in zip((space[owner - 1] + 1).tolist(), space[owner].tolist(), strict=True):
+            pieces += [text[done:begin], self.token(text[begin:end])]
+            done = end
+        return "".join([*pieces, text[done:]])
+
+    def words(self, text: str) -> Counter[str]:
+        """The runs of letters of the restored text."""
+        c = codes(self.text(text))
+        return Counter(np.where(self.letter[c], c, np.uint32(32)).tobytes().decode("utf-32-le").split())
 
 
 def features_of(word: str) -> list[int]:
@@ -208,7 +259,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id_co
         for batch in batches:
             rows = []
             for text in batch["text"]:
-                words = Counter(WORD.findall(restorer.text(text or "")))
+                words = restorer.words(text or "")
                 found: Counter[int] = Counter()
                 for word, n in words.items():
                     for f in features_of(word):
@@ -284,7 +335,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         for batch in batches:
             scores = np.zeros(len(batch))
             for k, text in enumerate(batch["text"]):
-                words = Counter(WORD.findall(restorer.text(text or "")))
+                words = restorer.words(text or "")
                 found: Counter[int] = Counter()
                 for word, n in words.items():
                     own = memo.get(word)
