@@ -42,16 +42,33 @@ LEET_COST, REPEAT_COST, SPACING_COST, KEPT_SIGN_COST = 1.0, 0.7, 0.2, 4.0
 PREFIXES = (3, 4, 5, 6)
 FEATURE_BITS = 22
 MOST_FEATURES, LEAST_TOXIC_DOCS, LEAST_LIFT = 20_000, 4, 3.0
-MEMO = 300_000
+MEMO, MOST_REMEMBERED = 300_000, 100
 
-SIGNS = regex.escape("".join(LEET), special_only=False)
-#: A stretch that may hide a word: letters run together by single signs, signs among letters, or a letter three times.
-SPACED = regex.compile(r"(?<![^\s])\w(?:[\s.\-_*~,'/]{1,2}\w){2,}(?![^\s.,;:!?])")
-CORE = regex.compile(rf"^(?:[^\w{SIGNS}]|([{SIGNS}])\1+(?=[^{SIGNS}]))*(.*?)(?:[^\w{SIGNS}]|!|([^\w])\3+)*$", regex.S)
-LEETED = regex.compile(rf"(?=.*\p{{L}})(?=.*[{SIGNS}])")
+#: Letters and signs that stand alone, three at least; separators and what they separate have no character in common.
+SPACED = regex.compile(r"(?<!\S)[\p{L}\p{N}@$](?:[\s.\-_*~,'/]{1,2}[\p{L}\p{N}@$]){2,}(?![^\s.,;:!?])")
 REPEATED = regex.compile(r"(\p{L})\1\1")
 
 
+def core(token: str) -> str:
+    """A token without punctuation at its edges: other signs, exclamation marks at its end, and any sign that is doubled."""
+    begin, end = 0, len(token)
+
+    def edge(at: int, step: int, stop: int) -> int:
+        """How many characters of one punctuation stand at this edge."""
+        c, run = token[at], 1
+        while at + run * step != stop and token[at + run * step] == c:
+            run += 1
+        if c.isalnum() or c in LEET and run == 1 and not (c == "!" and step < 0):
+            return 0
+        return run
+
+    while begin < end and (n := edge(begin, 1, end)):
+        begin += n
+    while begin < end and (n := edge(end - 1, -1, begin - 1)):
+        end -= n
+    return token[begin:end]
+
+
 def symbol_table() -> np.ndarray:
     table = np.zeros(0x110000, np.uint8)
     for start in range(0, 0x110000, 0x1000):
@@ -129,21 +146,29 @@ def lattice(stretch: str, spaced: bool) -> list[list[tuple[str, float]]]:
 
 
 def viterbi(columns: list[list[tuple[str, float]]], model: np.ndarray, symbol: dict[str, int]) -> str:
-    """The emission of least channel and language-model cost; the state is the last two symbols."""
-    states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    """The emission of least channel and language-model cost; the state is the last two symbols. Equal costs: the first."""
+    states: dict[tuple[int, int], float] = {(0, 0): 0.0}
+    back: list[dict[tuple[int, int], tuple[tuple[int, int], str]]] = []
     for column in columns:
-        new: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (cost, text) in states.items():
+        new: dict[tuple[int, int], float] = {}
+        came: dict[tuple[int, int], tuple[tuple[int, int], str]] = {}
+        for (a, b), cost in states.items():
             for emitted, own in column:
                 x, y, total = a, b, cost + own
                 for letter in emitted:
                     z = BOUNDARY if letter == " " else symbol.get(letter, OTHER)
                     total += float(model[x, y, z])
                     x, y = y, z
-                if (x, y) not in new or (total, text + emitted) < new[x, y]:
-                    new[x, y] = total, text + emitted
+                if total < new.get((x, y), np.inf):
+                    new[x, y], came[x, y] = total, ((a, b), emitted)
         states = new
-    return min((cost + float(model[a, b, BOUNDARY]), text) for (a, b), (cost, text) in states.items())[1]
+        back.append(came)
+    state = min(states, key=lambda s: states[s] + float(model[s[0], s[1], BOUNDARY]))
+    out = []
+    for came in reversed(back):
+        state, emitted = came[state]
+        out.append(emitted)
+    return "".join(reversed(out))
 
 
 class Restorer:
@@ -156,6 +181,8 @@ class Restorer:
         self.space[[c for c in range(0x3001) if chr(c).isspace()]] = True
 
     def stretch(self, text: str, spaced: bool) -> str:
+        if len(text) > MOST_REMEMBERED:
+            return viterbi(lattice(text, spaced), self.model, self.symbol)
         if (text, spaced) not in self.memo:
             if len(self.memo) > MEMO:
                 self.memo = {}
@@ -166,8 +193,9 @@ class Restorer:
         if token not in self.tokens:
             if len(self.tokens) > MEMO:
                 self.tokens = {}
-            core = CORE.match(token)[2]
-            self.tokens[token] = self.stretch(core, False) if LEETED.search(core) or REPEATED.search(core) else token
+            inner = core(token)
+            leet = any(c in LEET for c in inner) and any(c.isalpha() for c in inner)
+            self.tokens[token] = self.stretch(inner, False) if leet or REPEATED.search(inner) else token
         return self.tokens[token]
 
     def suspects(self, c: np.ndarray, letter: np.ndarray) -> np.ndarray:
