@@ -26,6 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow.fs as pafs
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,6 +35,8 @@ from docloom.session import cut, shared_folder
 
 LENGTH, SHARD_RECORDS, ROUNDS = 512, 16_384, 6
 NO_ID = -(1 << 63)
+#: A task packs as many bytes of records at a time.
+PACKED_BYTES = 64_000_000
 
 
 def record_type(length: int) -> np.dtype:
@@ -85,52 +88,75 @@ def materialise(docs: DataFrame, key: str = "order-1", id_col: str = "doc_id", t
     shards = -(-total // shard_records)
     order = Permutation(total, key)
 
+    kind, passing_kind = record_type(length), np.dtype([("slot", "<i8"), ("record", record_type(length))])
+
     def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Records with their slots, packed and compressed by shard, a bounded number of bytes at a time."""
         part = TaskContext.get().partitionId()
         at = begins.get(part, 0)
         end = at + counted.get(part, 0)
+
+        def packed(held: list[np.ndarray]) -> pd.DataFrame:
+            records = np.concatenate(held)
+            slots = order(np.arange(at, at + len(records)))
+            place = np.argsort(slots)
+            out = np.empty(len(records), passing_kind)
+            out["slot"], out["record"] = slots[place], records[place]
+            shard = out["slot"] // shard_records
+            bounds = np.concatenate([[0], np.flatnonzero(np.diff(shard)) + 1, [len(out)]])
+            pack = zstandard.ZstdCompressor(level=3).compress
+            return pd.DataFrame({"shard": shard[bounds[:-1]].astype(np.int32), "block": [pack(out[a:b].tobytes()) for a, b in zip(bounds, bounds[1:], strict=False)]})
+
+        held, size = [], 0
         for batch in batches:
-            ids, seqs, pieces = [], [], []
             for doc_id, data in zip(batch["doc_id"].astype("Int64").fillna(NO_ID), batch["bytes"], strict=True):
-                for seq, start in enumerate(range(0, len(data), length)):
-                    ids.append(doc_id)
-                    seqs.append(seq)
-                    pieces.append(data[start : start + length])
-            slots = order(np.arange(at, at + len(ids)))
-            at += len(ids)
-            yield pd.DataFrame({"slot": slots, "shard": (slots // shard_records).astype(np.int32), "doc_id": np.array(ids, np.int64), "seq": np.array(seqs, np.int32), "tokens": pieces})
+                n = -(-len(data) // length)
+                if n:
+                    records = np.zeros(n, kind)
+                    records["doc_id"], records["seq"], records["n_tokens"] = doc_id, np.arange(n), length
+                    records["n_tokens"][-1] = len(data) - (n - 1) * length
+                    records["tokens"] = np.frombuffer(data.ljust(n * length, b"\0"), np.uint8).reshape(n, length)
+                    held.append(records)
+                    size += records.nbytes
+                if size > PACKED_BYTES:
+                    yield packed(held)
+                    at += sum(map(len, held))
+                    held, size = [], 0
+        if held:
+            yield packed(held)
+            at += sum(map(len, held))
         if at != end:
             raise RuntimeError("the input dealt other rows to this partition than when it was counted; write it to a table first")
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """A shard's blocks come one after the other; a shard is all that is held."""
         fs, base = pafs.FileSystem.from_uri(folder)
         fs.create_dir(base, recursive=True)
-        shard, stream, passing, done, first = -1, None, "", 0, 0
-
-        def close() -> pd.DataFrame:
-            stream.close()
+        unpack = zstandard.ZstdDecompressor().decompress
+
+        def store(shard: int, blocks: list[bytes]) -> pd.DataFrame:
+            records = np.concatenate([np.frombuffer(unpack(b), passing_kind) for b in blocks])
+            records = records[np.argsort(records["slot"])]
+            passing = f"{base}/passing-{shard}-{uuid.uuid4().hex}"
+            with fs.open_output_stream(passing) as stream:
+                stream.write(records["record"].tobytes())
             fs.move(passing, f"{base}/shard-{shard:08d}.bin")
-            return pd.DataFrame({"shard": [shard], "path": [f"{folder}/shard-{shard:08d}.bin"], "first_slot": [first], "records": [done], "length": [length]})
+            return pd.DataFrame({"shard": [shard], "path": [f"{folder}/shard-{shard:08d}.bin"], "first_slot": [int(records["slot"][0])], "records": [len(records)], "length": [length]})
 
+        shard, blocks = -1, []
         for batch in batches:
-            for own, rows_of in batch.groupby("shard", sort=True):
-                if own != shard:
-                    if stream is not None:
-                        yield close()
-                    shard, done, first, passing = int(own), 0, int(rows_of["slot"].iat[0]), f"{base}/passing-{own}-{uuid.uuid4().hex}"
-                    stream = fs.open_output_stream(passing)
-                records = np.zeros(len(rows_of), record_type(length))
-                records["doc_id"], records["seq"] = rows_of["doc_id"], rows_of["seq"]
-                records["n_tokens"] = rows_of["tokens"].str.len()
-                records["tokens"] = np.frombuffer(b"".join(t.ljust(length, b"\0") for t in rows_of["tokens"]), np.uint8).reshape(-1, length)
-                stream.write(records.tobytes())
-                done += len(records)
-        if stream is not None:
-            yield close()
-
-    numbered = rows.mapInPandas(number, "slot long, shard int, doc_id long, seq int, tokens binary")
+            for own, block in zip(batch["shard"].tolist(), batch["block"], strict=True):
+                if own != shard and blocks:
+                    yield store(shard, blocks)
+                    blocks = []
+                shard = own
+                blocks.append(block)
+        if blocks:
+            yield store(shard, blocks)
+
+    numbered = rows.mapInPandas(number, "shard int, block binary")
     ranges = min(shards, 20_000)
-    dealt = numbered.repartitionById(ranges, F.floor(F.col("shard").cast("long") * ranges / shards).cast("int")).sortWithinPartitions("slot")
+    dealt = numbered.repartitionById(ranges, F.floor(F.col("shard").cast("long") * ranges / shards).cast("int")).sortWithinPartitions("shard")
     return cut(dealt.mapInPandas(write, shape))
 
 
