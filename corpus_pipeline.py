@@ -11,12 +11,19 @@ from docloom.llm import bpe, exact_dedup, language_id, mixing, near_dedup, queri
 from docloom.session import shared_folder, table
 
 
+SHORT = 100
+
+
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter, and those whose best language explains them no better than noise."""
+    """Drops documents without a letter, and those whose best language explains them no better than noise.
+
+    A short text says too little to be called noise and stays.
+    """
     model = language_id.train(docs)
     found = language_id.predict_column(F.col("text"), model)
     kept = docs.withColumn("__found", found)
-    kept = kept.filter((F.col("__found.lang_pred") != language_id.UNKNOWN) & (F.col("__found.phrase_chars") >= language_id.LEAST_PHRASE))
+    told = (F.col("__found.phrase_chars") >= language_id.LEAST_PHRASE) | (F.length("text") < SHORT)
+    kept = kept.filter((F.col("__found.lang_pred") != language_id.UNKNOWN) & told)
     return kept.drop("__found")
 
 

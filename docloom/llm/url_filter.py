@@ -86,14 +86,15 @@ def reputations(outcomes: DataFrame, z: float = Z, threshold: float = THRESHOLD)
     sums = [F.sum("n").alias("n"), F.sum("bad").alias("bad")]
     domains = hosts.groupBy("domain", "suffix").agg(*sums)
     suffixes = domains.groupBy("suffix").agg(*sums)
-    prior = {name: _strength(groups).select(F.col("rate").alias(f"{name}_rate"), F.col("strength").alias(f"{name}_k")) for name, groups in (("s", suffixes), ("d", domains), ("h", hosts))}
-    one_row = prior["s"].join(F.broadcast(prior["d"].drop("d_rate")), how="cross").join(F.broadcast(prior["h"].drop("h_rate")), how="cross")
+    # Priors are single rows, so their broadcasts are; the key is a constant.
+    one = F.lit(1).alias("one")
+    prior = {name: _strength(groups).select(one, F.col("rate").alias(f"{name}_rate"), F.col("strength").alias(f"{name}_k")) for name, groups in (("s", suffixes), ("d", domains), ("h", hosts))}
+    priors = prior["s"].join(F.broadcast(prior["d"]), "one").join(F.broadcast(prior["h"]), "one")
 
     def shrunk(above: str, k: str) -> Column:
         return (F.col("bad") + F.col(k) * F.col(above)) / (F.col("n") + F.col(k))
 
-    # Joined by a constant key: a one-row table beside every row, which stays a broadcast of one row.
-    suffixes = suffixes.withColumn("one", F.lit(1)).join(F.broadcast(one_row.withColumn("one", F.lit(1))), "one")
+    suffixes = suffixes.select("*", one).join(F.broadcast(priors), "one")
     suffixes = suffixes.select("suffix", shrunk("s_rate", "s_k").alias("s_mean"), "d_k", "h_k")
     domains = domains.join(suffixes, "suffix").select("domain", shrunk("s_mean", "d_k").alias("d_mean"), "h_k")
     hosts = hosts.join(domains, "domain").withColumn("mean", shrunk("d_mean", "h_k"))
