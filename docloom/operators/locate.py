@@ -39,6 +39,14 @@ def in_context(text: Column, start: Column, end: Column, prefix: Column, suffix:
     return (prefix.isNull() | (before == prefix)) & (suffix.isNull() | (after == suffix))
 
 
+def anchor(text: Column, needle: Column, n: Column, prefix: Column, suffix: Column) -> Column:
+    """(start, end, error): the n-th occurrence first, its context then; ``resolve`` filters by context before it counts."""
+    at = nth_occurrence(text, needle, n)
+    end = at + F.length(needle)
+    error = F.when(at.isNull() | ~in_context(text, at, end, prefix, suffix), "ANCHOR_NOT_FOUND")
+    return F.struct(F.when(error.isNull(), at).alias("start"), F.when(error.isNull(), end).alias("end"), error.alias("error"))
+
+
 def resolve(requests: DataFrame, paragraphs: DataFrame, stories: DataFrame) -> DataFrame:
     """requests (req_id, doc_id, story, paragraph_index, paragraph_hash, exact_text, occurrence, prefix, suffix) -> error, start, end.
 

@@ -37,6 +37,14 @@ def l03_nth_span(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.filter("start IS NOT NULL").select("doc_id", long("idx"), long("start"), (F.col("start") + 3).cast("long").alias("end"))
 
 
+def l05_anchor_span(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second "the" of every paragraph that has one, if a blank stands before it and, by turns, behind it."""
+    rows = paragraphs(spark, sf_dir).filter(F.contains("text", F.lit("the")))
+    suffix = F.when(F.col("doc_id") % 2 == 0, " ")
+    found = rows.select("doc_id", "idx", locate.anchor(F.col("text"), F.lit("the"), F.lit(2), F.lit(" "), suffix).alias("a"))
+    return found.select("doc_id", long("idx"), F.coalesce(F.col("a.start"), F.lit(-1)).cast("long").alias("start"), F.coalesce(F.col("a.end"), F.lit(-1)).cast("long").alias("end"), "a.error")
+
+
 def _edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An edit per document's first paragraph; a quarter of them have no width."""
     rows = paragraphs(spark, sf_dir).filter("idx = 0").select("doc_id", "idx")
@@ -74,7 +82,7 @@ def p11_span_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return locate.split_spans(spans, rows).select("doc_id", long("idx"), long("start"), long("end"), "kind")
 
 
-QUERIES = {f.__name__: f for f in (l01_occurrences, l02_resolve_locator, l03_nth_span, p13_overlap_join, p14_assert_editable, p12_tidy_ranges, p11_span_split)}
+QUERIES = {f.__name__: f for f in (l01_occurrences, l02_resolve_locator, l03_nth_span, l05_anchor_span, p13_overlap_join, p14_assert_editable, p12_tidy_ranges, p11_span_split)}
 
 _EDITS = "SELECT doc_id, doc_id % 50 AS a, doc_id % 50 + doc_id % 4 AS b FROM documents"
 _RANGES = f"""
@@ -97,6 +105,11 @@ ORACLES = {
               FROM r LEFT JOIN p ON p.doc_id = req_id AND p.idx = i LEFT JOIN c ON c.doc_id = req_id AND c.idx = i AND c.n = r.n)
         SELECT req_id, error, CASE WHEN error IS NULL THEN s ELSE -1 END AS start, CASE WHEN error IS NULL THEN e ELSE -1 END AS "end" FROM m""",
     "l03_nth_span": f'SELECT doc_id, idx, start, start + 3 AS "end" FROM ({HITS}) WHERE occurrence = 3',
+    "l05_anchor_span": f"""
+        SELECT doc_id, idx, CASE WHEN ok THEN start ELSE -1 END AS start, CASE WHEN ok THEN start + 3 ELSE -1 END AS "end", CASE WHEN NOT ok THEN 'ANCHOR_NOT_FOUND' END AS error
+        FROM (SELECT p.doc_id, p.idx, h.start,
+                     coalesce(h.start > 0 AND substr(text, h.start, 1) = ' ' AND (p.doc_id % 2 <> 0 OR substr(text, h.start + 4, 1) = ' '), false) AS ok
+              FROM ({PARAGRAPHS}) p LEFT JOIN (SELECT * FROM ({HITS}) WHERE occurrence = 2) h ON h.doc_id = p.doc_id AND h.idx = p.idx WHERE contains(text, 'the'))""",
     "p13_overlap_join": f'SELECT e.doc_id, a, b, start, "end", kind FROM ({_EDITS}) e JOIN ({_RANGES}) r ON e.doc_id = r.doc_id AND {_MET}',
     "p14_assert_editable": f"""
         SELECT e.doc_id, a, b, coalesce(string_agg(DISTINCT kind, ',' ORDER BY kind), '') AS kinds, CASE WHEN count(kind) > 0 THEN 'PROTECTED_BOUNDARY' END AS error

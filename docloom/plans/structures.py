@@ -37,6 +37,12 @@ def s01_package_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("doc_path").cast("long").alias("doc_id"), long("idx"), F.sha2("text", 256).alias("text_sha256"))
 
 
+def a01_package_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as packages, counted without parsing."""
+    found = packages.summaries(packages.parts(packages.packages_of(documents(spark, sf_dir))))
+    return found.select(F.col("doc_path").cast("long").alias("doc_id"), "paragraphs", "tables", "revisions", "external")
+
+
 def k01_rewritten_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A part is added to every third package; the others keep their bytes."""
     whole = packages.packages_of(documents(spark, sf_dir).select("doc_id", F.substring("text", 1, 200).alias("text")))
@@ -96,7 +102,7 @@ def v05_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (f02_field_balance, f01_nested_fields, f06_unique_field, s01_package_paragraphs, k01_rewritten_packages, s06_content_type, s10_resolved_targets, v01_dangling, v02_marker_diff, v05_report)
+    for f in (f02_field_balance, f01_nested_fields, f06_unique_field, s01_package_paragraphs, a01_package_summary, k01_rewritten_packages, s06_content_type, s10_resolved_targets, v01_dangling, v02_marker_diff, v05_report)
 }
 
 _TAGS = r"'</?(?:div|p|b|ul|li)(?:\s[^>]*)?>'"
@@ -135,6 +141,7 @@ ORACLES = {
                CASE WHEN count(l.l_partkey) = 0 THEN 'REFERENCE_UNRESOLVED' WHEN count(l.l_partkey) > 1 THEN 'ANCHOR_AMBIGUOUS' END AS error
         FROM part LEFT JOIN lineitem l ON l.l_partkey = p_partkey * 2 GROUP BY p_partkey""",
     "s01_package_paragraphs": f"SELECT doc_id, idx, sha256(text) AS text_sha256 FROM ({PARAGRAPHS})",
+    "a01_package_summary": "SELECT doc_id, CAST(len(string_split(coalesce(text, ''), chr(10))) AS BIGINT) AS paragraphs, CAST(0 AS BIGINT) AS tables, CAST(0 AS BIGINT) AS revisions, CAST(0 AS BIGINT) AS external FROM documents",
     "k01_rewritten_packages": "SELECT doc_id, CAST(CASE WHEN doc_id % 3 = 0 THEN 4 ELSE 3 END AS BIGINT) AS parts, doc_id % 3 <> 0 AS unchanged FROM documents",
     "s06_content_type": """
         SELECT CAST(n_regionkey AS VARCHAR) AS doc_path, n_name || '.' || upper(right(n_name, 1)) AS part_name,

@@ -239,3 +239,43 @@ def rewritten(packages: DataFrame, changes: DataFrame) -> DataFrame:
 
     same = met.filter("changes IS NULL").select("doc_path", "content")
     return same.unionByName(met.filter("changes IS NOT NULL").mapInPandas(run, "doc_path string, content binary"))
+
+
+def _tags(xml: Column, names: str, attributes: str = "") -> Column:
+    """How many elements of these local names begin, whatever their prefix."""
+    return F.regexp_count(xml, F.lit(rf"<(?:\w+:)?(?:{names})(?=[\s/>]){attributes}"))
+
+
+def summaries(part_rows: DataFrame) -> DataFrame:
+    """Per package: paragraphs, tables, figures, footnotes, endnotes, comments, revisions, external relationships.
+
+    Elements are counted in the parts' text, so no part is parsed; notes that only separate others don't count.
+    """
+    xml = F.decode("data", "UTF-8")
+    story = F.regexp_like("part_name", F.lit(r"^word/(document|header\d*|footer\d*|footnotes|endnotes|comments)\.xml$"))
+    note = r"(?![^>]*\btype=\"(?:separator|continuationSeparator|continuationNotice)\")(?![^>]*\bid=\"-)"
+    of = lambda part, names, attributes="": F.sum(F.when(F.col("part_name") == f"word/{part}.xml", _tags(xml, names, attributes)).otherwise(0)).cast("long")
+    return part_rows.filter("data IS NOT NULL").groupBy("doc_path").agg(
+        of("document", "p").alias("paragraphs"), of("document", "tbl").alias("tables"), of("document", "drawing|pict|object").alias("figures"),
+        of("footnotes", "footnote", note).alias("footnotes"), of("endnotes", "endnote", note).alias("endnotes"), of("comments", "comment").alias("comments"),
+        F.sum(F.when(story, _tags(xml, "ins|del|moveFrom|moveTo")).otherwise(0)).cast("long").alias("revisions"),
+        F.sum(F.when(F.endswith("part_name", F.lit(".rels")), F.regexp_count(xml, F.lit('TargetMode="External"'))).otherwise(0)).cast("long").alias("external"),
+    )
+
+
+def core_properties(part_rows: DataFrame) -> DataFrame:
+    """doc_path, name, value: the core properties that have a text, by local name; of several of a name the last counts."""
+    found = F.regexp_extract_all(F.decode("data", "UTF-8"), F.lit(r"<(?:\w+:)?\w+(?:\s[^>]*)?>[^<]+</"), F.lit(0))
+    rows = part_rows.filter("part_name = 'docProps/core.xml'").select("doc_path", F.posexplode(found).alias("k", "e"))
+    named = rows.select("doc_path", "k", F.regexp_extract("e", r"^<(?:\w+:)?(\w+)", 1).alias("name"), F.trim(F.regexp_extract("e", r">([^<]+)<", 1)).alias("value"))
+    return named.filter("value <> ''").groupBy("doc_path", "name").agg(F.max_by("value", "k").alias("value"))
+
+
+def style_names(part_rows: DataFrame) -> DataFrame:
+    """doc_path, style_id, style_name: the name of each style, its id where it has none."""
+    xml = F.decode("data", "UTF-8")
+    found = F.regexp_extract_all(xml, F.lit(r"(?s)<(?:\w+:)?style\s.*?</(?:\w+:)?style>"), F.lit(0))
+    rows = part_rows.filter("part_name = 'word/styles.xml'").select("doc_path", F.explode(found).alias("e"))
+    name = F.regexp_extract("e", r"<(?:\w+:)?name\s[^>]*\bval=\"([^\"]*)\"", 1)
+    style = F.regexp_extract("e", r"^[^>]*\bstyleId=\"([^\"]*)\"", 1)
+    return rows.select("doc_path", style.alias("style_id"), F.coalesce(F.nullif(name, F.lit("")), style).alias("style_name"))

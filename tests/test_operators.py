@@ -205,3 +205,20 @@ def test_rewriting_adds_and_removes_parts(spark):
     same = {r.doc_path: bytes(r.content) for r in written.collect()}
     assert same["b"] == bytes(whole.filter("doc_path = 'b'").first().content)
     assert [r.part_name for r in packages.parts(written).filter("doc_path = 'a'").orderBy("ordinal").collect()] == ["word/_rels/document.xml.rels", "word/document.xml", "new.xml"]
+
+
+def test_package_summary_properties_and_styles(spark):
+    w = f'xmlns:w="{packages.W[1:-1]}"'
+    rows = [
+        ("word/document.xml", f"<w:document {w}><w:p><w:pPr/></w:p><w:tbl><w:tblPr/><w:p/></w:tbl><w:p><w:ins><w:r/></w:ins><w:del/><w:instrText/></w:p><w:drawing/></w:document>"),
+        ("word/footnotes.xml", f'<w:footnotes {w}><w:footnote w:type="separator" w:id="-1"/><w:footnote w:id="1"/></w:footnotes>'),
+        ("word/comments.xml", f'<w:comments {w}><w:comment w:id="0"/></w:comments>'),
+        ("word/_rels/document.xml.rels", '<Relationships><Relationship TargetMode="External"/></Relationships>'),
+        ("docProps/core.xml", "<cp:coreProperties><dc:title>Title</dc:title><dc:creator></dc:creator><dcterms:created xsi:type='x'> 2024 </dcterms:created></cp:coreProperties>"),
+        ("word/styles.xml", '<w:styles><w:style w:type="paragraph" w:styleId="H1"><w:name w:val="heading 1"/></w:style><w:style w:styleId="X"><w:pPr/></w:style></w:styles>'),
+    ]
+    parts = spark.createDataFrame([("d", n, x.encode()) for n, x in rows], "doc_path string, part_name string, data binary")
+    found = packages.summaries(parts).first()
+    assert tuple(found) == ("d", 3, 1, 1, 1, 0, 1, 2, 1)
+    assert {(r.name, r.value) for r in packages.core_properties(parts).collect()} == {("title", "Title"), ("created", "2024")}
+    assert {(r.style_id, r.style_name) for r in packages.style_names(parts).collect()} == {("H1", "heading 1"), ("X", "X")}
