@@ -46,3 +46,10 @@ def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it from there, so that a lost executor costs nothing upstream."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Rows that hold whole texts are large: at most so many of them travel to Python at a time, or fewer if the session says so."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
