@@ -42,7 +42,10 @@ def recipes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     )
     pairs = read.select("text_sha256", F.explode("parts").alias("part")).select("text_sha256", "part.id", "part.digest")
     shared = pairs.select("id", "digest").distinct().groupBy("id").count().filter("count > 1").select("id")
-    unsure = pairs.join(shared, "id", "left_semi").select("text_sha256").distinct().withColumn("unsure", F.lit(True))
+    # Two keys: the counts lie by identifier, so both sides are exchanged and a frequent chunk's rows can be split.
+    spread = F.hash("id").alias("spread")
+    unsure = pairs.select("*", spread).join(shared.select("id", spread), ["id", "spread"], "left_semi")
+    unsure = unsure.select("text_sha256").distinct().withColumn("unsure", F.lit(True))
     none = F.lit(None).cast("binary")
     return read.join(unsure, "text_sha256", "left").select(
         "doc_id",
@@ -69,12 +72,22 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that stay, with all their columns.
+    """The rows that stay, with all their columns."""
+    kept = exact_groups(docs, id_col, text_col).filter("kept").select(F.col("doc_id"), "text_sha256")
+    return only(docs, kept, id_col, text_col)
 
-    A text moves once, to meet the decision about it; rows that repeat a doc_id with its text are then told apart there.
+
+def only(docs: DataFrame, kept: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of docs whose doc_id and text_sha256 are among the kept ones, one for each.
+
+    A text moves once, to meet the decision about it; rows that repeat both are told apart where they then lie, as the
+    join's keys are the grouping's.
     """
-    kept = exact_groups(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
-    sha = F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256)
-    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__sha"))
-    found = docs.withColumn("__own", sha).join(kept, same, "left_semi")
-    return found.dropDuplicates([id_col, "__own"]).drop("__own")
+    kept = kept.select(_named(F.col("doc_id")).alias("__id"), F.col("text_sha256").alias("__sha"))
+    own = F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256)
+    met = docs.withColumns({"__id": _named(F.col(id_col)), "__sha": own}).join(kept, ["__id", "__sha"], "left_semi")
+    return met.dropDuplicates(["__id", "__sha"]).select(*docs.columns)
+
+
+def _named(doc_id: Column) -> Column:
+    return F.coalesce(doc_id.cast("string"), F.lit("null"))

@@ -5,10 +5,11 @@ linked, links make components, and a component's id is its smallest doc_id.
 
 Equal fingerprints are one. The 64 bits fall into six blocks; two fingerprints at 4 bits or less agree on two blocks at
 least, so each of the 15 pairs of blocks deals the fingerprints into shards, and every link lies inside a shard. A shard
-of more than ``SHARD`` fingerprints is dealt into parts, and each pair of parts is searched: the earlier part becomes a
-BK-tree (children keyed by their distance to the parent) that the fingerprints search, following only edges within the
-radius. A shard reports no more links than hold its components together. Trees of all documents have no bound on their
-size, so trees go to the searching tasks by shuffle, not by broadcast through the driver.
+of more than ``SHARD`` fingerprints is dealt into parts. A part becomes a BK-tree (children keyed by their distance to
+the parent), which fingerprints search following only edges within the radius: first those of the part, then those of
+the shard that its largest component lacks. A search reports no more links than hold its components together. Trees of
+all documents have no bound on their size, so trees go to the searching tasks by shuffle, not by broadcast through the
+driver.
 
 Components come from alternating large-star and small-star steps, each written to the shared folder.
 
@@ -24,19 +25,21 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docloom.llm.exact_dedup import only
 from docloom.session import cut
 
 WORDS, RADIUS, SEED = 4, 4, 42
 BLOCKS = (11, 11, 11, 11, 10, 10)
-SHARD = 512
+SHARD, SLICE = 256, 256
 #: For groups of similar texts: five words, a Jaccard similarity of 0.8, and bands of minima that agree for such texts
-#: with a probability of 1 - (1 - 0.8 ** 2) ** 10 > 0.9999.
+#: with a probability of 1 - (1 - 0.8 ** 3) ** 12 > 0.9998.
 SIMILAR_WORDS, SIMILARITY, SIMILAR_RADIUS = 5, 0.8, 20
-BANDS, BAND_ROWS = 10, 2
+BANDS, BAND_ROWS = 12, 3
 _MULTIPLIERS = [np.uint64(xxhash.xxh64_intdigest(str(k), SEED) | 1) for k in range(BANDS * BAND_ROWS)]
 
 
@@ -55,7 +58,9 @@ def shingle_hashes(text: str | None, words: int = WORDS) -> np.ndarray:
 
 def fingerprint(hashes: np.ndarray) -> int:
     """A bit is set if it is set in over half the hashes."""
-    votes = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8)[:, ::-1], axis=1).sum(0, dtype=np.int64)
+    votes = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 1 << 16):
+        votes += np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8)[:, ::-1], axis=1).sum(0, dtype=np.int64)
     return int.from_bytes(np.packbits(votes * 2 > len(hashes)).tobytes(), "big")
 
 
@@ -74,18 +79,18 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.sha2(text, 256).alias("text_sha256"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Only a slice of a batch becomes Python objects at a time."""
         for batch in batches:
-            found, keys = [], []
-            for t in batch["text"]:
-                hashes = shingle_hashes(t, words)
-                found.append(fingerprint(hashes))
+            for at in range(0, batch.num_rows, SLICE):
+                own = batch.slice(at, SLICE)
+                hashes = [shingle_hashes(t, words) for t in own.column("text").to_pylist()]
+                found = [pa.array(np.array([fingerprint(h) for h in hashes], np.uint64).view(np.int64))]
                 if bands:
-                    keys.append(band_keys(hashes))
-            out = batch.drop(columns="text").assign(fp=np.array(found, np.uint64).view(np.int64))
-            yield out.assign(keys=keys) if bands else out
+                    found.append(pa.array([band_keys(h) for h in hashes], pa.list_(pa.int64())))
+                yield pa.RecordBatch.from_arrays([own.column("doc_id"), own.column("text_sha256"), *found], ["doc_id", "text_sha256", "fp", "keys"][: 3 + bands])
 
-    return rows.mapInPandas(run, f"doc_id {id_type}, text_sha256 string, fp long" + ", keys array<bigint>" * bands)
+    return rows.mapInArrow(run, f"doc_id {id_type}, text_sha256 string, fp long" + ", keys array<bigint>" * bands)
 
 
 class BKTree:
@@ -175,29 +180,58 @@ def _crowded(keyed: DataFrame) -> DataFrame:
     return keyed.select("*", spread).join(sizes, ["key", "spread"]).drop("spread")
 
 
-def shard_links(met: DataFrame, radius: int, shard: int = SHARD, threshold: float | None = None) -> DataFrame:
-    """met (key, count, node, fp[, shingles]) -> links (a, b) between nodes; with a threshold, shingle sets decide."""
-    node_type = met.schema["node"].dataType.simpleString()
-    extra = [] if threshold is None else ["shingles"]
+def shard_links(met: DataFrame, radius: int, shard: int = SHARD, sets: DataFrame | None = None, threshold: float = SIMILARITY) -> DataFrame:
+    """met (key, count, node, fp) -> links (a, b) between nodes; with sets (node, shingles), their similarity decides.
+
+    First the parts of every shard are searched by themselves. In a shard of several parts, what its largest component
+    holds is together already; only the other fingerprints still go to the trees of all its parts. So a group of copies
+    costs its size times the number of its stragglers, and not its size squared.
+    """
     met = met.withColumn("parts", F.ceil(F.col("count") / shard).cast("int"))
-    met = met.withColumn("own", F.pmod(F.xxhash64("node", "key"), F.col("parts")).cast("int"))
-    own, last = F.col("own"), F.col("parts") - 1
-    as_member = F.transform(F.sequence(own, last), lambda j: F.struct(own.alias("i"), j.alias("j"), F.lit(False).alias("query")))
-    as_query = F.when(own > 0, F.transform(F.sequence(F.lit(0), own - 1), lambda i: F.struct(i.alias("i"), own.alias("j"), F.lit(True).alias("query"))))
-    dealt = met.select("key", "node", "fp", *extra, F.explode(F.concat(as_member, F.coalesce(as_query, F.slice(as_member, 1, 0)))).alias("x"))
-    dealt = dealt.select("key", "node", "fp", *extra, "x.i", "x.j", "x.query")
-    group = ["key", "i", "j"]
-    ordered = dealt.repartition(*group).sortWithinPartitions(*group, "query", "node")
+    met = met.withColumn("part", F.pmod(F.xxhash64("node", "key"), F.col("parts")).cast("int"))
+    row = ["key", "node", "fp", "part"]
+    alone = met.select(*row, F.lit(0).alias("chunk"), F.lit(False).alias("query"))
+    inside = cut(_search(_with_sets(alone, sets), radius, sets is not None, threshold, False))
+
+    wide = met.filter("parts > 1")
+    if wide.isEmpty():
+        return inside
+    rooted = components(inside).select("node", "root", F.xxhash64("node").alias("s"))
+    wide = wide.withColumn("s", F.xxhash64("node")).join(rooted, ["node", "s"], "left").withColumn("root", F.coalesce("root", "node"))
+    wide = cut(wide.select(*row, "parts", "root"))
+    sizes = wide.groupBy("key", "root").count().groupBy("key").agg(F.max(F.struct("count", "root")).alias("top"), F.sum("count").alias("all"))
+    split = sizes.filter(F.col("top.count") < F.col("all")).select(
+        "key", F.col("top.root").alias("top"), F.ceil((F.col("all") - F.col("top.count")) / shard).cast("int").alias("chunks"), F.xxhash64("key").alias("s")
+    )
+    wide = wide.withColumn("s", F.xxhash64("key")).join(split, ["key", "s"])
+    members = wide.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(*row, "chunk", F.lit(False).alias("query"))
+    asked = wide.filter("root <> top").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    asked = asked.withColumn("own", F.col("part")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).filter("part <> own")
+    both = _with_sets(members.unionByName(asked.select(*row, "chunk", F.lit(True).alias("query"))), sets)
+    across = _search(both, radius, sets is not None, threshold, True)
+    return inside.unionByName(across)
+
+
+def _with_sets(rows: DataFrame, sets: DataFrame | None) -> DataFrame:
+    """Sets are fetched for the rows that are searched, and no earlier."""
+    return rows if sets is None else rows.withColumn("s", F.xxhash64("node")).join(sets.withColumn("s", F.xxhash64("node")), ["node", "s"]).drop("s")
+
+
+def _search(rows: DataFrame, radius: int, similar: bool, threshold: float, apart: bool) -> DataFrame:
+    """rows (key, part, chunk, node, fp, query[, shingles]): a tree per group of key, part and chunk. ``apart``: only queries search it."""
+    node_type = rows.schema["node"].dataType.simpleString()
+    group = ["key", "part", "chunk"]
+    ordered = rows.repartition(*group).sortWithinPartitions(*group, "query", "node")
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for own in _whole_groups(batches, group):
             found = []
             values = list(zip(own["fp"].to_numpy().view(np.uint64).tolist(), range(len(own)), strict=True))
-            queries, apart = own["query"].to_numpy(), (own["i"] != own["j"]).to_numpy()
-            same = None if threshold is None else _jaccard(own["shingles"], threshold)
+            queries = own["query"].to_numpy()
+            same = _jaccard(own["shingles"], threshold) if similar else None
             for start, end in _runs(own, group):
                 cut_at = start + int((~queries[start:end]).sum())
-                if apart[start] and cut_at in (start, end):
+                if apart and cut_at in (start, end):
                     continue
                 found += spanning_links(values[start:cut_at], values[cut_at:end], radius, same)
             both, nodes = np.array(found, np.int64).reshape(-1, 2), own["node"].to_numpy()
@@ -207,8 +241,8 @@ def shard_links(met: DataFrame, radius: int, shard: int = SHARD, threshold: floa
 
 
 def _jaccard(shingles: pd.Series, threshold: float) -> Callable[[int, int], bool]:
-    """Whether the shingle sets of two places, sorted distinct hashes, are as similar as the threshold."""
-    sets = [np.frombuffer(s, np.uint64) for s in shingles]
+    """Whether the shingle sets of two places, sorted distinct hashes of 32 bits, are as similar as the threshold."""
+    sets = [np.frombuffer(s, np.uint32) for s in shingles]
 
     def same(a: int, b: int) -> bool:
         x, y = sets[a], sets[b]
@@ -295,21 +329,21 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     sets of shingles are as similar as asked for. Texts are fetched once, for shards that hold two texts at least.
     """
     rows = cut(fingerprints(docs, id_col, text_col, words, bands=True))
-    keyed = rows.select(F.col("text_sha256").alias("node"), "fp", F.explode("keys").alias("key")).distinct()
+    texts_of = rows.select(F.col("text_sha256").alias("node"), "fp", "keys").dropDuplicates(["node"])
+    keyed = texts_of.select("node", "fp", F.explode("keys").alias("key"))
     met = cut(_crowded(keyed))
-    one = rows.groupBy("text_sha256").agg(F.min("doc_id").alias("__id")).withColumnRenamed("text_sha256", "__sha")
-    asked = met.select(F.col("node").alias("__sha")).distinct().join(one, "__sha")
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    texts = docs.select(F.col(id_col).alias("__doc"), text.alias("text"), F.sha2(text, 256).alias("__own"))
-    texts = texts.join(asked, F.col("__doc").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__sha"))).select(F.col("__sha").alias("node"), "text")
+    one = rows.groupBy("text_sha256").agg(F.min("doc_id").alias("doc_id"))
+    asked = met.select(F.col("node").alias("text_sha256")).distinct().join(one, "text_sha256")
+    texts = only(docs, asked, id_col, text_col).select(F.col(text_col).cast("string").alias("text"))
+    texts = texts.select(F.sha2(F.coalesce("text", F.lit("")), 256).alias("node"), "text")
 
     def shingle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"node": batch["node"], "shingles": [np.unique(shingle_hashes(t, words)).tobytes() for t in batch["text"]]})
+            sets = [np.unique((shingle_hashes(t, words) >> np.uint64(32)).astype(np.uint32)).tobytes() for t in batch["text"]]
+            yield pd.DataFrame({"node": batch["node"], "shingles": sets})
 
-    sets = texts.mapInPandas(shingle, "node string, shingles binary").dropDuplicates(["node"]).withColumn("s", F.xxhash64("node"))
-    full = met.withColumn("s", F.xxhash64("node")).join(sets, ["node", "s"]).drop("s")
-    linked = components(shard_links(full, SIMILAR_RADIUS, SHARD, threshold))
+    sets = cut(texts.mapInPandas(shingle, "node string, shingles binary"))
+    linked = components(shard_links(met, SIMILAR_RADIUS, SHARD, sets, threshold))
     linked = linked.select(F.col("node").alias("text_sha256"), "root", F.xxhash64("node").alias("s"))
     found = rows.select("doc_id", "text_sha256", F.xxhash64("text_sha256").alias("s")).join(linked, ["text_sha256", "s"], "left")
     return found.select("doc_id", "text_sha256", F.coalesce("root", "text_sha256").alias("root"))
@@ -319,7 +353,5 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """The rows that stay, with all their columns: of each group of similar texts the row with the smallest doc_id, once."""
     groups = similar_groups(docs, id_col, text_col, words, threshold)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_sha256")).alias("first")
-    kept = groups.groupBy("root").agg(first).select(F.col("first.doc_id").alias("__id"), F.col("first.text_sha256").alias("__sha"))
-    own = F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256)
-    met = docs.withColumn("__own", own).join(kept, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__sha")), "left_semi")
-    return met.dropDuplicates([id_col, "__own"]).drop("__own")
+    kept = groups.groupBy("root").agg(first).select("first.doc_id", "first.text_sha256")
+    return only(docs, kept, id_col, text_col)
