@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm import bpe, exact_dedup, language_id, mixing, near_dedup, queries
-from docloom.session import shared_folder, table
+from docloom.session import shared_folder, small_batches, table
 
 
 SHORT = 100
@@ -19,6 +19,7 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     A short text says too little to be called noise and stays.
     """
+    small_batches(spark)
     model = language_id.train(docs)
     found = language_id.predict_column(F.col("text"), model)
     kept = docs.withColumn("__found", found)
@@ -32,6 +33,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return near_dedup.drop_near_copies(docs)
 
 
@@ -42,6 +44,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens and the ids as little-endian unsigned 32-bit integers, one row per document of the mix."""
+    small_batches(spark)
     coded = bpe.encode(docs, queries.vocabulary())
     return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids")
 

@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
@@ -28,7 +29,7 @@ SAMPLE_DOCS, SAMPLE_CHARS = 40, 20_000
 SEGMENT = 1024
 #: Symbols: 0 is a space (any run of non-letters), 63 a letter that is not among the sample's most frequent 62.
 SPACE, OTHER, WIDTH = 0, 63, 64
-BATCH_SYMBOLS = 1_000_000
+BATCH_SYMBOLS, SLICE = 1_000_000, 256
 UNKNOWN = "und"
 #: Text of a learnt language has phrases longer than this; a filter may drop what has not.
 LEAST_PHRASE = 2.0
@@ -185,19 +186,21 @@ def train(docs: DataFrame, learn: Column | None = None, id_col: str = "doc_id",
 def predict_column(text: Column, model: Model) -> Column:
     """lang_pred, score and phrase_chars (symbols per phrase of the winner, 0 for ``und``) of a text, as a struct."""
 
-    @F.pandas_udf(FOUND)
-    def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf(FOUND)
+    def judge(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         parser = parser_of(model) if model.languages else None
         for batch in batches:
             parts, texts, held = [], [], 0
-            for text in batch:
-                texts.append(symbols(text, parser.table) if parser and isinstance(text, str) else np.zeros(0, np.uint8))
-                held += len(texts[-1])
-                if held >= BATCH_SYMBOLS:
-                    parts.append(decide(parser, model, texts))
-                    texts, held = [], 0
+            for at in range(0, len(batch), SLICE):
+                for text in batch.slice(at, SLICE).to_pylist():
+                    texts.append(symbols(text, parser.table) if parser and text is not None else np.zeros(0, np.uint8))
+                    held += len(texts[-1])
+                    if held >= BATCH_SYMBOLS:
+                        parts.append(decide(parser, model, texts))
+                        texts, held = [], 0
             parts.append(decide(parser, model, texts))
-            yield pd.concat(parts, ignore_index=True)
+            found = pd.concat(parts, ignore_index=True)
+            yield pa.StructArray.from_arrays([pa.array(found[c], t) for c, t in zip(found, (pa.string(), pa.float64(), pa.float64()), strict=True)], found.columns.tolist())
 
     return judge(text)
 

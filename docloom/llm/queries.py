@@ -7,11 +7,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm import bpe, chat, exact_dedup, language_id, mixing, near_dedup, topk, toxicity, training_order, url_filter
-from docloom.session import table
+from docloom.session import small_batches, table
+
+
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` for operators that read texts in Python."""
+    small_batches(spark)
+    return table(spark, sf_dir, "documents")
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir)
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     return toxicity.score(docs, model).select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
@@ -22,7 +28,7 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_groups(table(spark, sf_dir, "documents"))
+    return near_dedup.near_groups(texts(spark, sf_dir))
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,7 +40,7 @@ def vocabulary() -> bpe.Vocabulary:
 
 
 def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = bpe.encode(table(spark, sf_dir, "documents"), vocabulary())
+    coded = bpe.encode(texts(spark, sf_dir), vocabulary())
     return coded.select(
         "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(bpe.decode(F.col("ids"), vocabulary()), 256).alias("decoded_sha256"),
@@ -46,12 +52,12 @@ def op6_voronoi_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    manifest = training_order.materialise(table(spark, sf_dir, "documents"))
+    manifest = training_order.materialise(texts(spark, sf_dir))
     return training_order.read(manifest).select("slot", "shard", "byte_offset", "doc_id", "seq", "n_tokens", F.crc32("tokens").alias("tokens_crc32"))
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir)
     found = language_id.predict(docs, language_id.train(docs))
     return found.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
