@@ -17,9 +17,11 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 import tiktoken
 from pyspark import SparkFiles
@@ -30,7 +32,7 @@ from pyspark.sql.types import BinaryType
 CHUNK, OVERLAP = 32_768, 512
 #: What follows a pre-token's end may change it that far on: a quote and two letters of a contraction.
 LOOKAHEAD = 4
-MEMO = 200_000
+MEMO, SLICE = 200_000, 256
 
 
 class Vocabulary:
@@ -62,11 +64,16 @@ class Coder:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         # White_Space as Unicode has it, whatever this module's \s takes in.
         self.split = regex.compile(vocabulary.pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
-        self.engine = tiktoken.Encoding("ranks", pat_str=vocabulary.pattern, mergeable_ranks=ranks, special_tokens={})
+        self.pattern, self.memo = vocabulary.pattern, {}
         self.bytes_of: list[bytes | None] = [None] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             self.bytes_of[rank] = token
-        self.memo: dict[str, bytes] = {}
+
+    @cached_property
+    def engine(self) -> tiktoken.Encoding:
+        """Only workers that encode need it."""
+        ranks = {token: rank for rank, token in enumerate(self.bytes_of) if token is not None}
+        return tiktoken.Encoding("ranks", pat_str=self.pattern, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
@@ -96,16 +103,16 @@ class Coder:
 _CODERS: dict[tuple[str, str], Coder] = {}
 
 
-def over_text(vocabulary: Vocabulary, name: str, work: Callable[[Coder, object], object]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """A mapInPandas function that replaces column ``name`` by ``ids``, a few MB at a time."""
+def over_text(vocabulary: Vocabulary, work: Callable[[Coder, str], bytes]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A mapInArrow function that replaces the last column by ``ids``; only a slice of a batch becomes Python objects at a time."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = vocabulary.load()
         for batch in batches:
-            sizes = batch[name].str.len().fillna(0).to_numpy()
-            part = (np.cumsum(sizes) // 4_000_000).astype(np.int64)
-            for _, own in batch.groupby(part, sort=True):
-                yield own.drop(columns=name).assign(ids=[work(coder, x) for x in own[name]])
+            for at in range(0, batch.num_rows, SLICE):
+                own = batch.slice(at, SLICE)
+                ids = pa.array([work(coder, x) for x in own.column(own.num_columns - 1).to_pylist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([*own.columns[:-1], ids], [*own.schema.names[:-1], "ids"])
 
     return run
 
@@ -141,9 +148,9 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text
     """One row per document: doc_id, ids (binary, little-endian unsigned 32-bit)."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
-    plain = over_text(vocabulary, "text", lambda coder, text: coder.encode(text))
+    plain = over_text(vocabulary, lambda coder, text: coder.encode(text))
     is_long = F.length("text") > chunk
-    short = rows.filter(~is_long).mapInPandas(plain, f"doc_id {id_type}, ids binary")
+    short = rows.filter(~is_long).mapInArrow(plain, f"doc_id {id_type}, ids binary")
 
     keyed = rows.filter(is_long).select("doc_id", F.sha2("text", 256).alias("key"), "text")
     starts = F.sequence(F.lit(0), F.length("text") - 1, F.lit(chunk))
@@ -158,7 +165,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text
 
     read = parts.mapInPandas(pretokenise, "key string, chunk int, start int, text string, begins binary")
     pieces = read.groupBy("key").applyInPandas(stitch(vocabulary), "key string, piece int, text string")
-    coded = pieces.repartition("key", "piece").mapInPandas(plain, "key string, piece int, ids binary")
+    coded = pieces.repartition("key", "piece").mapInArrow(plain, "key string, piece int, ids binary")
     whole = coded.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("piece", "ids"))).alias("parts"))
     whole = whole.select("key", F.xxhash64("key").alias("spread"), join_bytes(F.transform("parts", lambda p: p["ids"])).alias("ids"))
     # Two keys: the ids lie by text, so both sides are exchanged and the copies of one long text can be split.
@@ -174,10 +181,11 @@ def join_bytes(parts: pd.Series) -> pd.Series:
 def decode(ids: Column, vocabulary: Vocabulary) -> Column:
     """The raw bytes of the ids."""
 
-    @F.pandas_udf(BinaryType())
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf(BinaryType())
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         coder = vocabulary.load()
         for batch in batches:
-            yield batch.map(lambda x: None if x is None else coder.decode(x))
+            parts = [pa.array([None if x is None else coder.decode(x) for x in batch.slice(at, SLICE).to_pylist()], pa.binary()) for at in range(0, len(batch), SLICE)]
+            yield pa.concat_arrays(parts) if parts else pa.array([], pa.binary())
 
     return run(ids)
