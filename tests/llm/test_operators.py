@@ -467,7 +467,7 @@ def test_queries_cover_the_ten_operators():
 def test_pipeline_stages_keep_whole_rows(spark, odd):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    junk = [docs.limit(1).withColumn("text", F.lit(t)) for t in ("123 !!", "Ωψ ξζ жщ фы ъэ юя " * 20)]
+    junk = [docs.limit(1).withColumn("text", F.lit(t)).withColumn("lang", F.lit(None).cast("string")) for t in ("123 !!", "Ωψ ξζ жщ фы ъэ юя " * 20)]
     known = corpus_pipeline.keep_known_languages(spark, docs.unionByName(junk[0]).unionByName(junk[1]), SF)
     assert known.columns == docs.columns and known.count() == docs.count()
     whole = corpus_pipeline.run(spark, SF)
