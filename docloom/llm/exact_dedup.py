@@ -45,9 +45,10 @@ def recipes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     # Two keys: the counts lie by identifier, so both sides are exchanged and a frequent chunk's rows can be split.
     spread = F.hash("id").alias("spread")
     unsure = pairs.select("*", spread).join(shared.select("id", spread), ["id", "spread"], "left_semi")
-    unsure = unsure.select("text_sha256").distinct().withColumn("unsure", F.lit(True))
+    own = F.hash("text_sha256").alias("own")
+    unsure = unsure.select("text_sha256").distinct().select("text_sha256", own, F.lit(True).alias("unsure"))
     none = F.lit(None).cast("binary")
-    return read.join(unsure, "text_sha256", "left").select(
+    return read.select("*", own).join(unsure, ["text_sha256", "own"], "left").select(
         "doc_id",
         "text_sha256",
         F.transform("parts", lambda p: F.struct(p["id"].alias("id"), F.when(F.col("unsure"), p["digest"]).otherwise(none).alias("digest"))).alias("recipe"),
