@@ -115,14 +115,17 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_
     data = dealt.filter(F.col("cell").isin(list(need) or [-1])).withColumn("chunk", F.explode(F.sequence(F.lit(0), (chunks_of[F.col("cell")] - 1).cast("int"))))
 
     def solve(queries: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        found = []
+        near, score, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
         if len(queries) and len(own):
             ids, scores = own["vec_id"].to_numpy(), _scores(queries["v"], own["v"])
             for q, least, s in zip(queries["vec_id"], queries["least"], scores, strict=True):
-                near, score = _best(s, q, ids, k)
-                keep = score >= least
-                found.append(pd.DataFrame({"query_id": q, "vec_id": near[keep], "score": score[keep]}))
-        return pd.concat(found) if found else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+                at = np.flatnonzero(s >= least)
+                best_ids, best = _best(s[at], q, ids[at], k)
+                near.append(best_ids)
+                score.append(best)
+                found.append(len(best))
+        asked_of = np.repeat(queries["vec_id"].to_numpy(np.int64)[: len(found)], found)
+        return pd.DataFrame({"query_id": asked_of, "vec_id": np.concatenate(near), "score": np.concatenate(score)})
 
     by = ["cell", "block", "chunk"]
     local = asked.select("vec_id", "v", "least", *by).groupBy(*by).cogroup(data.select("vec_id", "v", *by).groupBy(*by)).applyInPandas(solve, "query_id long, vec_id long, score long")
