@@ -20,7 +20,8 @@ result. Other columns are not read, whatever their names.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -74,7 +75,10 @@ def band_keys(hashes: np.ndarray) -> list[int]:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, bands: bool = False) -> DataFrame:
-    """doc_id, text_sha256, fp (the fingerprint as a signed long) and, if asked for, the keys of its bands."""
+    """doc_id, text_sha256, fp (the fingerprint as a signed long) and, if asked for, the keys of its bands.
+
+    With bands, the fingerprint is a vote of the distinct shingles, as the sets that decide hold each once.
+    """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.sha2(text, 256).alias("text_sha256"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
@@ -85,6 +89,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             for at in range(0, batch.num_rows, SLICE):
                 own = batch.slice(at, SLICE)
                 hashes = [shingle_hashes(t, words) for t in own.column("text").to_pylist()]
+                if bands:
+                    hashes = [np.unique(h) for h in hashes]
                 found = [pa.array(np.array([fingerprint(h) for h in hashes], np.uint64).view(np.int64))]
                 if bands:
                     found.append(pa.array([band_keys(h) for h in hashes], pa.list_(pa.int64())))
@@ -124,13 +130,11 @@ class BKTree:
         return found
 
 
-def spanning_links(
-    members: list[tuple[int, int]], queries: list[tuple[int, int]], radius: int, same: Callable[[int, int], bool] | None = None
-) -> list[tuple[int, int]]:
+def spanning_links(members: list[tuple[int, int]], queries: list[tuple[int, int]], radius: int, sets: Sets | None = None) -> list[tuple[int, int]]:
     """Links that hold together what is linked: members with each other if there are no queries, else queries with members.
 
-    Rows are (fingerprint, place). A link needs fingerprints within the radius and, if ``same`` is given, its word for
-    the two places; it is asked only for places that aren't together yet.
+    Rows are (fingerprint, place). Without ``sets``, fingerprints within the radius are a link. With them, the sets of two
+    places decide: first where fingerprints are within the radius, then wherever places aren't together yet.
     """
     tree, parent, links = BKTree(), {}, []
 
@@ -144,7 +148,7 @@ def spanning_links(
         for others in tree.within(value, radius):
             for other in others:
                 a, b = root(place), root(other)
-                if a != b and (same is None or same(place, other)):
+                if a != b and (sets is None or sets.same(place, other)):
                     parent[a] = b
                     links.append((place, other))
 
@@ -154,6 +158,17 @@ def spanning_links(
         tree.add(value, place)
     for value, place in queries:
         link(value, place)
+    if sets is not None and members:
+        own, asked = [place for _, place in members], [place for _, place in queries]
+        if not queries:
+            # Of two places that are apart, one at least is outside the largest component.
+            top = Counter(map(root, own)).most_common(1)[0][0]
+            asked = [place for place in own if root(place) != top]
+        for place, other in sets.alike(asked, own):
+            a, b = root(place), root(other)
+            if a != b:
+                parent[a] = b
+                links.append((place, other))
     return links
 
 
@@ -228,30 +243,48 @@ def _search(rows: DataFrame, radius: int, similar: bool, threshold: float, apart
             found = []
             values = list(zip(own["fp"].to_numpy().view(np.uint64).tolist(), range(len(own)), strict=True))
             queries = own["query"].to_numpy()
-            same = _jaccard(own["shingles"], threshold) if similar else None
+            sets = Sets(own["shingles"], threshold) if similar else None
             for start, end in _runs(own, group):
                 cut_at = start + int((~queries[start:end]).sum())
                 if apart and cut_at in (start, end):
                     continue
-                found += spanning_links(values[start:cut_at], values[cut_at:end], radius, same)
+                found += spanning_links(values[start:cut_at], values[cut_at:end], radius, sets)
             both, nodes = np.array(found, np.int64).reshape(-1, 2), own["node"].to_numpy()
             yield pd.DataFrame({"a": nodes[both[:, 0]], "b": nodes[both[:, 1]]})
 
     return ordered.mapInPandas(search, f"a {node_type}, b {node_type}").distinct()
 
 
-def _jaccard(shingles: pd.Series, threshold: float) -> Callable[[int, int], bool]:
-    """Whether the shingle sets of two places, sorted distinct hashes of 32 bits, are as similar as the threshold."""
-    sets = [np.frombuffer(s, np.uint32) for s in shingles]
+class Sets:
+    """The shingle sets of places, sorted distinct hashes of 32 bits; two are alike if their Jaccard similarity reaches the threshold."""
+
+    def __init__(self, shingles: Iterable[bytes], threshold: float):
+        self.sets, self.threshold = [np.frombuffer(s, np.uint32) for s in shingles], threshold
 
-    def same(a: int, b: int) -> bool:
-        x, y = sets[a], sets[b]
-        if min(len(x), len(y)) < threshold * max(len(x), len(y)):
+    def same(self, a: int, b: int) -> bool:
+        x, y = self.sets[a], self.sets[b]
+        if min(len(x), len(y)) < self.threshold * max(len(x), len(y)):
             return False
         both = len(np.intersect1d(x, y, assume_unique=True))
-        return both >= threshold * (len(x) + len(y) - both)
+        return both >= self.threshold * (len(x) + len(y) - both)
 
-    return same
+    def alike(self, asked: list[int], others: list[int]) -> Iterator[tuple[int, int]]:
+        """All pairs that are alike, by one index of the others' hashes."""
+        if not asked:
+            return
+        sizes = np.array([len(self.sets[o]) for o in others])
+        hashes, owner = np.concatenate([self.sets[o] for o in others]), np.repeat(np.arange(len(others)), sizes)
+        order = np.argsort(hashes)
+        hashes, owner = hashes[order], owner[order]
+        for place in asked:
+            x = self.sets[place]
+            first, last = np.searchsorted(hashes, x, "left"), np.searchsorted(hashes, x, "right")
+            found = last - first
+            hits = np.repeat(last - np.cumsum(found), found) + np.arange(found.sum())
+            both = np.bincount(owner[hits], minlength=len(others))
+            for k in np.flatnonzero(both >= self.threshold * (len(x) + sizes - both)).tolist():
+                if others[k] != place:
+                    yield place, others[k]
 
 
 def _runs(rows: pd.DataFrame, group: list[str]) -> Iterator[tuple[int, int]]:
@@ -324,8 +357,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SIMILAR_WORDS, threshold: float = SIMILARITY) -> DataFrame:
     """One row per document: doc_id, text_sha256, root: what texts of a Jaccard similarity of ``threshold`` chain together.
 
-    Fingerprints of texts that similar differ in up to ``SIMILAR_RADIUS`` bits, too many for blocks of bits to agree, so
-    minima of the shingles' hashes make the shards. BK-trees search them as above, and a link counts only if the two
+    Fingerprints of texts that similar mostly differ in up to ``SIMILAR_RADIUS`` bits, too many for blocks of bits to
+    agree, so minima of the shingles' hashes make the shards. BK-trees search them as above and say which pairs come
+    first; then what is not together yet is compared whatever its fingerprints are. A link counts if and only if the two
     sets of shingles are as similar as asked for. Texts are fetched once, for shards that hold two texts at least.
     """
     rows = cut(fingerprints(docs, id_col, text_col, words, bands=True))

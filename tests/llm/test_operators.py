@@ -222,6 +222,44 @@ def test_similar_texts_leave_one(spark, odd, none):
     assert near_dedup.drop_near_copies(none).count() == 0
 
 
+def test_repeated_lines_do_not_hide_similar_texts(spark):
+    rng = random.Random(9)
+    data = []
+    for i in range(16):
+        text = " ".join("w%d" % rng.randint(0, 10**6) for _ in range(300))
+        line = " ".join("f%d" % rng.randint(0, 10**6) for _ in range(10))
+        other = " ".join("o%d" % rng.randint(0, 10**6) for _ in range(300))
+        data += [(10 * i + k, t, "", "") for k, t in enumerate((text, f"{text} " + f"{line} " * 30, f"{text} " + f"{line} " * 100, f"{other} " + f"{line} " * 100))]
+
+    def shingles(t):
+        w = t.lower().split()
+        return frozenset(" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4)))
+
+    sets = {d: shingles(t) for d, t, *_ in data}
+    root = slow_components(sorted(sets), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    assert len(set(root.values())) == 32
+    kept = near_dedup.drop_near_copies(docs_of(spark, data))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(root.values()))
+
+
+@pytest.mark.parametrize("apart", [False, True])
+def test_sets_decide_beyond_the_radius(apart):
+    rng = random.Random(10)
+    sets = []
+    for _ in range(8):
+        base = rng.sample(range(10**6), 40)
+        sets += [base, base[:36], base[:32] + rng.sample(range(10**6, 2 * 10**6), 1), base[:20]]
+    found = near_dedup.Sets([np.array(sorted(s), np.uint32).tobytes() for s in sets], 0.8)
+    places = [(rng.getrandbits(64), k) for k in range(len(sets))]
+    members, asked = (places[::2], places[1::2]) if apart else (places, [])
+    links = near_dedup.spanning_links(members, asked, 0, found)
+    alike = {frozenset(p) for p in combinations(range(len(sets)), 2) if len(set(sets[p[0]]) & set(sets[p[1]])) >= 0.8 * len(set(sets[p[0]]) | set(sets[p[1]]))}
+    wanted = {p for p in alike if not apart or sum(p) % 2}
+    assert {frozenset(p) for p in links} <= wanted
+    together = lambda edges: slow_components(range(len(sets)), lambda a, b: frozenset((a, b)) in edges)
+    assert together({frozenset(p) for p in links}) == together(wanted)
+
+
 # URL filter
 
 
