@@ -4,9 +4,10 @@ Per language, a suffix automaton holds a bounded sample of labelled text. A docu
 into phrases, each the longest match that begins where the last one ended. A phrase costs log2 of the sample's length;
 the language with the lowest cost wins (equal costs: the smaller name).
 
-The sample is the only bounded thing: about ``SAMPLE_DOCS`` labelled documents of at most ``SAMPLE_CHARS`` characters
-per language, by hash of doc_id, of which ``SAMPLE_CHARS`` letters and spaces are kept. Whole texts are parsed, in
-segments of ``SEGMENT`` symbols; a segment's end also ends a phrase, in every language alike.
+The sample is the only bounded thing: all labelled texts, however long, are cut into pieces of ``PIECE`` characters, and
+pieces are picked by hash, so many per language that they hold about twice ``SAMPLE_CHARS`` letters and spaces, of which
+``SAMPLE_CHARS`` are kept. A language with a letter in any of its texts is learnt. Whole texts are parsed, in segments
+of ``SEGMENT`` symbols; a segment's end also ends a phrase, in every language alike.
 
 Defined results: null text and text without a letter give ``und`` with score 0, as does every text when nothing was
 learnt. Rows with a null doc_id are never learnt from and not held out. Repeated rows are judged one by one; an empty
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-SAMPLE_DOCS, SAMPLE_CHARS = 40, 20_000
+SAMPLE_CHARS, PIECE = 20_000, 1_000
 SEGMENT = 1024
 #: Symbols: 0 is a space (any run of non-letters), 63 a letter that is not among the sample's most frequent 62.
 SPACE, OTHER, WIDTH = 0, 63, 64
@@ -158,19 +159,34 @@ def parser_of(model: Model) -> Parser:
     return _PARSERS[model]
 
 
+def _letters(text: Column) -> Column:
+    """The text's letters with single spaces for all else, and none at its ends."""
+    return F.trim(F.regexp_replace(text, r"\P{L}+", " "))
+
+
 def train(docs: DataFrame, learn: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """A model of the languages in ``lang_col`` over the rows for which ``learn`` holds (default: not held out)."""
     learn = ~held_out(F.col(id_col)) if learn is None else learn
     rows = docs.filter(learn & F.col(id_col).isNotNull() & F.col(lang_col).isNotNull()).select(
         F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")
-    ).filter(F.length("text").between(1, SAMPLE_CHARS))
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
-    if not counts:
+    )
+    told = rows.withColumn("said", _letters(F.col("text"))).filter("said <> ''").withColumn("text_hash", F.xxhash64("text"))
+    first = F.min_by(F.substring("said", 1, PIECE), "text_hash").alias("first")
+    known = {r["lang"]: r for r in told.groupBy("lang").agg(F.sum(F.length("said")).alias("size"), first).collect()}
+    if not known:
         return Model((), "", ())
-    share = F.create_map(*[F.lit(x) for name, n in counts.items() for x in (name, SAMPLE_DOCS / n)])
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    picked = rows.withColumn("place", place).filter(F.col("place") < share[F.col("lang")])
-    sample = picked.select("lang", "place", "doc_id", "text").toPandas().sort_values(["lang", "place", "doc_id", "text"])
+    share = F.create_map(*[F.lit(x) for name, r in known.items() for x in (name, 2.0 * SAMPLE_CHARS / r["size"])])
+    # Only the numbers of pieces are dealt out; texts are read again for those that are picked.
+    numbers = F.sequence(F.lit(0), F.floor((F.length("text") - 1) / PIECE).cast("int"))
+    cut_texts = rows.filter(F.length("text") > 0).withColumn("text_hash", F.xxhash64("text")).withColumn("share", share[F.col("lang")])
+    place = lambda k: F.pmod(F.xxhash64("doc_id", "text_hash", k), F.lit(1 << 30)) / float(1 << 30)
+    picked = cut_texts.withColumn("piece", F.explode(F.filter(numbers, lambda k: place(k) < F.col("share"))))
+    picked = picked.select("lang", place(F.col("piece")).alias("place"), "doc_id", "piece", _letters(F.substring(F.col("text"), F.col("piece") * PIECE + 1, F.lit(PIECE))).alias("text"))
+    # Copies of a row have one place, so only one of them comes, and a language of nothing but copies may have none.
+    sample = picked.filter("text <> ''").distinct().toPandas()
+    missing = [{"lang": name, "place": 0.0, "doc_id": None, "piece": 0, "text": r["first"]} for name, r in known.items() if name not in set(sample["lang"])]
+    sample = pd.concat([sample, pd.DataFrame(missing)], ignore_index=True) if missing else sample
+    sample = sample.sort_values(["lang", "place", "doc_id", "piece", "text"])
     seen = pd.Series(list("".join(sample["text"]).lower())).value_counts()
     letters = "".join(sorted(c for c in seen.index if c.isalpha())) if len(seen) < WIDTH - 2 else "".join(sorted([c for c in seen.index if c.isalpha()][: OTHER - 1]))
     table = symbol_table(letters)

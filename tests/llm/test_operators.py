@@ -409,6 +409,22 @@ def test_languages_of_held_out_documents(spark, odd, none):
     assert {r["lang_pred"] for r in rows(language_id.predict(odd, language_id.train(none)))} == {"und"}
 
 
+def test_languages_of_long_texts_are_learnt(spark):
+    rng = random.Random(12)
+    words = {name: ["".join(rng.choice(letters) for _ in range(rng.randint(2, 8))) for _ in range(300)] for name, letters in (("aa", "abcdefgh"), ("bb", "efghijkl"), ("cc", "stuvwx"), ("dd", "mnopqr"))}
+    said = lambda name, n: " ".join(rng.choice(words[name]) for _ in range(n))
+    # aa has only long texts, bb only one whose letters come last, cc only copies of a short text, dd nothing but short texts.
+    data = [(k, said("aa", 8000), "aa", "") for k in range(4)] + [(10, "7 " * 30_000 + said("bb", 2000), "bb", "")]
+    data += [(20, said("cc", 40), "cc", "")] * 2000 + [(100 + k, said("dd", 5), "dd", "") for k in range(2000)]
+    docs = docs_of(spark, data)
+    model = language_id.train(docs, F.lit(True))
+    assert model.languages == ("aa", "bb", "cc", "dd") and max(map(len, model.samples)) <= language_id.SAMPLE_CHARS
+    assert [len(s) > 5000 for s in model.samples] == [True, True, False, True]
+    found = language_id.predict(docs_of(spark, [(k, said(name, 50), "", "") for k, name in enumerate(words)]), model)
+    assert {r["doc_id"]: r["lang_pred"] for r in rows(found)} == dict(enumerate(words))
+    assert language_id.train(docs_of(spark, data[:4]), F.lit(True)).languages == ("aa",)
+
+
 # Toxicity
 
 
