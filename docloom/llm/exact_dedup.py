@@ -1,31 +1,50 @@
 """Exact dedup by content-defined chunk recipes, with DataFrame functions only.
 
-Each text is cut at content-defined places (after a line or sentence end, once a chunk has a minimum length, and at a
-maximum length at the latest). A chunk's identifier is its 64-bit hash, verified against the chunk's SHA-256: an
+Each text is cut, byte by byte, at content-defined places, once a chunk has a minimum length, and at a maximum length at
+the latest. Such a place is a line's or sentence's end, or any where each of the ``WINDOW`` bytes before it lies in a
+class of its own: a window's hash in the form of a pattern, so text of any script, with or without punctuation, is cut at
+the same places wherever it stands. A chunk's identifier is its 64-bit hash, verified against the chunk's SHA-256: an
 identifier that stands for two different digests is replaced by the digests in every text that holds it. Two texts are
 equal when their ordered lists of verified identifiers are equal. Texts are read once, where they lie; after that only
 identifiers move.
 
 Defined results: null text counts as empty; all empty texts form one group. A null doc_id loses against any other; a
 group of null doc_ids only keeps one row, and its keep_id is null. Of rows that repeat both doc_id and text, one stays.
-An empty table gives an empty result. Other columns are not read, whatever their names.
+An empty table gives an empty result. Other columns are kept as they are, whatever their names.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.session import cut
 
 MIN_CHUNK, MAX_CHUNK = 1024, 8192
+#: Each byte is in a window place's class with a probability of one in four, so a window is a boundary once in about 4 ** 5.
+WINDOW, SHARE = 5, 64
+REPEAT = 4096
+
+
+def _byte_class(place: int) -> str:
+    """The bytes whose digest with the place is low, as a pattern's character class."""
+    inside = [b for b in range(256) if hashlib.sha256(bytes([place, b])).digest()[0] < SHARE]
+    return "[" + "".join(f"\\x{b:02x}" for b in inside) + "]"
+
+
+def as_bytes(text: Column) -> Column:
+    """The text's UTF-8 bytes, one character for each."""
+    return F.decode(F.encode(text, "UTF-8"), "ISO-8859-1")
 
 
 def chunks(text: Column, least: int = MIN_CHUNK, most: int = MAX_CHUNK) -> Column:
-    """The text's chunks in order; joined, they are the text."""
-    cut_after = r"(?:(?<=[.!?]\s|\n)|\z)"
+    """The text's chunks in order, as strings of bytes; joined, they are the text."""
+    window = "".join(map(_byte_class, range(WINDOW)))
+    cut_after = rf"(?:(?<=[.!?]\s|\n|{window})|\z)"
     pattern = rf"(?s).{{{least},{most}}}?{cut_after}|.{{{most}}}|.{{1,{least}}}"
-    return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    return F.regexp_extract_all(as_bytes(text), F.lit(pattern), F.lit(0))
 
 
 def recipes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -66,8 +85,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spread = F.xxhash64("recipe").alias("spread")
     groups = rows.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.sum("times").alias("group_size"))
     found = rows.select("*", spread).join(groups.select("*", spread), ["spread", "recipe"])
-    copy = F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("copy")
-    return found.select("doc_id", "keep_id", "group_size", "text_sha256", copy).select(
+    return repeated(found, "times", "copy").select(
         "doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"), "text_sha256"
     )
 
@@ -78,17 +96,29 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return only(docs, kept, id_col, text_col)
 
 
+def repeated(rows: DataFrame, times: str, place: str) -> DataFrame:
+    """Each row as often as it says, numbered from 1 on; no array holds more than ``REPEAT`` numbers or the blocks of them."""
+    blocks = rows.withColumn(place, F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(times) - 1) / REPEAT))))
+    begin = F.col(place) * REPEAT
+    return blocks.withColumn(place, F.explode(F.sequence(begin + 1, F.least(begin + REPEAT, F.col(times).cast("long")))))
+
+
+def nested(docs: DataFrame) -> Column:
+    """A whole row as one value, so that helper columns meet none of its names."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+
+
 def only(docs: DataFrame, kept: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The rows of docs whose doc_id and text_sha256 are among the kept ones, one for each.
 
-    A text moves once, to meet the decision about it; rows that repeat both are told apart where they then lie, as the
-    join's keys are the grouping's.
+    Rows that repeat both are merged before they move; a text moves once, to meet the decision about it.
     """
-    kept = kept.select(_named(F.col("doc_id")).alias("__id"), F.col("text_sha256").alias("__sha"))
+    kept = kept.select(named(F.col("doc_id")).alias("id"), F.col("text_sha256").alias("sha"))
     own = F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256)
-    met = docs.withColumns({"__id": _named(F.col(id_col)), "__sha": own}).join(kept, ["__id", "__sha"], "left_semi")
-    return met.dropDuplicates(["__id", "__sha"]).select(*docs.columns)
+    rows = docs.select(named(F.col(id_col)).alias("id"), own.alias("sha"), nested(docs)).dropDuplicates(["id", "sha"])
+    return rows.join(kept, ["id", "sha"], "left_semi").select("row.*")
 
 
-def _named(doc_id: Column) -> Column:
-    return F.coalesce(doc_id.cast("string"), F.lit("null"))
+def named(value: Column) -> Column:
+    """A text for every value, null included, that no other value has."""
+    return F.when(value.isNull(), "-").otherwise(F.concat(F.lit("+"), value.cast("string")))
