@@ -4,12 +4,16 @@ Every document gets an exponential key, -ln(u) / weight: u comes from a hash of
 A source whose target is e whole epochs and a rest takes every document e times, then documents in the order of their
 keys until the rest is met; the document at the edge is taken if that brings the source nearer to its target.
 
-Running totals are never made over all rows of a source. Keys fall into 256 ranges per source, the range that holds the
-edge into 256 again, and only what remains of one range in 65,536 is sorted.
+Running totals are never made over all rows of a source. While more than ``SORTED`` rows of a source may hold the edge,
+their keys' range is cut into ``RANGES`` and the range with the edge goes on alone, whatever the keys' distribution.
+Rows that repeat doc_id, source and text have one key; they are counted first and stay one row until the end.
 
 Defined results: null text has size 0 and is taken with 0 words; null source is a source of its own, in the last place;
-a document without a usable weight counts with ``DEFAULT_WEIGHT``; null doc_id is hashed as the text "null". Equal keys
-go by doc_id, then size. Rows that repeat are mixed one by one. An empty table gives an empty result.
+a document without a usable weight counts with ``DEFAULT_WEIGHT``; a null doc_id is stood for by its text's digest. Equal
+keys go by doc_id, then the text's digest. Of rows that repeat doc_id, source and text as many are taken as the mix takes
+words of them; ``mixed_documents`` gives one of them as often as all are taken. A document without words comes at most
+``MOST_EPOCHS`` times, like any other. An empty table gives an empty result. Other columns are kept as they are, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -17,19 +21,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.llm.exact_dedup import named, nested, repeated
 from docloom.session import cut
 
 WORD = r"[^\x20\x09-\x0D]+"
 DEFAULT_WEIGHT = 0.75
 MOST_EPOCHS = 3
-RANGES = 256
+RANGES, SORTED = 256, 20_000
 #: 52 bits of a digest make the uniform number.
 SEED = "mix-1"
 
 
 def uniform(key: Column, seed: str = SEED) -> Column:
-    """A number in (0, 1) from the md5 digest of the key."""
-    text = F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit("null")))
+    """A number in (0, 1) from the md5 digest of the key's text."""
+    text = F.concat(F.lit(f"{seed}:"), key.cast("string"))
     return (F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 52))
 
 
@@ -64,61 +69,83 @@ def source_targets(sizes: DataFrame, most: int = MOST_EPOCHS) -> DataFrame:
     return rows.select("source", "source_size", F.when(F.col("full"), F.col("cap").cast("double")).otherwise(share).alias("target"))
 
 
-def _edge(rows: DataFrame, plan: DataFrame, bin_col: str) -> DataFrame:
-    """plan (source, ..., rest, base) -> with the bin in which the running total passes the rest, and the total before it."""
-    binned = rows.groupBy("source", bin_col).agg(F.sum("size").alias("size"))
-    binned = binned.withColumn("upto", F.sum("size").over(Window.partitionBy("source").orderBy(bin_col)))
-    own = plan.select(F.col("source").alias("own"), "rest", "base")
-    met = binned.join(own, F.col("source").eqNullSafe(F.col("own")))
-    upto = F.col("base") + F.col("upto")
-    met = met.filter((upto > F.col("rest")) & (upto - F.col("size") <= F.col("rest")))
-    found = met.groupBy("own").agg(F.min(F.struct(bin_col, (upto - F.col("size")).alias("base"))).alias("edge"))
-    again = plan.drop("base").join(found, F.col("source").eqNullSafe(F.col("own")), "left")
-    return again.select(*plan.drop("base").columns, F.coalesce(f"edge.{bin_col}", F.lit(RANGES)).alias(f"edge_{bin_col}"), F.coalesce("edge.base", F.lit(0)).alias("base"))
+def _narrowed(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """plan (source, ..., lo, hi, base, n) -> with the range of keys that holds the edge, the words under it and its rows.
 
+    Where all that is open fits into the rest, the range is empty and lies above every key.
+    """
+    share = (F.col("at") - F.col("lo")) / (F.col("hi") - F.col("lo"))
+    bins = F.when(F.col("hi") > F.col("lo"), F.least(F.floor(share * RANGES), F.lit(RANGES - 1))).otherwise(0).cast("int")
+    inside = _with_plan(rows, plan).filter(F.col("at").between(F.col("lo"), F.col("hi"))).withColumn("bin", bins)
+    binned = inside.groupBy("source", "bin").agg(
+        F.sum(F.col("size") * F.col("times")).alias("words"), F.min("at").alias("least"), F.max("at").alias("most"), F.count(F.lit(1)).alias("own"),
+        F.first("base").alias("base"), F.first("rest").alias("rest"),
+    )
+    upto = F.col("base") + F.sum("words").over(Window.partitionBy("source").orderBy("bin"))
+    passed = binned.withColumn("upto", upto).filter("upto > rest")
+    edge = F.min(F.struct("bin", "least", "most", (F.col("upto") - F.col("words")).alias("base"), "own")).alias("edge")
+    edges = passed.groupBy(F.col("source").alias("edge_source")).agg(edge)
+    above = F.lit(float("inf"))
+    met = plan.join(edges, F.col("source").eqNullSafe(F.col("edge_source")), "left")
+    return met.select(
+        "source", "source_size", "target", "epochs", "rest", F.coalesce("edge.least", above).alias("lo"), F.coalesce("edge.most", above).alias("hi"),
+        F.coalesce("edge.base", "base").alias("base"), F.coalesce("edge.own", F.lit(0).cast("long")).alias("n"),
+    )
 
-def mix(docs: DataFrame, weights: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken, and epochs as a number of copies."""
+
+def _classes(docs: DataFrame, weights: DataFrame | None, id_col: str, text_col: str, source_col: str, most_rows: int) -> DataFrame:
+    """One row per doc_id, source and text: times, size, source_size, target, epochs and how many of the times are picked beyond them."""
+    text = F.col(text_col).cast("string")
     read = docs.select(
         F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"),
-        F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.sha2(F.coalesce(text, F.lit("")), 256).alias("sha"),
     )
+    read = read.groupBy("doc_id", "source", "size", "sha").agg(F.count(F.lit(1)).alias("times"))
     if weights is not None:
-        read = read.join(weights.select("doc_id", "weight"), "doc_id", "left")
+        read = read.join(weights.groupBy("doc_id").agg(F.max("weight").alias("weight")), "doc_id", "left")
     else:
         read = read.withColumn("weight", F.lit(None).cast("double"))
     usable = F.when((F.col("weight") > 0) & (F.col("weight") < float("inf")), F.col("weight")).otherwise(DEFAULT_WEIGHT)
-    key = -F.log(uniform(F.col("doc_id"))) / usable
-    place = 1 - F.exp(-key)
-    bins = F.least(F.floor(place * RANGES * RANGES).cast("int"), F.lit(RANGES * RANGES - 1))
-    rows = cut(read.select("doc_id", "source", "size", key.alias("key"), F.floor(bins / RANGES).cast("int").alias("wide"), (bins % RANGES).alias("fine")))
+    key = -F.log(uniform(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null:"), "sha")))) / usable
+    rows = cut(read.select("doc_id", "source", "size", "sha", "times", key.alias("key"), F.log(key).alias("at")))
 
-    plan = source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")))
+    words = F.sum(F.col("size") * F.col("times")).alias("source_size")
+    ranges = rows.groupBy("source").agg(words, F.min("at").alias("lo"), F.max("at").alias("hi"), F.count(F.lit(1)).alias("n"))
+    plan = source_targets(ranges.select("source", "source_size")).withColumnRenamed("source", "name")
+    plan = ranges.drop("source_size").join(plan, F.col("source").eqNullSafe(F.col("name"))).drop("name")
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     plan = plan.withColumn("epochs", whole).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size")).withColumn("base", F.lit(0).cast("long"))
-    plan = cut(_edge(rows, plan, "wide"))
-    inside = _with_plan(rows, plan).filter(F.col("wide") == F.col("edge_wide")).select("source", "fine", "size")
-    plan = cut(_edge(inside, plan, "fine"))
+    plan = cut(plan.select("source", "source_size", "target", "epochs", "rest", "lo", "hi", "base", "n"))
+    while not plan.filter((F.col("n") > most_rows) & (F.col("lo") < F.col("hi"))).isEmpty():
+        plan = cut(_narrowed(rows, plan))
 
     known = _with_plan(rows, plan)
-    at_edge = (F.col("wide") == F.col("edge_wide")) & (F.col("fine") == F.col("edge_fine"))
-    under = (F.col("wide") < F.col("edge_wide")) | (F.col("wide") == F.col("edge_wide")) & (F.col("fine") < F.col("edge_fine"))
-    order = Window.partitionBy("source").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    last = known.filter(at_edge).withColumn("picked", F.col("base") + F.sum("size").over(order) - F.col("size") / 2 <= F.col("rest"))
-    done = known.filter(~at_edge).withColumn("picked", under).unionByName(last)
-    times = F.col("epochs") + F.col("picked").cast("long")
-    return done.select("doc_id", "size", "source_size", "target", (times * F.col("size")).alias("taken"), times.alias("copies"))
+    order = Window.partitionBy("source").orderBy("key", "doc_id", "sha").rowsBetween(Window.unboundedPreceding, 0)
+    open_ = known.filter((F.col("at") >= F.col("lo")) & (F.col("at") <= F.col("hi")))
+    room = F.col("rest") - F.col("base") - F.sum(F.col("size") * F.col("times")).over(order) + F.col("size") * F.col("times")
+    fits = F.when(F.col("size") > 0, F.floor(room / F.col("size") + 0.5)).otherwise(F.when(room >= 0, F.col("times")).otherwise(0))
+    last = open_.withColumn("picked", F.greatest(F.least(fits, F.col("times")), F.lit(0)).cast("long"))
+    rest = known.filter((F.col("at") < F.col("lo")) | (F.col("at") > F.col("hi")))
+    return rest.withColumn("picked", F.when(F.col("at") < F.col("lo"), F.col("times")).otherwise(0).cast("long")).unionByName(last)
+
+
+def mix(docs: DataFrame, weights: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", most_rows: int = SORTED) -> DataFrame:
+    """One row per document: doc_id, size, source_size, target, taken, and epochs as a number of copies. weights (doc_id, weight): the largest counts."""
+    each = repeated(_classes(docs, weights, id_col, text_col, source_col, most_rows), "times", "place")
+    copies = F.least(F.col("epochs") + (F.col("place") <= F.col("picked")).cast("long"), F.lit(MOST_EPOCHS))
+    return each.select("doc_id", "source", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"))
 
 
 def _with_plan(rows: DataFrame, plan: DataFrame) -> DataFrame:
     """One plan row per source; no hint, as the number of sources has no proven bound."""
-    return rows.join(plan.withColumnRenamed("source", "__source"), F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
+    return rows.join(plan.withColumnRenamed("source", "plan_source"), F.col("source").eqNullSafe(F.col("plan_source"))).drop("plan_source")
 
 
 def mixed_documents(docs: DataFrame, weights: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mix itself: each document as often as it is taken, with its own columns."""
-    taken = mix(docs, weights, id_col, text_col, source_col).filter("copies > 0")
-    taken = taken.groupBy("doc_id").agg(F.max("copies").alias("__copies")).withColumnRenamed("doc_id", "__id")
-    met = docs.join(taken, F.col(id_col).eqNullSafe(F.col("__id")))
-    repeated = F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))).alias("__copy")
-    return met.select(*[met[c] for c in docs.columns], repeated).drop("__copy")
+    copies = F.least(F.col("epochs") * F.col("times") + F.col("picked"), F.col("times") * MOST_EPOCHS)
+    taken = _classes(docs, weights, id_col, text_col, source_col, SORTED).select(named(F.col("doc_id")).alias("id"), named(F.col("source")).alias("from"), "sha", copies.alias("copies"))
+    own = F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256)
+    rows = docs.select(named(F.col(id_col)).alias("id"), named(F.col(source_col).cast("string")).alias("from"), own.alias("sha"), nested(docs)).dropDuplicates(["id", "from", "sha"])
+    met = rows.join(taken.filter("copies > 0"), ["id", "from", "sha"])
+    return repeated(met.select("row", "copies"), "copies", "copy").select("row.*")
