@@ -3,8 +3,9 @@
 A text of one chunk is pre-tokenised where it lies. A longer text is cut into chunks that overlap; the chunks are
 pre-tokenised in parallel and stitched: from the first place in the overlap where both neighbours begin a pre-token on,
 the later chunk's pre-tokens are the text's own, as a pre-token depends only on what follows its begin. If the overlap
-holds no such place, the two chunks are joined and read on from the last certain place. The stitched pieces are then
-encoded in parallel. Decoding joins the raw bytes of the ids.
+holds no such place, chunks are joined from the last certain place on and read again whenever what is open has doubled, so
+even a text of one pre-token is read a few times only. The stitched pieces are then encoded in parallel. Decoding joins
+the raw bytes of the ids.
 
 Long texts are handled by their SHA-256, once however often they occur, so no row number is needed that a lost executor
 could change.
@@ -32,7 +33,7 @@ from pyspark.sql.types import BinaryType
 CHUNK, OVERLAP = 32_768, 512
 #: What follows a pre-token's end may change it that far on: a quote and two letters of a contraction.
 LOOKAHEAD = 4
-MEMO, SLICE = 200_000, 256
+SLICE = 256
 
 
 class Vocabulary:
@@ -61,34 +62,22 @@ class Coder:
         except FileNotFoundError:
             lines = open(SparkFiles.get(vocabulary.path.rsplit("/", 1)[-1]), "rb")
         with lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+            self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         # White_Space as Unicode has it, whatever this module's \s takes in.
         self.split = regex.compile(vocabulary.pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
-        self.pattern, self.memo = vocabulary.pattern, {}
-        self.bytes_of: list[bytes | None] = [None] * (max(ranks.values()) + 1)
-        for token, rank in ranks.items():
-            self.bytes_of[rank] = token
+        self.pattern = vocabulary.pattern
 
     @cached_property
     def engine(self) -> tiktoken.Encoding:
-        """Only workers that encode need it."""
-        ranks = {token: rank for rank, token in enumerate(self.bytes_of) if token is not None}
-        return tiktoken.Encoding("ranks", pat_str=self.pattern, mergeable_ranks=ranks, special_tokens={})
+        """Only workers that encode or decode need it."""
+        return tiktoken.Encoding("ranks", pat_str=self.pattern, mergeable_ranks=self.ranks, special_tokens={})
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        pieces = self.split.findall(text)
-        new = set(pieces).difference(self.memo)
-        if new:
-            if len(self.memo) + len(new) > MEMO:
-                self.memo = {}
-                new = set(pieces)
-            for piece in new:
-                self.memo[piece] = np.array(self.engine.encode_ordinary(piece), "<u4").tobytes()
-        return b"".join(map(self.memo.__getitem__, pieces))
+        return np.array(self.engine.encode_ordinary(text), "<u4").tobytes()
 
     def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        return self.engine.decode_bytes(np.frombuffer(ids, "<u4").tolist())
 
     def begins(self, text: str, last: bool, start: int = 0) -> np.ndarray:
         """Where pre-tokens begin from ``start`` on; not beyond the first one that the text's end might have cut."""
@@ -125,19 +114,25 @@ def stitch(vocabulary: Vocabulary) -> Callable[[pd.DataFrame], pd.DataFrame]:
         rows = chunks.sort_values("chunk").to_dict("records")
         text, start, begins = rows[0]["text"], 0, np.frombuffer(rows[0]["begins"], np.int64)
         certain, pieces = 0, []
+        pending, end = [], len(text)
         for k, row in enumerate(rows[1:], 1):
-            theirs = np.frombuffer(row["begins"], np.int64) + row["start"]
-            both = np.intersect1d(begins + start, theirs, assume_unique=True)
-            both = both[both >= certain]
-            if len(both):
-                pieces.append(text[certain - start : both[0] - start])
-                text, start, begins, certain = row["text"], row["start"], theirs - row["start"], int(both[0])
-                continue
-            text += row["text"][start + len(text) - row["start"] :]
-            resume = int(begins[-1]) if len(begins) else 0
-            resume = max(resume, certain - start)
-            more = coder.begins(text, k == len(rows) - 1, resume)
-            begins = np.concatenate([begins[begins < resume], more])
+            if not pending:
+                theirs = np.frombuffer(row["begins"], np.int64) + row["start"]
+                both = np.intersect1d(begins + start, theirs, assume_unique=True)
+                both = both[both >= certain]
+                if len(both):
+                    pieces.append(text[certain - start : both[0] - start])
+                    text, start, begins, certain = row["text"], row["start"], theirs - row["start"], int(both[0])
+                    end = start + len(text)
+                    continue
+            pending.append(row["text"][end - row["start"] :])
+            end = row["start"] + len(row["text"])
+            known, last = start + len(text) - certain, k == len(rows) - 1
+            if last or end - certain >= 2 * known:
+                begins = begins[begins >= certain - start] - (certain - start)
+                text, start, pending = "".join([text[certain - start :], *pending]), certain, []
+                resume = int(begins[-1]) if len(begins) else 0
+                begins = np.concatenate([begins[:-1], coder.begins(text, last, resume)])
         pieces.append(text[certain - start :])
         return pd.DataFrame({"key": rows[0]["key"], "piece": np.arange(len(pieces)), "text": pieces})
 
