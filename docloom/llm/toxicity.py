@@ -1,8 +1,11 @@
 """Toxicity by noisy-channel deobfuscation.
 
 A character language model (interpolated trigrams over all documents) and a channel (leetspeak, spacing, repetition)
-span a lattice over every suspicious stretch of text; the Viterbi path restores it, and the restored text is scored. A
-stretch whose lattice holds one path only, as plain words do, needs no search.
+span a lattice over the text; its Viterbi path is the restored text, which is scored. Where two characters in a row have
+one reading only, the path's two halves don't depend on each other, as the model looks back two letters. So the lattice
+falls into short segments between such places, and only these are searched. Of places with two readings (a blank or a
+separator between letters, a doubled letter) that stand by themselves, arrays find those whose other reading is cheaper.
+Segments of any length are decoded with a fixed lag, so memory doesn't grow with them.
 
 The scorer is a logistic regression over words and word beginnings. It is fitted on a bounded sample, at most
 ``SAMPLE_TOXIC`` toxic and ``SAMPLE_CLEAN`` other labelled documents by hash of doc_id, none of them held out.
@@ -16,8 +19,9 @@ result. Other columns are not read, whatever their names.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -34,39 +38,25 @@ LETTERS = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïñòóô
 BOUNDARY, OTHER, WIDTH = 0, 63, 64
 #: What a sign may stand for.
 LEET = {
-    "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
+    "0": "ou", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l", "(": "c", "<": "c",
 }
-#: Channel costs in nats.
-LEET_COST, REPEAT_COST, SPACING_COST, KEPT_SIGN_COST = 1.0, 0.7, 0.2, 4.0
+#: Signs that stand between letters and hide them, and signs that may stand for a letter at a word's edge.
+SEPARATORS, AT_EDGE = ".-_*~,'/", "0123456789@$€£+"
+#: Channel costs in nats: a sign for a letter, a sign in a word that is meant, a letter drawn out and doubled, and what is
+#: put between letters: between single ones, between any of a token, and between words.
+LEET_COST, KEPT_SIGN_COST, REPEAT_COST, DOUBLED_COST, SPACING_COST, SEPARATOR_COST, JOIN_COST = 1.0, 6.0, 0.7, 4.0, 0.2, 2.0, 6.0
+KEPT_SPACE_COST = 4.0
+#: Columns after which a choice no longer changes.
+LAG = 64
 PREFIXES = (3, 4, 5, 6)
 FEATURE_BITS = 22
 MOST_FEATURES, LEAST_TOXIC_DOCS, LEAST_LIFT = 20_000, 4, 3.0
-MEMO, MOST_REMEMBERED = 300_000, 100
+MEMO_CHARS, MOST_REMEMBERED, MEMO_WORDS = 4_000_000, 60, 200_000
+BATCH_CHARS = 200_000
 
 #: Letters and signs that stand alone, three at least; separators and what they separate have no character in common.
 SPACED = regex.compile(r"(?<!\S)[\p{L}\p{N}@$](?:[\s.\-_*~,'/]{1,2}[\p{L}\p{N}@$]){2,}(?![^\s.,;:!?])")
-REPEATED = regex.compile(r"(\p{L})\1\1")
-
-
-def core(token: str) -> str:
-    """A token without punctuation at its edges: other signs, exclamation marks at its end, and any sign that is doubled."""
-    begin, end = 0, len(token)
-
-    def edge(at: int, step: int, stop: int) -> int:
-        """How many characters of one punctuation stand at this edge."""
-        c, run = token[at], 1
-        while at + run * step != stop and token[at + run * step] == c:
-            run += 1
-        if c.isalnum() or c in LEET and run == 1 and not (c == "!" and step < 0):
-            return 0
-        return run
-
-    while begin < end and (n := edge(begin, 1, end)):
-        begin += n
-    while begin < end and (n := edge(end - 1, -1, begin - 1)):
-        end -= n
-    return token[begin:end]
 
 
 def symbol_table() -> np.ndarray:
@@ -124,31 +114,46 @@ def language_model(counts: np.ndarray) -> np.ndarray:
     return -np.log(p3).astype(np.float32)
 
 
-def lattice(stretch: str, spaced: bool) -> list[list[tuple[str, float]]]:
-    """Columns of (what is emitted, cost) in order; an empty emission drops the sign."""
-    columns: list[list[tuple[str, float]]] = []
+def lattice(stretch: str, spaced: bool) -> Iterator[list[tuple[str, float]]]:
+    """Columns of (what is emitted, cost) in order; an empty emission drops the sign. ``spaced``: letters that stand alone."""
     at = 0
     while at < len(stretch):
         c, run = stretch[at], 1
         while at + run < len(stretch) and stretch[at + run] == c:
             run += 1
         if c.isalpha():
-            once = [(c, 0.0 if run == 1 else REPEAT_COST * (run > 2) + 0.5)]
-            twice = [(c + c, 0.0 if run == 2 else REPEAT_COST)] if run > 1 else []
-            columns.append(once + twice)
+            if run > 2:
+                yield [(c + c, REPEAT_COST), (c, REPEAT_COST + 0.5)]
+            else:
+                yield [(c * run, 0.0), (c, DOUBLED_COST)][:run]
         elif c in LEET:
-            stands = [(x, LEET_COST) for x in LEET[c]] + ([(x * 2, LEET_COST) for x in LEET[c]] if run > 1 else [])
-            columns.append([*stands, (" ", KEPT_SIGN_COST)])
+            stands = [(x * n, LEET_COST * (1 if n == run else 2)) for x in LEET[c] for n in ((2, 1) if run > 1 else (1,))]
+            yield [*stands, (c * run, KEPT_SIGN_COST)]
+        elif spaced:
+            yield [("", SPACING_COST), (" ", KEPT_SPACE_COST)]
+        elif c in SEPARATORS or c in " \t":
+            yield [(c * run, 0.0), ("", JOIN_COST if c.isspace() else SEPARATOR_COST)]
         else:
-            columns.append([("", SPACING_COST), (" ", KEPT_SIGN_COST)] if spaced or not c.isspace() else [(" ", 0.0)])
+            yield [(c * run, 0.0)]
         at += run
-    return columns
 
 
-def viterbi(columns: list[list[tuple[str, float]]], model: np.ndarray, symbol: dict[str, int]) -> str:
-    """The emission of least channel and language-model cost; the state is the last two symbols. Equal costs: the first."""
-    states: dict[tuple[int, int], float] = {(0, 0): 0.0}
+def viterbi(columns: Iterable[list[tuple[str, float]]], model: np.ndarray, symbol: dict[str, int], start: tuple[int, int] = (0, 0), lag: int = LAG) -> str:
+    """The emission of least channel and language-model cost; the state is the last two symbols. Equal costs: the first.
+
+    Once two lags of columns are open, the best path fixes the older half.
+    """
+    states: dict[tuple[int, int], float] = {start: 0.0}
     back: list[dict[tuple[int, int], tuple[tuple[int, int], str]]] = []
+    out: list[str] = []
+
+    def trace(state: tuple[int, int], steps: list) -> tuple[tuple[int, int], list[str]]:
+        said = []
+        for came in reversed(steps):
+            state, emitted = came[state]
+            said.append(emitted)
+        return state, said[::-1]
+
     for column in columns:
         new: dict[tuple[int, int], float] = {}
         came: dict[tuple[int, int], tuple[tuple[int, int], str]] = {}
@@ -156,87 +161,159 @@ def viterbi(columns: list[list[tuple[str, float]]], model: np.ndarray, symbol: d
             for emitted, own in column:
                 x, y, total = a, b, cost + own
                 for letter in emitted:
-                    z = BOUNDARY if letter == " " else symbol.get(letter, OTHER)
+                    z = symbol.get(letter) or (OTHER if letter.isalpha() else BOUNDARY)
                     total += float(model[x, y, z])
                     x, y = y, z
                 if total < new.get((x, y), np.inf):
                     new[x, y], came[x, y] = total, ((a, b), emitted)
         states = new
         back.append(came)
-    state = min(states, key=lambda s: states[s] + float(model[s[0], s[1], BOUNDARY]))
-    out = []
-    for came in reversed(back):
-        state, emitted = came[state]
-        out.append(emitted)
-    return "".join(reversed(out))
+        if len(back) >= 2 * lag:
+            fixed = trace(min(states, key=states.get), back[lag:])[0]
+            out += trace(fixed, back[:lag])[1]
+            back = back[lag:]
+            states = {s: cost for s, cost in states.items() if trace(s, back)[0] == fixed}
+    last = min(states, key=lambda s: states[s] + float(model[s[0], s[1], BOUNDARY]))
+    return "".join([*out, *trace(last, back)[1]])
 
 
 class Restorer:
     def __init__(self, model: np.ndarray):
-        self.model, self.symbol, self.memo, self.tokens = model, {c: k + 1 for k, c in enumerate(LETTERS)}, {}, {}
-        self.letter = symbol_table() > 0
-        self.sign = np.zeros(0x110000, bool)
-        self.sign[[ord(c) for c in LEET]] = True
+        self.model, self.symbol, self.memo, self.size = model, {c: k + 1 for k, c in enumerate(LETTERS)}, {}, 0
+        self.table = symbol_table()
+        self.kinds = {}
+        for name, signs in (("sign", LEET), ("separator", SEPARATORS), ("edge", AT_EDGE), ("blank", " \t")):
+            self.kinds[name] = np.zeros(0x110000, bool)
+            self.kinds[name][[ord(c) for c in signs]] = True
         self.space = np.zeros(0x110000, bool)
         self.space[[c for c in range(0x3001) if chr(c).isspace()]] = True
 
-    def stretch(self, text: str, spaced: bool) -> str:
-        if len(text) > MOST_REMEMBERED:
-            return viterbi(lattice(text, spaced), self.model, self.symbol)
-        if (text, spaced) not in self.memo:
-            if len(self.memo) > MEMO:
-                self.memo = {}
-            self.memo[text, spaced] = viterbi(lattice(text, spaced), self.model, self.symbol)
-        return self.memo[text, spaced]
-
-    def token(self, token: str) -> str:
-        if token not in self.tokens:
-            if len(self.tokens) > MEMO:
-                self.tokens = {}
-            inner = core(token)
-            leet = any(c in LEET for c in inner) and any(c.isalpha() for c in inner)
-            self.tokens[token] = self.stretch(inner, False) if leet or REPEATED.search(inner) else token
-        return self.tokens[token]
-
-    def suspects(self, c: np.ndarray, letter: np.ndarray) -> np.ndarray:
-        """Where a sign stands or a letter comes the third time."""
-        found = self.sign[c]
-        found[2:] |= (c[2:] == c[1:-1]) & (c[1:-1] == c[:-2]) & letter[2:]
-        return np.flatnonzero(found)
-
-    def may_be_spaced(self, c: np.ndarray, letter: np.ndarray) -> bool:
-        """Whether three letters or signs stand alone within reach of each other."""
-        part = letter | self.sign[c]
+    def decoded(self, before: str, segment: str, after: str, spaced: bool = False) -> str:
+        """The best reading of a segment between characters that have one reading only."""
+        key = (before, segment, after, spaced)
+        if key in self.memo:
+            return self.memo[key]
+        symbol = lambda c: self.symbol.get(c) or (OTHER if c.isalpha() else BOUNDARY)
+        left = f"  {before}"[-2:]
+        columns = chain(lattice(segment, spaced), ([(c, 0.0)] for c in after))
+        found = viterbi(columns, self.model, self.symbol, (symbol(left[0]), symbol(left[1])))
+        found = found[: len(found) - len(after)]
+        if len(segment) <= MOST_REMEMBERED:
+            self.size += 2 * len(segment) + 50
+            if self.size > MEMO_CHARS:
+                self.memo, self.size = {}, 0
+            self.memo[key] = found
+        return found
+
+    def spaced(self, c: np.ndarray) -> np.ndarray:
+        """Places of letters or signs that stand alone, three of them within reach of each other."""
+        part = (self.table[c] > 0) | self.kinds["sign"][c] & (c != ord("!"))
         alone = part.copy()
         alone[1:] &= ~part[:-1]
         alone[:-1] &= ~part[1:]
         at = np.flatnonzero(alone)
-        return bool((at[2:] - at[:-2] <= 6).any())
+        return at[2:][at[2:] - at[:-2] <= 6]
+
+    def segments(self, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Begins and ends of what has several readings, with two characters of one reading at least between them."""
+        sym = np.concatenate([[0, 0], self.table[c], [0, 0, 0]])
+        n, m = len(c), self.model
+        letter, space = sym[2:-3] > 0, self.space[c]
+        begins, ends, certain, apart = [], [], [], []
+
+        def add(b: np.ndarray, e: np.ndarray, sure: np.ndarray, separates: bool) -> None:
+            begins.append(b)
+            ends.append(e)
+            certain.append(sure)
+            apart.append(np.full(len(b), separates))
+
+        # Other signs inside and at the edges of words.
+        other = np.concatenate([[False], ~letter & ~space, [False]])
+        b, e = np.flatnonzero(other[1:] & ~other[:-1]), np.flatnonzero(other[:-1] & ~other[1:])
+        count = {k: np.concatenate([[0], np.cumsum(self.kinds[k][c])]) for k in ("sign", "separator", "edge")}
+        held = {k: v[e] - v[b] for k, v in count.items()}
+        left, right = sym[b + 1] > 0, sym[e + 2] > 0
+        inner = left & right & (held["sign"] + held["separator"] > 0)
+        edge = (left ^ right) & (held["edge"] == e - b) & (e - b <= 2)
+        plain = inner & (held["sign"] == 0) & (e - b == 1)
+        b, e, plain = b[inner | edge], e[inner | edge], plain[inner | edge]
+        add(b, e, ~plain | self._cheaper(sym, b, e, SEPARATOR_COST), True)
+        # One blank between words.
+        b = np.flatnonzero(self.kinds["blank"][c])
+        b = b[(sym[b + 1] > 0) & (sym[b + 3] > 0)]
+        add(b, b + 1, self._cheaper(sym, b, b + 1, JOIN_COST), True)
+        # Letters that are repeated.
+        same = np.concatenate([[False], (c[1:] == c[:-1]) & letter[1:], [False]])
+        b, e = np.flatnonzero(same[1:] & ~same[:-1]), np.flatnonzero(same[:-1] & ~same[1:]) + 1
+        x, y, z = sym[b + 1], sym[b + 2], sym[e + 2]
+        add(b, e, (e - b > 2) | (m[x, y, y] + m[y, y, z] > m[x, y, z] + DOUBLED_COST), False)
+
+        begin, end, sure, separates = map(np.concatenate, (begins, ends, certain, apart))
+        order = np.argsort(begin, kind="stable")
+        begin, end, sure, separates = begin[order], end[order], sure[order], separates[order]
+        # A doubtful place counts if it stands by a certain one, or by another that separates as it does.
+        while True:
+            near = begin[1:] - end[:-1] < 2
+            take = sure.copy()
+            take[1:] |= near & (sure[:-1] | separates[:-1] & separates[1:])
+            take[:-1] |= near & (sure[1:] | separates[1:] & separates[:-1])
+            if (take == sure).all():
+                break
+            sure = take
+        begin, end = begin[sure], end[sure]
+        new = np.concatenate([[True], begin[1:] - end[:-1] >= 2]) if len(begin) else np.zeros(0, bool)
+        return begin[new], end[np.concatenate([new[1:], [True]])] if len(begin) else end
+
+    def _cheaper(self, sym: np.ndarray, b: np.ndarray, e: np.ndarray, cost: float) -> np.ndarray:
+        """Whether the model would rather have the letters around [b, e) joined."""
+        m, x, y, z, w = self.model, sym[b], sym[b + 1], sym[e + 2], sym[e + 3]
+        return m[x, y, BOUNDARY] + m[y, BOUNDARY, z] + m[BOUNDARY, z, w] > m[x, y, z] + m[y, z, w] + cost
+
+    def texts(self, texts: list[str]) -> list[str]:
+        """Lower-cased texts, restored; arrays run over all of them at once."""
+        texts = [t.lower() for t in texts]
+        for at in np.unique(np.searchsorted(_bounds(texts), self.spaced(_joined(texts)), "right") - 1).tolist():
+            texts[at] = SPACED.sub(lambda m: self.decoded("", m[0], "", True), texts[at])
+        bounds = _bounds(texts)
+        begin, end = self.segments(_joined(texts))
+        owner = np.searchsorted(bounds, begin, "right") - 1
+        begin, end, owner = (begin - bounds[owner]).tolist(), (end - bounds[owner]).tolist(), owner.tolist()
+        pieces, done = {k: [] for k in set(owner)}, dict.fromkeys(owner, 0)
+        for b, e, k in zip(begin, end, owner, strict=True):
+            text = texts[k]
+            pieces[k] += [text[done[k] : b], self.decoded(text[max(b - 2, 0) : b], text[b:e], text[e : e + 2])]
+            done[k] = e
+        for k, own in pieces.items():
+            texts[k] = "".join([*own, texts[k][done[k] :]])
+        return texts
 
     def text(self, text: str) -> str:
-        """Lower-cased text with its suspicious stretches restored."""
-        text = text.lower()
-        c = codes(text)
-        letter = self.letter[c]
-        if self.may_be_spaced(c, letter):
-            text = SPACED.sub(lambda m: self.stretch(m[0], True), text)
-            c = codes(text)
-            letter = self.letter[c]
-        at = self.suspects(c, letter)
-        if not len(at):
-            return text
-        space = np.concatenate([[-1], np.flatnonzero(self.space[c]), [len(c)]])
-        owner = np.unique(np.searchsorted(space, at))
-        pieces, done = [], 0
-        for begin, end in zip((space[owner - 1] + 1).tolist(), space[owner].tolist(), strict=True):
-            pieces += [text[done:begin], self.token(text[begin:end])]
-            done = end
-        return "".join([*pieces, text[done:]])
-
-    def words(self, text: str) -> Counter[str]:
-        """The runs of letters of the restored text."""
-        c = codes(self.text(text))
-        return Counter(np.where(self.letter[c], c, np.uint32(32)).tobytes().decode("utf-32-le").split())
+        return self.texts([text])[0]
+
+    def words(self, texts: list[str]) -> Iterator[Counter[str]]:
+        """The runs of letters of each restored text."""
+        held, size = [], 0
+        for k, text in enumerate(texts):
+            held.append(text)
+            size += len(text)
+            if size > BATCH_CHARS or k == len(texts) - 1:
+                for restored in self.texts(held):
+                    c = codes(restored)
+                    yield Counter(np.where(self.table[c] > 0, c, np.uint32(32)).tobytes().decode("utf-32-le").split())
+                held, size = [], 0
+
+
+#: Two characters of one reading keep texts apart.
+_BETWEEN = "\n\n"
+
+
+def _joined(texts: list[str]) -> np.ndarray:
+    return codes(_BETWEEN.join(texts))
+
+
+def _bounds(texts: list[str]) -> np.ndarray:
+    """Where each text begins among the joined ones."""
+    return np.concatenate([[0], np.cumsum([len(t) + len(_BETWEEN) for t in texts])])[:-1]
 
 
 def features_of(word: str) -> list[int]:
@@ -286,8 +363,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id_co
         restorer = _restorer(shared.value)
         for batch in batches:
             rows = []
-            for text in batch["text"]:
-                words = restorer.words(text or "")
+            for words in restorer.words([text or "" for text in batch["text"]]):
                 found: Counter[int] = Counter()
                 for word, n in words.items():
                     for f in features_of(word):
@@ -362,16 +438,17 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         restorer, memo = _restorer(model.costs), {}
         for batch in batches:
             scores = np.zeros(len(batch))
-            for k, text in enumerate(batch["text"]):
-                words = restorer.words(text or "")
+            for k, words in enumerate(restorer.words([text or "" for text in batch["text"]])):
                 found: Counter[int] = Counter()
                 for word, n in words.items():
                     own = memo.get(word)
                     if own is None:
-                        own = memo[word] = tuple(model.index[f] for f in features_of(word) if f in model.index)
+                        own = tuple(model.index[f] for f in features_of(word) if f in model.index)
+                        if len(word) <= MOST_REMEMBERED:
+                            memo[word] = own
                     for f in own:
                         found[f] += n
-                if len(memo) > MEMO:
+                if len(memo) > MEMO_WORDS:
                     memo = {}
                 z = model.bias + model.length_weight * np.log1p(sum(words.values()))
                 z += sum(model.weights[f] * np.log1p(n) for f, n in found.items())
