@@ -1,20 +1,21 @@
 """Training-order materialisation: token ids in binary shards, in a keyed global order.
 
-Texts become sequences of at most ``LENGTH`` tokens; here a token is a byte of UTF-8, and its id the byte's value. Every
+Documents are rows of token ids, as an encoder gives them; they become sequences of at most ``LENGTH`` ids. Every
 sequence has a number from 0 on, and a keyed Feistel permutation with cycle-walking gives it a global slot. Range
 partitions of slots are written as shards of fixed-stride records, so that a reader finds slot s at
 ``(s - first slot) * STRIDE`` of its shard and can go on from any slot.
 
-A record is the doc_id (64 bits), the sequence's place in its document (32), the number of tokens (32), then the tokens,
-padded with zeros. Numbers are little-endian. A null doc_id is written as the smallest 64-bit number.
+A record is the doc_id (64 bits), the sequence's place in its document (32), the number of ids (32), then the ids as
+unsigned numbers of ``width`` bytes, padded with zeros. Numbers are little-endian. A null doc_id is written as the
+smallest 64-bit number.
 
-Sequences are numbered along the input's partitions, counted first; so the input must deal the same rows to the same
-partitions when read again, as files do (call ``cut`` on anything else), and the order holds for one partitioning. A
-partition whose count differs when it is written fails. A shard is written under a passing name and then renamed, so
-tasks may run again, or twice at a time.
+Sequences are numbered by content: documents in the order of a hash of doc_id and ids, so the order doesn't depend on how
+the input is split. Ranges of that hash are sorted apart and counted; only the counts of ranges meet. The sorted
+documents are written to the shared folder first, so a task that runs again reads the same rows. A shard is written under
+a passing name and then renamed, so tasks may run again, or twice at a time.
 
-Defined results: null and empty texts have no sequence; rows that repeat are written each; an empty table gives no
-shard. Other columns are not read, whatever their names.
+Defined results: null and empty ids have no sequence; rows that repeat are written each; an id too large for the width is
+an error; an empty table gives no shard. Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,22 +26,28 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pyarrow.fs as pafs
+import xxhash
 import zstandard
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.session import cut, shared_folder
 
 LENGTH, SHARD_RECORDS, ROUNDS = 512, 16_384, 6
 NO_ID = -(1 << 63)
-#: A task packs as many bytes of records at a time.
-PACKED_BYTES = 64_000_000
+#: A task packs as many bytes of records at a time, and of a batch so many rows are Python objects at a time.
+PACKED_BYTES, SLICE = 64_000_000, 256
 
 
-def record_type(length: int) -> np.dtype:
-    return np.dtype([("doc_id", "<i8"), ("seq", "<i4"), ("n_tokens", "<i4"), ("tokens", "u1", (length,))])
+def record_type(length: int, width: int = 4) -> np.dtype:
+    return np.dtype([("doc_id", "<i8"), ("seq", "<i4"), ("n_tokens", "<i4"), ("tokens", f"<u{width}", (length,))])
+
+
+def content_order(doc_id: int | None, ids: bytes) -> int:
+    """63 bits by which documents are ordered before they are numbered."""
+    return xxhash.xxh64_intdigest(f"{doc_id}:".encode() + ids) >> 1
 
 
 class Permutation:
@@ -68,65 +75,87 @@ class Permutation:
         return x.astype(np.int64)
 
 
-def materialise(docs: DataFrame, key: str = "order-1", id_col: str = "doc_id", text_col: str = "text", folder: str | None = None, length: int = LENGTH, shard_records: int = SHARD_RECORDS) -> DataFrame:
-    """Writes the shards and returns their manifest: shard, path, first_slot, records, length."""
+def _qualified(spark: SparkSession, folder: str) -> str:
+    """The folder with its scheme, as Spark resolves it, so that executors open the same file system."""
+    spark.range(1).coalesce(1).write.mode("overwrite").parquet(f"{folder}/where")
+    path = spark.read.parquet(f"{folder}/where").select("_metadata.file_path").first()[0].rsplit("/where/", 1)[0]
+    return f"file://{path[5:]}" if path.startswith("file:/") and not path.startswith("file://") else path
+
+
+def materialise(docs: DataFrame, key: str = "order-1", id_col: str = "doc_id", ids_col: str = "ids", folder: str | None = None, length: int = LENGTH, shard_records: int = SHARD_RECORDS, width: int = 4) -> DataFrame:
+    """docs (doc_id, ids as little-endian unsigned 32-bit numbers): writes the shards and returns their manifest: shard, path, first_slot, records, length, width."""
     spark = docs.sparkSession
-    folder = folder or f"{shared_folder(spark).rstrip('/')}/shards-{uuid.uuid4().hex}"
-    # With its scheme, so that executors open the same file system as Spark.
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    folder = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.encode(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "UTF-8").alias("bytes"))
-    per = F.ceil(F.octet_length("bytes") / length).cast("long")
-    # One row per partition of the input.
-    counted = {r["part"]: r["n"] for r in rows.groupBy(F.spark_partition_id().alias("part")).agg(F.sum(per).alias("n")).collect()}
+    folder = _qualified(spark, folder or f"{shared_folder(spark).rstrip('/')}/shards-{uuid.uuid4().hex}")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).alias("ids")).filter(F.octet_length("ids") > 0)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compress = zstandard.ZstdCompressor(level=1).compress
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                own = batch.slice(at, SLICE).to_pydict()
+                sizes, blocks = [], []
+                for ids in own["ids"]:
+                    wide = np.frombuffer(ids, "<u4")
+                    if int(wide.max()) >> (8 * width):
+                        raise ValueError("an id is too large for the width")
+                    sizes.append(len(wide))
+                    blocks.append(compress(wide.astype(f"<u{width}").tobytes()))
+                order = [content_order(d, ids) for d, ids in zip(own["doc_id"], own["ids"], strict=True)]
+                yield pa.RecordBatch.from_pydict({"place": pa.array(order, pa.int64()), "doc_id": pa.array(own["doc_id"], pa.int64()), "size": pa.array(sizes, pa.int64()), "block": pa.array(blocks, pa.binary())})
+
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    packed_docs = rows.mapInArrow(pack, "place long, doc_id long, size long, block binary")
+    part = F.shiftright(F.shiftright("place", 31) * ranges, 32).cast("int").alias("part")
+    dealt = cut(packed_docs.select("*", part).repartitionById(ranges, F.col("part")).sortWithinPartitions("part", "place", "doc_id", "block"))
+    # One row per range of the hash.
+    per = F.ceil(F.col("size") / length).cast("long")
+    counted = {r["part"]: r["n"] for r in dealt.groupBy("part").agg(F.sum(per).alias("n")).collect()}
     parts = sorted(counted)
     begins = dict(zip(parts, np.cumsum([0, *(counted[p] for p in parts)]).tolist(), strict=False))
     total = sum(counted.values())
-    shape = "shard int, path string, first_slot long, records long, length int"
+    shape = "shard int, path string, first_slot long, records long, length int, width int"
     if not total:
         return spark.createDataFrame([], shape)
     shards = -(-total // shard_records)
     order = Permutation(total, key)
 
-    kind, passing_kind = record_type(length), np.dtype([("slot", "<i8"), ("record", record_type(length))])
+    kind, passing_kind = record_type(length, width), np.dtype([("slot", "<i8"), ("record", record_type(length, width))])
 
     def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Records with their slots, packed and compressed by shard, a bounded number of bytes at a time."""
-        part = TaskContext.get().partitionId()
-        at = begins.get(part, 0)
-        end = at + counted.get(part, 0)
+        unpack = zstandard.ZstdDecompressor().decompress
 
-        def packed(held: list[np.ndarray]) -> pd.DataFrame:
+        def packed(held: list[np.ndarray], numbers: list[np.ndarray]) -> pd.DataFrame:
             records = np.concatenate(held)
-            slots = order(np.arange(at, at + len(records)))
+            slots = order(np.concatenate(numbers))
             place = np.argsort(slots)
             out = np.empty(len(records), passing_kind)
             out["slot"], out["record"] = slots[place], records[place]
             shard = out["slot"] // shard_records
             bounds = np.concatenate([[0], np.flatnonzero(np.diff(shard)) + 1, [len(out)]])
-            pack = zstandard.ZstdCompressor(level=3).compress
-            return pd.DataFrame({"shard": shard[bounds[:-1]].astype(np.int32), "block": [pack(out[a:b].tobytes()) for a, b in zip(bounds, bounds[1:], strict=False)]})
+            compress = zstandard.ZstdCompressor(level=3).compress
+            return pd.DataFrame({"shard": shard[bounds[:-1]].astype(np.int32), "block": [compress(out[a:b].tobytes()) for a, b in zip(bounds, bounds[1:], strict=False)]})
 
-        held, size = [], 0
+        held, numbers, size, part, at = [], [], 0, None, 0
         for batch in batches:
-            for doc_id, data in zip(batch["doc_id"].astype("Int64").fillna(NO_ID), batch["bytes"], strict=True):
-                n = -(-len(data) // length)
-                if n:
-                    records = np.zeros(n, kind)
-                    records["doc_id"], records["seq"], records["n_tokens"] = doc_id, np.arange(n), length
-                    records["n_tokens"][-1] = len(data) - (n - 1) * length
-                    records["tokens"] = np.frombuffer(data.ljust(n * length, b"\0"), np.uint8).reshape(n, length)
-                    held.append(records)
-                    size += records.nbytes
+            for own, doc_id, block in zip(batch["part"].tolist(), batch["doc_id"].astype("Int64").fillna(NO_ID).tolist(), batch["block"], strict=True):
+                if own != part:
+                    part, at = own, begins[own]
+                ids = np.frombuffer(unpack(block), f"<u{width}")
+                n = -(-len(ids) // length)
+                records = np.zeros(n, kind)
+                records["doc_id"], records["seq"], records["n_tokens"] = doc_id, np.arange(n), length
+                records["n_tokens"][-1] = len(ids) - (n - 1) * length
+                records["tokens"] = np.pad(ids, (0, n * length - len(ids))).reshape(n, length)
+                held.append(records)
+                numbers.append(np.arange(at, at + n))
+                at += n
+                size += records.nbytes
                 if size > PACKED_BYTES:
-                    yield packed(held)
-                    at += sum(map(len, held))
-                    held, size = [], 0
+                    yield packed(held, numbers)
+                    held, numbers, size = [], [], 0
         if held:
-            yield packed(held)
-            at += sum(map(len, held))
-        if at != end:
-            raise RuntimeError("the input dealt other rows to this partition than when it was counted; write it to a table first")
+            yield packed(held, numbers)
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """A shard's blocks come one after the other; a shard is all that is held."""
@@ -141,7 +170,7 @@ def materialise(docs: DataFrame, key: str = "order-1", id_col: str = "doc_id", t
             with fs.open_output_stream(passing) as stream:
                 stream.write(records["record"].tobytes())
             fs.move(passing, f"{base}/shard-{shard:08d}.bin")
-            return pd.DataFrame({"shard": [shard], "path": [f"{folder}/shard-{shard:08d}.bin"], "first_slot": [int(records["slot"][0])], "records": [len(records)], "length": [length]})
+            return pd.DataFrame({"shard": [shard], "path": [f"{folder}/shard-{shard:08d}.bin"], "first_slot": [int(records["slot"][0])], "records": [len(records)], "length": [length], "width": [width]})
 
         shard, blocks = -1, []
         for batch in batches:
@@ -154,10 +183,10 @@ def materialise(docs: DataFrame, key: str = "order-1", id_col: str = "doc_id", t
         if blocks:
             yield store(shard, blocks)
 
-    numbered = rows.mapInPandas(number, "shard int, block binary")
-    ranges = min(shards, 20_000)
-    dealt = numbered.repartitionById(ranges, F.floor(F.col("shard").cast("long") * ranges / shards).cast("int")).sortWithinPartitions("shard")
-    return cut(dealt.mapInPandas(write, shape))
+    numbered = dealt.select("part", "doc_id", "block").mapInPandas(number, "shard int, block binary")
+    tasks = min(shards, 20_000)
+    by_shard = numbered.repartitionById(tasks, F.floor(F.col("shard").cast("long") * tasks / shards).cast("int")).sortWithinPartitions("shard")
+    return cut(by_shard.mapInPandas(write, shape))
 
 
 def read(manifest: DataFrame, from_slot: int = 0) -> DataFrame:
@@ -166,7 +195,7 @@ def read(manifest: DataFrame, from_slot: int = 0) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for m in batch.itertuples(index=False):
-                kind = record_type(m.length)
+                kind = record_type(m.length, m.width)
                 fs, path = pafs.FileSystem.from_uri(m.path)
                 with fs.open_input_file(path) as file:
                     for at in range(max(0, from_slot - m.first_slot), m.records, 4096):
@@ -180,4 +209,3 @@ def read(manifest: DataFrame, from_slot: int = 0) -> DataFrame:
 
     wanted = manifest.filter(F.col("first_slot") + F.col("records") > from_slot)
     return wanted.mapInPandas(run, "slot long, shard int, byte_offset long, doc_id long, seq int, n_tokens int, tokens binary")
-
