@@ -9,6 +9,11 @@ pieces are picked by hash, so many per language that they hold about twice ``SAM
 ``SAMPLE_CHARS`` are kept. A language with a letter in any of its texts is learnt. Whole texts are parsed, in segments
 of ``SEGMENT`` symbols; a segment's end also ends a phrase, in every language alike.
 
+The samples' most frequent letters have a symbol each. Any other letter is two symbols, one for its block of code points
+and one for its place in it, both by residue, so scripts with thousands of letters are told apart as well.
+
+Evidence is what the best language saves against noise, in bits: noise costs ``NOISE_BITS`` a symbol.
+
 Defined results: null text and text without a letter give ``und`` with score 0, as does every text when nothing was
 learnt. Rows with a null doc_id are never learnt from and not held out. Repeated rows are judged one by one; an empty
 table gives an empty result. Other columns are not read, whatever their names.
@@ -28,13 +33,14 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 SAMPLE_CHARS, PIECE = 20_000, 1_000
 SEGMENT = 1024
-#: Symbols: 0 is a space (any run of non-letters), 63 a letter that is not among the sample's most frequent 62.
-SPACE, OTHER, WIDTH = 0, 63, 64
+#: Symbols: 0 is a space (any run of non-letters), then come letters, blocks of other letters and places in a block.
+SPACE, OWN, BLOCKS, PLACES, WIDTH = 0, 44, 8, 11, 64
+NOISE_BITS = 6.0
 BATCH_SYMBOLS, SLICE = 1_000_000, 256
 UNKNOWN = "und"
-#: Text of a learnt language has phrases longer than this; a filter may drop what has not.
-LEAST_PHRASE = 2.0
-FOUND = StructType([StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("phrase_chars", DoubleType())])
+#: A text counts as noise only where noise explains it better by so many bits: the odds before it is read.
+PRIOR_BITS = 32.0
+FOUND = StructType([StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("evidence", DoubleType())])
 
 
 @dataclass(frozen=True)
@@ -48,22 +54,28 @@ def held_out(doc_id: Column, folds: int = 3, fold: int = 1) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % folds == fold, F.lit(False))
 
 
-def symbol_table(letters: str) -> np.ndarray:
-    """Code point -> symbol; a letter's cases share one."""
-    table = np.zeros(0x110000, np.uint8)
+def symbol_tables(letters: str) -> tuple[np.ndarray, np.ndarray]:
+    """Code point -> first and second symbol (0: none); a letter's cases share them."""
+    first, second = np.zeros(0x110000, np.uint8), np.zeros(0x110000, np.uint8)
     for start in range(0, 0x110000, 0x1000):
         if not 0xD800 <= start < 0xE000:
-            table[start : start + 0x1000] = [OTHER * chr(c).isalpha() for c in range(start, start + 0x1000)]
+            points = np.arange(start, start + 0x1000)
+            letter = np.array([chr(c).isalpha() for c in points])
+            first[points] = letter * (1 + OWN + (points >> 8) % BLOCKS)
+            second[points] = letter * (1 + OWN + BLOCKS + (points & 0xFF) % PLACES)
     for k, letter in enumerate(letters):
         for form in {letter, letter.upper(), letter.title()}:
             if len(form) == 1:
-                table[ord(form)] = k + 1
-    return table
+                first[ord(form)], second[ord(form)] = k + 1, 0
+    return first, second
 
 
-def symbols(text: str, table: np.ndarray) -> np.ndarray:
+def symbols(text: str, tables: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """The text as symbols, with single spaces and none at its ends."""
-    found = table[np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)]
+    points = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
+    found, more = tables[0][points], tables[1][points]
+    if more.any():
+        found = np.stack([found, more], 1).ravel()[np.stack([np.ones(len(more), bool), more > 0], 1).ravel()]
     space = found == SPACE
     keep = ~space
     keep[1:] |= space[1:] & ~space[:-1]
@@ -116,7 +128,7 @@ class Parser:
         first = np.stack([t[0] for t in tables])
         self.first = np.where(first >= 0, first + self.roots, self.roots).astype(np.int32)
         self.cost = np.array([np.log2(len(s) + 1.0) for s in model.samples])
-        self.table = symbol_table(model.letters)
+        self.tables = symbol_tables(model.letters)
 
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
         """(languages, texts) numbers of phrases."""
@@ -131,14 +143,14 @@ class Parser:
         lengths = np.array([len(p) for p in parts])
         order = np.argsort(-lengths, kind="stable")
         lengths, parts = lengths[order], [parts[i] for i in order]
-        held = np.zeros((lengths[0], len(parts)), np.int64)
+        held = np.zeros((lengths[0], len(parts)), np.uint8)
         for k, p in enumerate(parts):
             held[: len(p), k] = p
         state = np.repeat(self.roots, len(parts), 1)
         count = np.ones(state.shape, np.int64)
         active = np.searchsorted(-lengths, -np.arange(lengths[0]), "left")
         for step, n in enumerate(active):
-            c = held[step, :n]
+            c = held[step, :n].astype(np.int64)
             to = self.goes[state[:, :n] * WIDTH + c]
             miss = to < 0
             count[:, :n] += miss
@@ -188,11 +200,11 @@ def train(docs: DataFrame, learn: Column | None = None, id_col: str = "doc_id",
     sample = pd.concat([sample, pd.DataFrame(missing)], ignore_index=True) if missing else sample
     sample = sample.sort_values(["lang", "place", "doc_id", "piece", "text"])
     seen = pd.Series(list("".join(sample["text"]).lower())).value_counts()
-    letters = "".join(sorted(c for c in seen.index if c.isalpha())) if len(seen) < WIDTH - 2 else "".join(sorted([c for c in seen.index if c.isalpha()][: OTHER - 1]))
-    table = symbol_table(letters)
+    letters = "".join(sorted([c for c in seen.index if c.isalpha()][:OWN]))
+    tables = symbol_tables(letters)
     samples = {}
     for name, own in sample.groupby("lang", sort=True):
-        parts = [p for t in own["text"] if len(p := symbols(t, table))]
+        parts = [p for t in own["text"] if len(p := symbols(t, tables))]
         joined = b" ".join(p.tobytes() for p in parts).replace(b" ", b"\0")[:SAMPLE_CHARS]
         if joined:
             samples[name] = joined
@@ -200,7 +212,7 @@ def train(docs: DataFrame, learn: Column | None = None, id_col: str = "doc_id",
 
 
 def predict_column(text: Column, model: Model) -> Column:
-    """lang_pred, score and phrase_chars (symbols per phrase of the winner, 0 for ``und``) of a text, as a struct."""
+    """lang_pred, score and evidence (bits saved against noise, 0 for ``und``) of a text, as a struct."""
 
     @F.arrow_udf(FOUND)
     def judge(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -209,7 +221,7 @@ def predict_column(text: Column, model: Model) -> Column:
             parts, texts, held = [], [], 0
             for at in range(0, len(batch), SLICE):
                 for text in batch.slice(at, SLICE).to_pylist():
-                    texts.append(symbols(text, parser.table) if parser and text is not None else np.zeros(0, np.uint8))
+                    texts.append(symbols(text, parser.tables) if parser and text is not None else np.zeros(0, np.uint8))
                     held += len(texts[-1])
                     if held >= BATCH_SYMBOLS:
                         parts.append(decide(parser, model, texts))
@@ -222,7 +234,7 @@ def predict_column(text: Column, model: Model) -> Column:
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, lang_pred, score, phrase_chars."""
+    """One row per document: doc_id, lang_pred, score, evidence."""
     found = predict_column(F.col(text_col).cast("string"), model).alias("found")
     return docs.select(F.col(id_col).alias("doc_id"), found).select("doc_id", "found.*")
 
@@ -230,7 +242,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 def decide(parser: Parser | None, model: Model, texts: list[np.ndarray]) -> pd.DataFrame:
     n = len(texts)
     if parser is None or not n:
-        return pd.DataFrame({"lang_pred": np.full(n, UNKNOWN, object), "score": np.zeros(n), "phrase_chars": np.zeros(n)})
+        return pd.DataFrame({"lang_pred": np.full(n, UNKNOWN, object), "score": np.zeros(n), "evidence": np.zeros(n)})
     sizes = np.array([len(t) for t in texts])
     phrases = parser.phrases(texts)
     costs = phrases * parser.cost[:, None]
@@ -238,7 +250,5 @@ def decide(parser: Parser | None, model: Model, texts: list[np.ndarray]) -> pd.D
     score = 1 / np.exp(-np.minimum(costs - costs.min(0), 500)).sum(0)
     known = sizes > 0
     names = np.array(model.languages, object)[best]
-    won = phrases[best, np.arange(n)]
-    return pd.DataFrame({
-        "lang_pred": np.where(known, names, UNKNOWN), "score": np.where(known, score, 0.0), "phrase_chars": np.where(known, sizes / np.maximum(won, 1), 0.0)
-    })
+    saved = NOISE_BITS * sizes - costs.min(0)
+    return pd.DataFrame({"lang_pred": np.where(known, names, UNKNOWN), "score": np.where(known, score, 0.0), "evidence": np.where(known, saved, 0.0)})
