@@ -4,8 +4,9 @@ A text's fingerprint is a majority vote of its shingles' hashes. Fingerprints th
 linked, links make components, and a component's id is its smallest doc_id.
 
 Equal fingerprints are one. The 64 bits fall into six blocks; two fingerprints at 4 bits or less agree on two blocks at
-least, so each of the 15 pairs of blocks deals the fingerprints into shards, and every link lies inside a shard. A shard
-of more than ``SHARD`` fingerprints is dealt into parts. A part becomes a BK-tree (children keyed by their distance to
+least, so each of the 15 pairs of blocks deals the fingerprints into shards, and every link lies inside a shard. With
+more fingerprints there are seven or eight blocks, of which three or four agree, so that a shard's expected size stays
+bounded; the links are the same. A shard of more than ``SHARD`` fingerprints is dealt into parts. A part becomes a BK-tree (children keyed by their distance to
 the parent), which fingerprints search following only edges within the radius: first those of the part, then those of
 the shard that its largest component lacks. A search reports no more links than hold its components together. Trees of
 all documents have no bound on their size, so trees go to the searching tasks by shuffle, not by broadcast through the
@@ -35,7 +36,8 @@ from docloom.llm.exact_dedup import only
 from docloom.session import cut
 
 WORDS, RADIUS, SEED = 4, 4, 42
-BLOCKS = (11, 11, 11, 11, 10, 10)
+#: Widths of the blocks and how many of them agree at 4 bits or less: keys of 20, 27 and 32 bits at least.
+SCHEMES = (((11, 11, 11, 11, 10, 10), 2), ((10, 9, 9, 9, 9, 9, 9), 3), ((8,) * 8, 4))
 SHARD, SLICE = 256, 256
 #: For groups of similar texts: five words, a Jaccard similarity of 0.8, and bands of minima that agree for such texts
 #: with a probability of 1 - (1 - 0.8 ** 3) ** 12 > 0.9998.
@@ -172,19 +174,30 @@ def spanning_links(members: list[tuple[int, int]], queries: list[tuple[int, int]
     return links
 
 
-def _block_keys(fp: Column) -> list[Column]:
-    ends = np.cumsum(BLOCKS)
-    block = [F.shiftrightunsigned(fp, int(64 - e)).bitwiseAND((1 << w) - 1) for e, w in zip(ends, BLOCKS, strict=True)]
-    return [
-        F.lit(k << 40) + F.shiftleft(block[a], 16) + block[b] for k, (a, b) in enumerate(combinations(range(len(BLOCKS)), 2))
-    ]
+def scheme_for(count: int, shard: int = SHARD) -> tuple[tuple[int, ...], int]:
+    """The fewest blocks with which so many fingerprints make shards of at most the given size, were they spread evenly."""
+    fitting = [s for s in SCHEMES if count <= shard << sum(sorted(s[0])[: s[1]])]
+    return fitting[0] if fitting else SCHEMES[-1]
 
 
-def links(values: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
+def _block_keys(fp: Column, widths: tuple[int, ...], agree: int) -> list[Column]:
+    ends = np.cumsum(widths)
+    block = [F.shiftrightunsigned(fp, int(64 - e)).bitwiseAND((1 << w) - 1) for e, w in zip(ends, widths, strict=True)]
+    keys = []
+    for k, chosen in enumerate(combinations(range(len(widths)), agree)):
+        key = F.lit(0).cast("long")
+        for b in chosen:
+            key = F.shiftleft(key, widths[b]) + block[b]
+        keys.append(key + (k << 40))
+    return keys
+
+
+def links(values: DataFrame, radius: int = RADIUS, shard: int = SHARD, scheme: tuple[tuple[int, ...], int] | None = None) -> DataFrame:
     """Distinct fingerprints (fp) -> links (a, b), enough of them to hold every component together."""
-    if radius > len(BLOCKS) - 2:
-        raise ValueError("two blocks must agree: the radius can be 4 at most")
-    keyed = values.select(F.col("fp").alias("node"), "fp", F.explode(F.array(*_block_keys(F.col("fp")))).alias("key"))
+    widths, agree = scheme or scheme_for(values.count(), shard)
+    if radius > len(widths) - agree:
+        raise ValueError("so many blocks needn't agree at this radius")
+    keyed = values.select(F.col("fp").alias("node"), "fp", F.explode(F.array(*_block_keys(F.col("fp"), widths, agree))).alias("key"))
     return shard_links(_crowded(keyed), radius, shard)
 
 
