@@ -52,7 +52,8 @@ def op6_voronoi_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    manifest = training_order.materialise(texts(spark, sf_dir))
+    """The ids of op5's vocabulary fit 16 bits."""
+    manifest = training_order.materialise(bpe.encode(texts(spark, sf_dir), vocabulary()), width=2)
     return training_order.read(manifest).select("slot", "shard", "byte_offset", "doc_id", "seq", "n_tokens", F.crc32("tokens").alias("tokens_crc32"))
 
 
@@ -101,6 +102,12 @@ def _rule_cases() -> str:
     return "CASE " + " ".join(cases) + " END"
 
 
+def _suffix_labels() -> str:
+    """How many labels a host's suffix has."""
+    by_size = [(n, [x for x in url_filter.SUFFIXES if x.count(".") + 1 == n]) for n in sorted({x.count(".") + 1 for x in url_filter.SUFFIXES}, reverse=True)]
+    return "CASE " + " ".join(f"WHEN array_to_string(labels[-{n}:], '.') IN ({', '.join(map(repr, names))}) THEN {n}" for n, names in by_size) + " ELSE 1 END"
+
+
 def _strength_sql(groups: str) -> str:
     return f"""
         SELECT rate, CASE WHEN most > 0 AND spread / most > 0
@@ -115,8 +122,8 @@ ORACLES: dict[str, str] = {
         WITH quality AS (SELECT doc_id, CASE WHEN max(quality) >= 1 THEN 1.0 ELSE 0.5 END AS weight
                          FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id HAVING max(quality) IS NOT NULL),
         d AS (SELECT d.doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
-                     -ln((CAST('0x' || md5('{mixing.SEED}:' || coalesce(CAST(d.doc_id AS VARCHAR), 'null'))[1:13] AS BIGINT) + 0.5) / 4503599627370496.0)
-                       / coalesce(weight, {mixing.DEFAULT_WEIGHT}) AS key
+                     -ln((CAST('0x' || md5('{mixing.SEED}:' || coalesce(CAST(d.doc_id AS VARCHAR), 'null:' || sha256(coalesce(text, ''))))[1:13] AS BIGINT) + 0.5) / 4503599627370496.0)
+                       / coalesce(weight, {mixing.DEFAULT_WEIGHT}) AS key, sha256(coalesce(text, '')) AS sha
               FROM documents d LEFT JOIN quality USING (doc_id)),
         s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
         w AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight FROM s),
@@ -129,17 +136,25 @@ ORACLES: dict[str, str] = {
         t AS (SELECT source, source_size, CASE WHEN filled THEN CAST(cap AS DOUBLE) ELSE CAST(left_words * weight AS DOUBLE) / CAST(left_weight AS DOUBLE) END AS target FROM h),
         e AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS epochs FROM t),
         r AS (SELECT d.*, source_size, target, epochs, target - epochs * source_size AS rest,
-                     sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id, size ROWS UNBOUNDED PRECEDING) AS upto
+                     sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id, sha ROWS UNBOUNDED PRECEDING) AS upto
               FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source)
         SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
-               CAST((epochs + CASE WHEN upto - size / 2.0 <= rest THEN 1 ELSE 0 END) * size AS BIGINT) AS taken
+               CAST(least(epochs + CASE WHEN upto - size / 2.0 <= rest THEN 1 ELSE 0 END, {mixing.MOST_EPOCHS}) * size AS BIGINT) AS taken
         FROM r""",
     "op4_url_filter": f"""
         WITH u AS (SELECT page_id, {_HOST} AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
-        h AS (SELECT host, array_to_string(string_split(host, '.')[-2:], '.') AS domain, string_split(host, '.')[-1] AS suffix,
-                     CAST(count(*) AS DOUBLE) AS n,
-                     CAST(sum(CASE WHEN regexp_matches(host, '(^|[.-])({"|".join(url_filter.SEED_NAMES)})([.-]|$)') THEN 1 ELSE 0 END) AS DOUBLE) AS bad
-              FROM u GROUP BY ALL),
+        b AS (SELECT {_HOST} AS host, lower(url) AS url, html,
+                     regexp_replace(regexp_replace(html, '(?s)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '<[^>]*>', ' ', 'g') AS said,
+                     regexp_extract_all(html, '(?s)<p>(.*?)</p>', 1) AS parts FROM pages),
+        w AS (SELECT *, greatest(len(regexp_extract_all(said, '[^\x20\x09-\x0D]+')), 1) AS words FROM b),
+        o AS (SELECT host, string_split(regexp_replace(host, ':[0-9]*$', ''), '.') AS labels,
+                     coalesce(regexp_matches(url, '[./-]({"|".join(url_filter.SEED_NAMES)})([./-]|$)'), false)
+                     OR coalesce(len(regexp_extract_all(said, '[%#*$]{{3}}|(&amp;){{3}}')) / words >= {url_filter.JUNK} OR len(regexp_extract_all(said, '!!')) / words >= {url_filter.SHOUTED}
+                                 OR len(regexp_extract_all(html, '<a[\\s>]')) / words >= {url_filter.LINKS}
+                                 OR len(parts) > 0 AND 1 - len(list_distinct(parts)) / greatest(len(parts), 1) >= {url_filter.REPEATED}, false) AS bad FROM w),
+        q AS (SELECT *, {_suffix_labels()} AS k FROM o),
+        h AS (SELECT host, array_to_string(labels[-least(k + 1, len(labels)):], '.') AS domain, array_to_string(labels[-least(k, len(labels)):], '.') AS suffix,
+                     CAST(count(*) AS DOUBLE) AS n, CAST(sum(CASE WHEN bad THEN 1 ELSE 0 END) AS DOUBLE) AS bad FROM q GROUP BY ALL),
         d AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM h GROUP BY ALL),
         s AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM d GROUP BY ALL),
         ks AS ({_strength_sql("s")}), kd AS ({_strength_sql("d")}), kh AS ({_strength_sql("h")}),
@@ -153,12 +168,12 @@ ORACLES: dict[str, str] = {
                CASE WHEN fit IS NOT NULL THEN string_split(fit, ' ')[2] WHEN blocked THEN 'block' ELSE 'allow' END AS verdict
         FROM j""",
     "op6_voronoi_top_k": """
-        WITH v AS (SELECT vec_id, [floor(64 * CAST(x AS DOUBLE)) FOR x IN embedding] AS v FROM embeddings
-                   WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len([x FOR x IN embedding IF x IS NOT NULL AND isfinite(x)]) = len(embedding)),
-        s AS (SELECT q.vec_id AS query_id, d.vec_id, CAST(list_dot_product(q.v, d.v) AS BIGINT) AS score
-              FROM v q JOIN v d ON q.vec_id <> d.vec_id WHERE q.vec_id % 20 = 0)
+        WITH v AS MATERIALIZED (SELECT row_number() OVER () AS place, vec_id, [floor(64 * CAST(x AS DOUBLE)) FOR x IN embedding] AS v FROM embeddings
+                   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len([x FOR x IN embedding IF x IS NOT NULL AND isfinite(x)]) = len(embedding)),
+        s AS (SELECT q.place, q.vec_id AS query_id, d.vec_id, CAST(list_dot_product(q.v, d.v) AS BIGINT) AS score
+              FROM v q JOIN v d ON q.place <> d.place WHERE q.vec_id % 20 = 0)
         SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
-        FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20""",
+        FROM (SELECT *, row_number() OVER (PARTITION BY place ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20""",
     "op9_chat_format": r"""
         WITH said AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
                       UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'

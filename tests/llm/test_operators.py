@@ -7,6 +7,7 @@ import re
 from collections import defaultdict
 from itertools import combinations
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -52,12 +53,15 @@ def rows(df):
 def test_chunks_join_to_the_text_and_resynchronise(spark):
     rng = random.Random(3)
     long = "".join(rng.choice(["word ", "Sentence end. ", "line\n", "x" * 50, "🙂"]) for _ in range(3000))
-    texts = [long, "new start " + long, "", "a" * 20_000, "\n" * 5000]
+    han = "".join(chr(rng.randint(0x4E00, 0x9FFF)) for _ in range(60_000))
+    flat = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789{};=()") for _ in range(80_000))
+    texts = [long, "new start " + long, han, "新" + han, flat, "x=1;" + flat, "", "a" * 20_000, "\n" * 5000]
     df = spark.createDataFrame([(t,) for t in texts], "text string").select(exact_dedup.chunks(F.col("text")).alias("c"), "text")
     found = df.collect()
-    assert all("".join(r.c) == r.text for r in found)
+    assert all("".join(r.c).encode("latin-1").decode() == r.text for r in found)
     assert max(len(c) for r in found for c in r.c) <= exact_dedup.MAX_CHUNK
-    assert len(set(found[0].c) & set(found[1].c)) > len(found[0].c) / 2
+    for k in (0, 2, 4):
+        assert len(set(found[k].c) & set(found[k + 1].c)) > len(found[k].c) / 2
 
 
 def test_exact_groups_of_odd_rows(spark, odd, none):
@@ -81,6 +85,18 @@ def test_dropping_copies_keeps_columns_and_one_row(odd, none):
     assert exact_dedup.drop_copies(none).count() == 0
 
 
+def test_helper_names_are_the_callers(spark):
+    """Columns named like the helpers of any stage come back as they were; an id that reads null is no null."""
+    names = ["id", "from", "sha", "row", "copies", "copy", "times", "found", "__id", "__sha"]
+    data = [(1, "a b c", "en", "s", *("keep me",) * len(names)), (1, "a b c", "en", "s", *("keep me",) * len(names)), (2, "d e", "en", "s", *("keep me",) * len(names))]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, " + ", ".join(f"`{n}` string" for n in names))
+    for kept in (exact_dedup.drop_copies(df), near_dedup.drop_near_copies(df), mixing.mixed_documents(df)):
+        assert kept.columns == df.columns and {r[n] for r in kept.collect() for n in names} == {"keep me"}
+    ids = spark.createDataFrame([("null", "x", "", ""), (None, "x", "", ""), (None, "y", "", "")], "doc_id string, text string, lang string, source string")
+    assert sorted(map(str, exact_dedup.drop_copies(ids).select("doc_id", "text").collect())) == sorted(["Row(doc_id='null', text='x')", "Row(doc_id=None, text='y')"])
+
+
+
 def test_shared_identifiers_are_told_apart(spark, monkeypatch):
     """With a hash that is the same for all chunks, digests decide."""
     real = F.xxhash64
@@ -117,6 +133,57 @@ def test_mix_meets_targets_and_agrees_with_itself(spark):
     assert again.columns == df.columns and again.count() == sum(r["copies"] for r in found)
 
 
+def slow_mix(data, weights):
+    """data (doc_id, text, lang, source): words taken of each (doc_id, source, text), by one sort of a source's rows."""
+    words = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    sizes = defaultdict(int)
+    for _, t, _, s in data:
+        sizes[s] += words(t)
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    share, open_ = {s: k % 3 + 1 for k, s in enumerate(order)}, list(order)
+    total, target = sum(sizes.values()), {}
+    while open_:
+        left = total - sum(target.values())
+        full = [s for s in open_ if left * share[s] / sum(share[x] for x in open_) >= 3 * sizes[s]]
+        if not full:
+            target |= {s: left * share[s] / sum(share[x] for x in open_) for s in open_}
+            break
+        target |= {s: 3 * sizes[s] for s in full}
+        open_ = [s for s in open_ if s not in full]
+
+    def key(r):
+        sha = hashlib.sha256((r[1] or "").encode()).hexdigest()
+        name = f"null:{sha}" if r[0] is None else str(r[0])
+        u = (int(hashlib.md5(f"{mixing.SEED}:{name}".encode()).hexdigest()[:13], 16) + 0.5) / (1 << 52)
+        return -np.log(u) / weights.get(r[0], mixing.DEFAULT_WEIGHT), r[0] is not None, r[0] or 0, sha
+
+    taken = defaultdict(int)
+    for s in order:
+        whole = int(target[s] // sizes[s]) if sizes[s] else 0
+        rest, upto = target[s] - whole * sizes[s], 0
+        for r in sorted((r for r in data if r[3] == s), key=key):
+            n = words(r[1])
+            upto += n
+            taken[r[0], s, r[1] or ""] += min(whole + (upto - n / 2 <= rest), 3) * n
+    return taken
+
+
+def test_mix_of_repeated_ids_against_one_sort(spark):
+    rng = random.Random(11)
+    data = [(i % 50, "w " * rng.randint(0, 40), "en", "ab"[i % 2]) for i in range(0, 200)] + [(None, "x y " * (i % 5), "en", "b") for i in range(60)] + [(7, "same text", "en", "c")] * 40 + [(8, "", "en", "d"), (9, "one", "en", "d")]
+    df, weights = docs_of(spark, data), {i: 1e-9 if i % 3 else 1.0 for i in range(50)}
+    table = spark.createDataFrame(list(weights.items()), "doc_id long, weight double")
+    want = slow_mix(data, weights)
+    for most in (1, 10, mixing.SORTED):
+        found = rows(mixing.mix(df, table, most_rows=most))
+        assert len(found) == len(data) and max(r["copies"] for r in found) <= 3
+        assert sum(r["taken"] for r in found) == sum(want.values())
+    whole = defaultdict(int)
+    for r in mixing.mixed_documents(df, table).collect():
+        whole[r.doc_id, r.source, r.text] += len(r.text.split())
+    assert {k: v for k, v in whole.items() if v} == {k: v for k, v in want.items() if v}
+
+
 def test_better_documents_come_first(spark):
     df = docs_of(spark, [(i, "one two", "en", "ab"[i % 2]) for i in range(4000)] + [(9999, "w " * 6000, "en", "c")])
     weights = spark.createDataFrame([(i, 1.0 if i % 4 == 0 else 0.1) for i in range(4000)], "doc_id long, weight double")
@@ -184,6 +251,10 @@ def test_crowded_shards_are_searched_in_parts(spark):
     want = slow_components(values, lambda a, b: ((a ^ b) & (1 << 64) - 1).bit_count() <= 4)
     assert all(found.get(v, v) == want[v] for v in values)
     assert near_dedup.links(df, shard=16).count() < len(values) * 15
+    for scheme in near_dedup.SCHEMES[1:]:
+        wide = {r.node: r.root for r in near_dedup.components(near_dedup.links(df, scheme=scheme)).collect()}
+        assert all(wide.get(v, v) == want[v] for v in values)
+    assert [near_dedup.scheme_for(n)[1] for n in (10, 10**8, 10**9, 10**11, 10**13)] == [2, 2, 3, 4, 4]
 
 
 def test_bk_tree_finds_all_within_the_radius():
@@ -268,7 +339,7 @@ def test_urls_are_split_and_rules_fit(spark, none):
         (1, "https://WWW.Example.COM:80/en/70?x=://y"), (2, "x://example.net/de/81#a"), (3, "a/b"), (4, None), (5, "http://notexample.com/en/7"),
         (6, "http://example.net/de/9"), (7, "ftp://sub.org/es/"), (7, "ftp://sub.org/es/"), (8, "http://casino.example.net/de/8?"), (9, "://?"),
     ]
-    df = spark.createDataFrame(urls, "page_id long, url string").withColumn("verdict", F.lit(1)).withColumn("host", F.lit("x"))
+    df = spark.createDataFrame(urls, "page_id long, url string").withColumn("html", F.lit(None).cast("string")).withColumn("verdict", F.lit(1)).withColumn("host", F.lit("x"))
     found = {r["page_id"]: r for r in rows(url_filter.judge(df))}
     assert url_filter.judge(df).count() == len(urls)
     assert (found[1]["host"], found[1]["path"], found[1]["rule"]) == ("www.example.com:80", "/en/70", None)
@@ -278,7 +349,28 @@ def test_urls_are_split_and_rules_fit(spark, none):
     assert (found[6]["rule"], found[6]["verdict"]) == ("net/de/", "allow")
     assert (found[7]["rule"], found[7]["verdict"]) == ("org/es/", "block")
     assert found[8]["verdict"] == "block" and found[9]["host"] == ""
-    assert url_filter.judge(none.select(F.col("doc_id").alias("page_id"), F.col("text").alias("url"))).count() == 0
+    assert url_filter.judge(none.select(F.col("doc_id").alias("page_id"), F.col("text").alias("url"), F.col("lang").alias("html"))).count() == 0
+
+
+def test_pages_are_judged_by_their_own_signs(spark):
+    """A host's pages differ; its verdict comes from all of them."""
+    junk, plain = "<p>of%%% the*** and### in</p>", "<p>Words of a page.</p><p>And of another.</p>"
+    pages = [("mixed.pills-shop.org", junk)] * 9 + [("mixed.pills-shop.org", plain)] + [("good.com", plain)] * 30 + [("good.com", "<p>WHAT!! A!! DAY!!</p>"), ("good.com", "<p>a</p><p>a</p>"), ("links.com", "<a href=x>a</a> <a href=y>b</a>"), ("good.com", None)]
+    df = spark.createDataFrame([(k, f"http://{h}/x", t) for k, (h, t) in enumerate(pages)], "page_id long, url string, html string")
+    bad = [r.bad for r in df.select(url_filter.page_outcomes(F.col("url"), F.col("html"), ["none"]).alias("bad"), "page_id").orderBy("page_id").collect()]
+    assert bad == [1] * 9 + [0] + [0] * 30 + [1, 1, 1, 0]
+    outcomes = df.select(url_filter.host_of(F.col("url")).alias("host"), url_filter.page_outcomes(F.col("url"), F.col("html"), ["none"]).alias("bad"))
+    found = {r["page_id"]: r["verdict"] for r in rows(url_filter.judge(df, outcomes, rules=[]))}
+    assert {found[k] for k in range(10)} == {"block"} and {found[k] for k in range(10, 42)} == {"allow"}
+
+
+def test_suffixes_of_several_labels(spark):
+    hosts = ["a.b.shop.co.uk", "shop.co.uk", "co.uk", "www.example.com:80", "com", "", "x.y.pref.tokyo.jp"]
+    got = spark.createDataFrame([(h,) for h in hosts], "h string").select(url_filter.domain_of(F.col("h")), url_filter.suffix_of(F.col("h"))).collect()
+    assert [tuple(r) for r in got] == [("shop.co.uk", "co.uk")] * 2 + [("co.uk", "co.uk"), ("example.com", "com"), ("com", "com"), ("", ""), ("y.pref.tokyo.jp", "pref.tokyo.jp")]
+    bad = [("a%d.shop.co.uk" % k, 1) for k in range(20)] + [("a%d.fine.co.uk" % k, 0) for k in range(20)]
+    blocked = {r.host: r.blocked for r in url_filter.reputations(spark.createDataFrame(bad * 5, "host string, bad int")).collect()}
+    assert blocked["a1.shop.co.uk"] and not blocked["a1.fine.co.uk"]
 
 
 def test_hosts_are_shrunk_to_their_parents(spark):
@@ -324,16 +416,20 @@ def test_bpe_of_odd_rows(odd, none):
 def test_top_k_against_brute_force(spark, none):
     rng = np.random.default_rng(0)
     vectors = [(i, (rng.normal(size=8) if i % 3 else np.ones(8) * 0.5 + (i % 2) / 64).tolist()) for i in range(400)]
-    vectors += [(400, None), (420, []), (440, [1.0, None] + [0.0] * 6), (460, [float("nan")] * 8), (480, [float("inf")] * 8), (None, [1.0] * 8), (20, vectors[20][1]), (500, [2.0, 1.0])]
+    vectors += [(400, None), (420, []), (440, [1.0, None] + [0.0] * 6), (460, [float("nan")] * 8), (480, [float("inf")] * 8), (None, [1.0] * 8), (500, [2.0, 1.0])]
+    # Rows that share the id, with the same vector and with others.
+    vectors += [(20, vectors[20][1])] * 3 + [(20, vectors[21][1]), (40, vectors[20][1]), (21, vectors[20][1])]
     df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>").withColumn("score", F.lit("x"))
     found = defaultdict(list)
     for r in rows(topk.top_k(df, F.col("vec_id") % 20 == 0, 20, block=32, chunk=8, pivots=5)):
         found[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
-    ints = {i: np.floor(64 * np.pad(np.array(v, np.float32), (0, 8 - len(v))).astype(float)).astype(int) for i, v in vectors if i is not None and v and None not in v and np.isfinite(v).all()}
-    for q in [i for i in ints if i % 20 == 0]:
-        want = sorted((-int(ints[q] @ v), i) for i, v in ints.items() if i != q)[:20]
-        assert sorted(found[q]) == [(k + 1, i, -s) for k, (s, i) in enumerate(want)]
-    assert set(found) == {i for i in ints if i % 20 == 0}
+    ints = [(i, np.floor(64 * np.pad(np.array(v, np.float32), (0, 8 - len(v))).astype(float)).astype(int)) for i, v in vectors if i is not None and v and None not in v and np.isfinite(v).all()]
+    want = defaultdict(list)
+    for at, (q, u) in enumerate(ints):
+        if q % 20 == 0:
+            best = sorted((-int(u @ v), i) for k, (i, v) in enumerate(ints) if k != at)[:20]
+            want[q] += [(k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    assert {q: sorted(x) for q, x in found.items()} == {q: sorted(x) for q, x in want.items()}
     empty = none.select(F.col("doc_id").alias("vec_id"), F.array(F.lit(1.0)).alias("embedding"))
     assert topk.top_k(empty, F.col("vec_id") % 20 == 0).count() == 0
 
@@ -354,19 +450,41 @@ def test_permutation_is_a_bijection():
     assert (training_order.Permutation(1000, "k")(np.arange(1000)) != training_order.Permutation(1000, "l")(np.arange(1000))).any()
 
 
-def test_shards_hold_every_text_in_slot_order(spark, odd, none, tmp_path):
-    manifest = training_order.materialise(odd, folder=str(tmp_path / "s"), length=64, shard_records=100)
-    found = rows(training_order.read(manifest))
-    assert sorted(r["slot"] for r in found) == list(range(len(found))) and all(r["byte_offset"] == (r["slot"] - r["shard"] * 100) * 80 for r in found)
-    texts = defaultdict(list)
+def ids_of(spark, data):
+    packed = [(d, None if x is None else np.array(x, "<u4").tobytes()) for d, x in data]
+    return spark.createDataFrame(packed, "doc_id long, ids binary").withColumn("slot", F.lit("x"))
+
+
+def test_slots_are_those_of_the_sorted_documents(spark, tmp_path):
+    rng = random.Random(13)
+    data = [(k, [rng.randint(0, 50_000) for _ in range(rng.choice([0, 1, 63, 64, 65, 300]))]) for k in range(120)] + [(5, [1, 2])] * 2 + [(None, [7] * 70), (9, None), (200, list(range(20_000)))]
+    df = ids_of(spark, data)
+    sequences = []
+    for d, x in sorted(((d, x) for d, x in data if x), key=lambda r: training_order.content_order(r[0], np.array(r[1], "<u4").tobytes())):
+        sequences += [(d, k, x[k * 64 : k * 64 + 64]) for k in range(-(-len(x) // 64))]
+    slots = training_order.Permutation(len(sequences), "k")(np.arange(len(sequences)))
+    want = {int(slot): s for slot, s in zip(slots, sequences, strict=True)}
+    for name, own in (("a", df), ("b", df.repartition(7))):
+        manifest = training_order.materialise(own, "k", folder=str(tmp_path / name), length=64, shard_records=100, width=2)
+        found = rows(training_order.read(manifest))
+        assert {r["slot"]: (r["doc_id"], r["seq"], np.frombuffer(r["tokens"], "<u2").tolist()) for r in found} == want and len(found) == len(want)
+        assert all(r["byte_offset"] == (r["slot"] - r["shard"] * 100) * (16 + 128) for r in found)
+        rest = rows(training_order.read(manifest, 250))
+        assert sorted(map(str, rest)) == sorted(str(r) for r in found if r["slot"] >= 250)
+    assert training_order.materialise(ids_of(spark, [])).count() == 0
+    with pytest.raises(Exception, match="too large"):
+        training_order.materialise(ids_of(spark, [(1, [1 << 16])]), width=2)
+
+
+def test_encoded_documents_read_back(spark, odd, tmp_path):
+    coded = bpe.encode(odd, queries.vocabulary())
+    found = rows(training_order.read(training_order.materialise(coded, folder=str(tmp_path / "s"), width=2)))
+    texts = defaultdict(bytes)
     for r in sorted(found, key=lambda r: r["seq"]):
-        texts[r["doc_id"]].append(bytes(r["tokens"]))
-    for d in (1, None, 6, 7, 8, 9):
-        assert b"".join(texts[d]).decode() == next(t for i, t, *_ in ODD if i == d)
-    assert len(texts[2]) == 2 and not {3, 4} & set(texts)
-    rest = rows(training_order.read(manifest, 250))
-    assert sorted(map(str, rest)) == sorted(str(r) for r in found if r["slot"] >= 250)
-    assert training_order.materialise(none).count() == 0
+        if r["doc_id"] != 2:
+            texts[r["doc_id"]] += np.frombuffer(r["tokens"], "<u2").astype("<u4").tobytes()
+    coder = queries.vocabulary().load()
+    assert {d: coder.decode(x).decode() for d, x in texts.items()} == {d: t for d, t, *_ in ODD if t and d != 2}
 
 
 # Language ID
@@ -398,6 +516,44 @@ def test_phrases_are_longest_matches():
     assert parser.phrases([text, text[:2], text[:0]]).tolist() == [[3, 1, 0]]
 
 
+def test_predictions_against_brute_force(spark):
+    """Each language's longest match, symbol by symbol, by searching its sample."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = language_id.train(docs)
+    tables = language_id.symbol_tables(model.letters)
+
+    def phrases(text, sample):
+        count, match = 1, b""
+        for at, c in enumerate(text):
+            if at and at % language_id.SEGMENT == 0:
+                count, match = count + 1, b""
+            longer = match + bytes([c])
+            if longer in sample:
+                match = longer
+            else:
+                count, match = count + 1, bytes([c]) if bytes([c]) in sample else b""
+        return count
+
+    found = {r["doc_id"]: r for r in rows(language_id.predict(docs, model))}
+    for r in docs.orderBy(F.length("text")).limit(60).collect():
+        text = language_id.symbols(r.text, tables).tobytes()
+        costs = [phrases(text, s) * np.log2(len(s) + 1.0) for s in model.samples]
+        own = found[r.doc_id]
+        assert own["lang_pred"] == model.languages[int(np.argmin(costs))]
+        assert own["score"] == pytest.approx(1 / sum(np.exp(min(costs) - c) for c in costs))
+        assert own["evidence"] == pytest.approx(6 * len(text) - min(costs))
+
+
+def test_scripts_of_many_letters_are_told_apart(spark):
+    rng = random.Random(14)
+    scripts = {"zh": range(0x4E00, 0x4E00 + 1500), "ja": [*range(0x3041, 0x3097), *range(0x4E00, 0x4E00 + 1500, 3)], "ko": range(0xAC00, 0xAC00 + 1200), "ru": range(0x430, 0x450)}
+    words = {n: ["".join(chr(rng.choice(list(r))) for _ in range(rng.randint(1, 4))) for _ in range(400)] for n, r in scripts.items()}
+    said = lambda n, k: "，".join(rng.choice(words[n]) for _ in range(k))
+    model = language_id.train(docs_of(spark, [(k * 10 + j, said(n, 300), n, "") for j, n in enumerate(words) for k in range(20)]), F.lit(True))
+    asked = [(k, said(n, 40), "", n) for k, n in enumerate(list(words) * 10)]
+    assert {r["doc_id"]: r["lang_pred"] for r in rows(language_id.predict(docs_of(spark, asked), model))} == {k: n for k, _, _, n in asked}
+
+
 def test_languages_of_held_out_documents(spark, odd, none):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     found = language_id.predict(docs, language_id.train(docs)).join(docs.select("doc_id", "lang"), "doc_id").filter(language_id.held_out(F.col("doc_id"))).toPandas()
@@ -440,18 +596,83 @@ def test_held_out_toxic_documents(spark, toxic_model):
     assert (found["predicted"] == found["toxic"]).mean() > 0.93 and found["score"].between(0, 1).all()
 
 
-def test_disguised_words_are_restored(spark):
-    texts = [(i, "you are an idiot and a stupid clown said the other man on the hill in the morning", "en", "a") for i in range(30)]
-    counts = toxicity.trigram_counts(docs_of(spark, texts)).toPandas()
+SAID = ["you are an idiot and a stupid clown said the other man on the hill in the morning", "read the book you fool"]
+
+
+@pytest.fixture(scope="session")
+def restorer(spark):
+    counts = toxicity.trigram_counts(docs_of(spark, [(i, SAID[i % 2], "en", "a") for i in range(60)])).toPandas()
     total = np.zeros(toxicity.WIDTH**3, np.int64)
     total[counts["gram"]] = counts["count"]
-    restorer = toxicity.Restorer(toxicity.language_model(total))
-    assert restorer.text("You 1d10t, st00pid st.u.p.i.d cl0wn!!") is not None
-    assert "idiot" in restorer.text("an 1d1ot and")
-    assert "idiot" in restorer.text("an i d i o t and")
-    assert "stupid" in restorer.text("a $tup1d man")
-    assert "clown" in restorer.text("a cloooown")
+    return toxicity.Restorer(toxicity.language_model(total))
+
+
+def test_disguised_words_are_restored(restorer):
+    for disguise, word in (
+        ("1d10t", "idiot"), ("st00pid", "stupid"), ("b00k", "book"), ("f00l", "fool"), ("st.u.p.i.d", "stupid"), ("st-upid", "stupid"), ("id-iot", "idiot"), ("st upid", "stupid"), ("stuupid", "stupid"),
+        ("iddiot", "idiot"), ("i d i o t", "idiot"), ("s t u p i d", "stupid"), ("$tup1d", "stupid"), ("cloooown", "clown"), ("cl0wn", "clown"), ("ST0OPID", "stoopid"), ("i.d.1.o.t", "idiot"),
+    ):
+        if word in SAID[0] + SAID[1]:
+            assert restorer.text(disguise) == word, disguise
+            assert restorer.text(f"you are an {disguise}!! and") == f"you are an {word}!! and"
+    assert restorer.text("You 1d10t, st00pid st.u.p.i.d cl0wn!!") == "you idiot, stupid stupid clown!!"
     assert restorer.text("tion$$$ and%%% HEING,!! plain") == "tion$$$ and%%% heing,!! plain"
+    assert restorer.texts(["", "1d10t", "", "the other man", "st00pid"]) == ["", "idiot", "", "the other man", "stupid"]
+
+
+def test_disguises_of_common_words_are_mostly_restored(spark, toxic_model):
+    """Drawn-out letters, signs and separators put into the frequent words of a corpus."""
+    rng = random.Random(15)
+    restorer = toxicity.Restorer(np.frombuffer(toxic_model.costs, np.float32).reshape((toxicity.WIDTH,) * 3))
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("lang = 'en'").select("text").limit(300).collect()]
+    common = sorted({w for w in re.findall("[a-z]{5,9}", " ".join(texts)) if restorer.text(w) == w})
+    signs = {"o": "0", "i": "1", "e": "3", "a": "@", "s": "$", "t": "7"}
+    right, tried = 0, 0
+    for word in rng.sample(common, 300):
+        at = rng.randrange(1, len(word) - 1)
+        for own in (word[:at] + word[at] * 3 + word[at:][1:], word[:at] + signs.get(word[at], word[at]) + word[at + 1 :], word[:at] + "." + word[at:]):
+            right += restorer.text(own) == word
+            tried += 1
+    assert right > 0.7 * tried
+
+
+def test_memory_is_bounded_for_long_tokens(restorer):
+    import tracemalloc
+
+    text = "1d10t" * 40_000 + "x" * 200_000
+    tracemalloc.start()
+    found = restorer.text(text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert "idiotidiot" in found and peak < 100 * len(text)
+
+
+def test_segments_are_read_as_the_whole_lattice_is(restorer):
+    """Cutting at places with one reading changes nothing: one search over the whole text finds the same."""
+    rng = random.Random(16)
+    for _ in range(60):
+        text = "".join(rng.choice(["idiot", "1d1ot", "the", " ", " ", "st", "upid", "00", "o", "book", "-", "."]) for _ in range(8)).strip()
+        begin, end = restorer.segments(toxicity.codes(text))
+        columns, done = [], 0
+        for b, e in zip(begin.tolist(), end.tolist(), strict=True):
+            columns += [[(c, 0.0)] for c in text[done:b]] + list(toxicity.lattice(text[b:e], False))
+            done = e
+        columns += [[(c, 0.0)] for c in text[done:]]
+        assert restorer.texts([text])[0] == toxicity.viterbi(columns, restorer.model, restorer.symbol) or restorer.spaced(toxicity.codes(text)).size
+
+
+def test_scores_against_brute_force(spark, toxic_model):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    found = {r["doc_id"]: r["score"] for r in rows(toxicity.score(docs, toxic_model))}
+    restorer = toxicity.Restorer(np.frombuffer(toxic_model.costs, np.float32).reshape((toxicity.WIDTH,) * 3))
+    for r in docs.collect():
+        words = "".join(c if c.isalpha() else " " for c in restorer.text(r.text or "")).split()
+        counts = defaultdict(int)
+        for word in words:
+            for name in [word + "$", *(word[:n] for n in (3, 4, 5, 6) if len(word) > n)]:
+                counts[xxhash.xxh32_intdigest(name) >> 10] += 1
+        z = toxic_model.bias + toxic_model.length_weight * np.log(1 + len(words)) + sum(toxic_model.weights[toxic_model.index[f]] * np.log(1 + n) for f, n in counts.items() if f in toxic_model.index)
+        assert found[r.doc_id] == pytest.approx(1 / (1 + np.exp(-np.clip(z, -40, 40))), abs=1e-9)
 
 
 def test_viterbi_finds_the_cheapest_path():
@@ -518,6 +739,40 @@ def test_queries_cover_the_ten_operators():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
 
 
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_query_matches_sql(spark, name):
+    con = duckdb.connect()
+    for table in ("documents", "labels", "pages", "embeddings", "conversations"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
+    found, want = queries.QUERIES[name](spark, SF).toPandas(), con.execute(queries.ORACLES[name]).df()
+    text = lambda df: sorted(map(str, df[sorted(df.columns)].round(6).astype(object).itertuples(index=False, name=None)))
+    assert sorted(found.columns) == sorted(want.columns) and text(found) == text(want)
+
+
+@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.ORACLES)))
+def test_query_answers_for_every_document(spark, name):
+    """Without SQL the operators are tested by brute force above; the queries are whole and repeat themselves."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id").toPandas()["doc_id"].tolist()
+    found = queries.QUERIES[name](spark, SF).toPandas()
+    assert set(found["doc_id"]) == set(docs) and ("slot" in found or sorted(found["doc_id"]) == sorted(docs))
+    again = queries.QUERIES[name](spark, SF).toPandas()
+    assert sorted(map(str, found.itertuples(index=False))) == sorted(map(str, again.itertuples(index=False)))
+
+
+def test_language_stage_of_odd_rows(spark, odd, none):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(17)
+    letters = "etaoinshr"
+    base = [(100 + k, " ".join("".join(rng.choice(letters) for _ in range(4)) for _ in range(200)), "en", "a") for k in range(30)]
+    noise = "".join(chr(rng.randint(0x400, 0x2FFF)) for _ in range(4000))
+    df = docs_of(spark, base + [(1, None, "en", "a"), (None, base[0][1], None, "a"), (2, "", None, "a"), (3, "eta", None, "a"), (4, noise, "en", "a"), (5, base[1][1] * 100, None, None)]).withColumn("found", F.lit("own"))
+    kept = corpus_pipeline.keep_known_languages(spark, df, SF)
+    assert kept.columns == df.columns
+    got = {r.doc_id: (r.lang, r.found) for r in kept.collect()}
+    assert set(got) == {d for d, *_ in base} | {None, 3, 5} and set(got.values()) == {("en", "own")}
+    assert corpus_pipeline.keep_known_languages(spark, none, SF).count() == 0
+
+
 def test_pipeline_stages_keep_whole_rows(spark, odd):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     docs = spark.read.parquet(f"{SF}/documents.parquet")
