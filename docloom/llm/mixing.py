@@ -27,7 +27,7 @@ from docloom.session import cut
 WORD = r"[^\x20\x09-\x0D]+"
 DEFAULT_WEIGHT = 0.75
 MOST_EPOCHS = 3
-RANGES, SORTED = 256, 20_000
+RANGES, SORTED = 256, 1_000
 #: 52 bits of a digest make the uniform number.
 SEED = "mix-1"
 
