@@ -112,12 +112,12 @@ def stitch(vocabulary: Vocabulary) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def run(chunks: pd.DataFrame) -> pd.DataFrame:
         coder = vocabulary.load()
         rows = chunks.sort_values("chunk").to_dict("records")
-        text, start, begins = rows[0]["text"], 0, np.frombuffer(rows[0]["begins"], np.int64)
+        text, start, begins = rows[0]["text"], 0, np.frombuffer(rows[0]["begins"], np.int32).astype(np.int64)
         certain, pieces = 0, []
         pending, end = [], len(text)
         for k, row in enumerate(rows[1:], 1):
             if not pending:
-                theirs = np.frombuffer(row["begins"], np.int64) + row["start"]
+                theirs = np.frombuffer(row["begins"], np.int32) + np.int64(row["start"])
                 both = np.intersect1d(begins + start, theirs, assume_unique=True)
                 both = both[both >= certain]
                 if len(both):
@@ -155,7 +155,13 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text
     def pretokenise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         coder = vocabulary.load()
         for batch in batches:
-            found = [coder.begins(t, last).tobytes() for t, last in zip(batch["text"], batch["last"], strict=True)]
+            found = []
+            for text, last in zip(batch["text"], batch["last"], strict=True):
+                # Only begins that a neighbour may share, and the last one.
+                begins = coder.begins(text, last)
+                keep = (begins <= overlap) | (begins >= chunk)
+                keep[-1:] = True
+                found.append(begins[keep].astype(np.int32).tobytes())
             yield batch.drop(columns="last").assign(begins=found)
 
     read = parts.mapInPandas(pretokenise, "key string, chunk int, start int, text string, begins binary")
