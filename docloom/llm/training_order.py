@@ -10,9 +10,11 @@ unsigned numbers of ``width`` bytes, padded with zeros. Numbers are little-endia
 smallest 64-bit number.
 
 Sequences are numbered by content: documents in the order of a hash of doc_id and ids, so the order doesn't depend on how
-the input is split. Ranges of that hash are sorted apart and counted; only the counts of ranges meet. The sorted
-documents are written to the shared folder first, so a task that runs again reads the same rows. A shard is written under
-a passing name and then renamed, so tasks may run again, or twice at a time.
+the input is split. The packed documents are written to the shared folder once; only their hashes and sizes are sorted,
+by ranges of the hash, and of ranges only the counts meet. Each document's first number is written to a table, parted as
+the documents are, where the task that has the document reads it. So ids move once, to their shards, and a task that runs
+again reads the same rows. A shard is written under a passing name and then renamed, so tasks may run again, or twice at
+a time.
 
 Defined results: null and empty ids have no sequence; rows that repeat are written each; an id too large for the width is
 an error; an empty table gives no shard. Other columns are not read, whatever their names.
@@ -28,9 +30,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.session import cut, shared_folder
@@ -82,6 +86,16 @@ def _qualified(spark: SparkSession, folder: str) -> str:
     return f"file://{path[5:]}" if path.startswith("file:/") and not path.startswith("file://") else path
 
 
+def _numbers(folder: str, part: int) -> np.ndarray:
+    """The first numbers of a partition's documents, in the order of its rows."""
+    fs, base = pafs.FileSystem.from_uri(f"{folder}/part={part}")
+    files = [f for f in fs.get_file_info(pafs.FileSelector(base)) if f.path.endswith(".parquet")]
+    found = pa.concat_tables([pq.read_table(f.path, filesystem=fs, columns=["row", "first"], partitioning=None) for f in files])
+    out = np.zeros(len(found), np.int64)
+    out[found["row"].to_numpy()] = found["first"].to_numpy()
+    return out
+
+
 def materialise(docs: DataFrame, key: str = "order-1", id_col: str = "doc_id", ids_col: str = "ids", folder: str | None = None, length: int = LENGTH, shard_records: int = SHARD_RECORDS, width: int = 4) -> DataFrame:
     """docs (doc_id, ids as little-endian unsigned 32-bit numbers): writes the shards and returns their manifest: shard, path, first_slot, records, length, width."""
     spark = docs.sparkSession
@@ -89,7 +103,8 @@ def materialise(docs: DataFrame, key: str = "order-1", id_col: str = "doc_id", i
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).alias("ids")).filter(F.octet_length("ids") > 0)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compress = zstandard.ZstdCompressor(level=1).compress
+        compress = zstandard.ZstdCompressor(level=3).compress
+        part, row = TaskContext.get().partitionId(), 0
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 own = batch.slice(at, SLICE).to_pydict()
@@ -101,21 +116,27 @@ def materialise(docs: DataFrame, key: str = "order-1", id_col: str = "doc_id", i
                     sizes.append(len(wide))
                     blocks.append(compress(wide.astype(f"<u{width}").tobytes()))
                 order = [content_order(d, ids) for d, ids in zip(own["doc_id"], own["ids"], strict=True)]
-                yield pa.RecordBatch.from_pydict({"place": pa.array(order, pa.int64()), "doc_id": pa.array(own["doc_id"], pa.int64()), "size": pa.array(sizes, pa.int64()), "block": pa.array(blocks, pa.binary())})
-
+                size = len(blocks)
+                yield pa.RecordBatch.from_pydict({
+                    "part": pa.array([part] * size, pa.int32()), "row": pa.array(range(row, row + size), pa.int64()), "place": pa.array(order, pa.int64()),
+                    "doc_id": pa.array(own["doc_id"], pa.int64()), "size": pa.array(sizes, pa.int64()), "block": pa.array(blocks, pa.binary()),
+                })
+                row += size
+
+    dealt = cut(rows.mapInArrow(pack, "part int, row long, place long, doc_id long, size long, block binary"))
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    packed_docs = rows.mapInArrow(pack, "place long, doc_id long, size long, block binary")
-    part = F.shiftright(F.shiftright("place", 31) * ranges, 32).cast("int").alias("part")
-    dealt = cut(packed_docs.select("*", part).repartitionById(ranges, F.col("part")).sortWithinPartitions("part", "place", "doc_id", "block"))
+    keys = dealt.select("part", "row", "place", "doc_id", F.ceil(F.col("size") / length).cast("long").alias("n"), F.shiftright(F.shiftright("place", 31) * ranges, 32).cast("int").alias("range"))
     # One row per range of the hash.
-    per = F.ceil(F.col("size") / length).cast("long")
-    counted = {r["part"]: r["n"] for r in dealt.groupBy("part").agg(F.sum(per).alias("n")).collect()}
-    parts = sorted(counted)
-    begins = dict(zip(parts, np.cumsum([0, *(counted[p] for p in parts)]).tolist(), strict=False))
-    total = sum(counted.values())
+    counted = {r["range"]: r["n"] for r in keys.groupBy("range").agg(F.sum("n").alias("n")).collect()}
+    begins = np.cumsum([0, *(counted.get(k, 0) for k in range(ranges))]).tolist()
+    total = begins[-1]
     shape = "shard int, path string, first_slot long, records long, length int, width int"
     if not total:
         return spark.createDataFrame([], shape)
+    before = Window.partitionBy("range").orderBy("place", "doc_id", "part", "row").rowsBetween(Window.unboundedPreceding, 0)
+    first = F.element_at(F.lit(begins[:ranges]), F.col("range") + 1) + F.sum("n").over(before) - F.col("n")
+    numbers_at = f"{folder}/numbers"
+    keys.select("part", "row", first.alias("first")).repartition("part").write.partitionBy("part").parquet(numbers_at)
     shards = -(-total // shard_records)
     order = Permutation(total, key)
 
@@ -136,11 +157,12 @@ def materialise(docs: DataFrame, key: str = "order-1", id_col: str = "doc_id", i
             compress = zstandard.ZstdCompressor(level=3).compress
             return pd.DataFrame({"shard": shard[bounds[:-1]].astype(np.int32), "block": [compress(out[a:b].tobytes()) for a, b in zip(bounds, bounds[1:], strict=False)]})
 
-        held, numbers, size, part, at = [], [], 0, None, 0
+        held, numbers, size, first = [], [], 0, None
         for batch in batches:
-            for own, doc_id, block in zip(batch["part"].tolist(), batch["doc_id"].astype("Int64").fillna(NO_ID).tolist(), batch["block"], strict=True):
-                if own != part:
-                    part, at = own, begins[own]
+            if first is None and len(batch):
+                first = _numbers(numbers_at, int(batch["part"].iat[0]))
+            for row, doc_id, block in zip(batch["row"].tolist(), batch["doc_id"].astype("Int64").fillna(NO_ID).tolist(), batch["block"], strict=True):
+                at = int(first[row])
                 ids = np.frombuffer(unpack(block), f"<u{width}")
                 n = -(-len(ids) // length)
                 records = np.zeros(n, kind)
@@ -149,7 +171,6 @@ def materialise(docs: DataFrame, key: str = "order-1", id_col: str = "doc_id", i
                 records["tokens"] = np.pad(ids, (0, n * length - len(ids))).reshape(n, length)
                 held.append(records)
                 numbers.append(np.arange(at, at + n))
-                at += n
                 size += records.nbytes
                 if size > PACKED_BYTES:
                     yield packed(held, numbers)
@@ -183,7 +204,7 @@ def materialise(docs: DataFrame, key: str = "order-1", id_col: str = "doc_id", i
         if blocks:
             yield store(shard, blocks)
 
-    numbered = dealt.select("part", "doc_id", "block").mapInPandas(number, "shard int, block binary")
+    numbered = dealt.select("part", "row", "doc_id", "block").mapInPandas(number, "shard int, block binary")
     tasks = min(shards, 20_000)
     by_shard = numbered.repartitionById(tasks, F.floor(F.col("shard").cast("long") * tasks / shards).cast("int")).sortWithinPartitions("shard")
     return cut(by_shard.mapInPandas(write, shape))
