@@ -13,8 +13,8 @@ from docloom.operators import locate
 
 def replace_nth(text: Column, needle: Column, replacement: Column, n: Column) -> Column:
     """The text with the n-th occurrence replaced; null if there is no such occurrence."""
-    at = locate.nth_occurrence(text, needle, n)
-    return F.concat(F.substring(text, F.lit(1), at), replacement, F.substring(text, at + F.length(needle) + 1, F.length(text)))
+    put = lambda at: F.concat(F.substring(text, F.lit(1), at), replacement, F.substring(text, at + F.length(needle) + 1, F.length(text)))
+    return locate.bound(locate.nth_occurrence(text, needle, n), put)
 
 
 def delete_nth(text: Column, needle: Column, n: Column) -> Column:
@@ -51,15 +51,20 @@ def apply_batch(targets: DataFrame, operations: DataFrame, keys: list[str], most
     batches = operations.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*parts))).alias("operations"))
     met = targets.join(batches, keys, "left")
 
+    def changed(text: Column, op: Column, at: Column) -> Column:
+        located = F.concat(F.substring(text, F.lit(1), at), op["replacement"], F.substring(text, at + F.length(op["text"]) + 1, F.length(text)))
+        point = insertion_point(op["position"], at, at + F.length(op["text"]), F.length(text))
+        return F.when(op["type"] == "insert_text", insert_at(text, point, op["replacement"])).when(op["type"].isin("replace_text", "delete_text"), located)
+
+    def outcome(acc: Column, op: Column, new: Column) -> Column:
+        error = F.when(new.isNull(), F.when(op["type"] == "insert_text", "INVALID_REQUEST").otherwise("ANCHOR_NOT_FOUND"))
+        return F.struct(F.coalesce(new, acc["text"]).alias("text"), error.alias("error"), (acc["applied"] + new.isNotNull().cast("int")).alias("applied"))
+
     def step(acc: Column, op: Column) -> Column:
+        """What is located, and what becomes of it, is computed once and only while there is no error."""
         at = locate.nth_occurrence(acc["text"], op["text"], op["occurrence"])
-        located = F.concat(F.substring(acc["text"], F.lit(1), at), op["replacement"], F.substring(acc["text"], at + F.length(op["text"]) + 1, F.length(acc["text"])))
-        point = insertion_point(op["position"], at, at + F.length(op["text"]), F.length(acc["text"]))
-        changed = F.when(op["type"] == "insert_text", insert_at(acc["text"], point, op["replacement"])).when(op["type"].isin("replace_text", "delete_text"), located)
-        error = F.when(acc["error"].isNotNull(), acc["error"]).when(changed.isNull(), F.when(op["type"] == "insert_text", "INVALID_REQUEST").otherwise("ANCHOR_NOT_FOUND"))
-        return F.struct(
-            F.when(error.isNull(), changed).otherwise(acc["text"]).alias("text"), error.alias("error"), (acc["applied"] + error.isNull().cast("int")).alias("applied")
-        )
+        done = locate.bound(locate.bound(at, lambda a: changed(acc["text"], op, a)), lambda new: outcome(acc, op, new))
+        return F.when(acc["error"].isNotNull(), acc).otherwise(done)
 
     first = F.struct(F.col("text").alias("text"), F.lit(None).cast("string").alias("error"), F.lit(0).alias("applied"))
     folded = met.withColumn("size", F.coalesce(F.size("operations"), F.lit(0))).withColumn(
@@ -69,6 +74,20 @@ def apply_batch(targets: DataFrame, operations: DataFrame, keys: list[str], most
     return folded.select(*keys, F.when(F.col("done.error").isNull(), F.col("done.text")).otherwise(F.col("text")).alias("text"), "done.error", "done.applied")
 
 
+def revisions(edits: DataFrame, used: DataFrame, group: list[str]) -> DataFrame:
+    """edits (group, place, deleted, inserted, author) as tracked rows: group, place, kind del or ins, text, author, revision_id.
+
+    What is empty makes no row. Ids go on after the largest in use (used: group, revision_id), in the order of places,
+    a deletion before the insertion at its place.
+    """
+    both = F.array(F.struct(F.lit("del").alias("kind"), F.col("deleted").alias("text")), F.struct(F.lit("ins").alias("kind"), F.col("inserted").alias("text")))
+    rows = edits.select(*group, "place", "author", F.posexplode(F.filter(both, lambda r: F.coalesce(r["text"], F.lit("")) != "")).alias("k", "r"))
+    last = next_id(used, group, "revision_id")
+    order = Window.partitionBy(*group).orderBy("place", "k")
+    numbered = rows.withColumn("n", F.row_number().over(order) - 1).join(last, group, "left")
+    return numbered.select(*group, "place", F.col("r.kind").alias("kind"), F.col("r.text").alias("text"), "author", (F.coalesce("next_id", F.lit(0).cast("long")) + F.col("n")).alias("revision_id"))
+
+
 def lowest_free(ids: DataFrame, group: list[str], id_col: str, least: int = 1) -> DataFrame:
     """The lowest id from ``least`` on that a group doesn't use: where a sorted, distinct id first runs ahead of its place."""
     own = ids.filter(F.col(id_col) >= least).select(*group, F.col(id_col).alias("id")).distinct()

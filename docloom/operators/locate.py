@@ -5,6 +5,8 @@ Offsets count code points from 0; intervals are half-open. Occurrences don't ove
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,21 +17,48 @@ def pieces(text: Column, needle: Column) -> Column:
     return F.when(F.length(needle) > 0, F.split(text, quoted, -1)).otherwise(F.array(text))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def occurrences(text: Column, needle: Column) -> Column:
-    """Start offsets of a literal, from the lengths of the pieces around it."""
-    parts, size = pieces(text, needle), F.length(needle)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+    """Start offsets of a literal, from the lengths of the pieces around it.
+
+    Offsets are running sums. They are made in blocks of about the square root of their number, first over the blocks and
+    then inside each, so that no long array is copied for every hit.
+    """
+    size = F.length(needle)
+
+    def sums(gaps: Column) -> Column:
+        width = F.greatest(F.ceil(F.sqrt(F.size(gaps))).cast("int"), F.lit(1))
+        count = F.ceil(F.size(gaps) / width).cast("int")
+        blocks = F.when(F.size(gaps) > 0, F.transform(F.sequence(F.lit(0), count - 1), lambda k: F.slice(gaps, k * width + 1, width)))
+        none = F.array().cast("array<int>")
 
-    def step(acc: Column, piece: Column) -> Column:
-        begin = acc["at"] + F.length(piece)
-        return F.struct((begin + size).alias("at"), F.concat(acc["starts"], F.array(begin)).alias("starts"))
+        def ahead(acc: Column, gap: Column) -> Column:
+            return F.struct((acc["at"] + gap + size).alias("at"), F.concat(acc["starts"], F.array(acc["at"] + gap)).alias("starts"))
 
-    return F.aggregate(F.slice(parts, 1, F.size(parts) - 1), start, step, lambda acc: acc["starts"])
+        def next_block(acc: Column, block: Column) -> Column:
+            whole = F.aggregate(block, F.lit(0), lambda n, gap: n + gap + size)
+            return F.struct((acc["at"] + whole).alias("at"), F.concat(acc["starts"], F.array(acc["at"])).alias("starts"))
+
+        start = lambda at: F.struct(at.alias("at"), none.alias("starts"))
+        begins = F.aggregate(blocks, start(F.lit(0)), next_block, lambda acc: acc["starts"])
+        each = F.zip_with(blocks, begins, lambda block, at: F.aggregate(block, start(at), ahead, lambda acc: acc["starts"]))
+        return F.coalesce(F.flatten(each), none)
+
+    return F.when(text.isNotNull() & needle.isNotNull(), bound(F.transform(pieces(text, needle), F.length), lambda n: sums(F.slice(n, 1, F.size(n) - 1))))
 
 
 def nth_occurrence(text: Column, needle: Column, n: Column) -> Column:
-    """Start of the n-th occurrence (from 1), else null."""
-    return F.try_element_at(occurrences(text, needle), n)
+    """Start of the n-th occurrence (from 1), else null: the lengths of the first n pieces and of the literals between them."""
+
+    def start(parts: Column) -> Column:
+        sizes = F.aggregate(F.slice(parts, 1, n), F.lit(0), lambda at, piece: at + F.length(piece))
+        return F.when((n > 0) & (F.size(parts) > n), sizes + (n - 1) * F.length(needle))
+
+    return bound(pieces(text, needle), start)
 
 
 def in_context(text: Column, start: Column, end: Column, prefix: Column, suffix: Column) -> Column:
@@ -41,10 +70,44 @@ def in_context(text: Column, start: Column, end: Column, prefix: Column, suffix:
 
 def anchor(text: Column, needle: Column, n: Column, prefix: Column, suffix: Column) -> Column:
     """(start, end, error): the n-th occurrence first, its context then; ``resolve`` filters by context before it counts."""
-    at = nth_occurrence(text, needle, n)
-    end = at + F.length(needle)
-    error = F.when(at.isNull() | ~in_context(text, at, end, prefix, suffix), "ANCHOR_NOT_FOUND")
-    return F.struct(F.when(error.isNull(), at).alias("start"), F.when(error.isNull(), end).alias("end"), error.alias("error"))
+
+    def told(at: Column) -> Column:
+        end = at + F.length(needle)
+        error = F.when(at.isNull() | ~in_context(text, at, end, prefix, suffix), "ANCHOR_NOT_FOUND")
+        return F.struct(F.when(error.isNull(), at).alias("start"), F.when(error.isNull(), end).alias("end"), error.alias("error"))
+
+    return bound(nth_occurrence(text, needle, n), told)
+
+
+def same_hash(told: Column, own: Column) -> Column:
+    """A locator's hash in any case, whole or its first 16 digits."""
+    return F.lower(told).isin(own, F.substring(own, 1, 16))
+
+
+#: The stories citations are supported in, with the part of each.
+STORY_PARTS = {"body": "word/document.xml", "footnote": "word/footnotes.xml", "endnote": "word/endnotes.xml"}
+
+
+def story_part(story: Column, told: Column) -> Column:
+    """(part_name, error) of a locator: the story's own part, which a told part (a leading slash and ``word/`` may lack) must be."""
+    own = F.coalesce(*[F.when(story == name, part) for name, part in STORY_PARTS.items()])
+    bare = F.regexp_replace(told, "^/+", "")
+    named = F.when(F.contains(bare, F.lit("/")), bare).otherwise(F.concat(F.lit("word/"), bare))
+    wrong = own.isNull() | (F.coalesce(told, F.lit("")) != "") & (named != own)
+    return F.struct(F.when(~wrong, own).alias("part_name"), F.when(wrong, "INVALID_REQUEST").alias("error"))
+
+
+def locator_mapping(json_text: Column) -> Column:
+    """A locator from a JSON mapping, with the error of one that lacks an index or has a bad index, hash or occurrence."""
+    schema = "story STRING, story_part STRING, paragraph_index STRING, paragraph_hash STRING, exact_text STRING, prefix STRING, suffix STRING, occurrence STRING"
+    read = F.from_json(json_text, schema)
+    index, n = read["paragraph_index"].try_cast("int"), F.coalesce(read["occurrence"], F.lit("1")).try_cast("int")
+    hashed = read["paragraph_hash"].isNull() | F.regexp_like(read["paragraph_hash"], F.lit("^([0-9a-fA-F]{16}|[0-9a-fA-F]{64})$"))
+    bad = read.isNull() | index.isNull() | (index < 0) | n.isNull() | (n < 1) | ~hashed
+    return F.struct(
+        F.coalesce(read["story"], F.lit("body")).alias("story"), read["story_part"].alias("story_part"), index.alias("paragraph_index"), F.lower(read["paragraph_hash"]).alias("paragraph_hash"),
+        read["exact_text"].alias("exact_text"), read["prefix"].alias("prefix"), read["suffix"].alias("suffix"), n.alias("occurrence"), F.when(F.coalesce(bad, F.lit(True)), "INVALID_REQUEST").alias("error"),
+    )
 
 
 def resolve(requests: DataFrame, paragraphs: DataFrame, stories: DataFrame) -> DataFrame:
@@ -65,7 +128,7 @@ def resolve(requests: DataFrame, paragraphs: DataFrame, stories: DataFrame) -> D
         F.when(F.coalesce("parts", F.lit(0)) == 0, "ANCHOR_NOT_FOUND")
         .when(F.col("parts") > 1, "ANCHOR_AMBIGUOUS")
         .when(text.isNull(), "ANCHOR_NOT_FOUND")
-        .when(F.col("paragraph_hash").isNotNull() & (F.col("paragraph_hash") != F.col("own_hash")), "STALE_REVISION")
+        .when(F.col("paragraph_hash").isNotNull() & ~same_hash(F.col("paragraph_hash"), F.col("own_hash")), "STALE_REVISION")
         .when(F.col("at").isNull(), "ANCHOR_NOT_FOUND")
     )
     end = F.when(whole, F.length(text)).otherwise(F.col("at") + F.length(exact))

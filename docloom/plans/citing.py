@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.operators import citations
+from docloom.operators import paragraphs as P
 from docloom.plans.common import documents, long
 from docloom.session import table
 
@@ -112,10 +113,11 @@ def j19_sync_bibliography(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def opl_plain_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's first line with three citations behind it."""
-    told = F.concat(F.split(F.coalesce("text", F.lit("")), "\n")[0], F.lit(" (Doe, "), (F.lit(1990) + F.col("doc_id") % 30).cast("string"), F.lit(") Smith (2020) ["), (F.col("doc_id") % 9 + 1).cast("string"), F.lit("-12, 14]"))
-    found = citations.plain_citations(documents(spark, sf_dir).select("doc_id", told.alias("text")), ["doc_id"])
-    return found.select("doc_id", "kind", "found", long("start"), long("end"))
+    """Every paragraph of every document, with three citations behind each document's last one."""
+    last = F.concat(F.lit(" (Doe, "), (F.lit(1990) + F.col("doc_id") % 30).cast("string"), F.lit(") Smith (2020) ["), (F.col("doc_id") % 9 + 1).cast("string"), F.lit("-12, 14]"))
+    whole = documents(spark, sf_dir).select("doc_id", F.concat(F.coalesce("text", F.lit("")), last).alias("text"))
+    found = citations.plain_citations(P.paragraphs(whole), ["doc_id", "idx"])
+    return found.select("doc_id", long("idx"), "kind", "found", long("start"), long("end"))
 
 
 QUERIES = {
@@ -134,6 +136,24 @@ _LIBRARY = """SELECT p_partkey AS item_key, 'http://items/' || p_partkey AS uri,
 _ITEMS = "SELECT l_orderkey, l_linenumber, l_partkey AS item_key, CASE l_linenumber % 3 WHEN 0 THEN 'own/' || l_partkey WHEN 1 THEN '' END AS uri FROM lineitem"
 _LISTED = f"SELECT source, doc_id AS ordinal, {_NAME} AS citation_id, {_BODY} AS payload, '(see ' || doc_id || ')' AS visible FROM documents WHERE doc_id % 6 <= 2"
 
+#: The same patterns in the other engine's dialect, in which \\w knows ASCII only.
+_PATTERNS = [(kind, pattern.replace(r"[\w", r"[\p{L}\p{N}_")) for kind, pattern in citations.PLAIN]
+
+
+def _found(kind: str, pattern: str) -> str:
+    """Matches with their offsets, from the lengths of the matches and of the pieces between them."""
+    quoted = pattern.replace("'", "''")
+    return f"""
+      SELECT doc_id, idx, '{kind}' AS kind, m[k] AS found, CAST(list_sum([length(x) FOR x IN s[:k]]) + coalesce(list_sum([length(x) FOR x IN m[:k - 1]]), 0) AS BIGINT) AS start,
+             CAST(list_sum([length(x) FOR x IN s[:k]]) + list_sum([length(x) FOR x IN m[:k]]) AS BIGINT) AS "end"
+      FROM (SELECT doc_id, idx, m, s, unnest(range(1, len(m) + 1)) AS k
+            FROM (SELECT doc_id, idx, regexp_extract_all(text, '{quoted}') AS m, string_split_regex(text, '{quoted}') AS s FROM ({_CITED})))"""
+
+
+_CITED = """
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS idx
+  FROM (SELECT doc_id, coalesce(text, '') || ' (Doe, ' || (1990 + doc_id % 30) || ') Smith (2020) [' || (doc_id % 9 + 1) || '-12, 14]' AS text FROM documents)"""
+
 ORACLES = {
     "j01_parse_instruction": f"""
         SELECT doc_id, CASE WHEN doc_id % 6 <= 2 THEN 'citation' WHEN doc_id % 6 = 4 THEN 'bibliography' END AS kind,
@@ -174,9 +194,5 @@ ORACLES = {
     "j19_sync_bibliography": """
         WITH g AS (SELECT source || '/' || CAST(floor(doc_id / 100) AS INT) AS source, max(doc_id) % 2 = 0 AS has_locator, count(*) FILTER (WHERE doc_id % 6 = 4) AS n FROM documents GROUP BY 1)
         SELECT source, CASE WHEN n > 1 THEN 'ANCHOR_AMBIGUOUS' WHEN n = 1 THEN 'update' WHEN NOT has_locator THEN 'INVALID_REQUEST' ELSE 'append' END AS action FROM g""",
-    "opl_plain_citations": """
-        WITH d AS (SELECT doc_id, length(split_part(coalesce(text, ''), chr(10), 1)) AS n, CAST(1990 + doc_id % 30 AS VARCHAR) AS y FROM documents)
-        SELECT doc_id, 'author-year' AS kind, '(Doe, ' || y || ')' AS found, n + 1 AS start, n + 12 AS "end" FROM d
-        UNION ALL SELECT doc_id, 'narrative', 'Smith (2020)', n + 13, n + 25 FROM d
-        UNION ALL SELECT doc_id, 'numeric', '[' || (doc_id % 9 + 1) || '-12, 14]', n + 26, n + 26 + 10 FROM d""",
+    "opl_plain_citations": " UNION ALL ".join(_found(*pattern) for pattern in _PATTERNS),
 }

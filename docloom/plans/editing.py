@@ -11,14 +11,14 @@ from docloom.session import table
 
 
 def _targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paragraphs(spark, sf_dir).filter("idx = doc_id % 3").select("doc_id", "idx", "text")
+    return paragraphs(spark, sf_dir).select("doc_id", "idx", "text")
 
 
 def e01_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """At the start, the end, or before or after the first "the", by turns; without a place the text stays null."""
     text = F.col("text")
     at = locate.nth_occurrence(text, F.lit("the"), F.lit(1))
-    position = F.element_at(F.array(*map(F.lit, ("start", "end", "before", "after"))), (F.col("doc_id") % 4 + 1).cast("int"))
+    position = F.element_at(F.array(*map(F.lit, ("start", "end", "before", "after"))), ((F.col("doc_id") + F.col("idx")) % 4 + 1).cast("int"))
     point = edits.insertion_point(position, at, at + 3, F.length(text))
     return _targets(spark, sf_dir).select("doc_id", long("idx"), edits.insert_at(text, point, F.lit(" Added.")).alias("text"))
 
@@ -33,6 +33,14 @@ def e03_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _targets(spark, sf_dir).select("doc_id", long("idx"), changed.alias("text")).filter("text IS NOT NULL")
 
 
+def e02_tracked_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every first "the" replaced as a tracked change: a deletion and an insertion, numbered within the document after 41."""
+    hits = _targets(spark, sf_dir).filter(F.contains("text", F.lit("the")))
+    changes = hits.select("doc_id", F.col("idx").alias("place"), F.lit("the").alias("deleted"), F.when(F.col("idx") % 3 != 0, "oak").alias("inserted"), F.lit("editor").alias("author"))
+    used = documents(spark, sf_dir).filter("doc_id % 2 = 0").select("doc_id", F.lit("41").alias("revision_id"))
+    return edits.revisions(changes, used, ["doc_id"]).select("doc_id", long("place"), "kind", "text", "author", "revision_id")
+
+
 def e04_insert_paragraph(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = paragraphs(spark, sf_dir).select("doc_id", "idx", "text")
     added = rows.filter("idx = 0").select("doc_id", "idx", F.when(F.col("doc_id") % 2 == 0, "before").otherwise("after").alias("position"), F.lit("New paragraph").alias("text"))
@@ -70,18 +78,23 @@ def e15_instruction_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (e01_insert, e02_replace_nth, e03_delete, e04_insert_paragraph, e16_edit_batch, k05_lowest_free_id, e09_next_revision_id, e15_instruction_chunks)
+    for f in (e01_insert, e02_replace_nth, e02_tracked_rows, e03_delete, e04_insert_paragraph, e16_edit_batch, k05_lowest_free_id, e09_next_revision_id, e15_instruction_chunks)
 }
 
-_TARGETS = f"SELECT doc_id, idx, text, string_split(text, 'the') AS parts FROM ({PARAGRAPHS}) WHERE idx = doc_id % 3"
+_TARGETS = f"SELECT doc_id, idx, text, string_split(text, 'the') AS parts FROM ({PARAGRAPHS})"
 
 ORACLES = {
     "e01_insert": f"""
-        SELECT doc_id, idx, CASE doc_id % 4 WHEN 0 THEN ' Added.' || text WHEN 1 THEN text || ' Added.'
+        SELECT doc_id, idx, CASE (doc_id + idx) % 4 WHEN 0 THEN ' Added.' || text WHEN 1 THEN text || ' Added.'
                WHEN 2 THEN CASE WHEN len(parts) > 1 THEN parts[1] || ' Added.the' || array_to_string(parts[2:], 'the') END
                ELSE CASE WHEN len(parts) > 1 THEN parts[1] || 'the Added.' || array_to_string(parts[2:], 'the') END END AS text
         FROM ({_TARGETS})""",
     "e02_replace_nth": f"SELECT doc_id, idx, array_to_string(parts[1:2], 'the') || 'THE' || array_to_string(parts[3:], 'the') AS text FROM ({_TARGETS}) WHERE len(parts) > 2",
+    "e02_tracked_rows": f"""
+        WITH r AS (SELECT doc_id, idx AS place, unnest([{{'k': 0, 'kind': 'del', 'text': 'the'}}, {{'k': 1, 'kind': 'ins', 'text': 'oak'}}]) AS r FROM ({PARAGRAPHS}) WHERE contains(text, 'the'))
+        SELECT doc_id, place, r.kind AS kind, r.text AS text, 'editor' AS author,
+               CASE WHEN doc_id % 2 = 0 THEN 42 ELSE 0 END + row_number() OVER (PARTITION BY doc_id ORDER BY place, r.k) - 1 AS revision_id
+        FROM r WHERE r.k = 0 OR place % 3 <> 0""",
     "e03_delete": f"SELECT doc_id, idx, parts[1] || array_to_string(parts[2:], 'the') AS text FROM ({_TARGETS}) WHERE len(parts) > 1",
     "e04_insert_paragraph": f"""
         SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY place) - 1 AS idx, text, added

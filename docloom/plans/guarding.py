@@ -26,11 +26,11 @@ def p10_protected_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def e11_insertion_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A place in every first paragraph, and whether it lies inside a "the"."""
-    rows = paragraphs(spark, sf_dir).filter("idx = 0").withColumn("at", (F.col("doc_id") % 90).cast("int"))
-    hits = rows.select("doc_id", "at", F.explode_outer(locate.occurrences(F.col("text"), F.lit("the"))).alias("start"))
+    """A place in every paragraph, and whether it lies inside a "the"."""
+    rows = paragraphs(spark, sf_dir).withColumn("at", ((F.col("doc_id") + F.col("idx")) % 90).cast("int"))
+    hits = rows.select("doc_id", "idx", "at", F.explode_outer(locate.occurrences(F.col("text"), F.lit("the"))).alias("start"))
     error = protection.insertion_error(F.col("at"), F.col("start"), F.col("start") + 3)
-    return hits.groupBy("doc_id", "at").agg(F.max(error).alias("error")).select("doc_id", long("at"), "error")
+    return hits.groupBy("doc_id", "idx", "at").agg(F.max(error).alias("error")).select("doc_id", long("idx"), long("at"), "error")
 
 
 def e13_editable_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +63,7 @@ def e06_add_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def j13_written_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every third document's text replaces its preference chunks; other properties stay."""
-    docs = documents(spark, sf_dir).select("doc_id", F.substring(F.coalesce("text", F.lit("")), 1, 2000).alias("text"))
+    docs = documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     names = F.explode(F.array(*map(F.lit, ("ZOTERO_PREF_1", "ZOTERO_PREF_9", "Company")))).alias("name")
     properties = docs.select("doc_id", names, F.lit("old").alias("value"))
     values = docs.filter("doc_id % 3 = 0").select("doc_id", F.col("text").alias("value"))
@@ -99,8 +99,8 @@ ORACLES = {
             FROM b JOIN p ON p.doc_id = b.doc_id AND p.idx >= b.idx WHERE last_at IS NULL
           UNION ALL SELECT doc_id, idx, spot, spot, 'bookmark-boundary' FROM m)""",
     "e11_insertion_guard": f"""
-        SELECT d.doc_id, d.doc_id % 90 AS at, max(CASE WHEN start < d.doc_id % 90 AND d.doc_id % 90 < start + 3 THEN 'PROTECTED_BOUNDARY' END) AS error
-        FROM documents d LEFT JOIN (SELECT * FROM ({HITS}) WHERE idx = 0) h ON h.doc_id = d.doc_id GROUP BY d.doc_id""",
+        SELECT p.doc_id, p.idx, (p.doc_id + p.idx) % 90 AS at, max(CASE WHEN start < (p.doc_id + p.idx) % 90 AND (p.doc_id + p.idx) % 90 < start + 3 THEN 'PROTECTED_BOUNDARY' END) AS error
+        FROM ({PARAGRAPHS}) p LEFT JOIN ({HITS}) h ON h.doc_id = p.doc_id AND h.idx = p.idx GROUP BY p.doc_id, p.idx""",
     "e13_editable_fields": f"""
         SELECT page_id, begin_seq, CASE WHEN end_seq < 0 OR depth > 0 OR ordinal % 7 = 0 OR ordinal % 5 = 0 THEN 'PROTECTED_BOUNDARY' END AS error
         FROM ({structures.ORACLES["f01_nested_fields"]})""",
@@ -117,7 +117,7 @@ ORACLES = {
         UNION ALL SELECT c_nationkey, CAST(coalesce(next, 0) + row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS VARCHAR), c_name
         FROM customer LEFT JOIN n ON s_nationkey = c_nationkey WHERE c_acctbal > 9000""",
     "j13_written_preferences": """
-        WITH d AS (SELECT doc_id, substr(coalesce(text, ''), 1, 2000) AS text FROM documents)
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)
         SELECT doc_id, name, 'old' AS value FROM (SELECT doc_id, unnest(['ZOTERO_PREF_1', 'ZOTERO_PREF_9', 'Company']) AS name FROM d) WHERE doc_id % 3 <> 0 OR name = 'Company'
         UNION ALL SELECT doc_id, 'ZOTERO_PREF_' || k, value
         FROM (SELECT doc_id, unnest(regexp_extract_all(text, '(?s).{1,255}')) AS value, generate_subscripts(regexp_extract_all(text, '(?s).{1,255}'), 1) AS k FROM d WHERE doc_id % 3 = 0 AND text <> '')

@@ -46,14 +46,14 @@ def l05_anchor_span(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _edits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An edit per document's first paragraph; a quarter of them have no width."""
-    rows = paragraphs(spark, sf_dir).filter("idx = 0").select("doc_id", "idx")
-    return rows.select("doc_id", "idx", (F.col("doc_id") % 50).cast("int").alias("a"), (F.col("doc_id") % 50 + F.col("doc_id") % 4).cast("int").alias("b"))
+    """An edit per paragraph; a quarter of them have no width."""
+    a = ((F.col("doc_id") + F.col("idx")) % 50).cast("int")
+    return paragraphs(spark, sf_dir).select("doc_id", "idx", a.alias("a"), (a + F.col("doc_id") % 4).cast("int").alias("b"))
 
 
 def _ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every "the" is protected; each fourth has a boundary of no width at its begin as well."""
-    rows = paragraphs(spark, sf_dir).filter("idx = 0")
+    rows = paragraphs(spark, sf_dir)
     hits = rows.select("doc_id", "idx", F.posexplode(locate.occurrences(F.col("text"), F.lit("the"))).alias("k", "start"))
     wide = hits.select("doc_id", "idx", "start", (F.col("start") + 3).alias("end"), F.lit("field").alias("kind"))
     thin = hits.filter("(k + 1) % 4 = 0").select("doc_id", "idx", "start", F.col("start").alias("end"), F.lit("bookmark-boundary").alias("kind"))
@@ -62,18 +62,18 @@ def _ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p13_overlap_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     met = locate.overlap_join(_edits(spark, sf_dir), _ranges(spark, sf_dir), ["doc_id", "idx"])
-    return met.select("doc_id", long("a"), long("b"), long("start"), long("end"), "kind")
+    return met.select("doc_id", long("idx"), long("a"), long("b"), long("start"), long("end"), "kind")
 
 
 def p14_assert_editable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return locate.editable(_edits(spark, sf_dir), _ranges(spark, sf_dir), ["doc_id", "idx"]).select("doc_id", long("a"), long("b"), "kinds", "error")
+    return locate.editable(_edits(spark, sf_dir), _ranges(spark, sf_dir), ["doc_id", "idx"]).select("doc_id", long("idx"), long("a"), long("b"), "kinds", "error")
 
 
 def p12_tidy_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranges listed twice over come back once and in order."""
     ranges = _ranges(spark, sf_dir)
-    rows = ranges.unionByName(ranges).groupBy("doc_id").agg(locate.tidy_ranges(F.collect_list(F.struct("start", "end", "kind"))).alias("ranges"))
-    return rows.select("doc_id", F.array_join(F.transform("ranges", lambda r: F.concat_ws(":", r["start"].cast("string"), r["end"].cast("string"), r["kind"])), ",").alias("ranges"))
+    rows = ranges.unionByName(ranges).groupBy("doc_id", "idx").agg(locate.tidy_ranges(F.collect_list(F.struct("start", "end", "kind"))).alias("ranges"))
+    return rows.select("doc_id", long("idx"), F.array_join(F.transform("ranges", lambda r: F.concat_ws(":", r["start"].cast("string"), r["end"].cast("string"), r["kind"])), ",").alias("ranges"))
 
 
 def p11_span_split(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,10 +84,10 @@ def p11_span_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (l01_occurrences, l02_resolve_locator, l03_nth_span, l05_anchor_span, p13_overlap_join, p14_assert_editable, p12_tidy_ranges, p11_span_split)}
 
-_EDITS = "SELECT doc_id, doc_id % 50 AS a, doc_id % 50 + doc_id % 4 AS b FROM documents"
+_EDITS = f"SELECT doc_id, idx, (doc_id + idx) % 50 AS a, (doc_id + idx) % 50 + doc_id % 4 AS b FROM ({PARAGRAPHS})"
 _RANGES = f"""
-  SELECT doc_id, start, start + 3 AS "end", 'field' AS kind FROM ({HITS}) WHERE idx = 0
-  UNION ALL SELECT doc_id, start, start, 'bookmark-boundary' FROM ({HITS}) WHERE idx = 0 AND occurrence % 4 = 0"""
+  SELECT doc_id, idx, start, start + 3 AS "end", 'field' AS kind FROM ({HITS})
+  UNION ALL SELECT doc_id, idx, start, start, 'bookmark-boundary' FROM ({HITS}) WHERE occurrence % 4 = 0"""
 _MET = """CASE WHEN start = "end" THEN a <= start AND start <= b WHEN a = b THEN start <= a AND a <= "end" ELSE a < "end" AND b > start END"""
 
 ORACLES = {
@@ -110,12 +110,12 @@ ORACLES = {
         FROM (SELECT p.doc_id, p.idx, h.start,
                      coalesce(h.start > 0 AND substr(text, h.start, 1) = ' ' AND (p.doc_id % 2 <> 0 OR substr(text, h.start + 4, 1) = ' '), false) AS ok
               FROM ({PARAGRAPHS}) p LEFT JOIN (SELECT * FROM ({HITS}) WHERE occurrence = 2) h ON h.doc_id = p.doc_id AND h.idx = p.idx WHERE contains(text, 'the'))""",
-    "p13_overlap_join": f'SELECT e.doc_id, a, b, start, "end", kind FROM ({_EDITS}) e JOIN ({_RANGES}) r ON e.doc_id = r.doc_id AND {_MET}',
+    "p13_overlap_join": f'SELECT e.doc_id, e.idx, a, b, start, "end", kind FROM ({_EDITS}) e JOIN ({_RANGES}) r ON e.doc_id = r.doc_id AND e.idx = r.idx AND {_MET}',
     "p14_assert_editable": f"""
-        SELECT e.doc_id, a, b, coalesce(string_agg(DISTINCT kind, ',' ORDER BY kind), '') AS kinds, CASE WHEN count(kind) > 0 THEN 'PROTECTED_BOUNDARY' END AS error
-        FROM ({_EDITS}) e LEFT JOIN ({_RANGES}) r ON e.doc_id = r.doc_id AND {_MET} GROUP BY e.doc_id, a, b""",
+        SELECT e.doc_id, e.idx, a, b, coalesce(string_agg(DISTINCT kind, ',' ORDER BY kind), '') AS kinds, CASE WHEN count(kind) > 0 THEN 'PROTECTED_BOUNDARY' END AS error
+        FROM ({_EDITS}) e LEFT JOIN ({_RANGES}) r ON e.doc_id = r.doc_id AND e.idx = r.idx AND {_MET} GROUP BY e.doc_id, e.idx, a, b""",
     "p12_tidy_ranges": f"""
-        SELECT doc_id, string_agg(start || ':' || "end" || ':' || kind, ',' ORDER BY start, "end", kind) AS ranges FROM (SELECT DISTINCT * FROM ({_RANGES})) GROUP BY doc_id""",
+        SELECT doc_id, idx, string_agg(start || ':' || "end" || ':' || kind, ',' ORDER BY start, "end", kind) AS ranges FROM (SELECT DISTINCT * FROM ({_RANGES})) GROUP BY doc_id, idx""",
     "p11_span_split": f"""
         SELECT p.doc_id, idx, CAST(CASE WHEN idx = p.doc_id % 3 THEN 2 ELSE 0 END AS BIGINT) AS start,
                CASE WHEN idx = p.doc_id % 3 + p.doc_id % 5 THEN 9 ELSE length(text) END AS "end", 'bookmark' AS kind

@@ -13,7 +13,7 @@ from docloom.streaming import requests as stream
 
 def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select(
-        F.col("doc_id").alias("item_key"), F.substring(F.coalesce("text", F.lit("")), 1, 60).alias("title"), F.col("source").alias("collection"), F.col("lang").alias("item_type"), F.col("n_chars").alias("date_modified")
+        F.col("doc_id").alias("item_key"), F.coalesce("text", F.lit("")).alias("title"), F.col("source").alias("collection"), F.col("lang").alias("item_type"), F.col("n_chars").alias("date_modified")
     )
 
 
@@ -123,8 +123,8 @@ _REQUESTS = """
 
 ORACLES = {
     "t07_search": """
-        SELECT doc_id AS item_key, substr(coalesce(text, ''), 1, 60) AS title, n_chars AS date_modified FROM documents
-        WHERE lang = 'en' AND contains(lower(substr(coalesce(text, ''), 1, 60)), 'the') ORDER BY n_chars DESC, doc_id LIMIT 100 OFFSET 100""",
+        SELECT doc_id AS item_key, coalesce(text, '') AS title, n_chars AS date_modified FROM documents
+        WHERE lang = 'en' AND contains(lower(coalesce(text, '')), 'the') ORDER BY n_chars DESC, doc_id LIMIT 100 OFFSET 100""",
     "t08_get_items": f"SELECT req_id, place, item_key, p_name FROM ({_REQUESTS}) JOIN part ON p_partkey = item_key",
     "t08_missing": f"SELECT req_id, place, item_key FROM ({_REQUESTS}) WHERE item_key NOT IN (SELECT p_partkey FROM part)",
     "n02_valid_keys": f"""
