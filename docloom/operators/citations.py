@@ -10,11 +10,12 @@ import html
 import json
 import re
 from collections.abc import Iterator
+from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import ArrayType, BooleanType, StringType
 
 # Markers of field instructions, the payload's schema, and the citation patterns.
 CITATION_MARK, CSL_MARK, BIBLIOGRAPHY_MARK, BIBLIOGRAPHY_END = "ZOTERO_ITEM", "CSL_CITATION", "ZOTERO_BIBL", "CSL_BIBLIOGRAPHY"
@@ -25,24 +26,49 @@ NUMERIC = r"\[(?:\d+(?:\s*[-–]\s*\d+)?)(?:\s*,\s*\d+)*\]"
 PLAIN = (("author-year", AUTHOR_YEAR), ("narrative", NARRATIVE), ("numeric", NUMERIC))
 
 
+def _mark(name: str) -> str:
+    """The marker as a whole word in any case, as a pattern."""
+    return rf"(?is)\b{name}\b"
+
+
+def _after(instruction: Column, name: str) -> Column:
+    """What stands behind the first such marker; null without one."""
+    return F.when(F.regexp_like(instruction, F.lit(_mark(name))), F.regexp_replace(instruction, rf"(?is)^.*?\b{name}\b", ""))
+
+
+def _marked(instruction: Column) -> Column:
+    """What stands behind the marker that counts: of a bibliography, else of a citation's field, else of its payload."""
+    return F.coalesce(*[_after(instruction, m) for m in (BIBLIOGRAPHY_MARK, CITATION_MARK, CSL_MARK)])
+
+
+def is_bibliography(instruction: Column) -> Column:
+    return F.regexp_like(instruction, F.lit(_mark(BIBLIOGRAPHY_MARK)))
+
+
+def is_cited(instruction: Column) -> Column:
+    """A citation's marker stands in it, be its payload readable or not, and no bibliography's."""
+    return F.regexp_like(instruction, F.lit(_mark(f"(?:{CITATION_MARK}|{CSL_MARK})"))) & ~is_bibliography(instruction)
+
+
 def instruction_kind(instruction: Column) -> Column:
     """bibliography wins over citation; a citation needs a JSON object."""
-    cited = F.contains(instruction, F.lit(CITATION_MARK)) | F.contains(instruction, F.lit(CSL_MARK))
-    return F.when(F.contains(instruction, F.lit(BIBLIOGRAPHY_MARK)), "bibliography").when(cited & payload(instruction).isNotNull(), "citation")
+    return F.when(is_bibliography(instruction), "bibliography").when(is_cited(instruction) & json_object(_marked(instruction)).isNotNull(), "citation")
 
 
 def is_legacy(instruction: Column) -> Column:
-    """No marker of the payload's format between the field's name and the JSON."""
-    return ~F.regexp_like(instruction, F.lit(rf"(?s){CITATION_MARK}[^{{]*{CSL_MARK}[^{{]*\{{"))
+    """A citation without the payload's marker between the field's marker and the JSON."""
+    between = F.regexp_extract(_after(instruction, CITATION_MARK), r"(?s)^[^{]*", 0)
+    return F.coalesce(~F.regexp_like(between, F.lit(_mark(CSL_MARK))), F.lit(True))
 
 
 def payload(instruction: Column) -> Column:
-    """The first JSON object, trailing text allowed; null if there is none that parses."""
-    return json_object(instruction)
+    """The first JSON object behind the marker, trailing text allowed; a bibliography without one has an empty object, all else null."""
+    found = json_object(_marked(instruction))
+    return F.coalesce(found, F.when(is_bibliography(instruction), "{}"))
 
 
 @F.pandas_udf(StringType())
-def json_object(instructions: pd.Series) -> pd.Series:
+def json_object(texts: pd.Series) -> pd.Series:
     decoder = json.JSONDecoder()
 
     def first(text: str | None) -> str | None:
@@ -55,7 +81,13 @@ def json_object(instructions: pd.Series) -> pd.Series:
             return None
         return text[at:end] if isinstance(value, dict) else None
 
-    return instructions.map(first)
+    return texts.map(first)
+
+
+def field_id(instruction: Column, story: Column, ordinal: Column) -> Column:
+    """A field's id: its payload's, else story and ordinal, as where the JSON is missing or broken."""
+    named = F.nullif(F.get_json_object(payload(instruction), "$.citationID"), F.lit(""))
+    return F.coalesce(named, F.concat_ws(":", story, ordinal.cast("string")))
 
 
 def citation_instruction(body: Column) -> Column:
@@ -69,16 +101,24 @@ def bibliography_instruction(body: Column) -> Column:
 def listing(fields: DataFrame, group: str) -> DataFrame:
     """fields (group, ordinal, instruction) -> citation fields with id, legacy flag and a warning.
 
-    The first warning that holds: unreadable, missing id, duplicate id within the group, legacy.
+    The first warning that holds: unreadable, missing id, duplicate id within the group, legacy. Ids are counted before
+    they are joined back, so fields without one, or with a very common one, meet in no window.
     """
-    rows = fields.withColumn("payload", payload(F.col("instruction")))
-    cited = F.contains("instruction", F.lit(CITATION_MARK)) & ~F.contains("instruction", F.lit(BIBLIOGRAPHY_MARK))
-    rows = rows.filter(cited).withColumn("citation_id", F.get_json_object("payload", "$.citationID")).withColumn("legacy", is_legacy(F.col("instruction")))
-    times = F.count("citation_id").over(Window.partitionBy(group, "citation_id"))
+    rows = fields.filter(is_cited(F.col("instruction"))).withColumn("payload", payload(F.col("instruction")))
+    rows = rows.withColumn("citation_id", F.get_json_object("payload", "$.citationID")).withColumn("legacy", is_legacy(F.col("instruction")))
+    rows = rows.withColumn("spread", F.xxhash64(group, "citation_id"))
+    twice = rows.filter("citation_id <> ''").groupBy(group, "citation_id").count().filter("count > 1").select(group, "citation_id", F.lit(True).alias("again"))
+    met = rows.join(twice.withColumn("spread", F.xxhash64(group, "citation_id")), [group, "citation_id", "spread"], "left")
     warning = (
-        F.when(F.col("payload").isNull(), "unreadable").when(F.coalesce("citation_id", F.lit("")) == "", "missing id").when(times > 1, "duplicate id").when(F.col("legacy"), "legacy")
+        F.when(F.col("payload").isNull(), "unreadable").when(F.coalesce("citation_id", F.lit("")) == "", "missing id").when(F.col("again"), "duplicate id").when(F.col("legacy"), "legacy")
     )
-    return rows.select(group, "ordinal", "citation_id", "legacy", warning.alias("warning"))
+    return met.select(group, "ordinal", "citation_id", "legacy", warning.alias("warning"))
+
+
+def bibliography_warnings(fields: DataFrame, group: str) -> DataFrame:
+    """fields (group, instruction) -> group, bibliographies, warning where there is more than one."""
+    counted = fields.filter(is_bibliography(F.col("instruction"))).groupBy(group).agg(F.count(F.lit(1)).alias("bibliographies"))
+    return counted.withColumn("warning", F.when(F.col("bibliographies") > 1, "several bibliographies"))
 
 
 def fallback_text(keys: Column) -> Column:
@@ -132,6 +172,66 @@ def joined_preferences(chunks: DataFrame, group: str) -> DataFrame:
     )
 
 
+def decoded_preferences(joined: DataFrame, group: str, value: str = "value") -> DataFrame:
+    """joined (group, value) -> the document preferences they spell: data_version, style, locale, session, has_bibliography, field_type, warning.
+
+    The XML is read with path expressions. What doesn't parse is a warning and no values; so is an older root's name, with
+    its values.
+    """
+    xml = F.col(value)
+    root = F.regexp_extract(xml, r"(?s)^\s*(?:<\?.*?\?>\s*)?<(?:\w+:)?(\w+)", 1)
+    unsafe = F.regexp_like(xml, F.lit(r"(?i)<!\s*(?:DOCTYPE|ENTITY)\b"))
+    parses = F.when(unsafe, F.lit(False)).otherwise(well_formed(xml))
+    rows = joined.select(group, xml.alias("xml"), root.alias("root"), parses.alias("parses"))
+    tag = lambda name: F.regexp_extract("xml", rf"(?s)<(?:\w+:)?{name}\b[^>]*>", 0)
+    attribute = lambda element, name: F.nullif(F.regexp_extract(element, rf"\s{name}=[\"']([^\"']*)", 1), F.lit(""))
+    kept = lambda c: F.when(F.col("parses"), c)
+    field_type = F.regexp_extract("xml", r"(?si)<(?:\w+:)?pref\b(?=[^>]*\sname=[\"']fieldType[\"'])[^>]*\svalue=[\"']([^\"']*)", 1)
+    return rows.select(
+        group, kept(attribute(tag(r"\w+"), "data-version")).alias("data_version"), kept(attribute(tag("style"), "id")).alias("style"), kept(attribute(tag("style"), "locale")).alias("locale"),
+        kept(attribute(tag("session"), "id")).alias("session"), F.coalesce(F.col("parses") & F.lower(attribute(tag("style"), "hasBibliography")).isin("1", "true", "yes"), F.lit(False)).alias("has_bibliography"),
+        kept(F.nullif(field_type, F.lit(""))).alias("field_type"), F.when(~F.col("parses"), "invalid XML").when(F.col("root") != "data", "legacy root").alias("warning"),
+    )
+
+
+@F.pandas_udf(BooleanType())
+def well_formed(texts: pd.Series) -> pd.Series:
+    def parses(text: str | None) -> bool:
+        try:
+            ElementTree.fromstring((text or "").encode())
+        except (ElementTree.ParseError, ValueError):
+            return False
+        return True
+
+    return texts.map(parses)
+
+
+def preference_document(style: Column, locale: Column, session: Column, has_bibliography: Column, field_type: Column) -> Column:
+    """The XML of document preferences, which ``decoded_preferences`` reads; to be written in chunks."""
+    safe = lambda c: F.replace(F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit('"'), F.lit("&quot;"))
+    return F.concat(
+        F.lit('<data data-version="3"><session id="'), safe(session), F.lit('"/><style id="'), safe(style), F.lit('" locale="'), safe(locale), F.lit('" hasBibliography="'),
+        F.when(has_bibliography, "1").otherwise("0"), F.lit('"/><prefs><pref name="fieldType" value="'), safe(field_type), F.lit('"/></prefs></data>'),
+    )
+
+
+def inserted_citations(requests: DataFrame, fields: DataFrame, group: str) -> DataFrame:
+    """requests (group, place, items, formatted), fields (group, citation_id): new citation fields with ids of their own.
+
+    An id is a digest of the request, and of a number where a field of the group has it already or another request asks
+    for the same. Returns group, place, citation_id, instruction, visible.
+    """
+    order = Window.partitionBy(group, "base").orderBy("place")
+    base = F.substring(F.sha2(F.concat_ws("\x1f", F.col(group).cast("string"), "items", "formatted"), 256), 1, 8)
+    rows = requests.withColumn("base", base).withColumn("n", F.row_number().over(order) - 1)
+    used = fields.select(group, F.substring("citation_id", 1, 8).alias("base"), F.coalesce(F.regexp_extract("citation_id", r"^.{8}-(\d+)$", 1).try_cast("int"), F.lit(0)).alias("k"))
+    last = used.filter(F.length("base") == 8).groupBy(group, "base").agg((F.max("k") + 1).alias("free"))
+    met = rows.join(last, [group, "base"], "left").withColumn("n", F.col("n") + F.coalesce("free", F.lit(0)))
+    named = met.withColumn("citation_id", F.when(F.col("n") == 0, F.col("base")).otherwise(F.concat("base", F.lit("-"), F.col("n").cast("string"))))
+    made = named.withColumn("payload", merged_payload(F.lit(None).cast("string"), "citation_id", "items", "formatted"))
+    return made.select(group, "place", "citation_id", citation_instruction(F.col("payload")).alias("instruction"), plain_formatted(F.col("formatted")).alias("visible"))
+
+
 def written_preferences(properties: DataFrame, values: DataFrame, group: str, prefix: str = "ZOTERO_PREF_", limit: int = 255) -> DataFrame:
     """properties (group, name, value) with each given value (group, value) as chunks 1..n; a group's older chunks go, all else stays."""
     old = F.startswith("name", F.lit(prefix))

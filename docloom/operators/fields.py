@@ -42,6 +42,29 @@ def nested(rows: DataFrame) -> DataFrame:
     return paired.select("stream", F.col("seq").alias("begin_seq"), "end_seq", (F.col("level") - 1).alias("depth"), ordinal.alias("ordinal"))
 
 
+def warnings(rows: DataFrame) -> DataFrame:
+    """stream, seq, warning: every end without a begin and every begin without an end."""
+    known = _depths(rows)
+    stray = known.filter("stray").select("stream", "seq", F.lit("end without a begin").alias("warning"))
+    open_ = nested(rows).filter("end_seq IS NULL").select("stream", F.col("begin_seq").alias("seq"), F.lit("begin without an end").alias("warning"))
+    return stray.unionByName(open_)
+
+
+def strict(rows: DataFrame) -> DataFrame:
+    """The fields of ``nested``, where a stream with a warning has the error PROTECTED_BOUNDARY and its first warning instead."""
+    first = warnings(rows).groupBy("stream").agg(F.min_by("warning", "seq").alias("warning"))
+    met = nested(rows).join(first, "stream", "left")
+    fine = met.filter("warning IS NULL").select("stream", "begin_seq", "end_seq", "depth", F.lit(None).cast("string").alias("error"), "warning")
+    return fine.unionByName(first.select("stream", F.lit(None).cast("int").alias("begin_seq"), F.lit(None).cast("int").alias("end_seq"), F.lit(None).cast("long").alias("depth"), F.lit("PROTECTED_BOUNDARY").alias("error"), "warning"))
+
+
+def field_spans(fields: DataFrame, markers: DataFrame) -> DataFrame:
+    """fields (stream, begin_seq, end_seq), markers (stream, seq, paragraph, at) -> stream, begin_seq, paragraph, start, end of fields inside one paragraph."""
+    side = lambda seq, at: markers.select("stream", F.col("seq").alias(seq), F.col("paragraph").alias(f"{at}_paragraph"), F.col("at").alias(at))
+    met = fields.filter("end_seq IS NOT NULL").join(side("begin_seq", "start"), ["stream", "begin_seq"]).join(side("end_seq", "end"), ["stream", "end_seq"])
+    return met.filter("start_paragraph = end_paragraph").select("stream", "begin_seq", F.col("start_paragraph").alias("paragraph"), "start", "end")
+
+
 def unique(fields: DataFrame, wanted: DataFrame, id_col: str) -> DataFrame:
     """wanted ids with the number of fields that carry them: none is REFERENCE_UNRESOLVED, several are ANCHOR_AMBIGUOUS."""
     counts = fields.groupBy(id_col).agg(F.count(F.lit(1)).alias("fields"))

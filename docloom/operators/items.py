@@ -46,15 +46,67 @@ def first_text(payload: Column, *paths: str) -> Column:
     return F.coalesce(*[F.nullif(F.get_json_object(payload, p), F.lit("")) for p in paths])
 
 
+def records(answers: DataFrame, keep: list[str], payload: str = "payload") -> DataFrame:
+    """answers (keep..., payload: JSON) -> one row per item record: keep..., place, hinted_key, record, error.
+
+    A list holds records, as do the members ``items`` and ``results`` of an object; an object with a record's own members
+    is one; any other object maps keys to records. What is none of these, or holds what is no object, is an error row.
+    """
+    value = F.try_parse_json(payload)
+    kind = lambda v: F.coalesce(F.schema_of_variant(v), F.lit("VOID"))
+    member = lambda name: F.try_variant_get("value", f"$.{name}", "variant")
+    rows = answers.select(*keep, value.alias("value"), kind(value).alias("kind"))
+    is_object = F.startswith("kind", F.lit("OBJECT"))
+    listed = F.when(F.startswith("kind", F.lit("ARRAY")), F.col("value"))
+    for name in ("results", "items"):
+        listed = F.when(is_object & F.startswith(kind(member(name)), F.lit("ARRAY")), member(name)).otherwise(listed)
+    own = [kind(member(name)) != "VOID" for name in ("key", "itemKey", "data", "csljson", "cslJSON")]
+    single = is_object & (own[0] | own[1] | own[2] | own[3] | own[4])
+    text = lambda v: F.to_json(v)
+    entry = lambda key, v: F.struct(key.cast("string").alias("hinted_key"), v.alias("value"))
+    none = F.lit(None)
+    by_key = F.transform(F.map_entries(F.try_variant_get("value", "$", "map<string,variant>")), lambda e: entry(e["key"], e["value"]))
+    mapped = F.filter(by_key, lambda e: F.startswith(F.coalesce(F.schema_of_variant(e["value"]), F.lit("")), F.lit("OBJECT")))
+    rows = rows.withColumn("listed", listed).withColumn("single", single)
+    found = (
+        F.when(F.col("listed").isNotNull(), F.transform(F.try_variant_get("listed", "$", "array<variant>"), lambda v: entry(none, v)))
+        .when(F.col("single"), F.array(entry(none, F.col("value")))).when(is_object, mapped)
+    )
+    rows = rows.withColumn("found", found)
+    strange = F.exists("found", lambda e: ~F.startswith(F.coalesce(F.schema_of_variant(e["value"]), F.lit("VOID")), F.lit("OBJECT")))
+    empty = is_object & F.col("listed").isNull() & ~F.col("single") & (F.size("found") == 0) & (F.size(F.map_keys(F.try_variant_get("value", "$", "map<string,variant>"))) > 0)
+    bad = F.coalesce(F.col("found").isNull() | strange | empty, F.lit(True))
+    error = F.when(bad, "ZOTERO_INCOMPATIBLE")
+    each = rows.withColumn("error", error).select(*keep, "error", F.posexplode_outer(F.when(F.col("error").isNull(), F.col("found"))).alias("place", "e"))
+    return each.filter("error IS NOT NULL OR e IS NOT NULL").select(*keep, "place", "e.hinted_key", text(F.col("e.value")).alias("record"), "error")
+
+
+def checked_library(library_type: Column, library_id: Column) -> Column:
+    """The error of a library that is none: its type is user or group, its id a number."""
+    return F.when(~F.coalesce(library_type.isin("user", "group") & F.regexp_like(library_id, F.lit("^[0-9]+$")), F.lit(False)), "INVALID_REQUEST")
+
+
+def csl_of(payload: Column) -> Column:
+    """The record's CSL data as a JSON object: the first of its members that is one, or the text of one, or of a list of one."""
+
+    def one(name: str) -> Column:
+        said = F.get_json_object(payload, f"$.{name}")
+        read = F.try_parse_json(said)
+        shape = F.coalesce(F.schema_of_variant(read), F.lit("VOID"))
+        lone = F.try_variant_get(read, "$", "array<variant>")
+        is_lone = F.startswith(shape, F.lit("ARRAY<OBJECT")) & (F.size(lone) == 1)
+        return F.when(F.startswith(shape, F.lit("OBJECT")), said).when(is_lone, F.to_json(F.get(lone, 0)))
+
+    return F.coalesce(*[one(name) for name in ("csljson", "cslJSON", "csl")])
+
+
 def normalised(payload: Column, hinted_key: Column | None = None) -> list[Column]:
     """item_key, version, csl_json and uri of one record, whatever shape it came in."""
     hint = F.lit(None).cast("string") if hinted_key is None else hinted_key
     item_key = F.coalesce(first_text(payload, "$.key", "$.itemKey", "$.data.key"), hint)
-    version = F.expr("try_cast(NULL AS BIGINT)")
-    version = F.coalesce(first_text(payload, "$.version", "$.data.version").try_cast("bigint"), version)
-    csl = first_text(payload, "$.csljson", "$.cslJSON", "$.csl")
+    version = first_text(payload, "$.version", "$.data.version").try_cast("bigint")
     library_type, library_id = F.get_json_object(payload, "$.library.type"), F.get_json_object(payload, "$.library.id")
-    return [item_key.alias("item_key"), version.alias("version"), csl.alias("csl_json"), item_uri(payload, library_type, library_id, item_key).alias("uri")]
+    return [item_key.alias("item_key"), version.alias("version"), csl_of(payload).alias("csl_json"), item_uri(payload, library_type, library_id, item_key).alias("uri")]
 
 
 def item_uri(payload: Column, library_type: Column, library_id: Column, key: Column) -> Column:

@@ -24,6 +24,22 @@ def live(transactions: DataFrame, now: Column, ttl: int = TTL_SECONDS, created:
     return transactions.withColumn("expires_at", expires).filter(F.col("expires_at") > now)
 
 
+def registered(staged: DataFrame, findings: DataFrame, now: Column, ttl: int = TTL_SECONDS) -> DataFrame:
+    """staged (doc_path, source_sha256, idempotency_key, ...) -> with transaction_id, created_at, expires_at, error and warnings.
+
+    The gate: a document with an error among its findings (doc_path, severity) isn't registered; warnings go along. The id
+    is a digest of document, hash, key and time, so a task that runs again makes the same one.
+    """
+    counted = findings.groupBy("doc_path").agg(F.count_if(F.col("severity") == "error").alias("errors"), F.count_if(F.col("severity") == "warning").alias("warnings"))
+    met = staged.join(counted, "doc_path", "left").withColumn("error", F.when(F.coalesce("errors", F.lit(0)) > 0, "VALIDATION_FAILED"))
+    made = F.substring(F.sha2(F.concat_ws("\x1f", "doc_path", "source_sha256", F.coalesce("idempotency_key", F.lit("")), now.cast("string")), 256), 1, 32)
+    passed = lambda c: F.when(F.col("error").isNull(), c)
+    return met.select(
+        *staged.columns, "error", F.coalesce("warnings", F.lit(0).cast("long")).alias("warnings"), passed(made).alias("transaction_id"), passed(now).alias("created_at"),
+        passed(now + F.expr(f"INTERVAL {ttl} SECONDS")).alias("expires_at"),
+    )
+
+
 def commit_outcome(known: Column, token_ok: Column, path_ok: Column, suffix: Column, exists: Column, overwrite: Column, open_elsewhere: Column, locked: Column, source_same: Column) -> Column:
     """The first guard that fails names the outcome; null lets the commit pass."""
     return (

@@ -60,6 +60,23 @@ def semantic(marks: DataFrame) -> DataFrame:
     return united(found)
 
 
+def revision_findings(marks: DataFrame) -> DataFrame:
+    """marks (doc_path, story, kind, mark_id, author): revisions need an id, and should have an author."""
+    rows = marks.filter(F.col("kind").isin("ins", "del", "moveFrom", "moveTo"))
+    return united([
+        finding(rows.filter("mark_id IS NULL"), "semantic", "error", F.concat("story", F.lit(": revision without an id"))),
+        finding(rows.filter("author IS NULL"), "semantic", "warning", F.concat("story", F.lit(": revision without an author: "), F.coalesce("mark_id", F.lit("?")))),
+    ])
+
+
+def field_findings(balances: DataFrame) -> DataFrame:
+    """balances (doc_path, story, unmatched_ends, unclosed), as ``fields.balance`` counts them."""
+    return united([
+        finding(balances.filter("unmatched_ends > 0"), "semantic", "error", F.concat("story", F.lit(": field ends without a begin: "), F.col("unmatched_ends").cast("string"))),
+        finding(balances.filter("unclosed > 0"), "semantic", "error", F.concat("story", F.lit(": fields not closed: "), F.col("unclosed").cast("string"))),
+    ])
+
+
 def united(findings: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, findings)
 

@@ -31,9 +31,33 @@ def _fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def j01_parse_instruction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every instruction as it is, with markers in other cases, and with a letter before its field's marker."""
     field = F.col("instruction")
-    rows = _fields(spark, sf_dir).select("doc_id", citations.instruction_kind(field).alias("kind"), citations.payload(field).alias("payload"), citations.is_legacy(field).alias("old"))
-    return rows.select("doc_id", "kind", "payload", (F.col("old") & (F.col("kind") == "citation")).alias("legacy")).na.fill({"legacy": False})
+    cased = F.replace(F.replace(F.replace(field, F.lit("ZOTERO_ITEM"), F.lit("Zotero_Item")), F.lit("CSL_CITATION"), F.lit("csl_citation")), F.lit("ZOTERO_BIBL"), F.lit("zotero_bibl"))
+    forms = F.posexplode(F.array(field, cased, F.replace(field, F.lit("ZOTERO_"), F.lit("XZOTERO_")))).alias("form", "instruction")
+    rows = _fields(spark, sf_dir).select("doc_id", forms)
+    rows = rows.select("doc_id", long("form"), citations.instruction_kind(field).alias("kind"), citations.payload(field).alias("payload"), citations.is_legacy(field).alias("old"))
+    return rows.select("doc_id", "form", "kind", F.when(F.col("kind").isNotNull(), F.col("payload")).alias("payload"), (F.col("old") & (F.col("kind") == "citation")).alias("legacy")).na.fill({"legacy": False})
+
+
+def f05_field_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _fields(spark, sf_dir).select("doc_id", citations.field_id(F.col("instruction"), F.lit("body"), F.col("ordinal")).alias("field_id"))
+
+
+def j12_decoded_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Preferences of every document, written as chunks, joined and read; every seventh chunk set is cut short."""
+    docs = documents(spark, sf_dir)
+    xml = citations.preference_document(F.concat(F.lit("http://styles/?a=1&b="), "source"), F.col("lang"), F.substring(F.sha2("text", 256), 1, 8), F.col("n_chars") % 2 == 0, F.lit("Field"))
+    cut_short = F.when(F.col("doc_id") % 7 == 0, F.substring(xml, F.lit(1), F.length(xml) - 5)).otherwise(xml)
+    chunks = docs.select("doc_id", F.posexplode(citations.chunk_utf16(cut_short, 60)).alias("k", "chunk")).select("doc_id", (F.col("k") + 1).alias("idx"), "chunk")
+    return citations.decoded_preferences(citations.joined_preferences(chunks, "doc_id"), "doc_id")
+
+
+def j16_inserted_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A citation into every document of a source; texts repeat, and some ids are taken."""
+    asked = documents(spark, sf_dir).select("source", F.col("doc_id").alias("place"), F.lit('[{"id":1}]').alias("items"), F.concat(F.lit("<b>"), (F.col("doc_id") % 5).cast("string"), F.lit("</b>")).alias("formatted"))
+    taken = asked.filter("place % 5 = 0").select("source", F.substring(F.sha2(F.concat_ws("\x1f", "source", "items", "formatted"), 256), 1, 8).alias("citation_id")).distinct()
+    return citations.inserted_citations(asked, taken, "source").select("source", "place", "citation_id", "visible", F.startswith("instruction", F.lit(" ADDIN ZOTERO_ITEM CSL_CITATION {")).alias("marked"))
 
 
 def j15_list_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,7 +147,7 @@ def opl_plain_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        j01_parse_instruction, j15_list_citations, j08_fallback_text, j09_plain_formatted, j10_chunk, j11_joined_preferences, v03_missing_preferences, j21_hydrate,
+        j01_parse_instruction, f05_field_id, j12_decoded_preferences, j16_inserted_citations, j15_list_citations, j08_fallback_text, j09_plain_formatted, j10_chunk, j11_joined_preferences, v03_missing_preferences, j21_hydrate,
         j21_unresolved, j17_update, j18_remove, j19_sync_bibliography, opl_plain_citations,
     )
 }
@@ -156,8 +180,18 @@ _CITED = """
 
 ORACLES = {
     "j01_parse_instruction": f"""
-        SELECT doc_id, CASE WHEN doc_id % 6 <= 2 THEN 'citation' WHEN doc_id % 6 = 4 THEN 'bibliography' END AS kind,
-               CASE WHEN doc_id % 6 <= 2 THEN {_BODY} WHEN doc_id % 6 = 4 THEN '{{"uncited":[]}}' END AS payload, doc_id % 6 = 2 AS legacy FROM documents""",
+        WITH f AS (SELECT doc_id, doc_id % 6 AS k, {_BODY} AS body, unnest([0, 1, 2]) AS form FROM documents),
+        g AS (SELECT *, CASE WHEN form < 2 THEN CASE WHEN k <= 2 THEN 'citation' WHEN k = 4 THEN 'bibliography' END WHEN k <= 1 THEN 'citation' END AS kind FROM f)
+        SELECT doc_id, CAST(form AS BIGINT) AS form, kind, CASE kind WHEN 'citation' THEN body WHEN 'bibliography' THEN '{{"uncited":[]}}' END AS payload, kind IS NOT NULL AND kind = 'citation' AND (form = 2 OR k = 2) AS legacy FROM g""",
+    "f05_field_id": f"SELECT doc_id, CASE WHEN doc_id % 6 <= 2 AND doc_id % 9 <> 0 THEN {_NAME} ELSE 'body:' || doc_id END AS field_id FROM documents",
+    "j12_decoded_preferences": """
+        SELECT doc_id, CASE WHEN ok THEN '3' END AS data_version, CASE WHEN ok THEN 'http://styles/?a=1&amp;b=' || source END AS style, CASE WHEN ok THEN lang END AS locale, CASE WHEN ok THEN sha256(text)[1:8] END AS session,
+               ok AND n_chars % 2 = 0 AS has_bibliography, CASE WHEN ok THEN 'Field' END AS field_type, CASE WHEN NOT ok THEN 'invalid XML' END AS warning
+        FROM (SELECT *, doc_id % 7 <> 0 AS ok FROM documents)""",
+    "j16_inserted_citations": """
+        WITH r AS (SELECT source, doc_id AS place, sha256(source || chr(31) || '[{"id":1}]' || chr(31) || '<b>' || (doc_id % 5) || '</b>')[1:8] AS base, doc_id % 5 AS v FROM documents),
+        n AS (SELECT *, row_number() OVER (PARTITION BY source, base ORDER BY place) - 1 + CASE WHEN v = 0 THEN 1 ELSE 0 END AS n FROM r)
+        SELECT source, place, base || CASE WHEN n > 0 THEN '-' || n ELSE '' END AS citation_id, CAST(v AS VARCHAR) AS visible, true AS marked FROM n""",
     "j15_list_citations": f"""
         WITH f AS (SELECT source, doc_id AS ordinal, CASE WHEN doc_id % 6 <= 2 THEN {_NAME} END AS citation_id FROM documents WHERE doc_id % 6 <= 3)
         SELECT source, ordinal, citation_id,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.operators import citations, fields, locate, protection
+from docloom.operators import citations, fields, locate, protection, validation
 from docloom.plans import structures
 from docloom.plans.common import HITS, PARAGRAPHS, documents, long, paragraphs
 from docloom.session import table
@@ -70,7 +70,7 @@ def j13_written_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return citations.written_preferences(properties, values, "doc_id")
 
 
-def v04_payload_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _payload_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Payloads of seven shapes, by turns."""
     shapes = [
         '{"citationItems":[{"id":1}]}', '{"citationItems":[]}', "[1]", '{"citationItems":[{"id":1},5]}', '{"citationItems":[{"x":1},{"uris":"u"}],"properties":3}', '{"citationItems":[{"itemData":[]}]}', "{broken",
@@ -80,9 +80,34 @@ def v04_payload_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", long("item"), "message")
 
 
+def v04_payload_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _payload_findings(spark, sf_dir)
+
+
+def v05_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All layers in one report: relationships of orders, marks of line items and fields of pages, payloads of documents."""
+    rels, parts = structures._relationships(spark, sf_dir)
+    marks = structures._marks(spark, sf_dir)
+    balances = fields.balance(structures._markers(spark, sf_dir)).select(F.col("stream").cast("string").alias("doc_path"), F.lit("body").alias("story"), "unmatched_ends", "unclosed")
+    payloads = validation.finding(_payload_findings(spark, sf_dir).withColumn("doc_path", F.col("doc_id").cast("string")), "zotero", "error", F.col("message"))
+    found = validation.united([validation.dangling(rels, parts), validation.external(rels), validation.semantic(marks), validation.field_findings(balances), payloads])
+    paths = [rels.select("doc_path"), marks.select("doc_path"), balances.select("doc_path"), documents(spark, sf_dir).select(F.col("doc_id").cast("string").alias("doc_path"))]
+    return validation.report(found, validation.united(paths).distinct())
+
+
+def v02_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as revisions: some without an id, some without an author."""
+    kinds = F.element_at(F.array(*map(F.lit, ("ins", "del", "moveFrom", "moveTo", "bookmark start"))), (F.col("l_linenumber") % 5 + 1).cast("int"))
+    rows = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").cast("string").alias("doc_path"), F.concat(F.lit("story "), "l_linestatus").alias("story"), kinds.alias("kind"),
+        F.when(F.col("l_partkey") % 4 != 0, F.col("l_partkey").cast("string")).alias("mark_id"), F.when(F.col("l_suppkey") % 3 != 0, "someone").alias("author"),
+    )
+    return validation.revision_findings(rows)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (p10_protected_ranges, e11_insertion_guard, e13_editable_fields, e14_append_fields, e05_set_alt_text, e06_add_comments, j13_written_preferences, v04_payload_findings)
+    for f in (p10_protected_ranges, e11_insertion_guard, e13_editable_fields, e14_append_fields, e05_set_alt_text, e06_add_comments, j13_written_preferences, v04_payload_findings, v05_report, v02_revisions)
 }
 
 #: Offsets in a text without its "the"s.
@@ -127,3 +152,18 @@ ORACLES = {
           (1, -1, 'citationItems is empty'), (2, -1, 'payload is not an object'), (3, 1, 'item is not an object'), (4, -1, 'properties is not an object'),
           (4, 0, 'item without id, uris or itemData'), (4, 1, 'uris is not an array'), (5, 0, 'itemData is not an object'), (6, -1, 'payload is not an object')) v(shape, item, message) ON doc_id % 7 = shape""",
 }
+ORACLES["v05_report"] = f"""
+    WITH f AS ({structures.ORACLES["v01_dangling"]}
+      UNION ALL (SELECT * FROM ({structures.ORACLES["v02_marker_diff"]}))
+      UNION ALL SELECT CAST(page_id AS VARCHAR), 'semantic', 'error', 'body: field ends without a begin: ' || unmatched_ends FROM ({structures.ORACLES["f02_field_balance"]}) WHERE unmatched_ends > 0
+      UNION ALL SELECT CAST(page_id AS VARCHAR), 'semantic', 'error', 'body: fields not closed: ' || unclosed FROM ({structures.ORACLES["f02_field_balance"]}) WHERE unclosed > 0
+      UNION ALL SELECT CAST(doc_id AS VARCHAR), 'zotero', 'error', message FROM ({ORACLES["v04_payload_findings"]})),
+    r AS (SELECT doc_path, count(*) FILTER (WHERE severity = 'error') AS errors, count(*) FILTER (WHERE severity = 'warning') AS warnings,
+                 array_to_string(list_sort(list(DISTINCT layer || ': ' || message) FILTER (WHERE severity = 'error'))[1:5], '; ') AS summary FROM f GROUP BY doc_path),
+    p AS (SELECT DISTINCT * FROM (SELECT CAST(o_orderkey AS VARCHAR) AS doc_path FROM orders UNION ALL SELECT CAST(l_orderkey % 500 AS VARCHAR) FROM lineitem
+          UNION ALL SELECT CAST(page_id AS VARCHAR) FROM ({structures.ORACLES["f02_field_balance"]}) UNION ALL SELECT CAST(doc_id AS VARCHAR) FROM documents))
+    SELECT p.doc_path, coalesce(errors, 0) = 0 AS valid, coalesce(errors, 0) AS errors, coalesce(warnings, 0) AS warnings, coalesce(summary, '') AS summary FROM p LEFT JOIN r ON r.doc_path = p.doc_path"""
+ORACLES["v02_revisions"] = """
+    WITH m AS (SELECT CAST(l_orderkey AS VARCHAR) AS doc_path, 'story ' || l_linestatus AS story, CASE WHEN l_partkey % 4 <> 0 THEN CAST(l_partkey AS VARCHAR) END AS id, l_suppkey % 3 <> 0 AS named FROM lineitem WHERE l_linenumber % 5 <> 4)
+    SELECT doc_path, 'semantic' AS layer, 'error' AS severity, story || ': revision without an id' AS message FROM m WHERE id IS NULL
+    UNION ALL SELECT doc_path, 'semantic', 'warning', story || ': revision without an author: ' || coalesce(id, '?') FROM m WHERE NOT named"""

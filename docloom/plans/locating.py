@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docloom.operators import locate
 from docloom.operators.paragraphs import locator_hash
-from docloom.plans.common import HITS, PARAGRAPHS, long, paragraphs
+from docloom.plans.common import HITS, PARAGRAPHS, documents, long, paragraphs
 
 
 def l01_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,11 +27,23 @@ def l02_resolve_locator(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("doc_id") % 2 == 0, " ").alias("prefix"), F.when(F.col("doc_id") % 3 == 0, " ").alias("suffix"),
     ).join(hashes, ["doc_id", "paragraph_index"], "left")
     kind = F.col("doc_id") % 6
-    asked = asked.withColumn("paragraph_hash", F.when(kind == 1, F.col("right")).when(kind == 2, F.lit("0" * 64))).drop("right")
+    asked = asked.withColumn("paragraph_hash", F.when(kind == 1, F.col("right")).when(kind == 2, F.lit("0" * 64)).when(kind == 3, F.upper(F.substring("right", 1, 16)))).drop("right")
     stories = docs.withColumn("story", F.lit("body")).withColumn("parts", F.lit(1))
     return locate.resolve(asked, rows, stories).select("req_id", "error", F.coalesce(long("start"), F.lit(-1)).alias("start"), F.coalesce(long("end"), F.lit(-1)).alias("end"))
 
 
+def l07_locator_mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Locators as JSON, good and bad ones, and the parts their stories mean."""
+    n = F.col("n_chars")
+    story = F.element_at(F.array(*map(F.lit, ("body", "footnote", "endnote", "header"))), (n % 4 + 1).cast("int"))
+    told = F.element_at(F.array(*map(F.lit, (None, "document.xml", "/word/footnotes.xml", ""))), (n % 5).cast("int") % 4 + 1)
+    digest = F.when(n % 3 == 0, F.upper(F.substring(F.sha2("text", 256), 1, 16))).when(n % 3 == 1, "abc")
+    said = F.struct(story.alias("story"), told.alias("story_part"), (n % 9 - 1).alias("paragraph_index"), digest.alias("paragraph_hash"), F.when(n % 7 == 0, n % 2).alias("occurrence"))
+    rows = documents(spark, sf_dir).select("doc_id", locate.locator_mapping(F.to_json(said)).alias("l"))
+    part = locate.story_part(F.col("l.story"), F.col("l.story_part"))
+    return rows.select("doc_id", "l.story", F.col("l.paragraph_index").cast("long").alias("paragraph_index"), "l.paragraph_hash", F.col("l.occurrence").cast("long").alias("occurrence"), F.col("l.error").alias("error"), part["part_name"].alias("part_name"), part["error"].alias("part_error"))
+
+
 def l03_nth_span(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = paragraphs(spark, sf_dir).withColumn("start", locate.nth_occurrence(F.col("text"), F.lit("the"), F.lit(3)))
     return rows.filter("start IS NOT NULL").select("doc_id", long("idx"), long("start"), (F.col("start") + 3).cast("long").alias("end"))
@@ -82,7 +94,7 @@ def p11_span_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return locate.split_spans(spans, rows).select("doc_id", long("idx"), long("start"), long("end"), "kind")
 
 
-QUERIES = {f.__name__: f for f in (l01_occurrences, l02_resolve_locator, l03_nth_span, l05_anchor_span, p13_overlap_join, p14_assert_editable, p12_tidy_ranges, p11_span_split)}
+QUERIES = {f.__name__: f for f in (l01_occurrences, l02_resolve_locator, l07_locator_mappings, l03_nth_span, l05_anchor_span, p13_overlap_join, p14_assert_editable, p12_tidy_ranges, p11_span_split)}
 
 _EDITS = f"SELECT doc_id, idx, (doc_id + idx) % 50 AS a, (doc_id + idx) % 50 + doc_id % 4 AS b FROM ({PARAGRAPHS})"
 _RANGES = f"""
@@ -104,6 +116,14 @@ ORACLES = {
                      CASE WHEN exact THEN c.start ELSE 0 END AS s, CASE WHEN exact THEN c.start + 3 ELSE length(p.text) END AS e
               FROM r LEFT JOIN p ON p.doc_id = req_id AND p.idx = i LEFT JOIN c ON c.doc_id = req_id AND c.idx = i AND c.n = r.n)
         SELECT req_id, error, CASE WHEN error IS NULL THEN s ELSE -1 END AS start, CASE WHEN error IS NULL THEN e ELSE -1 END AS "end" FROM m""",
+    "l07_locator_mappings": """
+        WITH d AS (SELECT doc_id, n_chars AS n, ['body', 'footnote', 'endnote', 'header'][n_chars % 4 + 1] AS story, [NULL, 'document.xml', '/word/footnotes.xml', ''][(n_chars % 5) % 4 + 1] AS told,
+                          CASE n_chars % 3 WHEN 0 THEN lower(sha256(text)[1:16]) WHEN 1 THEN 'abc' END AS h, CASE WHEN n_chars % 7 = 0 THEN n_chars % 2 ELSE 1 END AS occurrence FROM documents),
+        p AS (SELECT *, CASE story WHEN 'body' THEN 'word/document.xml' WHEN 'footnote' THEN 'word/footnotes.xml' WHEN 'endnote' THEN 'word/endnotes.xml' END AS own,
+                     CASE told WHEN 'document.xml' THEN 'word/document.xml' WHEN '/word/footnotes.xml' THEN 'word/footnotes.xml' END AS meant FROM d),
+        q AS (SELECT *, own IS NULL OR meant IS NOT NULL AND meant <> own AS wrong FROM p)
+        SELECT doc_id, story, n % 9 - 1 AS paragraph_index, h AS paragraph_hash, occurrence, CASE WHEN n % 9 = 0 OR occurrence < 1 OR n % 3 = 1 THEN 'INVALID_REQUEST' END AS error,
+               CASE WHEN NOT wrong THEN own END AS part_name, CASE WHEN wrong THEN 'INVALID_REQUEST' END AS part_error FROM q""",
     "l03_nth_span": f'SELECT doc_id, idx, start, start + 3 AS "end" FROM ({HITS}) WHERE occurrence = 3',
     "l05_anchor_span": f"""
         SELECT doc_id, idx, CASE WHEN ok THEN start ELSE -1 END AS start, CASE WHEN ok THEN start + 3 ELSE -1 END AS "end", CASE WHEN NOT ok THEN 'ANCHOR_NOT_FOUND' END AS error

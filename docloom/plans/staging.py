@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.operators import items, transactions
+from docloom.operators import items, transactions, validation
+from docloom.plans import structures
 from docloom.plans.common import documents, long
 from docloom.session import table
 from docloom.streaming import requests as stream
@@ -48,19 +49,52 @@ def n02_valid_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def n05_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records of four shapes made from events."""
-    n, k = F.col("event_id").cast("string"), F.get_json_object("props", "$.k")
-    shape = F.col("event_id") % 4
-    record = (
+    """Records of four shapes made from events; their CSL data is an object, its text, or the text of a list of one."""
+    return _normalised(spark, sf_dir)
+
+
+def _record(n: Column, k: Column, shape: Column) -> Column:
+    return (
         F.when(shape == 0, F.concat(F.lit('{"key":"K'), n, F.lit('","version":'), k, F.lit(',"library":{"type":"user","id":7},"csljson":{"id":1}}')))
-        .when(shape == 1, F.concat(F.lit('{"data":{"key":"D'), n, F.lit('","version":"'), k, F.lit('"},"library":{"type":"group","id":8}}')))
-        .when(shape == 2, F.concat(F.lit('{"itemKey":"I'), n, F.lit('","uri":"u/'), k, F.lit('","csl":""}'))).otherwise(F.lit('{"version":"x"}'))
+        .when(shape == 1, F.concat(F.lit('{"data":{"key":"D'), n, F.lit('","version":"'), k, F.lit('"},"library":{"type":"group","id":8},"cslJSON":"{\\"id\\":2}"}')))
+        .when(shape == 2, F.concat(F.lit('{"itemKey":"I'), n, F.lit('","uri":"u/'), k, F.lit('","csl":"[{\\"id\\":3}]"}'))).otherwise(F.lit('{"version":"x","csl":"{broken"}'))
     )
+
+
+def _normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    record = _record(F.col("event_id").cast("string"), F.get_json_object("props", "$.k"), F.col("event_id") % 4)
     rows = table(spark, sf_dir, "events").select("event_id", record.alias("record"))
     found = rows.select("event_id", *items.normalised(F.col("record"), F.concat(F.lit("H"), F.col("event_id").cast("string"))))
     return found.withColumn("version", F.coalesce("version", F.lit(-1).cast("long")))
 
 
+def n04_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers of six shapes, each about an event: a list, items, results, one record, records by key, and what is none."""
+    n = F.col("event_id").cast("string")
+    one = F.concat(F.lit('{"key":"K'), n, F.lit('"}'))
+    answer = F.element_at(F.array(
+        F.concat(F.lit("["), one, F.lit(","), one, F.lit("]")), F.concat(F.lit('{"items":['), one, F.lit("]}")), F.concat(F.lit('{"results":['), one, F.lit(',5]}')), one,
+        F.concat(F.lit('{"A":{"x":'), n, F.lit('},"B":7}')), F.lit("5"),
+    ), (F.col("event_id") % 6 + 1).cast("int"))
+    found = items.records(table(spark, sf_dir, "events").select("event_id", answer.alias("payload")), ["event_id"])
+    return found.select("event_id", F.coalesce(long("place"), F.lit(-1)).alias("place"), "hinted_key", "record", "error")
+
+
+def n03_checked_library(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.element_at(F.array(*map(F.lit, ("user", "group", "team", None))), (F.col("event_id") % 4 + 1).cast("int"))
+    number = F.when(F.col("event_id") % 5 == 0, F.col("event_type")).otherwise(F.col("user_id").cast("string"))
+    return table(spark, sf_dir, "events").select("event_id", items.checked_library(kind, number).alias("error"))
+
+
+def x02_registered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders are staged documents; those with a dangling relationship don't pass the gate, external ones are warnings."""
+    rels, parts = structures._relationships(spark, sf_dir)
+    findings = validation.united([validation.dangling(rels, parts), validation.external(rels)])
+    staged = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("doc_path"), F.sha2("o_orderpriority", 256).alias("source_sha256"), F.when(F.col("o_custkey") % 2 == 0, F.col("o_custkey").cast("string")).alias("idempotency_key"))
+    now = F.expr("TIMESTAMP_NTZ '2024-01-15 12:00:00'")
+    return transactions.registered(staged, findings, now).select("doc_path", "error", "warnings", "transaction_id", F.date_format("expires_at", "HH:mm").alias("expires"))
+
+
 def s15_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Local answers of all events, web answers of the even ones; the status goes by the event's type and number."""
     statuses = F.element_at(F.array(*[F.lit(x) for x in (200, 403, 404, 429, 500, 501, None)]), (F.col("event_id") % 7 + 1).cast("int"))
@@ -113,7 +147,7 @@ def k08_audit_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (t07_search, t08_get_items, t08_missing, n02_valid_keys, n05_normalised, s15_fallback, x01_idempotency, x01_stream_keys, x03_expiry, x05_commit_ladder, x04_abort, k08_audit_rows)
+    for f in (t07_search, t08_get_items, t08_missing, n02_valid_keys, n03_checked_library, n04_records, n05_normalised, x02_registered, s15_fallback, x01_idempotency, x01_stream_keys, x03_expiry, x05_commit_ladder, x04_abort, k08_audit_rows)
 }
 
 _REQUESTS = """
@@ -133,8 +167,19 @@ ORACLES = {
     "n05_normalised": """
         WITH e AS (SELECT event_id, event_id % 4 AS s, json_extract_string(props, '$.k') AS k FROM events)
         SELECT event_id, CASE s WHEN 0 THEN 'K' WHEN 1 THEN 'D' WHEN 2 THEN 'I' ELSE 'H' END || event_id AS item_key, CASE WHEN s <= 1 THEN CAST(k AS BIGINT) ELSE -1 END AS version,
-               CASE WHEN s = 0 THEN '{"id":1}' END AS csl_json,
+               CASE s WHEN 0 THEN '{"id":1}' WHEN 1 THEN '{"id":2}' WHEN 2 THEN '{"id":3}' END AS csl_json,
                CASE s WHEN 0 THEN 'http://zotero.org/users/7/items/K' || event_id WHEN 1 THEN 'http://zotero.org/groups/8/items/D' || event_id WHEN 2 THEN 'u/' || k END AS uri FROM e""",
+    "n04_records": """
+        WITH e AS (SELECT event_id, event_id % 6 AS s, '{"key":"K' || event_id || '"}' AS one FROM events)
+        SELECT event_id, CAST(0 AS BIGINT) AS place, CASE WHEN s = 4 THEN 'A' END AS hinted_key, CASE WHEN s = 4 THEN '{"x":' || event_id || '}' ELSE one END AS record, NULL AS error FROM e WHERE s IN (0, 1, 3, 4)
+        UNION ALL SELECT event_id, 1, NULL, one, NULL FROM e WHERE s = 0
+        UNION ALL SELECT event_id, -1, NULL, NULL, 'ZOTERO_INCOMPATIBLE' FROM e WHERE s IN (2, 5)""",
+    "n03_checked_library": "SELECT event_id, CASE WHEN event_id % 4 >= 2 OR event_id % 5 = 0 THEN 'INVALID_REQUEST' END AS error FROM events",
+    "x02_registered": """
+        SELECT CAST(o_orderkey AS VARCHAR) AS doc_path, CASE WHEN bad THEN 'VALIDATION_FAILED' END AS error, CAST(CASE WHEN o_orderkey % 10 = 0 THEN 1 ELSE 0 END AS BIGINT) AS warnings,
+               CASE WHEN NOT bad THEN sha256(o_orderkey || chr(31) || sha256(o_orderpriority) || chr(31) || CASE WHEN o_custkey % 2 = 0 THEN CAST(o_custkey AS VARCHAR) ELSE '' END || chr(31) || '2024-01-15 12:00:00')[1:32] END AS transaction_id,
+               CASE WHEN NOT bad THEN '13:00' END AS expires
+        FROM (SELECT *, o_orderstatus = 'F' AND o_orderkey % 10 <> 0 AS bad FROM orders)""",
     "s15_fallback": """
         WITH l AS (SELECT event_id, [200, 403, 404, 429, 500, 501, NULL][event_id % 7 + 1] AS status, event_type AS body FROM events),
         f AS (SELECT *, coalesce(status, 0) IN (0, 403, 404, 501) AS failed FROM l)

@@ -24,6 +24,15 @@ def f01_nested_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("stream").alias("page_id"), long("begin_seq"), F.coalesce(long("end_seq"), F.lit(-1)).alias("end_seq"), "depth", long("ordinal"))
 
 
+def f03_field_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fields.warnings(_markers(spark, sf_dir)).select(F.col("stream").alias("page_id"), long("seq"), "warning")
+
+
+def f04_strict_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fields.strict(_markers(spark, sf_dir)).withColumn("error", F.coalesce("error", F.lit("")))
+    return found.groupBy(F.col("stream").alias("page_id"), "error").agg(F.count("begin_seq").alias("fields"))
+
+
 def f06_unique_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fields are line items known by their part; each part is asked for, some beyond those there are."""
     wanted = table(spark, sf_dir, "part").select((F.col("p_partkey") * 2).alias("l_partkey"))
@@ -31,21 +40,15 @@ def f06_unique_field(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def s01_package_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents written as packages, opened again, their parts walked and their paragraphs put together."""
+    """Documents written as packages, opened again, their main parts found and read."""
     opened = packages.parts(packages.packages_of(documents(spark, sf_dir)))
-    found = packages.visible_paragraphs(packages.tokens(opened))
+    found = packages.paragraph_texts(opened.filter("part_name = 'word/document.xml'"))
     return found.select(F.col("doc_path").cast("long").alias("doc_id"), long("idx"), F.sha2("text", 256).alias("text_sha256"))
 
 
-def a01_package_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as packages, counted without parsing."""
-    found = packages.summaries(packages.parts(packages.packages_of(documents(spark, sf_dir))))
-    return found.select(F.col("doc_path").cast("long").alias("doc_id"), "paragraphs", "tables", "revisions", "external")
-
-
 def k01_rewritten_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A part is added to every third package; the others keep their bytes."""
-    whole = packages.packages_of(documents(spark, sf_dir).select("doc_id", F.substring("text", 1, 200).alias("text")))
+    whole = packages.packages_of(documents(spark, sf_dir))
     changes = whole.filter(F.col("doc_path").cast("long") % 3 == 0).select("doc_path", F.lit("docProps/note.xml").alias("part_name"), F.encode(F.lit("<n/>"), "UTF-8").alias("data"))
     written = packages.rewritten(whole, changes)
     after = packages.parts(written).groupBy("doc_path").agg(F.count("part_name").alias("parts"))
@@ -53,15 +56,6 @@ def k01_rewritten_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return same.join(after, "doc_path").select(F.col("doc_path").cast("long").alias("doc_id"), "parts", (F.col("before") == F.col("after")).alias("unchanged"))
 
 
-def s06_content_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nations are parts: their name's last letter is the extension, customers' segments make overrides for some."""
-    nation = table(spark, sf_dir, "nation")
-    names = nation.select(F.col("n_regionkey").cast("string").alias("doc_path"), F.concat("n_name", F.lit("."), F.upper(F.right("n_name", F.lit(1)))).alias("part_name"))
-    overrides = names.join(nation.filter("n_nationkey % 4 = 0").select(F.concat("n_name", F.lit("."), F.upper(F.right("n_name", F.lit(1)))).alias("part_name")), "part_name", "left_semi").withColumn("content_type", F.concat(F.lit("override/"), "part_name"))
-    defaults = table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("string").alias("doc_path"), F.lower(F.right("r_name", F.lit(1))).alias("extension"), F.lit("default").alias("content_type"))
-    return packages.content_types(names, overrides.select("doc_path", "part_name", "content_type"), defaults)
-
-
 def s10_resolved_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Targets of four shapes from two source parts."""
     target = F.element_at(F.array(*map(F.lit, ("media/image%201.png#x", "../docProps/core.xml", "/word/document.xml", "../../../outside.xml", "https://example.com/a"))), (F.col("page_id") % 5 + 1).cast("int"))
@@ -94,15 +88,9 @@ def v02_marker_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validation.semantic(_marks(spark, sf_dir))
 
 
-def v05_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    marks = _marks(spark, sf_dir)
-    found = validation.semantic(marks)
-    return validation.report(found, marks.select("doc_path").distinct())
-
-
 QUERIES = {
     f.__name__: f
-    for f in (f02_field_balance, f01_nested_fields, f06_unique_field, s01_package_paragraphs, a01_package_summary, k01_rewritten_packages, s06_content_type, s10_resolved_targets, v01_dangling, v02_marker_diff, v05_report)
+    for f in (f02_field_balance, f01_nested_fields, f03_field_warnings, f04_strict_fields, f06_unique_field, s01_package_paragraphs, k01_rewritten_packages, s10_resolved_targets, v01_dangling, v02_marker_diff)
 }
 
 _TAGS = r"'</?(?:div|p|b|ul|li)(?:\s[^>]*)?>'"
@@ -136,17 +124,20 @@ ORACLES = {
         n AS (SELECT *, lead(step) OVER w AS next_step, lead(seq) OVER w AS next_seq FROM k WINDOW w AS (PARTITION BY page_id, level ORDER BY seq))
         SELECT page_id, seq AS begin_seq, CASE WHEN next_step < 0 THEN next_seq ELSE -1 END AS end_seq, level - 1 AS depth, row_number() OVER (PARTITION BY page_id ORDER BY seq) - 1 AS ordinal
         FROM n WHERE step > 0""",
+    "f03_field_warnings": f"""
+        {_DEPTHS}, k AS (SELECT *, CASE WHEN step > 0 THEN depth ELSE depth + 1 END AS level FROM d WHERE NOT stray),
+        n AS (SELECT *, lead(step) OVER (PARTITION BY page_id, level ORDER BY seq) AS next_step FROM k)
+        SELECT page_id, seq, 'end without a begin' AS warning FROM d WHERE stray
+        UNION ALL SELECT page_id, seq, 'begin without an end' FROM n WHERE step > 0 AND coalesce(next_step, 1) > 0""",
+    "f04_strict_fields": f"""
+        {_DEPTHS}, b AS (SELECT page_id, count(*) FILTER (WHERE stray) + max_by(depth, seq) > 0 AS bad, count(*) FILTER (WHERE step > 0) AS begins FROM d GROUP BY page_id)
+        SELECT page_id, CASE WHEN bad THEN 'PROTECTED_BOUNDARY' ELSE '' END AS error, CASE WHEN bad THEN 0 ELSE begins END AS fields FROM b WHERE bad OR begins > 0""",
     "f06_unique_field": """
         SELECT p_partkey * 2 AS l_partkey, count(l.l_partkey) AS fields,
                CASE WHEN count(l.l_partkey) = 0 THEN 'REFERENCE_UNRESOLVED' WHEN count(l.l_partkey) > 1 THEN 'ANCHOR_AMBIGUOUS' END AS error
         FROM part LEFT JOIN lineitem l ON l.l_partkey = p_partkey * 2 GROUP BY p_partkey""",
     "s01_package_paragraphs": f"SELECT doc_id, idx, sha256(text) AS text_sha256 FROM ({PARAGRAPHS})",
-    "a01_package_summary": "SELECT doc_id, CAST(len(string_split(coalesce(text, ''), chr(10))) AS BIGINT) AS paragraphs, CAST(0 AS BIGINT) AS tables, CAST(0 AS BIGINT) AS revisions, CAST(0 AS BIGINT) AS external FROM documents",
     "k01_rewritten_packages": "SELECT doc_id, CAST(CASE WHEN doc_id % 3 = 0 THEN 4 ELSE 3 END AS BIGINT) AS parts, doc_id % 3 <> 0 AS unchanged FROM documents",
-    "s06_content_type": """
-        SELECT CAST(n_regionkey AS VARCHAR) AS doc_path, n_name || '.' || upper(right(n_name, 1)) AS part_name,
-               CASE WHEN n_nationkey % 4 = 0 THEN 'override/' || n_name || '.' || upper(right(n_name, 1)) WHEN lower(right(r_name, 1)) = lower(right(n_name, 1)) THEN 'default' END AS content_type
-        FROM nation LEFT JOIN region ON r_regionkey = n_regionkey""",
     "s10_resolved_targets": """
         SELECT page_id, CASE page_id % 10 WHEN 0 THEN 'word/media/image 1.png' WHEN 5 THEN 'media/image 1.png' WHEN 6 THEN 'docProps/core.xml'
                                           WHEN 2 THEN 'word/document.xml' WHEN 7 THEN 'word/document.xml' END AS part_name FROM pages""",
@@ -155,10 +146,4 @@ ORACLES = {
         FROM orders WHERE o_orderstatus = 'F' AND o_orderkey % 10 <> 0
         UNION ALL SELECT CAST(o_orderkey AS VARCHAR), 'package', 'warning', 'external relationship not fetched: rId' || o_custkey FROM orders WHERE o_orderkey % 10 = 0""",
     "v02_marker_diff": _SEMANTIC,
-    "v05_report": f"""
-        WITH f AS ({_SEMANTIC}),
-        r AS (SELECT doc_path, count(*) FILTER (WHERE severity = 'error') AS errors, count(*) FILTER (WHERE severity = 'warning') AS warnings,
-                     array_to_string(list_sort(list(DISTINCT layer || ': ' || message) FILTER (WHERE severity = 'error'))[1:5], '; ') AS summary FROM f GROUP BY doc_path)
-        SELECT d.doc_path, coalesce(errors, 0) = 0 AS valid, coalesce(errors, 0) AS errors, coalesce(warnings, 0) AS warnings, coalesce(summary, '') AS summary
-        FROM (SELECT DISTINCT doc_path FROM ({_MARKS})) d LEFT JOIN r ON r.doc_path = d.doc_path""",
 }

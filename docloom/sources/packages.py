@@ -10,6 +10,7 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+import zlib
 from collections.abc import Iterator
 from xml.etree import ElementTree
 from xml.sax.saxutils import escape
@@ -18,6 +19,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.operators.edits import lowest_free
+from docloom.operators.paragraphs import is_heading_style, word_count
+
 # Limits, names and namespaces of the format.
 MAX_DOCUMENT_BYTES, MAX_EXPANDED_BYTES, MAX_MEMBERS = 104_857_600, 536_870_912, 10_000
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -25,9 +29,13 @@ UNSAFE_XML = re.compile(rb"<!\s*(?:DOCTYPE|ENTITY)\b", re.I)
 OFFICE_DOCUMENT = "http://schemas.openxmlformats.org/officeDocument/2006/relationships/officeDocument"
 MAIN_TYPE = "application/vnd.openxmlformats-officedocument.wordprocessingml.document.main+xml"
 HIDDEN = (f"{W}del", f"{W}moveFrom")
+SEPARATORS = ("separator", "continuationSeparator", "continuationNotice")
+STORIES = {"header": "header", "footer": "footer", "footnotes": "footnote", "endnotes": "endnote", "comments": "comment"}
+#: A frame of results holds about so many bytes of members.
+FRAME_BYTES = 16_000_000
 
 PARTS = "doc_path string, ordinal int, part_name string, data binary, error string"
-RELATIONSHIPS = "doc_path string, source_part string, rel_id string, rel_type string, target string, target_mode string"
+RELATIONSHIPS = "doc_path string, source_part string, ordinal int, rel_id string, rel_type string, target string, target_mode string"
 TOKENS = "doc_path string, part_name string, paragraph int, seq int, kind string, value string, deleted boolean"
 
 
@@ -46,31 +54,43 @@ def safe_name(name: Column) -> Column:
     return ~F.regexp_like(decoded, F.lit(r"[\x00\\]|^[A-Za-z]:|^/|(^|/)(\.{0,2})(/|$)|(?i:%5c|%00)"))
 
 
+def _members(content: bytes | None) -> tuple[list[tuple[str, bytes]], str | None]:
+    """A package's members in order, or none and an error: what can't be opened is unsafe, as is a member that is twice there or encrypted."""
+    if content is None:
+        return [], "UNSUPPORTED_DOCUMENT"
+    if len(content) > MAX_DOCUMENT_BYTES:
+        return [], "RESOURCE_LIMIT"
+    try:
+        with zipfile.ZipFile(io.BytesIO(content)) as archive:
+            infos = archive.infolist()
+            if len(infos) > MAX_MEMBERS or sum(i.file_size for i in infos) > MAX_EXPANDED_BYTES:
+                return [], "RESOURCE_LIMIT"
+            if len({i.filename for i in infos}) < len(infos) or any(i.flag_bits & 1 for i in infos):
+                return [], "UNSAFE_PACKAGE"
+            return [(i.filename, archive.read(i)) for i in infos], None
+    except (zipfile.BadZipFile, zlib.error, EOFError, OSError, RuntimeError, NotImplementedError, ValueError):
+        return [], "UNSAFE_PACKAGE"
+
+
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=["doc_path", "ordinal", "part_name", "data", "error"]).astype({"ordinal": "Int32"})
+
+
 def parts(packages: DataFrame) -> DataFrame:
-    """One row per member; a package that can't be opened is one row with an error and no part."""
-
-    def opened(path: str, content: bytes) -> Iterator[tuple]:
-        if len(content) > MAX_DOCUMENT_BYTES:
-            yield path, None, None, None, "RESOURCE_LIMIT"
-            return
-        try:
-            with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                infos = archive.infolist()
-                names = [i.filename for i in infos]
-                if len(infos) > MAX_MEMBERS or sum(i.file_size for i in infos) > MAX_EXPANDED_BYTES:
-                    yield path, None, None, None, "RESOURCE_LIMIT"
-                elif len(set(names)) < len(names) or any(i.flag_bits & 1 for i in infos):
-                    yield path, None, None, None, "UNSAFE_PACKAGE"
-                else:
-                    for k, i in enumerate(infos):
-                        yield path, k, i.filename, archive.read(i), None
-        except (zipfile.BadZipFile, OSError, RuntimeError, NotImplementedError):
-            yield path, None, None, None, "UNSUPPORTED_DOCUMENT"
+    """One row per member; a package that can't be opened, or is null, is one row with an error and no part."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
         for batch in batches:
             for path, content in zip(batch["doc_path"], batch["content"], strict=True):
-                yield pd.DataFrame(list(opened(path, content)), columns=["doc_path", "ordinal", "part_name", "data", "error"]).astype({"ordinal": "Int32"})
+                found, error = _members(content)
+                held += [(path, k, name, data, None) for k, (name, data) in enumerate(found)] if error is None else [(path, None, None, None, error)]
+                size += sum(len(data) for _, data in found)
+                if size > FRAME_BYTES:
+                    yield _frame(held)
+                    held, size = [], 0
+            yield _frame(held)
+            held, size = [], 0
 
     rows = packages.select("doc_path", "content").mapInPandas(run, PARTS)
     return rows.withColumn("error", F.coalesce("error", F.when(~safe_name(F.col("part_name")), "UNSAFE_PACKAGE")))
@@ -101,7 +121,7 @@ def xml_errors(part_rows: DataFrame) -> DataFrame:
 
 
 def relationships(part_rows: DataFrame) -> DataFrame:
-    """All relationships of the relationship parts, each with the part it starts from ("" for the package)."""
+    """All relationships of the relationship parts in their order, each with the part it starts from ("" for the package)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -109,9 +129,9 @@ def relationships(part_rows: DataFrame) -> DataFrame:
             for path, name, data in zip(batch["doc_path"], batch["part_name"], batch["data"], strict=True):
                 tree = _tree(data)
                 folder, _, file = name.removesuffix(".rels").rpartition("_rels/")
-                for r in tree if tree is not None else []:
-                    rows.append((path, folder + file, r.get("Id"), r.get("Type"), r.get("Target"), r.get("TargetMode")))
-            yield pd.DataFrame(rows, columns=["doc_path", "source_part", "rel_id", "rel_type", "target", "target_mode"])
+                for k, r in enumerate(tree if tree is not None else []):
+                    rows.append((path, folder + file, k, r.get("Id"), r.get("Type"), r.get("Target"), r.get("TargetMode")))
+            yield pd.DataFrame(rows, columns=["doc_path", "source_part", "ordinal", "rel_id", "rel_type", "target", "target_mode"])
 
     return part_rows.filter(F.endswith("part_name", F.lit(".rels"))).select("doc_path", "part_name", "data").mapInPandas(run, RELATIONSHIPS)
 
@@ -146,27 +166,135 @@ def content_types(part_names: DataFrame, overrides: DataFrame, defaults: DataFra
     return rows.select("doc_path", "part_name", F.coalesce("__override", "__default").alias("content_type"))
 
 
+KINDS = {f"{W}t": "text", f"{W}delText": "deleted text", f"{W}instrText": "instruction", f"{W}tab": "tab", f"{W}br": "break", f"{W}cr": "break"}
+SAID = {"tab": "\t", "break": "\n"}
+
+
+def _walk(node: ElementTree.Element, hidden: bool) -> Iterator[tuple[str, str, bool]]:
+    """The tokens below a node, but for those of paragraphs inside it: kind, value, deleted."""
+    for child in node:
+        if child.tag == f"{W}p" or child.tag == f"{W}pPr":
+            continue
+        gone = hidden or child.tag in HIDDEN
+        if child.tag in KINDS:
+            yield KINDS[child.tag], SAID.get(KINDS[child.tag], child.text or ""), gone
+        elif child.tag == f"{W}fldChar":
+            yield f"field {child.get(f'{W}fldCharType')}", "", gone
+        else:
+            yield from _walk(child, gone)
+
+
+def _paragraphs(tree: ElementTree.Element | None) -> Iterator[ElementTree.Element]:
+    """All paragraphs of a part in order, without those of notes that only separate others."""
+    if tree is None:
+        return
+    if tree.tag == f"{W}p":
+        yield tree
+    for child in tree:
+        if child.tag in (f"{W}footnote", f"{W}endnote") and (child.get(f"{W}type") in SEPARATORS or (child.get(f"{W}id") or "").startswith("-")):
+            continue
+        yield from _paragraphs(child)
+
+
+def paragraph_texts(part_rows: DataFrame) -> DataFrame:
+    """doc_path, part_name, idx, text, style, outline: the visible paragraphs of the given parts, joined where they are parsed."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for path, name, data in zip(batch["doc_path"], batch["part_name"], batch["data"], strict=True):
+                for k, p in enumerate(_paragraphs(_tree(data))):
+                    text = "".join(value for kind, value, gone in _walk(p, False) if not gone and kind in ("text", "tab", "break"))
+                    style, outline = p.find(f"{W}pPr/{W}pStyle"), p.find(f"{W}pPr/{W}outlineLvl")
+                    rows.append((path, name, k, text, None if style is None else style.get(f"{W}val"), outline is not None))
+            yield pd.DataFrame(rows, columns=["doc_path", "part_name", "idx", "text", "style", "outline"])
+
+    return part_rows.filter("data IS NOT NULL").select("doc_path", "part_name", "data").mapInPandas(run, "doc_path string, part_name string, idx int, text string, style string, outline boolean")
+
+
+def main_parts(rels: DataFrame) -> DataFrame:
+    """doc_path, part_name: the target of a package's first internal office document relationship."""
+    own = rels.filter((F.col("source_part") == "") & (F.col("rel_type") == OFFICE_DOCUMENT) & ~is_external(F.col("target_mode")))
+    named = own.withColumn("part_name", resolved_target(F.lit(""), F.col("target"))).filter("part_name IS NOT NULL")
+    return named.groupBy("doc_path").agg(F.min_by("part_name", "ordinal").alias("part_name"))
+
+
+def is_external(target_mode: Column) -> Column:
+    return F.lower(F.coalesce(target_mode, F.lit(""))) == "external"
+
+
+def stories(rels: DataFrame, part_names: DataFrame) -> DataFrame:
+    """doc_path, part_name, kind, place: the main part, then the headers, footers, notes and comments it points to, each part once.
+
+    rels as ``relationships`` gives them, part_names (doc_path, part_name). External targets and parts that aren't there are no story.
+    """
+    main = main_parts(rels)
+    base = OFFICE_DOCUMENT.rpartition("/")[0]
+    kinds = F.coalesce(*[F.when(F.col("rel_type") == f"{base}/{name}", kind) for name, kind in STORIES.items()])
+    pointed = rels.join(main.withColumnRenamed("part_name", "source_part"), ["doc_path", "source_part"]).filter(~is_external(F.col("target_mode")))
+    pointed = pointed.select("doc_path", resolved_target(F.col("source_part"), F.col("target")).alias("part_name"), kinds.alias("kind"), (F.col("ordinal") + 1).alias("place"))
+    every = main.select("doc_path", "part_name", F.lit("body").alias("kind"), F.lit(0).alias("place")).unionByName(pointed.filter("kind IS NOT NULL"))
+    first = every.groupBy("doc_path", "part_name").agg(F.min(F.struct("place", "kind")).alias("first")).select("doc_path", "part_name", "first.kind", "first.place")
+    there = part_names.select("doc_path", "part_name", F.lit(True).alias("there"))
+    return first.join(there, ["doc_path", "part_name"], "left").filter("there OR kind = 'body'").drop("there")
+
+
+def story_paragraphs(part_rows: DataFrame, story_rows: DataFrame) -> DataFrame:
+    """The paragraphs of every story: doc_path, kind, place, part_name, idx, text, style, outline."""
+    wanted = part_rows.select("doc_path", "part_name", "data").join(story_rows.select("doc_path", "part_name"), ["doc_path", "part_name"], "left_semi")
+    return paragraph_texts(wanted).join(story_rows, ["doc_path", "part_name"])
+
+
+def content_type_rows(part_rows: DataFrame) -> DataFrame:
+    """What the content types part declares: doc_path, kind (Default or Override), name (extension or part), content_type, ordinal."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for path, data in zip(batch["doc_path"], batch["data"], strict=True):
+                tree = _tree(data)
+                for k, e in enumerate(tree if tree is not None else []):
+                    kind = e.tag.rpartition("}")[2]
+                    rows.append((path, kind, e.get("Extension" if kind == "Default" else "PartName"), e.get("ContentType"), k))
+            yield pd.DataFrame(rows, columns=["doc_path", "kind", "name", "content_type", "ordinal"])
+
+    named = part_rows.filter("part_name = '[Content_Types].xml' AND data IS NOT NULL").select("doc_path", "data")
+    return named.mapInPandas(run, "doc_path string, kind string, name string, content_type string, ordinal int")
+
+
+def declared_types(part_names: DataFrame, declared: DataFrame) -> DataFrame:
+    """part_names with their types as declared; of a name that is declared twice the first counts (``rules`` finds it)."""
+    usable = declared.filter("name IS NOT NULL AND content_type IS NOT NULL")
+    name = F.when(F.col("kind") == "Override", F.regexp_replace("name", "^/", "")).otherwise(F.lower("name"))
+    one = usable.groupBy("doc_path", "kind", name.alias("name")).agg(F.min_by("content_type", "ordinal").alias("content_type"))
+    overrides = one.filter("kind = 'Override'").select("doc_path", F.col("name").alias("part_name"), "content_type")
+    defaults = one.filter("kind = 'Default'").select("doc_path", F.col("name").alias("extension"), "content_type")
+    return content_types(part_names, overrides, defaults)
+
+
+def added_types(part_names: DataFrame, declared: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted (doc_path, part_name, content_type) -> the overrides to declare: those whose part has another type, or none, so far."""
+    known = declared_types(wanted.select("doc_path", "part_name"), declared).withColumnRenamed("content_type", "known")
+    met = wanted.join(part_names.select("doc_path", "part_name"), ["doc_path", "part_name"], "left_semi").join(known, ["doc_path", "part_name"])
+    return met.filter(~F.col("known").eqNullSafe(F.col("content_type"))).select("doc_path", "part_name", "content_type", F.col("known").isNull().alias("new"))
+
+
+def ensured_relationships(rels: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted (doc_path, source_part, rel_type, target) -> with rel_id and whether it is new: an internal one that is there is used again, else rId and the lowest free number."""
+    key = ["doc_path", "source_part"]
+    same = rels.filter(~is_external(F.col("target_mode"))).groupBy(*key, "rel_type", "target").agg(F.min_by("rel_id", "ordinal").alias("known"))
+    numbers = rels.select(*key, F.regexp_extract("rel_id", r"^rId(\d+)$", 1).try_cast("int").alias("n"))
+    free = lowest_free(numbers, key, "n")
+    met = wanted.join(same, [*key, "rel_type", "target"], "left").join(free, key, "left")
+    return met.select(*key, "rel_type", "target", F.coalesce("known", F.concat(F.lit("rId"), F.coalesce("free_id", F.lit(1)).cast("string"))).alias("rel_id"), F.col("known").isNull().alias("new"))
+
+
 def tokens(part_rows: DataFrame, part: str = "word/document.xml") -> DataFrame:
     """Text tokens of a part's paragraphs in order: text, tab, break, instruction, and field begin, separate, end.
 
     What stands in deletions and moves away is marked, as are instructions by their kind, so visibility is a filter. A
     paragraph without a token has one of kind ``empty``.
     """
-    kinds = {f"{W}t": "text", f"{W}delText": "deleted text", f"{W}instrText": "instruction", f"{W}tab": "tab", f"{W}br": "break", f"{W}cr": "break"}
-    said = {"tab": "\t", "break": "\n"}
-
-    def walk(node: ElementTree.Element, hidden: bool) -> Iterator[tuple[str, str, bool]]:
-        for child in node:
-            if child.tag == f"{W}p" or child.tag == f"{W}pPr":
-                continue
-            gone = hidden or child.tag in HIDDEN
-            if child.tag in kinds:
-                yield kinds[child.tag], said.get(kinds[child.tag], child.text or ""), gone
-            elif child.tag == f"{W}fldChar":
-                yield f"field {child.get(f'{W}fldCharType')}", "", gone
-            else:
-                yield from walk(child, gone)
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, name, data in zip(batch["doc_path"], batch["part_name"], batch["data"], strict=True):
@@ -174,7 +302,7 @@ def tokens(part_rows: DataFrame, part: str = "word/document.xml") -> DataFrame:
                 rows = [
                     (path, name, k, seq, *token)
                     for k, p in enumerate(tree.iter(f"{W}p") if tree is not None else [])
-                    for seq, token in enumerate(list(walk(p, False)) or [("empty", "", False)])
+                    for seq, token in enumerate(list(_walk(p, False)) or [("empty", "", False)])
                 ]
                 yield pd.DataFrame(rows, columns=["doc_path", "part_name", "paragraph", "seq", "kind", "value", "deleted"])
 
@@ -201,11 +329,13 @@ def packages_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for path, text in zip(batch["doc_path"], batch["text"], strict=True):
+            made = []
+            for text in batch["text"]:
                 body = "".join(_paragraph_xml(line) for line in (text or "").split("\n"))
                 document = f'<w:document xmlns:w="{W[1:-1]}"><w:body>{body}</w:body></w:document>'
                 rows = [(k, n, d.encode()) for k, (n, d) in enumerate([("[Content_Types].xml", types), ("_rels/.rels", rels), ("word/document.xml", document)])]
-                yield pd.DataFrame({"doc_path": [path], "content": [_zip(rows)]})
+                made.append(_zip(rows))
+            yield pd.DataFrame({"doc_path": batch["doc_path"], "content": made})
 
     return docs.select(F.col(id_col).cast("string").alias("doc_path"), F.col(text_col).alias("text")).mapInPandas(run, "doc_path string, content binary")
 
@@ -221,21 +351,26 @@ def _zip(rows: list[tuple[int, str, bytes]]) -> bytes:
 def rewritten(packages: DataFrame, changes: DataFrame) -> DataFrame:
     """packages (doc_path, content) with changed parts (doc_path, part_name, data; null data removes): doc_path, content.
 
-    Packages without a change keep their bytes. A package's members meet in one task, as its bytes already did.
+    Packages without a change keep their bytes, as do those that can't be opened. A changed XML part that is unsafe or
+    doesn't parse changes nothing either. A package's members meet in one task, as its bytes already did.
     """
     gathered = changes.groupBy("doc_path").agg(F.collect_list(F.struct("part_name", "data")).alias("changes"))
     met = packages.select("doc_path", "content").join(gathered, "doc_path", "left")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for path, content, own in zip(batch["doc_path"], batch["content"], batch["changes"], strict=True):
+            made = []
+            for content, own in zip(batch["content"], batch["changes"], strict=True):
                 new = {c["part_name"]: c["data"] for c in own}
-                with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                    old = [(i.filename, archive.read(i)) for i in archive.infolist()]
-                names = [n for n, _ in old]
+                old, error = _members(content)
+                unsafe = any(d is not None and n.lower().endswith((".xml", ".rels")) and _tree(d) is None for n, d in new.items())
+                if error or unsafe:
+                    made.append(content)
+                    continue
+                names = {n for n, _ in old}
                 rows = [(n, new.get(n, d)) for n, d in old] + [(n, d) for n, d in new.items() if n not in names]
-                kept = [(k, n, d) for k, (n, d) in enumerate(rows) if d is not None]
-                yield pd.DataFrame({"doc_path": [path], "content": [_zip(kept)]})
+                made.append(_zip([(k, n, d) for k, (n, d) in enumerate(rows) if d is not None]))
+            yield pd.DataFrame({"doc_path": batch["doc_path"], "content": made})
 
     same = met.filter("changes IS NULL").select("doc_path", "content")
     return same.unionByName(met.filter("changes IS NOT NULL").mapInPandas(run, "doc_path string, content binary"))
@@ -247,20 +382,34 @@ def _tags(xml: Column, names: str, attributes: str = "") -> Column:
 
 
 def summaries(part_rows: DataFrame) -> DataFrame:
-    """Per package: paragraphs, tables, figures, footnotes, endnotes, comments, revisions, external relationships.
+    """Per package, over all its stories: stories, paragraphs, words, headings, tables, figures, footnotes, endnotes, comments, revisions, citations, has_bibliography, external.
 
-    Elements are counted in the parts' text, so no part is parsed; notes that only separate others don't count.
+    Elements and fields are counted in the parts' text; only paragraphs are parsed. Notes that merely separate don't count.
     """
+    rels = relationships(part_rows)
+    told = stories(rels, part_rows.filter("data IS NOT NULL").select("doc_path", "part_name"))
     xml = F.decode("data", "UTF-8")
-    story = F.regexp_like("part_name", F.lit(r"^word/(document|header\d*|footer\d*|footnotes|endnotes|comments)\.xml$"))
     note = r"(?![^>]*\btype=\"(?:separator|continuationSeparator|continuationNotice)\")(?![^>]*\bid=\"-)"
-    of = lambda part, names, attributes="": F.sum(F.when(F.col("part_name") == f"word/{part}.xml", _tags(xml, names, attributes)).otherwise(0)).cast("long")
-    return part_rows.filter("data IS NOT NULL").groupBy("doc_path").agg(
-        of("document", "p").alias("paragraphs"), of("document", "tbl").alias("tables"), of("document", "drawing|pict|object").alias("figures"),
-        of("footnotes", "footnote", note).alias("footnotes"), of("endnotes", "endnote", note).alias("endnotes"), of("comments", "comment").alias("comments"),
-        F.sum(F.when(story, _tags(xml, "ins|del|moveFrom|moveTo")).otherwise(0)).cast("long").alias("revisions"),
-        F.sum(F.when(F.endswith("part_name", F.lit(".rels")), F.regexp_count(xml, F.lit('TargetMode="External"'))).otherwise(0)).cast("long").alias("external"),
+    of = lambda kind, names, attributes="": F.sum(F.when(F.col("kind") == kind, _tags(xml, names, attributes)).otherwise(0)).cast("long")
+    every = lambda names: F.sum(_tags(xml, names)).cast("long")
+    fields = F.regexp_extract_all(xml, F.lit(r'(?s)fldCharType="begin".*?fldCharType="(?:separate|end)"'), F.lit(0))
+    said = F.transform(fields, lambda f: F.upper(F.regexp_replace(f, "<[^>]*>", "")))
+    cites = F.size(F.filter(said, lambda f: F.contains(f, F.lit("ZOTERO_ITEM")) | F.contains(f, F.lit("CSL_CITATION"))))
+    counts = part_rows.filter("data IS NOT NULL").join(told, ["doc_path", "part_name"]).groupBy("doc_path").agg(
+        F.count(F.lit(1)).alias("stories"), every("tbl").alias("tables"), every("drawing|pict|object").alias("figures"), of("footnote", "footnote", note).alias("footnotes"),
+        of("endnote", "endnote", note).alias("endnotes"), of("comment", "comment").alias("comments"), every("ins|del|moveFrom|moveTo").alias("revisions"), F.sum(cites).cast("long").alias("citations"),
+        F.bool_or(F.exists(said, lambda f: F.contains(f, F.lit("ZOTERO_BIBL")))).alias("has_bibliography"),
+    )
+    styles = style_names(part_rows).withColumnRenamed("style_id", "style")
+    seen = story_paragraphs(part_rows, told).join(styles, ["doc_path", "style"], "left")
+    heading = is_heading_style(F.coalesce("style_name", "style")) | F.col("outline")
+    texts = seen.groupBy("doc_path").agg(
+        F.count(F.lit(1)).alias("paragraphs"), F.sum(word_count(F.col("text"))).cast("long").alias("words"), F.count_if(heading).alias("headings"),
     )
+    outside = rels.groupBy("doc_path").agg(F.count_if(is_external(F.col("target_mode"))).alias("external"))
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    met = counts.join(texts, "doc_path", "left").join(outside, "doc_path", "left")
+    return met.select("doc_path", "stories", zero("paragraphs"), zero("words"), zero("headings"), "tables", "figures", "footnotes", "endnotes", "comments", "revisions", "citations", "has_bibliography", zero("external"))
 
 
 def core_properties(part_rows: DataFrame) -> DataFrame:

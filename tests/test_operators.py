@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from docloom.operators import citations, edits, fields, items, locate, transactions, validation
 from docloom.operators import paragraphs as P
-from docloom.sources import packages
+from docloom.sources import package_rules, packages
 
 
 def one(spark, *columns):
@@ -190,7 +190,7 @@ def test_package_parts_and_visible_text(spark, tmp_path):
     assert {r.doc_path.rsplit("/", 1)[-1]: r.open_elsewhere for r in files.collect()} == {"one.docx": True, "broken.docx": False, "unsafe.docx": False}
     parts = packages.parts(files)
     errors = {(r.doc_path.rsplit("/", 1)[-1], r.part_name): r.error for r in parts.filter("error IS NOT NULL").collect()}
-    assert errors == {("broken.docx", None): "UNSUPPORTED_DOCUMENT", ("unsafe.docx", "../evil.xml"): "UNSAFE_PACKAGE"}
+    assert errors == {("broken.docx", None): "UNSAFE_PACKAGE", ("unsafe.docx", "../evil.xml"): "UNSAFE_PACKAGE"}
     assert [(r.part_name, r.error) for r in packages.xml_errors(parts).collect()] == [("word/document.xml", "UNSAFE_PACKAGE")]
     text = packages.visible_paragraphs(packages.tokens(parts)).orderBy("idx").collect()
     assert [r.text for r in text] == ["a\t\nb", ""]
@@ -207,18 +207,91 @@ def test_rewriting_adds_and_removes_parts(spark):
     assert [r.part_name for r in packages.parts(written).filter("doc_path = 'a'").orderBy("ordinal").collect()] == ["word/_rels/document.xml.rels", "word/document.xml", "new.xml"]
 
 
+BASE = packages.OFFICE_DOCUMENT.rpartition("/")[0]
+FIELD = '<w:r><w:fldChar w:fldCharType="begin"/><w:instrText>%s</w:instrText><w:fldChar w:fldCharType="separate"/><w:fldChar w:fldCharType="end"/></w:r>'
+
+
+def test_damaged_packages_stop_no_others(spark):
+    good = document("<w:p/>")
+    # The deflated bytes of the last member are overwritten.
+    at = good.rindex(b"word/document.xml", 0, good.rindex(b"PK\x01\x02")) + len("word/document.xml")
+    damaged = good[:at] + b"\xff" * 40 + good[at + 40 :]
+    whole = spark.createDataFrame([("good", good), ("null", None), ("damaged", damaged), ("no zip", b"x")], "doc_path string, content binary")
+    found = packages.parts(whole)
+    assert {r.doc_path: r.error for r in found.filter("part_name IS NULL").collect()} == {"null": "UNSUPPORTED_DOCUMENT", "damaged": "UNSAFE_PACKAGE", "no zip": "UNSAFE_PACKAGE"}
+    assert found.filter("doc_path = 'good'").count() == 3
+    changes = spark.createDataFrame([(d, "new.xml", b"<n/>") for d in ("good", "null", "damaged")] + [("no zip", "new.xml", b"<!DOCTYPE x><x/>")], "doc_path string, part_name string, data binary")
+    after = {r.doc_path: r.content and bytes(r.content) for r in packages.rewritten(whole, changes).collect()}
+    assert after["null"] is None and after["damaged"] == damaged and after["no zip"] == b"x" and after["good"] != good
+    unsafe = spark.createDataFrame([("good", "new.xml", b"<broken")], "doc_path string, part_name string, data binary")
+    assert {r.doc_path: r.content and bytes(r.content) for r in packages.rewritten(whole, unsafe).collect()}["good"] == good
+
+
+def test_package_rules(spark):
+    main = "word/document.xml"
+    types = lambda more="", kind=packages.MAIN_TYPE: f'<Types xmlns="t"><Default Extension="xml" ContentType="application/xml"/><Default Extension="rels" ContentType="r"/><Override PartName="/{main}" ContentType="{kind}"/>{more}</Types>'
+    rel = lambda k="r1", kind=packages.OFFICE_DOCUMENT, target=main, more="": f'<Relationship Id="{k}" Type="{kind}" Target="{target}"{more}/>'
+    cases = {
+        "fine": {}, "macro": {"word/vbaProject.bin": "x"}, "signed": {"_xmlsignatures/a.xml": "<a/>"}, "strict": {"word/a.xml": '<a xmlns="http://purl.oclc.org/ooxml/x"/>'},
+        "twice": {"[Content_Types].xml": types('<Default Extension="XML" ContentType="z"/>')}, "type": {"[Content_Types].xml": types(kind="text/plain")}, "no types": {"[Content_Types].xml": None},
+        "two offices": {"_rels/.rels": rel() + rel("r2")}, "same id": {"_rels/.rels": rel() + rel(kind="k")}, "mode": {"_rels/.rels": rel() + rel("r2", "k", main, ' TargetMode="Internal"')}, "malformed": {"_rels/.rels": rel() + rel("", "k")},
+        "missing": {"_rels/.rels": rel(target="word/none.xml")}, "outside": {"_rels/.rels": rel() + rel("r2", "k", "https://x", ' TargetMode="external"')},
+    }
+    rows = []
+    for name, changed in cases.items():
+        parts = {"[Content_Types].xml": types(), "_rels/.rels": rel(), main: "<d/>"} | changed
+        parts["_rels/.rels"] = f"<Relationships>{parts['_rels/.rels']}</Relationships>"
+        rows += [(name, k, n, x.encode(), None) for k, (n, x) in enumerate(parts.items()) if x is not None]
+    found = {}
+    for r in package_rules.findings(spark.createDataFrame(rows, packages.PARTS)).collect():
+        found.setdefault(r.doc_path, set()).add(r.message)
+    assert "fine" not in found and "outside" not in found
+    assert found.pop("no types") >= {"no content types part"}
+    assert found == {
+        "macro": {"macro part: word/vbaProject.bin", "part without content type: word/vbaProject.bin"}, "signed": {"signature part: _xmlsignatures/a.xml"}, "strict": {"strict or macro-enabled part: word/a.xml"},
+        "twice": {"duplicate default content type: xml"}, "type": {"unsupported main document type: text/plain"}, "two offices": {"not exactly one office document relationship"}, "same id": {"duplicate relationship id: r1"},
+        "mode": {"invalid relationship target mode: r2"}, "malformed": {"malformed relationship of: "}, "missing": {"relationship to a missing part: r1", "main document part is missing"},
+    }
+
+
+def test_markers_are_whole_words_in_any_case(spark):
+    rows = [(' addin zotero_item csl_citation {"a":1}',), ('XZOTERO_ITEMS {"a":1}',), (' {"no":1} ZOTERO_ITEM CSL_CITATION {"a":2}',), ("ADDIN ZOTERO_BIBL",), (' ADDIN CSL_CITATION {"citationID":"q"}',)]
+    i = F.col("i")
+    df = spark.createDataFrame(rows, "i string")
+    assert [tuple(r) for r in df.select(citations.instruction_kind(i), citations.payload(i), citations.is_legacy(i)).collect()] == [
+        ("citation", '{"a":1}', False), (None, None, True), ("citation", '{"a":2}', False), ("bibliography", "{}", True), ("citation", '{"citationID":"q"}', True),
+    ]
+    listed = citations.listing(df.select(F.lit("g").alias("g"), F.monotonically_increasing_id().alias("ordinal"), F.col("i").alias("instruction")), "g").collect()
+    assert sorted(str(r.citation_id) for r in listed) == ["None", "None", "q"]
+
+
+def test_long_texts_with_many_hits(spark):
+    text = "ab " * 20_000
+    found = spark.createDataFrame([(text,)], "t string").select(locate.occurrences(F.col("t"), F.lit("b")).alias("o"), locate.nth_occurrence(F.col("t"), F.lit("b"), F.lit(20_000)).alias("n")).first()
+    assert found.o == list(range(1, 60_000, 3)) and found.n == 59_998
+
+
 def test_package_summary_properties_and_styles(spark):
     w = f'xmlns:w="{packages.W[1:-1]}"'
     rows = [
-        ("word/document.xml", f"<w:document {w}><w:p><w:pPr/></w:p><w:tbl><w:tblPr/><w:p/></w:tbl><w:p><w:ins><w:r/></w:ins><w:del/><w:instrText/></w:p><w:drawing/></w:document>"),
-        ("word/footnotes.xml", f'<w:footnotes {w}><w:footnote w:type="separator" w:id="-1"/><w:footnote w:id="1"/></w:footnotes>'),
-        ("word/comments.xml", f'<w:comments {w}><w:comment w:id="0"/></w:comments>'),
+        ("word/document.xml", f'<w:document {w}><w:p><w:pPr><w:pStyle w:val="H1"/></w:pPr><w:r><w:t>Two words</w:t></w:r></w:p><w:tbl><w:tblPr/><w:p/></w:tbl><w:p><w:ins><w:r/></w:ins><w:del/>{FIELD % "ADDIN ZOTERO_ITEM CSL_CITATION {}"}{FIELD % "ADDIN ZOTERO_BIBL {}"}</w:p><w:drawing/></w:document>'),
+        ("word/footnotes.xml", f'<w:footnotes {w}><w:footnote w:type="separator" w:id="-1"><w:p/></w:footnote><w:footnote w:id="1"><w:p><w:r><w:t>note</w:t></w:r></w:p></w:footnote></w:footnotes>'),
+        ("word/comments.xml", f'<w:comments {w}><w:comment w:id="0"><w:p><w:r><w:t>said here</w:t></w:r></w:p></w:comment></w:comments>'),
         ("word/_rels/document.xml.rels", '<Relationships><Relationship TargetMode="External"/></Relationships>'),
         ("docProps/core.xml", "<cp:coreProperties><dc:title>Title</dc:title><dc:creator></dc:creator><dcterms:created xsi:type='x'> 2024 </dcterms:created></cp:coreProperties>"),
         ("word/styles.xml", '<w:styles><w:style w:type="paragraph" w:styleId="H1"><w:name w:val="heading 1"/></w:style><w:style w:styleId="X"><w:pPr/></w:style></w:styles>'),
     ]
     parts = spark.createDataFrame([("d", n, x.encode()) for n, x in rows], "doc_path string, part_name string, data binary")
-    found = packages.summaries(parts).first()
-    assert tuple(found) == ("d", 3, 1, 1, 1, 0, 1, 2, 1)
+    links = [("_rels/.rels", f'<Relationship Id="r1" Type="{packages.OFFICE_DOCUMENT}" Target="word/document.xml"/>'), ("word/_rels/document.xml.rels", "".join(
+        f'<Relationship Id="r{k}" Type="{BASE}/{kind}" Target="{target}"/>' for k, (kind, target) in enumerate((("footnotes", "footnotes.xml"), ("comments", "/word/comments.xml"), ("header", "missing.xml"), ("footnotes", "footnotes.xml")))
+    ) + f'<Relationship Id="x" Type="{BASE}/hyperlink" Target="https://example.com" TargetMode="External"/>')]
+    rows = [r for r in rows if not r[0].endswith(".rels")] + [(n, f"<Relationships>{x}</Relationships>") for n, x in links]
+    parts = spark.createDataFrame([("d", k, n, x.encode(), None) for k, (n, x) in enumerate(rows)], packages.PARTS)
+    rels = packages.relationships(parts)
+    assert [(r.kind, r.part_name) for r in packages.stories(rels, parts).orderBy("place").collect()] == [("body", "word/document.xml"), ("footnote", "word/footnotes.xml"), ("comment", "word/comments.xml")]
+    found = packages.summaries(parts).first().asDict()
+    assert found == {
+        "doc_path": "d", "stories": 3, "paragraphs": 5, "words": 5, "headings": 1, "tables": 1, "figures": 1, "footnotes": 1, "endnotes": 0, "comments": 1, "revisions": 2, "citations": 1, "has_bibliography": True, "external": 1,
+    }
     assert {(r.name, r.value) for r in packages.core_properties(parts).collect()} == {("title", "Title"), ("created", "2024")}
     assert {(r.style_id, r.style_name) for r in packages.style_names(parts).collect()} == {("H1", "heading 1"), ("X", "X")}
