@@ -129,6 +129,14 @@ def with_fallback(local: DataFrame, web: DataFrame, keys: list[str]) -> DataFram
     return served.unionByName(asked)
 
 
+def source_status(local: DataFrame, web: DataFrame) -> DataFrame:
+    """local and web (status) -> a row per source: origin, answers, available (an answer came through), and the most frequent error code, of equal ones the first."""
+    both = local.select(F.lit("local").alias("origin"), "status").unionByName(web.select(F.lit("web").alias("origin"), "status"))
+    coded = both.select("origin", error_code(F.col("status"), F.col("origin") == "local").alias("code")).groupBy("origin", "code").count()
+    worst = F.min(F.when(F.col("code").isNotNull(), F.struct((-F.col("count")).alias("less"), "code")))
+    return coded.groupBy("origin").agg(F.sum("count").alias("answers"), F.bool_or(F.col("code").isNull()).alias("available"), worst["code"].alias("error"))
+
+
 def error_code(status: Column, local: Column) -> Column:
     """Error code of a failed answer; null for success."""
     return (

@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from docloom.operators import edits, fields, locate
 
 
+#: What has a start and an end with one id.
+PAIRED = ("bookmark", "content-control", "revision")
+
+
 def placed(tokens: DataFrame) -> DataFrame:
     """Tokens with the offset in their paragraph at which they stand: a running sum of what is seen before."""
     seen = F.when(F.col("kind") == "text", F.length("value")).otherwise(0)
@@ -38,14 +42,17 @@ def _spans(pairs: DataFrame, last: DataFrame, kind: str) -> DataFrame:
 
 
 def protected_ranges(tokens: DataFrame) -> DataFrame:
-    """doc_id, idx, start, end, kind: bookmarks by id, fields by nesting, and the boundaries of both, distinct."""
+    """doc_id, idx, start, end, kind: bookmarks, content controls and revisions by id, fields by nesting, and the boundaries of bookmarks and fields, distinct."""
     rows = placed(tokens)
     texts = paragraph_sizes(tokens)
     last = texts.groupBy("doc_id").agg(F.max_by(F.length("text"), "idx").alias("end_size"), F.max("idx").alias("end_idx"))
     side = lambda kind, name: rows.filter(F.col("kind") == kind).groupBy("doc_id", "mark_id").agg(
         F.min(F.struct(F.col("paragraph").alias("idx"), "at")).alias(name))
-    marks = side("bookmark start", "s").join(side("bookmark end", "e"), ["doc_id", "mark_id"], "left")
-    bookmarks = marks.select("doc_id", F.col("s.idx").alias("first"), F.col("s.at").alias("first_at"), F.col("e.idx").alias("last"), F.col("e.at").alias("last_at"))
+
+    def paired(kind: str) -> DataFrame:
+        marks = side(f"{kind} start", "s").join(side(f"{kind} end", "e"), ["doc_id", "mark_id"], "left")
+        pairs = marks.select("doc_id", F.col("s.idx").alias("first"), F.col("s.at").alias("first_at"), F.col("e.idx").alias("last"), F.col("e.at").alias("last_at"))
+        return _spans(pairs, last, kind)
 
     numbered = rows.filter(F.col("kind").isin("field begin", "field end")).withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy("paragraph", "seq")) - 1)
     stream = numbered.select(F.col("doc_id").alias("stream"), F.col("place").alias("seq"), F.when(F.col("kind") == "field begin", 1).otherwise(-1).alias("step"))
@@ -54,10 +61,12 @@ def protected_ranges(tokens: DataFrame) -> DataFrame:
     nested = fields.nested(stream).join(at, ["stream", "begin_seq"]).join(end, ["stream", "end_seq"], "left")
     fields_of = nested.select(F.col("stream").alias("doc_id"), "first", "first_at", "last", "last_at")
 
-    spans = _spans(bookmarks, last, "bookmark").unionByName(_spans(fields_of, last, "field"))
+    spans = _spans(fields_of, last, "field")
+    for kind in PAIRED:
+        spans = spans.unionByName(paired(kind))
     wide = locate.split_spans(spans, texts)
     edge = F.when(F.startswith("kind", F.lit("bookmark")), "bookmark-boundary").otherwise("field-boundary")
-    thin = rows.filter(F.col("kind") != "text").select("doc_id", F.col("paragraph").alias("idx"), F.col("at").alias("start"), F.col("at").alias("end"), edge.alias("kind"))
+    thin = rows.filter(F.col("kind").isin("bookmark start", "bookmark end", "field begin", "field separate", "field end")).select("doc_id", F.col("paragraph").alias("idx"), F.col("at").alias("start"), F.col("at").alias("end"), edge.alias("kind"))
     return wide.unionByName(thin).distinct()
 
 

@@ -9,6 +9,7 @@ from docloom.operators import items, transactions, validation
 from docloom.plans import structures
 from docloom.plans.common import documents, long
 from docloom.session import table
+from docloom.sources import packages
 from docloom.streaming import requests as stream
 
 
@@ -105,6 +106,22 @@ def s15_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", "origin", "body", code.alias("error"), F.coalesce(items.retryable(F.col("status")), F.lit(True)).alias("retryable"))
 
 
+def t06_source_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers of all events as the local source's, of the even ones as the web's."""
+    statuses = lambda k: F.element_at(F.array(*[F.lit(x) for x in (200, 403, 404, 429, 500, 501, None)]), ((F.col("event_id") + k) % 7 + 1).cast("int")).alias("status")
+    events = table(spark, sf_dir, "events")
+    return items.source_status(events.select(statuses(0)), events.filter("event_id % 2 = 0").select(statuses(3)))
+
+
+def s19_expected_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents stand for files; some are expected as they were before, some aren't there."""
+    docs = documents(spark, sf_dir)
+    path, digest = F.col("doc_id").cast("string").alias("doc_path"), F.sha2(F.coalesce("text", F.lit("")), 256)
+    files = docs.filter("n_chars % 5 <> 0").select(path, digest.alias("sha256"))
+    expected = docs.select(path, F.when(F.col("n_chars") % 3 == 0, F.upper(digest)).when(F.col("n_chars") % 3 == 1, F.sha2("source", 256)).alias("expected_sha256"))
+    return packages.checked_hashes(files, expected).select("doc_path", "error")
+
+
 def x01_idempotency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests are events; user and type are the key; the first of a key stands."""
     rows = table(spark, sf_dir, "events").select("user_id", "event_type", "ts", "event_id", "value")
@@ -147,7 +164,7 @@ def k08_audit_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (t07_search, t08_get_items, t08_missing, n02_valid_keys, n03_checked_library, n04_records, n05_normalised, x02_registered, s15_fallback, x01_idempotency, x01_stream_keys, x03_expiry, x05_commit_ladder, x04_abort, k08_audit_rows)
+    for f in (t07_search, t08_get_items, t08_missing, n02_valid_keys, n03_checked_library, n04_records, n05_normalised, x02_registered, s15_fallback, t06_source_status, s19_expected_hash, x01_idempotency, x01_stream_keys, x03_expiry, x05_commit_ladder, x04_abort, k08_audit_rows)
 }
 
 _REQUESTS = """
@@ -185,6 +202,14 @@ ORACLES = {
         f AS (SELECT *, coalesce(status, 0) IN (0, 403, 404, 501) AS failed FROM l)
         SELECT event_id, 'local' AS origin, body, CASE status WHEN 429 THEN 'ZOTERO_UNAVAILABLE' WHEN 500 THEN 'ZOTERO_UNAVAILABLE' END AS error, status IN (429, 500) AS retryable FROM f WHERE NOT failed
         UNION ALL SELECT event_id, 'web', 'web ' || body, NULL, false FROM f WHERE failed AND event_id % 2 = 0""",
+    "t06_source_status": """
+        WITH a AS (SELECT 'local' AS origin, [200, 403, 404, 429, 500, 501, NULL][event_id % 7 + 1] AS status FROM events
+                   UNION ALL SELECT 'web', [200, 403, 404, 429, 500, 501, NULL][(event_id + 3) % 7 + 1] FROM events WHERE event_id % 2 = 0),
+        c AS (SELECT origin, CASE WHEN status = 200 THEN NULL WHEN status IN (429, 500, 403) OR status IS NULL THEN 'ZOTERO_UNAVAILABLE' WHEN status = 501 OR origin = 'local' THEN 'ZOTERO_INCOMPATIBLE' ELSE 'INVALID_REQUEST' END AS code, count(*) AS n
+              FROM a GROUP BY ALL)
+        SELECT origin, CAST(sum(n) AS BIGINT) AS answers, bool_or(code IS NULL) AS available, arg_max(code, n) FILTER (WHERE code IS NOT NULL) AS error FROM c GROUP BY origin""",
+    "s19_expected_hash": """
+        SELECT CAST(doc_id AS VARCHAR) AS doc_path, CASE WHEN n_chars % 5 = 0 THEN 'DOCUMENT_NOT_FOUND' WHEN n_chars % 3 = 1 THEN 'STALE_REVISION' END AS error FROM documents""",
     "x01_idempotency": "SELECT user_id, event_type, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) = 1",
     "x01_stream_keys": "SELECT DISTINCT user_id, event_type FROM events",
     "x03_expiry": "SELECT event_id FROM events WHERE ts <= TIMESTAMP '2024-01-15 12:00:00' AND ts > TIMESTAMP '2024-01-15 11:00:00'",

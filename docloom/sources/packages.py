@@ -48,6 +48,13 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     return rows.filter(~F.startswith(name, F.lit("~$"))).join(owners, "doc_path", "left").withColumn("open_elsewhere", F.coalesce("open_elsewhere", F.lit(False)))
 
 
+def checked_hashes(files: DataFrame, expected: DataFrame) -> DataFrame:
+    """files (doc_path, sha256), expected (doc_path, expected_sha256) -> with the error of a file that isn't there or has changed; no expectation asks nothing."""
+    met = expected.join(files.select("doc_path", "sha256"), "doc_path", "left")
+    changed = F.lower("expected_sha256") != F.col("sha256")
+    return met.withColumn("error", F.when(F.col("sha256").isNull(), "DOCUMENT_NOT_FOUND").when(changed, "STALE_REVISION"))
+
+
 def safe_name(name: Column) -> Column:
     """No NUL, backslash, drive, leading slash, or empty, ``.`` or ``..`` component, plain or percent-encoded."""
     decoded = F.regexp_replace(F.regexp_replace(name, "(?i)%2e", "."), "(?i)%2f", "/")

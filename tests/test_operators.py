@@ -9,7 +9,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from docloom.operators import citations, edits, fields, items, locate, transactions, validation
+from docloom.operators import citations, edits, fields, items, locate, protection, transactions, validation
 from docloom.operators import paragraphs as P
 from docloom.sources import package_rules, packages
 
@@ -265,6 +265,12 @@ def test_markers_are_whole_words_in_any_case(spark):
     assert sorted(str(r.citation_id) for r in listed) == ["None", "None", "q"]
 
 
+def test_controls_and_revisions_are_protected(spark):
+    kinds = [("text", "abc", None), ("content-control start", "", "1"), ("text", "def", None), ("revision start", "", "9"), ("text", "gh", None), ("revision end", "", "9"), ("content-control end", "", "1"), ("bookmark start", "", "1"), ("text", "i", None)]
+    rows = spark.createDataFrame([(1, 0, k, kind, value, mark) for k, (kind, value, mark) in enumerate(kinds)], "doc_id long, paragraph int, seq int, kind string, value string, mark_id string")
+    assert {(r.start, r.end, r.kind) for r in protection.protected_ranges(rows).collect()} == {(3, 8, "content-control"), (6, 8, "revision"), (8, 9, "unbalanced-bookmark"), (8, 8, "bookmark-boundary")}
+
+
 def test_long_texts_with_many_hits(spark):
     text = "ab " * 20_000
     found = spark.createDataFrame([(text,)], "t string").select(locate.occurrences(F.col("t"), F.lit("b")).alias("o"), locate.nth_occurrence(F.col("t"), F.lit("b"), F.lit(20_000)).alias("n")).first()
