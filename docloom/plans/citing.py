@@ -1,6 +1,6 @@
 """Queries over citation fields: instructions, payloads, listing, updates, hydration, preferences, plain citations.
 
-The tables hold no citations, so fields are derived from every document by fixed rules.
+The tables hold no citations, so every document's text makes a field: its first word and length the id, its length the kind.
 """
 
 from __future__ import annotations
@@ -14,20 +14,30 @@ from docloom.plans.common import documents, long
 from docloom.session import table
 
 
+def _length() -> Column:
+    return F.length(F.coalesce("text", F.lit("")))
+
+
+def _name() -> Column:
+    """The first word and the length: ids repeat; one is empty where the length is a multiple of nine."""
+    word = F.regexp_extract(F.coalesce("text", F.lit("")), "[A-Za-z]+", 0)
+    return F.when(_length() % 9 == 0, "").otherwise(F.concat(word, _length().cast("string")))
+
+
 def _body() -> Column:
-    """{"citationID":"c<n>","citationItems":[{"id":<n>}],"kept":1.0}; ids repeat, and each ninth is empty."""
-    name = F.when(F.col("doc_id") % 9 == 0, "").otherwise(F.concat(F.lit("c"), (F.col("doc_id") % 700).cast("string")))
-    return F.concat(F.lit('{"citationID":"'), name, F.lit('","citationItems":[{"id":'), (F.col("doc_id") % 13).cast("string"), F.lit('}],"kept":1.0}'))
+    """{"citationID":"<name>","citationItems":[{"id":<lines>}],"kept":1.0}"""
+    lines = F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1))
+    return F.concat(F.lit('{"citationID":"'), _name(), F.lit('","citationItems":[{"id":'), lines.cast("string"), F.lit('}],"kept":1.0}'))
 
 
 def _fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One field per document: current, legacy, broken, bibliography or foreign, by turns."""
-    kind, body = F.col("doc_id") % 6, _body()
+    """One field per document: current, legacy, broken, bibliography or foreign, by the text's length."""
+    kind, body = _length() % 6, _body()
     instruction = (
         F.when(kind <= 1, citations.citation_instruction(body)).when(kind == 2, F.concat(F.lit(" ADDIN ZOTERO_ITEM "), body))
         .when(kind == 3, F.lit(" ADDIN ZOTERO_ITEM CSL_CITATION {broken")).when(kind == 4, citations.bibliography_instruction(F.lit('{"uncited":[]}'))).otherwise(" PAGE ")
     )
-    return documents(spark, sf_dir).select("doc_id", "source", instruction.alias("instruction"), F.col("doc_id").alias("ordinal"))
+    return documents(spark, sf_dir).select("doc_id", "source", instruction.alias("instruction"), F.col("doc_id").alias("ordinal"), kind.alias("shape"))
 
 
 def j01_parse_instruction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,13 +124,13 @@ def j21_unresolved(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _listed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _fields(spark, sf_dir).filter("doc_id % 6 <= 2").select("source", "ordinal", citations.payload(F.col("instruction")).alias("payload"))
+    rows = _fields(spark, sf_dir).filter("shape <= 2").select("source", "ordinal", citations.payload(F.col("instruction")).alias("payload"))
     return rows.withColumn("citation_id", F.get_json_object("payload", "$.citationID")).withColumn("visible", F.concat(F.lit("(see "), "ordinal", F.lit(")")))
 
 
 def j17_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A new text for the fields of a range of ids; those that are there twice or never are errors. Members stay in place."""
-    asked = documents(spark, sf_dir).filter("doc_id % 3 = 1").select("source", F.concat(F.lit("c"), (F.col("doc_id") % 700).cast("string")).alias("citation_id")).distinct()
+    asked = documents(spark, sf_dir).filter(_length() % 3 == 1).select("source", _name().alias("citation_id")).distinct()
     asked = asked.withColumn("items", F.lit(None).cast("string")).withColumn("formatted", F.concat(F.lit("<i>"), "citation_id", F.lit("</i> &amp; more")))
     return citations.update_citations(_listed(spark, sf_dir), asked, "source").select("source", "citation_id", "error", "payload")
 
@@ -152,13 +162,14 @@ QUERIES = {
     )
 }
 
-_NAME = "CASE WHEN doc_id % 9 = 0 THEN '' ELSE 'c' || (doc_id % 700) END"
-_BODY = f"""'{{"citationID":"' || {_NAME} || '","citationItems":[{{"id":' || (doc_id % 13) || '}}],"kept":1.0}}'"""
+_LENGTH = "length(coalesce(text, ''))"
+_NAME = f"CASE WHEN {_LENGTH} % 9 = 0 THEN '' ELSE regexp_extract(coalesce(text, ''), '[A-Za-z]+') || {_LENGTH} END"
+_BODY = f"""'{{"citationID":"' || {_NAME} || '","citationItems":[{{"id":' || len(string_split(coalesce(text, ''), chr(10))) || '}}],"kept":1.0}}'"""
 _PREFS = """
   SELECT user_id, event_id % 5 + 1 AS idx, min(props) AS chunk FROM events WHERE event_type = 'click' AND (user_id + event_id % 5 + 1) % 4 <> 0 GROUP BY user_id, event_id % 5 + 1"""
 _LIBRARY = """SELECT p_partkey AS item_key, 'http://items/' || p_partkey AS uri, '{"title":"' || p_name || '"}' AS csl_json FROM part WHERE p_partkey % 10 <> 3"""
 _ITEMS = "SELECT l_orderkey, l_linenumber, l_partkey AS item_key, CASE l_linenumber % 3 WHEN 0 THEN 'own/' || l_partkey WHEN 1 THEN '' END AS uri FROM lineitem"
-_LISTED = f"SELECT source, doc_id AS ordinal, {_NAME} AS citation_id, {_BODY} AS payload, '(see ' || doc_id || ')' AS visible FROM documents WHERE doc_id % 6 <= 2"
+_LISTED = f"SELECT source, doc_id AS ordinal, {_NAME} AS citation_id, {_BODY} AS payload, '(see ' || doc_id || ')' AS visible FROM documents WHERE {_LENGTH} % 6 <= 2"
 
 #: The same patterns in the other engine's dialect, in which \\w knows ASCII only.
 _PATTERNS = [(kind, pattern.replace(r"[\w", r"[\p{L}\p{N}_")) for kind, pattern in citations.PLAIN]
@@ -180,10 +191,10 @@ _CITED = """
 
 ORACLES = {
     "j01_parse_instruction": f"""
-        WITH f AS (SELECT doc_id, doc_id % 6 AS k, {_BODY} AS body, unnest([0, 1, 2]) AS form FROM documents),
+        WITH f AS (SELECT doc_id, {_LENGTH} % 6 AS k, {_BODY} AS body, unnest([0, 1, 2]) AS form FROM documents),
         g AS (SELECT *, CASE WHEN form < 2 THEN CASE WHEN k <= 2 THEN 'citation' WHEN k = 4 THEN 'bibliography' END WHEN k <= 1 THEN 'citation' END AS kind FROM f)
         SELECT doc_id, CAST(form AS BIGINT) AS form, kind, CASE kind WHEN 'citation' THEN body WHEN 'bibliography' THEN '{{"uncited":[]}}' END AS payload, kind IS NOT NULL AND kind = 'citation' AND (form = 2 OR k = 2) AS legacy FROM g""",
-    "f05_field_id": f"SELECT doc_id, CASE WHEN doc_id % 6 <= 2 AND doc_id % 9 <> 0 THEN {_NAME} ELSE 'body:' || doc_id END AS field_id FROM documents",
+    "f05_field_id": f"SELECT doc_id, CASE WHEN {_LENGTH} % 6 <= 2 AND {_LENGTH} % 9 <> 0 THEN {_NAME} ELSE 'body:' || doc_id END AS field_id FROM documents",
     "j12_decoded_preferences": """
         SELECT doc_id, CASE WHEN ok THEN '3' END AS data_version, CASE WHEN ok THEN 'http://styles/?a=1&amp;b=' || source END AS style, CASE WHEN ok THEN lang END AS locale, CASE WHEN ok THEN sha256(text)[1:8] END AS session,
                ok AND n_chars % 2 = 0 AS has_bibliography, CASE WHEN ok THEN 'Field' END AS field_type, CASE WHEN NOT ok THEN 'invalid XML' END AS warning
@@ -193,10 +204,10 @@ ORACLES = {
         n AS (SELECT *, row_number() OVER (PARTITION BY source, base ORDER BY place) - 1 + CASE WHEN v = 0 THEN 1 ELSE 0 END AS n FROM r)
         SELECT source, place, base || CASE WHEN n > 0 THEN '-' || n ELSE '' END AS citation_id, CAST(v AS VARCHAR) AS visible, true AS marked FROM n""",
     "j15_list_citations": f"""
-        WITH f AS (SELECT source, doc_id AS ordinal, CASE WHEN doc_id % 6 <= 2 THEN {_NAME} END AS citation_id FROM documents WHERE doc_id % 6 <= 3)
+        WITH f AS (SELECT source, doc_id AS ordinal, {_LENGTH} % 6 AS k, CASE WHEN {_LENGTH} % 6 <= 2 THEN {_NAME} END AS citation_id FROM documents WHERE {_LENGTH} % 6 <= 3)
         SELECT source, ordinal, citation_id,
                CASE WHEN citation_id IS NULL THEN 'unreadable' WHEN citation_id = '' THEN 'missing id'
-                    WHEN count(citation_id) OVER (PARTITION BY source, citation_id) > 1 THEN 'duplicate id' WHEN ordinal % 6 = 2 THEN 'legacy' END AS warning FROM f""",
+                    WHEN count(citation_id) OVER (PARTITION BY source, citation_id) > 1 THEN 'duplicate id' WHEN k = 2 THEN 'legacy' END AS warning FROM f""",
     "j08_fallback_text": "SELECT l_orderkey, '[Citation: ' || string_agg('P' || l_partkey, '; ' ORDER BY l_linenumber, l_partkey) || ']' AS text FROM lineitem GROUP BY l_orderkey",
     "j09_plain_formatted": """
         SELECT page_id, trim(replace(replace(replace(replace(replace(regexp_replace(regexp_extract(html, '(?s)<footer>(.*?)</footer>', 1), '<[^>]*>', '', 'g'),
@@ -215,7 +226,7 @@ ORACLES = {
         FROM ({_ITEMS}) i LEFT JOIN ({_LIBRARY}) l ON l.item_key = i.item_key""",
     "j21_unresolved": f"SELECT DISTINCT item_key FROM ({_ITEMS}) WHERE item_key NOT IN (SELECT item_key FROM ({_LIBRARY}))",
     "j17_update": f"""
-        WITH a AS (SELECT DISTINCT source, 'c' || (doc_id % 700) AS citation_id FROM documents WHERE doc_id % 3 = 1),
+        WITH a AS (SELECT DISTINCT source, {_NAME} AS citation_id FROM documents WHERE {_LENGTH} % 3 = 1),
         n AS (SELECT source, citation_id, count(*) AS n, any_value(payload) AS payload FROM ({_LISTED}) GROUP BY ALL)
         SELECT a.source, a.citation_id, CASE WHEN n.n IS NULL THEN 'REFERENCE_UNRESOLVED' WHEN n.n > 1 THEN 'ANCHOR_AMBIGUOUS' END AS error,
                CASE WHEN n.n = 1 THEN left(n.payload, length(n.payload) - 1) || ',"properties":{{"formattedCitation":"<i>' || a.citation_id || '</i> &amp; more","plainCitation":"' || a.citation_id
@@ -225,8 +236,8 @@ ORACLES = {
         WITH l AS ({_LISTED}), a AS (SELECT DISTINCT source, citation_id FROM l WHERE ordinal % 4 < 2)
         SELECT l.source, ordinal, CASE WHEN a.source IS NULL THEN l.citation_id END AS citation_id, visible
         FROM l LEFT JOIN a ON l.source = a.source AND l.citation_id = a.citation_id WHERE a.source IS NULL OR length(l.citation_id) % 2 = 0""",
-    "j19_sync_bibliography": """
-        WITH g AS (SELECT source || '/' || CAST(floor(doc_id / 100) AS INT) AS source, max(doc_id) % 2 = 0 AS has_locator, count(*) FILTER (WHERE doc_id % 6 = 4) AS n FROM documents GROUP BY 1)
+    "j19_sync_bibliography": f"""
+        WITH g AS (SELECT source || '/' || CAST(floor(doc_id / 100) AS INT) AS source, max(doc_id) % 2 = 0 AS has_locator, count(*) FILTER (WHERE {_LENGTH} % 6 = 4) AS n FROM documents GROUP BY 1)
         SELECT source, CASE WHEN n > 1 THEN 'ANCHOR_AMBIGUOUS' WHEN n = 1 THEN 'update' WHEN NOT has_locator THEN 'INVALID_REQUEST' ELSE 'append' END AS action FROM g""",
     "opl_plain_citations": " UNION ALL ".join(_found(*pattern) for pattern in _PATTERNS),
 }

@@ -71,11 +71,14 @@ def j13_written_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _payload_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Payloads of seven shapes, by turns."""
-    shapes = [
-        '{"citationItems":[{"id":1}]}', '{"citationItems":[]}', "[1]", '{"citationItems":[{"id":1},5]}', '{"citationItems":[{"x":1},{"uris":"u"}],"properties":3}', '{"citationItems":[{"itemData":[]}]}', "{broken",
-    ]
-    payload = F.element_at(F.array(*map(F.lit, shapes)), (F.col("doc_id") % 7 + 1).cast("int"))
+    """A payload per document: every line is an item, sound where it ends with a full stop; lengths decide what else is wrong."""
+    text = F.coalesce("text", F.lit(""))
+    item = lambda line: (
+        F.when(F.endswith(line, F.lit(".")), '{"id":1}').when(line == "", "5").when(F.length(line) % 3 == 0, '{"x":1}').when(F.length(line) % 3 == 1, '{"uris":"u"}').otherwise('{"itemData":[]}')
+    )
+    items = F.when(text == "", "").otherwise(F.array_join(F.transform(F.split(text, "\n", -1), item), ","))
+    whole = F.concat(F.lit('{"citationItems":['), items, F.lit("]"), F.when(F.length(text) % 5 == 1, ',"properties":3').otherwise(""), F.lit("}"))
+    payload = F.when(F.length(text) % 11 == 2, "[1]").when(F.length(text) % 11 == 3, F.substring(whole, F.lit(1), F.length(whole) - 1)).otherwise(whole)
     found = citations.payload_findings(documents(spark, sf_dir).select("doc_id", payload.alias("payload")), ["doc_id"])
     return found.select("doc_id", long("item"), "message")
 
@@ -147,10 +150,13 @@ ORACLES = {
         UNION ALL SELECT doc_id, 'ZOTERO_PREF_' || k, value
         FROM (SELECT doc_id, unnest(regexp_extract_all(text, '(?s).{1,255}')) AS value, generate_subscripts(regexp_extract_all(text, '(?s).{1,255}'), 1) AS k FROM d WHERE doc_id % 3 = 0 AND text <> '')
         UNION ALL SELECT doc_id, 'ZOTERO_PREF_1', '' FROM d WHERE doc_id % 3 = 0 AND text = ''""",
-    "v04_payload_findings": """
-        SELECT doc_id, CAST(item AS BIGINT) AS item, message FROM documents JOIN (VALUES
-          (1, -1, 'citationItems is empty'), (2, -1, 'payload is not an object'), (3, 1, 'item is not an object'), (4, -1, 'properties is not an object'),
-          (4, 0, 'item without id, uris or itemData'), (4, 1, 'uris is not an array'), (5, 0, 'itemData is not an object'), (6, -1, 'payload is not an object')) v(shape, item, message) ON doc_id % 7 = shape""",
+    "v04_payload_findings": f"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n FROM documents), w AS (SELECT * FROM d WHERE n % 11 NOT IN (2, 3))
+        SELECT doc_id, CAST(-1 AS BIGINT) AS item, 'payload is not an object' AS message FROM d WHERE n % 11 IN (2, 3)
+        UNION ALL SELECT doc_id, -1, 'citationItems is empty' FROM w WHERE text = ''
+        UNION ALL SELECT doc_id, -1, 'properties is not an object' FROM w WHERE n % 5 = 1
+        UNION ALL SELECT p.doc_id, idx, CASE WHEN p.text = '' THEN 'item is not an object' ELSE ['item without id, uris or itemData', 'uris is not an array', 'itemData is not an object'][length(p.text) % 3 + 1] END
+          FROM ({PARAGRAPHS}) p JOIN w ON w.doc_id = p.doc_id WHERE w.text <> '' AND p.text NOT LIKE '%.'""",
 }
 ORACLES["v05_report"] = f"""
     WITH f AS ({structures.ORACLES["v01_dangling"]}

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from docloom.plans.common import PARAGRAPHS, documents, long
 from docloom.sources import package_rules, packages
 
-_W = f'xmlns:w="{packages.W[1:-1]}"'
+NAMESPACE = f'xmlns:w="{packages.W[1:-1]}"'
 _BASE = packages.OFFICE_DOCUMENT.rpartition("/")[0]
 _TYPES, _RELS = "http://schemas.openxmlformats.org/package/2006/content-types", "http://schemas.openxmlformats.org/package/2006/relationships"
 _FIELD = (
@@ -20,13 +20,16 @@ _FIELD = (
 )
 
 
+def escaped(text: Column) -> Column:
+    return F.replace(F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+
 def _paragraph(text: Column) -> Column:
-    safe = F.replace(F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
-    runs = F.replace(safe, F.lit("\t"), F.lit('</w:t><w:tab/><w:t xml:space="preserve">'))
+    runs = F.replace(escaped(text), F.lit("\t"), F.lit('</w:t><w:tab/><w:t xml:space="preserve">'))
     return F.concat(F.lit('<w:p><w:r><w:t xml:space="preserve">'), runs, F.lit("</w:t></w:r></w:p>"))
 
 
-def _said(*pieces: Column | str) -> Column:
+def said(*pieces: Column | str) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in pieces])
 
 
@@ -35,19 +38,19 @@ def parts_of(docs: DataFrame) -> DataFrame:
     lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
     n = F.length(F.coalesce("text", F.lit("")))
     main = F.when(n % 5 == 0, "word/main.xml").otherwise("word/document.xml")
-    body = _said(f"<w:document {_W}><w:body>", F.array_join(F.transform(lines, _paragraph), ""), F.when(n % 7 == 0, _FIELD).otherwise(""), "</w:body></w:document>")
-    header = F.when(n % 2 == 0, _said(f"<w:hdr {_W}>", _paragraph(lines[0]), "</w:hdr>"))
-    notes = F.when(n % 3 == 0, _said(f'<w:footnotes {_W}><w:footnote w:type="separator" w:id="-1"><w:p/></w:footnote><w:footnote w:id="1">', _paragraph(F.element_at(lines, -1)), "</w:footnote></w:footnotes>"))
-    comments = F.when(n % 4 == 0, _said(f'<w:comments {_W}><w:comment w:id="0">', _paragraph(F.element_at(lines, -1)), "</w:comment></w:comments>"))
-    link = lambda k, kind, target, more="": _said(f'<Relationship Id="rId{k}" Type="{_BASE}/{kind}" Target="', target, f'"{more}/>')
-    roots = _said(f'<Relationships xmlns="{_RELS}">', link(1, "officeDocument", main), F.when(n % 11 == 4, link(1, "extra", main)).otherwise(""), "</Relationships>")
-    inner = _said(
+    body = said(f"<w:document {NAMESPACE}><w:body>", F.array_join(F.transform(lines, _paragraph), ""), F.when(n % 7 == 0, _FIELD).otherwise(""), "</w:body></w:document>")
+    header = F.when(n % 2 == 0, said(f"<w:hdr {NAMESPACE}>", _paragraph(lines[0]), "</w:hdr>"))
+    notes = F.when(n % 3 == 0, said(f'<w:footnotes {NAMESPACE}><w:footnote w:type="separator" w:id="-1"><w:p/></w:footnote><w:footnote w:id="1">', _paragraph(F.element_at(lines, -1)), "</w:footnote></w:footnotes>"))
+    comments = F.when(n % 4 == 0, said(f'<w:comments {NAMESPACE}><w:comment w:id="0">', _paragraph(F.element_at(lines, -1)), "</w:comment></w:comments>"))
+    link = lambda k, kind, target, more="": said(f'<Relationship Id="rId{k}" Type="{_BASE}/{kind}" Target="', target, f'"{more}/>')
+    roots = said(f'<Relationships xmlns="{_RELS}">', link(1, "officeDocument", main), F.when(n % 11 == 4, link(1, "extra", main)).otherwise(""), "</Relationships>")
+    inner = said(
         f'<Relationships xmlns="{_RELS}">', link(1, "header", "header1.xml"), link(2, "footnotes", "/word/footnotes.xml"), link(3, "comments", "./comments.xml"), link(4, "hyperlink", "https://example.com/", ' TargetMode="External"'),
         F.when(n % 11 == 5, link(5, "image", "x.png", ' TargetMode="Inside"')).otherwise(""), "</Relationships>",
     )
     own_type = F.when(n % 11 == 6, "application/vnd.ms-word.document.macroEnabled.main+xml").otherwise(packages.MAIN_TYPE)
-    override = _said('<Override PartName="/', main, '" ContentType="', own_type, '"/>')
-    types = _said(
+    override = said('<Override PartName="/', main, '" ContentType="', own_type, '"/>')
+    types = said(
         f'<Types xmlns="{_TYPES}"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="XML" ContentType="application/xml"/>',
         override, F.when(n % 11 == 3, override).otherwise(""), "</Types>",
     )

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from docloom.plans import citing, editing, guarding, locating, packaging, staging, structures, summary
+from docloom.plans import citing, editing, guarding, locating, packaging, properties, staging, structures, summary
 
 QUERIES = {}
 ORACLES = {}
-for module in (summary, locating, editing, structures, packaging, guarding, citing, staging):
+for module in (summary, locating, editing, structures, packaging, properties, guarding, citing, staging):
     QUERIES |= module.QUERIES
     ORACLES |= module.ORACLES

@@ -141,11 +141,23 @@ def x03_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def x05_commit_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Guards fail by the order's key; several can, and the first one names the outcome."""
-    k = F.col("o_orderkey")
-    suffix = F.when(k % 19 == 0, ".doc").otherwise(".DOCX")
-    outcome = transactions.commit_outcome(k % 11 != 0, k % 13 != 0, k % 17 != 0, suffix, k % 3 == 0, k % 2 == 0, k % 23 == 0, k % 29 == 0, k % 5 != 0)
-    return table(spark, sf_dir, "orders").select("o_orderkey", outcome.alias("outcome"))
+    """An order is a staged document, its lines are the content: hashed as staged, and again without what was shipped before the order.
+
+    Several guards can fail, and the first one names the outcome.
+    """
+    orders = table(spark, sf_dir, "orders")
+    lines = table(spark, sf_dir, "lineitem").join(orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_orderdate"), "l_orderkey")
+    line = F.format_string("%05d %05d %05d", "l_linenumber", "l_partkey", "l_suppkey")
+    hashed = lambda kept: F.sha2(F.array_join(F.array_sort(F.collect_list(F.when(kept, line))), "\n"), 256)
+    content = lines.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
+        F.count(F.lit(1)).alias("lines"), F.bool_or(F.col("l_returnflag") == "R").alias("there"), hashed(F.lit(True)).alias("staged"), hashed(F.col("l_shipdate") >= F.col("o_orderdate")).alias("now"),
+    )
+    status, size = F.col("o_orderstatus"), F.coalesce("lines", F.lit(0))
+    outcome = transactions.commit_outcome(
+        size > 0, F.col("o_orderpriority") != "4-NOT SPECIFIED", F.col("o_totalprice") > 50_000, F.when((status == "P") & F.col("there"), ".doc").otherwise(".DOCX"),
+        F.col("there"), status == "O", size > 5, (status == "F") & (size == 1), F.col("staged") == F.col("now"),
+    )
+    return orders.join(content, "o_orderkey", "left").select("o_orderkey", outcome.alias("outcome"))
 
 
 def x04_abort(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -214,9 +226,11 @@ ORACLES = {
     "x01_stream_keys": "SELECT DISTINCT user_id, event_type FROM events",
     "x03_expiry": "SELECT event_id FROM events WHERE ts <= TIMESTAMP '2024-01-15 12:00:00' AND ts > TIMESTAMP '2024-01-15 11:00:00'",
     "x05_commit_ladder": """
-        SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN 'TRANSACTION_NOT_FOUND' WHEN o_orderkey % 13 = 0 THEN 'INVALID_REQUEST' WHEN o_orderkey % 17 = 0 THEN 'PATH_NOT_ALLOWED'
-               WHEN o_orderkey % 19 = 0 THEN 'UNSUPPORTED_DOCUMENT' WHEN o_orderkey % 3 = 0 AND o_orderkey % 2 <> 0 THEN 'COMMIT_CONFLICT' WHEN o_orderkey % 23 = 0 OR o_orderkey % 29 = 0 THEN 'FILE_IN_USE'
-               WHEN o_orderkey % 5 = 0 THEN 'COMMIT_CONFLICT' END AS outcome FROM orders""",
+        WITH l AS (SELECT l_orderkey, count(*) AS n, bool_or(l_returnflag = 'R') AS there, bool_and(l_shipdate >= o_orderdate) AS same
+                   FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY l_orderkey)
+        SELECT o_orderkey, CASE WHEN n IS NULL THEN 'TRANSACTION_NOT_FOUND' WHEN o_orderpriority = '4-NOT SPECIFIED' THEN 'INVALID_REQUEST' WHEN o_totalprice <= 50000 THEN 'PATH_NOT_ALLOWED'
+               WHEN o_orderstatus = 'P' AND there THEN 'UNSUPPORTED_DOCUMENT' WHEN there AND o_orderstatus <> 'O' THEN 'COMMIT_CONFLICT' WHEN n > 5 OR o_orderstatus = 'F' AND n = 1 THEN 'FILE_IN_USE'
+               WHEN NOT same THEN 'COMMIT_CONFLICT' END AS outcome FROM orders LEFT JOIN l ON l_orderkey = o_orderkey""",
     "x04_abort": "SELECT o_orderkey AS transaction_id, o_custkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')",
     "k08_audit_rows": """
         SELECT o_orderkey AS transaction_id, CASE WHEN o_orderkey % 3 = 0 THEN 'backup' END AS backup_path, o_orderpriority AS intent, o_orderkey % 3 <> 0 AS null_written FROM orders""",

@@ -419,11 +419,18 @@ def summaries(part_rows: DataFrame) -> DataFrame:
     return met.select("doc_path", "stories", zero("paragraphs"), zero("words"), zero("headings"), "tables", "figures", "footnotes", "endnotes", "comments", "revisions", "citations", "has_bibliography", zero("external"))
 
 
+def _said(xml_text: Column) -> Column:
+    """A text of XML with its five named entities read."""
+    for entity, sign in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("amp", "&")):
+        xml_text = F.replace(xml_text, F.lit(f"&{entity};"), F.lit(sign))
+    return xml_text
+
+
 def core_properties(part_rows: DataFrame) -> DataFrame:
     """doc_path, name, value: the core properties that have a text, by local name; of several of a name the last counts."""
     found = F.regexp_extract_all(F.decode("data", "UTF-8"), F.lit(r"<(?:\w+:)?\w+(?:\s[^>]*)?>[^<]+</"), F.lit(0))
     rows = part_rows.filter("part_name = 'docProps/core.xml'").select("doc_path", F.posexplode(found).alias("k", "e"))
-    named = rows.select("doc_path", "k", F.regexp_extract("e", r"^<(?:\w+:)?(\w+)", 1).alias("name"), F.trim(F.regexp_extract("e", r">([^<]+)<", 1)).alias("value"))
+    named = rows.select("doc_path", "k", F.regexp_extract("e", r"^<(?:\w+:)?(\w+)", 1).alias("name"), F.trim(_said(F.regexp_extract("e", r">([^<]+)<", 1))).alias("value"))
     return named.filter("value <> ''").groupBy("doc_path", "name").agg(F.max_by("value", "k").alias("value"))
 
 
@@ -434,4 +441,4 @@ def style_names(part_rows: DataFrame) -> DataFrame:
     rows = part_rows.filter("part_name = 'word/styles.xml'").select("doc_path", F.explode(found).alias("e"))
     name = F.regexp_extract("e", r"<(?:\w+:)?name\s[^>]*\bval=\"([^\"]*)\"", 1)
     style = F.regexp_extract("e", r"^[^>]*\bstyleId=\"([^\"]*)\"", 1)
-    return rows.select("doc_path", style.alias("style_id"), F.coalesce(F.nullif(name, F.lit("")), style).alias("style_name"))
+    return rows.select("doc_path", style.alias("style_id"), F.coalesce(F.nullif(_said(name), F.lit("")), style).alias("style_name"))
