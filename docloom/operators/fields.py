@@ -65,6 +65,24 @@ def field_spans(fields: DataFrame, markers: DataFrame) -> DataFrame:
     return met.filter("start_paragraph = end_paragraph").select("stream", "begin_seq", F.col("start_paragraph").alias("paragraph"), "start", "end")
 
 
+def covered(rows: DataFrame) -> DataFrame:
+    """rows (stream, seq, kind and others) with ``covered``: some field open there hasn't come to its separator yet.
+
+    Kinds that matter are ``field begin``, ``field separate`` and ``field end``. Of one depth, a separator counts if a begin
+    comes right before it, and an end closes a field without a result if a begin does; ends and separators outside every
+    field count nothing.
+    """
+    kind = F.col("kind")
+    step = F.when(kind == "field begin", 1).when(kind == "field end", -1).otherwise(0)
+    known = _depths(rows.withColumn("step", step))
+    known = known.withColumn("level", F.when(kind.isin("field begin", "field separate"), F.col("depth")).when((kind == "field end") & ~F.col("stray"), F.col("depth") + 1))
+    last = F.lag("kind").over(Window.partitionBy("stream", "level").orderBy("seq"))
+    resolved = (F.col("level") > 0) & kind.isin("field separate", "field end") & (last == "field begin")
+    change = F.when(kind == "field begin", 1).when(resolved, -1).otherwise(0)
+    pending = F.sum("change").over(Window.partitionBy("stream").orderBy("seq"))
+    return known.withColumn("change", change).withColumn("covered", pending > 0).select(*rows.columns, "covered")
+
+
 def unique(fields: DataFrame, wanted: DataFrame, id_col: str) -> DataFrame:
     """wanted ids with the number of fields that carry them: none is REFERENCE_UNRESOLVED, several are ANCHOR_AMBIGUOUS."""
     counts = fields.groupBy(id_col).agg(F.count(F.lit(1)).alias("fields"))

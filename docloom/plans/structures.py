@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.operators import fields, validation
@@ -39,6 +39,18 @@ def f06_unique_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fields.unique(table(spark, sf_dir, "lineitem").select("l_partkey"), wanted, "l_partkey")
 
 
+def l06_shown_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole pages as token streams: some tags begin and end fields, a link separates, a heading or an item of a list begins a paragraph."""
+    kinds = [(r"^<(?:div|p|b|ul|li)[\s>]", "field begin"), (r"^</(?:div|p|b|ul|li)>", "field end"), (r"^<a\s", "field separate"), ("^[^<]", "text")]
+    value = F.col("value")
+    kind = F.coalesce(*[F.when(F.regexp_like(value, F.lit(pattern)), name) for pattern, name in kinds], F.lit("other"))
+    pieces = F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit("<[^>]*>|[^<]+"), F.lit(0))
+    rows = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("doc_path"), F.lit("html").alias("part_name"), F.posexplode(pieces).alias("seq", "value"))
+    begun = F.sum(F.regexp_like(value, F.lit(r"^<(?:h\d|li)[\s>]")).cast("int")).over(Window.partitionBy("doc_path").orderBy("seq"))
+    found = packages.shown_paragraphs(rows.select("doc_path", "part_name", "seq", "value", kind.alias("kind"), begun.alias("paragraph"), F.lit(False).alias("deleted")))
+    return found.select(F.col("doc_path").cast("long").alias("page_id"), long("idx"), "text")
+
+
 def s01_package_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents written as packages, opened again, their main parts found and read."""
     opened = packages.parts(packages.packages_of(documents(spark, sf_dir)))
@@ -90,7 +102,7 @@ def v02_marker_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (f02_field_balance, f01_nested_fields, f03_field_warnings, f04_strict_fields, f06_unique_field, s01_package_paragraphs, k01_rewritten_packages, s10_resolved_targets, v01_dangling, v02_marker_diff)
+    for f in (f02_field_balance, f01_nested_fields, f03_field_warnings, f04_strict_fields, f06_unique_field, l06_shown_paragraphs, s01_package_paragraphs, k01_rewritten_packages, s10_resolved_targets, v01_dangling, v02_marker_diff)
 }
 
 _TAGS = r"'</?(?:div|p|b|ul|li)(?:\s[^>]*)?>'"
@@ -136,6 +148,18 @@ ORACLES = {
         SELECT p_partkey * 2 AS l_partkey, count(l.l_partkey) AS fields,
                CASE WHEN count(l.l_partkey) = 0 THEN 'REFERENCE_UNRESOLVED' WHEN count(l.l_partkey) > 1 THEN 'ANCHOR_AMBIGUOUS' END AS error
         FROM part LEFT JOIN lineitem l ON l.l_partkey = p_partkey * 2 GROUP BY p_partkey""",
+    "l06_shown_paragraphs": """
+        WITH t AS (SELECT page_id, unnest(regexp_extract_all(html, '<[^>]*>|[^<]+')) AS v, generate_subscripts(regexp_extract_all(html, '<[^>]*>|[^<]+'), 1) AS seq FROM pages),
+        k AS (SELECT *, CASE WHEN regexp_matches(v, '^<(div|p|b|ul|li)[\\s>]') THEN 1 WHEN regexp_matches(v, '^</(div|p|b|ul|li)>') THEN -1 ELSE 0 END AS step, regexp_matches(v, '^<a\\s') AS parts,
+                     sum(regexp_matches(v, '^<(h\\d|li)[\\s>]')::INT) OVER (PARTITION BY page_id ORDER BY seq) AS idx FROM t),
+        u AS (SELECT *, sum(step) OVER (PARTITION BY page_id ORDER BY seq) AS total FROM k),
+        d AS (SELECT *, total - least(0, min(total) OVER (PARTITION BY page_id ORDER BY seq)) AS depth FROM u),
+        -- A begin lasts until the depth falls below its own; its separator is the first one at its depth until then.
+        b AS (SELECT page_id, seq, depth FROM d WHERE step = 1),
+        e AS (SELECT b.page_id, b.seq, min(CASE WHEN d.depth < b.depth OR d.parts AND d.depth = b.depth THEN d.seq END) AS until
+              FROM b JOIN d ON d.page_id = b.page_id AND d.seq > b.seq GROUP BY b.page_id, b.seq)
+        SELECT d.page_id, CAST(idx AS BIGINT) AS idx, string_agg(CASE WHEN v NOT LIKE '<%' AND NOT EXISTS (SELECT 1 FROM e WHERE e.page_id = d.page_id AND e.seq < d.seq AND (e.until IS NULL OR e.until > d.seq)) THEN v ELSE '' END, '' ORDER BY d.seq) AS text
+        FROM d GROUP BY d.page_id, idx""",
     "s01_package_paragraphs": f"SELECT doc_id, idx, sha256(text) AS text_sha256 FROM ({PARAGRAPHS})",
     "k01_rewritten_packages": "SELECT doc_id, CAST(CASE WHEN doc_id % 3 = 0 THEN 4 ELSE 3 END AS BIGINT) AS parts, doc_id % 3 <> 0 AS unchanged FROM documents",
     "s10_resolved_targets": """

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.operators.edits import lowest_free
+from docloom.operators.fields import covered
 from docloom.operators.paragraphs import is_heading_style, word_count
 
 # Limits, names and namespaces of the format.
@@ -302,16 +303,22 @@ def tokens(part_rows: DataFrame, part: str = "word/document.xml") -> DataFrame:
     What stands in deletions and moves away is marked, as are instructions by their kind, so visibility is a filter. A
     paragraph without a token has one of kind ``empty``.
     """
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns, rows, size = ["doc_path", "part_name", "paragraph", "seq", "kind", "value", "deleted"], [], 0
         for batch in batches:
             for path, name, data in zip(batch["doc_path"], batch["part_name"], batch["data"], strict=True):
                 tree = _tree(data)
-                rows = [
+                rows += [
                     (path, name, k, seq, *token)
                     for k, p in enumerate(tree.iter(f"{W}p") if tree is not None else [])
                     for seq, token in enumerate(list(_walk(p, False)) or [("empty", "", False)])
                 ]
-                yield pd.DataFrame(rows, columns=["doc_path", "part_name", "paragraph", "seq", "kind", "value", "deleted"])
+                size += len(data)
+                if size > FRAME_BYTES:
+                    yield pd.DataFrame(rows, columns=columns)
+                    rows, size = [], 0
+        yield pd.DataFrame(rows, columns=columns)
 
     return part_rows.filter(F.col("part_name") == part).select("doc_path", "part_name", "data").mapInPandas(run, TOKENS)
 
@@ -324,6 +331,15 @@ def visible_paragraphs(token_rows: DataFrame) -> DataFrame:
     )
 
 
+def shown_paragraphs(token_rows: DataFrame) -> DataFrame:
+    """doc_path, part_name, idx, text as edits of citations see it: of a field only the result counts, and only if those around it have come to theirs."""
+    kind = F.when(F.col("deleted"), "deleted").otherwise(F.col("kind"))
+    rows = token_rows.select(F.struct("doc_path", "part_name").alias("stream"), F.struct("paragraph", "seq").alias("seq"), kind.alias("kind"), "value")
+    seen = F.when(~F.col("covered") & F.col("kind").isin("text", "tab", "break"), F.col("value")).otherwise("")
+    found = covered(rows).groupBy("stream", F.col("seq.paragraph").alias("idx")).agg(F.array_sort(F.collect_list(F.struct(F.col("seq.seq").alias("seq"), seen.alias("value")))).alias("said"))
+    return found.select("stream.doc_path", "stream.part_name", "idx", F.array_join(F.transform("said", lambda x: x["value"]), "").alias("text"))
+
+
 def _paragraph_xml(text: str) -> str:
     pieces = [f'<w:t xml:space="preserve">{escape(p)}</w:t>' for p in text.split("\t")]
     return f"<w:p><w:r>{'<w:tab/>'.join(pieces)}</w:r></w:p>"

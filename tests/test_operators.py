@@ -301,3 +301,32 @@ def test_package_summary_properties_and_styles(spark):
     }
     assert {(r.name, r.value) for r in packages.core_properties(parts).collect()} == {("title", "Title"), ("created", "2024")}
     assert {(r.style_id, r.style_name) for r in packages.style_names(parts).collect()} == {("H1", "heading 1"), ("X", "X")}
+
+
+def test_text_in_fields_counts_behind_all_separators(spark):
+    """Random streams of marks and texts against a stack; deleted marks count nothing."""
+    import random
+
+    rng = random.Random(5)
+    rows, expected = [], {}
+    for doc in range(60):
+        stack, texts = [], {0: ""}
+        for seq in range(rng.randrange(1, 40)):
+            kind = rng.choice(["field begin", "field separate", "field end", "text", "text", "tab", "instruction", "empty"])
+            gone = rng.random() < 0.1
+            rows.append((str(doc), "p", seq // 7, seq, kind, f"{seq}.", gone))
+            texts.setdefault(seq // 7, "")
+            if gone:
+                continue
+            if kind == "field begin":
+                stack.append(False)
+            elif kind == "field separate" and stack:
+                stack[-1] = True
+            elif kind == "field end" and stack:
+                stack.pop()
+            elif kind in ("text", "tab") and all(stack):
+                texts[seq // 7] += f"{seq}."
+        expected |= {(str(doc), k): t for k, t in texts.items()}
+    found = packages.shown_paragraphs(spark.createDataFrame(rows, packages.TOKENS))
+    assert {(r.doc_path, r.idx): r.text for r in found.collect()} == expected
+    assert packages.shown_paragraphs(spark.createDataFrame([], packages.TOKENS)).count() == 0
