@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import bpe, chat, exact_dedup, language_id, mixing, near_dedup, topk, toxicity, training_order, url_filter
+from docloom.llm import bpe, chat, collocations, exact_dedup, language_id, lm_scoring, mixing, near_dedup, spelling, topk, toxicity, training_order, url_filter
 from docloom.session import small_batches, table
 
 
@@ -89,7 +89,27 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_mix_sources, op3_simhash_near_dedup, op4_url_filter, op5_bpe_codec, op6_voronoi_top_k, op7_training_order, op8_language_id, op9_chat_format, op10_exact_dedup)}
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(texts(spark, sf_dir))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(texts(spark, sf_dir))
+
+
+def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = texts(spark, sf_dir)
+    scored = lm_scoring.score(docs, lm_scoring.train(docs))
+    return scored.select("doc_id", lm_scoring.held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_toxicity, op2_mix_sources, op3_simhash_near_dedup, op4_url_filter, op5_bpe_codec, op6_voronoi_top_k, op7_training_order,
+        op8_language_id, op9_chat_format, op10_exact_dedup, op11_collocations, op12_spelling_variants, op13_lm_scoring,
+    )
+}
 
 _HOST = "translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -193,4 +213,20 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))""",
+    "op11_collocations": r"""
+        WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+        words AS MATERIALIZED (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces WHERE regexp_matches(piece, '[^\x20\x09]')),
+        held AS MATERIALIZED (SELECT lang, size, phrase, count(*) AS f FROM (
+          SELECT lang, size, unnest([array_to_string(w[i:i + size - 1], ' ') FOR i IN range(1, len(w) - size + 2)]) AS phrase FROM words, range(1, 6) s(size)) GROUP BY ALL HAVING count(*) >= 100),
+        total AS (SELECT lang, sum(len(w)) AS n FROM words GROUP BY lang),
+        longer AS (SELECT DISTINCT h.lang, h.phrase FROM held h JOIN (
+          SELECT lang, f, unnest([array_to_string(string_split(phrase, ' ')[:size - 1], ' '), array_to_string(string_split(phrase, ' ')[2:], ' ')]) AS phrase FROM held WHERE size > 2) x
+          ON x.lang = h.lang AND x.phrase = h.phrase AND x.f >= h.f),
+        cuts AS (SELECT lang, size, phrase, f AS a, unnest(range(1, size)) AS k FROM held WHERE size > 1 AND (lang, phrase) NOT IN (SELECT lang, phrase FROM longer)),
+        scored AS (SELECT c.lang, c.phrase, c.a, c.k, l.f AS l, r.f AS r, n, CAST(1000 * CAST(c.a AS HUGEINT) * n // (CAST(l.f AS HUGEINT) * r.f) AS BIGINT) AS score
+          FROM cuts c JOIN held l ON l.lang = c.lang AND l.phrase = array_to_string(string_split(c.phrase, ' ')[:c.k], ' ')
+          JOIN held r ON r.lang = c.lang AND r.phrase = array_to_string(string_split(c.phrase, ' ')[c.k + 1:], ' ') JOIN total t ON t.lang = c.lang),
+        weakest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score FROM weakest
+        QUALIFY rank <= 2000""",
 }

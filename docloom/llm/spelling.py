@@ -97,9 +97,8 @@ def path(word: Column, side: Column) -> Column:
 
 def follow(node: Column, word: Column, begin: Column, end: Column) -> Column:
     """The node behind the code points [begin, end) of a word, which has ``STRIDE`` of them at most."""
-    for k in range(STRIDE):
-        node = F.when(begin + k < end, F.xxhash64(node, F.substring(word, begin + k + 1, F.lit(1)))).otherwise(node)
-    return node
+    step = lambda at, k: F.when(begin + k < end, F.xxhash64(at, F.substring(word, begin + k + 1, F.lit(1)))).otherwise(at)
+    return F.aggregate(F.sequence(F.lit(0), F.lit(STRIDE - 1)), node, step)
 
 
 def oriented(words: DataFrame) -> DataFrame:
@@ -158,8 +157,9 @@ def trie_pairs(words: DataFrame) -> DataFrame:
     nodes = edges.groupBy("node").agg(ends)
     size = F.length("spelled")
     for _ in range(-(-DEEP // 2 // STRIDE) + 1):
-        to = F.least(F.col("at") + STRIDE, size)
-        states = states.select("side", "spelled", "n", to.alias("at"), follow(F.col("node"), F.col("spelled"), F.col("at"), to).alias("node"))
+        # The new place has a column of its own until the fold has read the old one.
+        states = states.withColumn("to", F.least(F.col("at") + STRIDE, size))
+        states = states.withColumn("node", follow(F.col("node"), F.col("spelled"), F.col("at"), F.col("to"))).drop("at").withColumnRenamed("to", "at")
         states = states.join(nodes, "node").filter((F.col("at") < size) | F.col("ends")).drop("ends")
     final = paths.select(F.element_at("nodes", -1).alias("node"), F.col("spelled").alias("other"), F.col("n").alias("other_n"))
     found = states.join(final, "node").filter(F.levenshtein("spelled", "other", 1) == 1)
