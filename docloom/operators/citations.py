@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, StringType
 
+from docloom.sources.xml import read_xml
+
 # Markers of field instructions, the payload's schema, and the citation patterns.
 CITATION_MARK, CSL_MARK, BIBLIOGRAPHY_MARK, BIBLIOGRAPHY_END = "ZOTERO_ITEM", "CSL_CITATION", "ZOTERO_BIBL", "CSL_BIBLIOGRAPHY"
 SCHEMA_URL = "https://github.com/citation-style-language/schema/raw/master/csl-citation.json"
@@ -85,9 +87,19 @@ def json_object(texts: pd.Series) -> pd.Series:
 
 
 def field_id(instruction: Column, story: Column, ordinal: Column) -> Column:
-    """A field's id: its payload's, else story and ordinal, as where the JSON is missing or broken."""
-    named = F.nullif(F.get_json_object(payload(instruction), "$.citationID"), F.lit(""))
-    return F.coalesce(named, F.concat_ws(":", story, ordinal.cast("string")))
+    """A field's id: a citation's own, if it is text or a whole number; ``bibliography`` for one; else story and ordinal.
+
+    Markers count anywhere and in any case. Where a citation's JSON is broken, the member is sought in its text. An empty
+    id is none.
+    """
+    upper = F.upper(instruction)
+    marked = F.contains(upper, F.lit(CITATION_MARK)) | F.contains(upper, F.lit(CSL_MARK))
+    read = F.try_parse_json(json_object(instruction))
+    whole = F.schema_of_variant(F.try_variant_get(read, "$.citationID", "variant")).isin("STRING", "BIGINT")
+    torn = F.regexp_extract(instruction, r'"citationID"\s*:\s*"([^"]+)"', 1)
+    named = F.when(read.isNotNull(), F.when(whole, F.try_variant_get(read, "$.citationID", "string"))).when(F.contains(instruction, F.lit("{")), torn)
+    listed = F.when(F.contains(upper, F.lit(BIBLIOGRAPHY_MARK)), "bibliography")
+    return F.coalesce(F.nullif(F.when(marked, named), F.lit("")), listed, F.concat_ws(":", story, ordinal.cast("string")))
 
 
 def citation_instruction(body: Column) -> Column:
@@ -128,7 +140,8 @@ def fallback_text(keys: Column) -> Column:
 def plain_formatted(text: Column) -> Column:
     """Tags removed, entities resolved, white space at the ends dropped. Python only sees text that holds an entity."""
     bare = F.regexp_replace(text, "<[^>]*>", "")
-    return F.trim(F.when(F.contains(bare, F.lit("&")), _unescaped(bare)).otherwise(bare))
+    said = F.when(F.contains(bare, F.lit("&")), _unescaped(bare)).otherwise(bare)
+    return F.regexp_replace(said, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
 
 
 @F.pandas_udf(StringType())
@@ -175,22 +188,18 @@ def joined_preferences(chunks: DataFrame, group: str) -> DataFrame:
 def decoded_preferences(joined: DataFrame, group: str, value: str = "value") -> DataFrame:
     """joined (group, value) -> the document preferences they spell: data_version, style, locale, session, has_bibliography, field_type, warning.
 
-    The XML is read with path expressions. What doesn't parse is a warning and no values; so is an older root's name, with
-    its values.
+    The XML is read by a schema: children of the root and of ``prefs`` by local name, the first of several. What doesn't
+    parse, or holds a document type, is a warning and no values; so is an older root's name, with its values.
     """
-    xml = F.col(value)
-    root = F.regexp_extract(xml, r"(?s)^\s*(?:<\?.*?\?>\s*)?<(?:\w+:)?(\w+)", 1)
-    unsafe = F.regexp_like(xml, F.lit(r"(?i)<!\s*(?:DOCTYPE|ENTITY)\b"))
-    parses = F.when(unsafe, F.lit(False)).otherwise(well_formed(xml))
-    rows = joined.select(group, xml.alias("xml"), root.alias("root"), parses.alias("parses"))
-    tag = lambda name: F.regexp_extract("xml", rf"(?s)<(?:\w+:)?{name}\b[^>]*>", 0)
-    attribute = lambda element, name: F.nullif(F.regexp_extract(element, rf"\s{name}=[\"']([^\"']*)", 1), F.lit(""))
-    kept = lambda c: F.when(F.col("parses"), c)
-    field_type = F.regexp_extract("xml", r"(?si)<(?:\w+:)?pref\b(?=[^>]*\sname=[\"']fieldType[\"'])[^>]*\svalue=[\"']([^\"']*)", 1)
+    schema = "`_data-version` string, style array<struct<_id: string, _locale: string, _hasBibliography: string>>, session array<struct<_id: string>>, prefs array<struct<pref: array<struct<_name: string, _value: string>>>>"
+    root = F.regexp_extract(value, r"(?s)^(?:\s|<\?.*?\?>|<!--.*?-->)*<(?:[\w.-]+:)?([\w.-]+)", 1)
+    rows = joined.select(group, F.when(well_formed(F.col(value)), read_xml(F.col(value), schema)).alias("p"), root.alias("root"))
+    style, session = F.get("p.style", 0), F.get("p.session", 0)
+    field_type = F.get(F.filter(F.get("p.prefs", 0)["pref"], lambda p: F.lower(p["_name"]) == "fieldtype"), 0)["_value"]
     return rows.select(
-        group, kept(attribute(tag(r"\w+"), "data-version")).alias("data_version"), kept(attribute(tag("style"), "id")).alias("style"), kept(attribute(tag("style"), "locale")).alias("locale"),
-        kept(attribute(tag("session"), "id")).alias("session"), F.coalesce(F.col("parses") & F.lower(attribute(tag("style"), "hasBibliography")).isin("1", "true", "yes"), F.lit(False)).alias("has_bibliography"),
-        kept(F.nullif(field_type, F.lit(""))).alias("field_type"), F.when(~F.col("parses"), "invalid XML").when(F.col("root") != "data", "legacy root").alias("warning"),
+        group, F.col("p.`_data-version`").alias("data_version"), style["_id"].alias("style"), style["_locale"].alias("locale"), session["_id"].alias("session"),
+        F.coalesce(F.lower(style["_hasBibliography"]).isin("1", "true", "yes"), F.lit(False)).alias("has_bibliography"), field_type.alias("field_type"),
+        F.when(F.col("p").isNull(), "invalid XML").when(F.col("root") != "data", "legacy root").alias("warning"),
     )
 
 
@@ -288,16 +297,24 @@ def unresolved(items: DataFrame, library: DataFrame, key: str = "item_key") -> D
 def merged_payload(existing: pd.Series, citation_id: pd.Series, items: pd.Series, formatted: pd.Series) -> pd.Series:
     """A citation payload over an existing one (JSON or null). items: JSON array of id, uris, itemData and options.
 
-    Members that aren't set here stay, of the payload and of items with the same id alike.
+    Members that aren't set here stay, of the payload and of items with the same id alike. Null where the payload is no
+    JSON object or the items are no list of objects.
     """
 
-    def merge(old: str | None, name: str, items_text: str | None, text: str | None) -> str:
-        base = json.loads(old) if old else {}
-        before = {str(x.get("id")): x for x in base.get("citationItems", []) if isinstance(x, dict)}
+    def merge(old: str | None, name: str, items_text: str | None, text: str | None) -> str | None:
+        try:
+            base, asked = json.loads(old) if old else {}, json.loads(items_text) if items_text is not None else []
+        except ValueError:
+            return None
+        if not isinstance(base, dict) or not isinstance(asked, list) or not all(isinstance(x, dict) for x in asked):
+            return None
+        held = base.get("citationItems")
+        before = {str(x.get("id")): x for x in (held if isinstance(held, list) else []) if isinstance(x, dict)}
         base["citationID"] = name
         if items_text is not None:
-            base["citationItems"] = [before.get(str(x.get("id")), {}) | {k: v for k, v in x.items() if v not in (None, "")} for x in json.loads(items_text)]
-        properties = dict(base.get("properties") or {})
+            base["citationItems"] = [before.get(str(x.get("id")), {}) | {k: v for k, v in x.items() if v not in (None, "")} for x in asked]
+        held = base.get("properties")
+        properties = dict(held) if isinstance(held, dict) else {}
         if text is not None:
             properties |= {"formattedCitation": text, "plainCitation": html.unescape(re.sub("<[^>]*>", "", text)).strip()}
         properties.setdefault("noteIndex", 0)
@@ -308,13 +325,12 @@ def merged_payload(existing: pd.Series, citation_id: pd.Series, items: pd.Series
 
 
 def update_citations(fields: DataFrame, updates: DataFrame, group: str) -> DataFrame:
-    """updates (group, citation_id, items, formatted) rewrite the one field with that id; none or several is an error."""
+    """updates (group, citation_id, items, formatted) rewrite the one field with that id; none or several is an error, as is a payload that is no object."""
     counted = fields.groupBy(group, "citation_id").agg(F.count(F.lit(1)).alias("n"), F.first("payload").alias("payload"))
     met = updates.join(counted, [group, "citation_id"], "left")
     error = F.when(F.col("n").isNull(), "REFERENCE_UNRESOLVED").when(F.col("n") > 1, "ANCHOR_AMBIGUOUS")
-    return met.withColumn("error", error).select(
-        group, "citation_id", "error", F.when(F.col("error").isNull(), merged_payload("payload", "citation_id", "items", "formatted")).alias("payload")
-    )
+    told = met.withColumn("error", error).withColumn("payload", F.when(F.col("error").isNull(), merged_payload("payload", "citation_id", "items", "formatted")))
+    return told.select(group, "citation_id", F.coalesce("error", F.when(F.col("payload").isNull(), "INVALID_REQUEST")).alias("error"), "payload")
 
 
 def remove_citations(fields: DataFrame, removals: DataFrame, group: str) -> DataFrame:

@@ -33,29 +33,34 @@ def balance(rows: DataFrame) -> DataFrame:
     )
 
 
+def _paired(rows: DataFrame) -> DataFrame:
+    """rows with level, end_seq of begins, and the warning of ends without a begin and begins without an end. All windows share one exchange."""
+    level = F.when(~F.col("stray"), F.when(F.col("step") > 0, F.col("depth")).otherwise(F.col("depth") + 1))
+    order = Window.partitionBy("stream", "level").orderBy("seq")
+    known = _depths(rows).withColumn("level", level).withColumn("end_seq", F.when((F.col("step") > 0) & (F.lead("step").over(order) < 0), F.lead("seq").over(order)))
+    return known.withColumn("warning", F.when(F.col("stray"), "end without a begin").when((F.col("step") > 0) & F.col("end_seq").isNull(), "begin without an end"))
+
+
 def nested(rows: DataFrame) -> DataFrame:
     """One row per begin: stream, begin_seq, end_seq (null if never closed), depth (from 0), ordinal among the begins."""
-    known = _depths(rows).filter("NOT stray").withColumn("level", F.when(F.col("step") > 0, F.col("depth")).otherwise(F.col("depth") + 1))
-    order = Window.partitionBy("stream", "level").orderBy("seq")
-    paired = known.withColumn("end_seq", F.when(F.lead("step").over(order) < 0, F.lead("seq").over(order))).filter("step > 0")
     ordinal = F.row_number().over(Window.partitionBy("stream").orderBy("seq")) - 1
-    return paired.select("stream", F.col("seq").alias("begin_seq"), "end_seq", (F.col("level") - 1).alias("depth"), ordinal.alias("ordinal"))
+    return _paired(rows).filter("step > 0").select("stream", F.col("seq").alias("begin_seq"), "end_seq", (F.col("level") - 1).alias("depth"), ordinal.alias("ordinal"))
 
 
 def warnings(rows: DataFrame) -> DataFrame:
     """stream, seq, warning: every end without a begin and every begin without an end."""
-    known = _depths(rows)
-    stray = known.filter("stray").select("stream", "seq", F.lit("end without a begin").alias("warning"))
-    open_ = nested(rows).filter("end_seq IS NULL").select("stream", F.col("begin_seq").alias("seq"), F.lit("begin without an end").alias("warning"))
-    return stray.unionByName(open_)
+    return _paired(rows).filter("warning IS NOT NULL").select("stream", "seq", "warning")
 
 
 def strict(rows: DataFrame) -> DataFrame:
     """The fields of ``nested``, where a stream with a warning has the error PROTECTED_BOUNDARY and its first warning instead."""
-    first = warnings(rows).groupBy("stream").agg(F.min_by("warning", "seq").alias("warning"))
-    met = nested(rows).join(first, "stream", "left")
-    fine = met.filter("warning IS NULL").select("stream", "begin_seq", "end_seq", "depth", F.lit(None).cast("string").alias("error"), "warning")
-    return fine.unionByName(first.select("stream", F.lit(None).cast("int").alias("begin_seq"), F.lit(None).cast("int").alias("end_seq"), F.lit(None).cast("long").alias("depth"), F.lit("PROTECTED_BOUNDARY").alias("error"), "warning"))
+    first = F.min(F.when(F.col("warning").isNotNull(), F.struct("seq", "warning"))).over(Window.partitionBy("stream"))
+    met = _paired(rows).withColumn("first", first).filter("first.seq = seq OR first IS NULL AND step > 0")
+    fine = lambda c: F.when(F.col("first").isNull(), c)
+    return met.select(
+        "stream", fine(F.col("seq")).alias("begin_seq"), fine(F.col("end_seq")).alias("end_seq"), fine(F.col("level") - 1).alias("depth"), F.when(F.col("first").isNotNull(), "PROTECTED_BOUNDARY").alias("error"),
+        F.col("first.warning").alias("warning"),
+    )
 
 
 def field_spans(fields: DataFrame, markers: DataFrame) -> DataFrame:

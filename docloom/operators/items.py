@@ -100,13 +100,29 @@ def csl_of(payload: Column) -> Column:
     return F.coalesce(*[one(name) for name in ("csljson", "cslJSON", "csl")])
 
 
+def _told(payload: Column, path: str) -> Column:
+    """A member that is there and says something: its text, or for what is no text one that is no key."""
+    value = F.try_parse_json(payload)
+    text, kind = F.try_variant_get(value, path, "string"), F.schema_of_variant(F.try_variant_get(value, path, "variant"))
+    return F.when(kind == "STRING", F.nullif(text, F.lit(""))).when(text.isNotNull() & ~text.isin("0", "false", "[]", "{}"), "?")
+
+
 def normalised(payload: Column, hinted_key: Column | None = None) -> list[Column]:
-    """item_key, version, csl_json and uri of one record, whatever shape it came in."""
+    """item_key, version, csl_json, uri and error of one record, whatever shape it came in.
+
+    A record without a key of the library's form, or with one that is no text, is incompatible and has nothing but its error.
+    """
     hint = F.lit(None).cast("string") if hinted_key is None else hinted_key
-    item_key = F.coalesce(first_text(payload, "$.key", "$.itemKey", "$.data.key"), hint)
-    version = first_text(payload, "$.version", "$.data.version").try_cast("bigint")
+    told = F.coalesce(*[_told(payload, path) for path in ("$.key", "$.itemKey", "$.data.key")], F.nullif(hint, F.lit("")))
+    item_key = F.when(valid_key(told), told)
+    version = first_text(payload, "$.version", "$.data.version")
+    version = F.when(F.regexp_like(version, F.lit("^-?[0-9]+$")), version.try_cast("bigint"))
     library_type, library_id = F.get_json_object(payload, "$.library.type"), F.get_json_object(payload, "$.library.id")
-    return [item_key.alias("item_key"), version.alias("version"), csl_of(payload).alias("csl_json"), item_uri(payload, library_type, library_id, item_key).alias("uri")]
+    known = item_key.isNotNull()
+    return [
+        item_key.alias("item_key"), F.when(known, version).alias("version"), F.when(known, csl_of(payload)).alias("csl_json"), F.when(known, item_uri(payload, library_type, library_id, item_key)).alias("uri"),
+        F.when(~known, "ZOTERO_INCOMPATIBLE").alias("error"),
+    ]
 
 
 def item_uri(payload: Column, library_type: Column, library_id: Column, key: Column) -> Column:

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def finding(rows: DataFrame, layer: str, severity: str, message: Column) -> DataFrame:
+def finding(rows: DataFrame, layer: str, severity: str | Column, message: Column) -> DataFrame:
     return rows.select("doc_path", F.lit(layer).alias("layer"), F.lit(severity).alias("severity"), message.alias("message"))
 
 
@@ -29,35 +29,27 @@ def untyped(types: DataFrame) -> DataFrame:
     return finding(rows, "package", "error", F.concat(F.lit("part without content type: "), "part_name"))
 
 
-def one_sided(marks: DataFrame, left: str, right: str) -> DataFrame:
-    """marks (doc_path, mark_id, kind): ids that have one of two kinds only. One pass with conditional counts, no self-join."""
-    sides = marks.filter(F.col("kind").isin(left, right)).groupBy("doc_path", "mark_id").agg(
-        F.bool_or(F.col("kind") == left).alias("has_left"), F.bool_or(F.col("kind") == right).alias("has_right")
-    )
-    return sides.filter("has_left <> has_right").select("doc_path", "mark_id", F.when(F.col("has_left"), left).otherwise(right).alias("kind"))
-
-
-def without(marks: DataFrame, kinds: list[str], missing: str) -> DataFrame:
-    """Ids with a mark of one of the kinds and none of the missing kind."""
-    sides = marks.groupBy("doc_path", "mark_id").agg(F.bool_or(F.col("kind").isin(*kinds)).alias("has"), F.bool_or(F.col("kind") == missing).alias("met"))
-    return sides.filter("has AND NOT met").select("doc_path", "mark_id")
-
-
-def duplicates(marks: DataFrame, kind: str) -> DataFrame:
-    return marks.filter(F.col("kind") == kind).groupBy("doc_path", "mark_id").count().filter("count > 1").select("doc_path", "mark_id")
-
-
 def semantic(marks: DataFrame) -> DataFrame:
-    """Comment and bookmark rules over marks of the kinds comment, comment start, comment end, comment reference, bookmark start, bookmark end."""
-    said = lambda rows, severity, text: finding(rows, "semantic", severity, F.concat(F.lit(f"{text} "), "mark_id"))
-    found = [
-        said(duplicates(marks, "comment"), "error", "duplicate comment id"),
-        said(without(marks, ["comment start", "comment end", "comment reference"], "comment"), "error", "comment marker without a comment"),
-        said(without(marks, ["comment"], "comment reference"), "warning", "comment without a reference"),
-        said(one_sided(marks, "comment start", "comment end"), "error", "comment range with one end"),
-        said(one_sided(marks, "bookmark start", "bookmark end"), "error", "bookmark with one end"),
-    ]
-    return united(found)
+    """Comment and bookmark rules over marks (doc_path, mark_id, kind) of the kinds comment, comment start, comment end, comment reference, bookmark start, bookmark end.
+
+    One grouping counts the kinds of every id, one array per id holds what is wrong with it. A comment without an id is an
+    error each time; other marks without one say nothing.
+    """
+    kinds = {"comment": "comments", "comment start": "starts", "comment end": "ends", "comment reference": "references", "bookmark start": "opened", "bookmark end": "closed"}
+    counted = marks.groupBy("doc_path", "mark_id").agg(*[F.count_if(F.col("kind") == kind).alias(name) for kind, name in kinds.items()])
+    met = {name: F.col(name) > 0 for name in kinds.values()}
+    told = lambda holds, severity, text: F.when(F.col("mark_id").isNotNull() & holds, F.struct(F.lit(severity).alias("severity"), F.concat(F.lit(f"{text} "), "mark_id").alias("message")))
+    unnamed = F.struct(F.lit("error").alias("severity"), F.lit("comment without an id").alias("message"))
+    wrong = F.array_compact(F.array(
+        told(F.col("comments") > 1, "error", "duplicate comment id"),
+        told((met["starts"] | met["ends"] | met["references"]) & ~met["comments"], "error", "comment marker without a comment"),
+        told(met["comments"] & ~met["references"], "warning", "comment without a reference"),
+        told(met["starts"] != met["ends"], "error", "comment range with one end"),
+        told(met["opened"] != met["closed"], "error", "bookmark with one end"),
+    ))
+    times = F.when(F.col("mark_id").isNull(), F.col("comments")).otherwise(0).cast("int")
+    each = counted.select("doc_path", F.explode(F.concat(wrong, F.array_repeat(unnamed, times))).alias("e"))
+    return finding(each.select("doc_path", "e.*"), "semantic", F.col("severity"), F.col("message"))
 
 
 def revision_findings(marks: DataFrame) -> DataFrame:
@@ -85,8 +77,11 @@ def report(findings: DataFrame, documents: DataFrame, shown: int = 5) -> DataFra
     """documents (doc_path) with valid, number of errors and warnings, and the first errors with their layer, in order."""
     error = F.col("severity") == "error"
     text = F.when(error, F.concat("layer", F.lit(": "), "message"))
-    rows = findings.groupBy("doc_path").agg(
-        F.count_if(error).alias("errors"), F.count_if(~error).alias("warnings"), F.array_join(F.slice(F.array_sort(F.collect_set(text)), 1, shown), "; ").alias("summary")
+    told = findings.select("doc_path", error.alias("is_error"), text.alias("text")).groupBy("doc_path", "text").agg(F.count_if("is_error").alias("errors"), F.count_if(~F.col("is_error")).alias("warnings"))
+    place = F.row_number().over(Window.partitionBy("doc_path").orderBy(F.asc_nulls_last("text")))
+    first = F.when((F.col("place") <= shown) & F.col("text").isNotNull(), F.struct("place", "text"))
+    rows = told.withColumn("place", place).groupBy("doc_path").agg(
+        F.sum("errors").alias("errors"), F.sum("warnings").alias("warnings"), F.array_join(F.transform(F.array_sort(F.collect_list(first)), lambda e: e["text"]), "; ").alias("summary")
     )
     met = documents.select("doc_path").join(rows, "doc_path", "left")
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long"))

@@ -35,7 +35,7 @@ def _fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind, body = _length() % 6, _body()
     instruction = (
         F.when(kind <= 1, citations.citation_instruction(body)).when(kind == 2, F.concat(F.lit(" ADDIN ZOTERO_ITEM "), body))
-        .when(kind == 3, F.lit(" ADDIN ZOTERO_ITEM CSL_CITATION {broken")).when(kind == 4, citations.bibliography_instruction(F.lit('{"uncited":[]}'))).otherwise(" PAGE ")
+        .when(kind == 3, F.concat(F.lit(' ADDIN ZOTERO_ITEM CSL_CITATION {"citationID": "'), _name(), F.lit('", broken'))).when(kind == 4, citations.bibliography_instruction(F.lit('{"uncited":[]}'))).otherwise(" PAGE ")
     )
     return documents(spark, sf_dir).select("doc_id", "source", instruction.alias("instruction"), F.col("doc_id").alias("ordinal"), kind.alias("shape"))
 
@@ -82,8 +82,8 @@ def j08_fallback_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def j09_plain_formatted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    title = F.regexp_extract("html", "(?s)<footer>(.*?)</footer>", 1)
-    return table(spark, sf_dir, "pages").select("page_id", citations.plain_formatted(title).alias("plain"))
+    """Whole pages without their tags."""
+    return table(spark, sf_dir, "pages").select("page_id", citations.plain_formatted(F.col("html")).alias("plain"))
 
 
 def j10_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,9 +92,8 @@ def j10_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Preference chunks of users: their events of one type, with an index that some share or skip."""
-    rows = table(spark, sf_dir, "events").filter("event_type = 'click'").groupBy("user_id", (F.col("event_id") % 5 + 1).cast("int").alias("idx"))
-    return rows.agg(F.min("props").alias("chunk")).filter("(user_id + idx) % 4 <> 0")
+    """Preference chunks of users: each event is one, its index what its properties say; indexes repeat, and some are never said."""
+    return table(spark, sf_dir, "events").select("user_id", (F.get_json_object("props", "$.k").cast("int") + 1).alias("idx"), F.concat_ws(" ", "event_type", "props").alias("chunk"))
 
 
 def j11_joined_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,7 +165,7 @@ _LENGTH = "length(coalesce(text, ''))"
 _NAME = f"CASE WHEN {_LENGTH} % 9 = 0 THEN '' ELSE regexp_extract(coalesce(text, ''), '[A-Za-z]+') || {_LENGTH} END"
 _BODY = f"""'{{"citationID":"' || {_NAME} || '","citationItems":[{{"id":' || len(string_split(coalesce(text, ''), chr(10))) || '}}],"kept":1.0}}'"""
 _PREFS = """
-  SELECT user_id, event_id % 5 + 1 AS idx, min(props) AS chunk FROM events WHERE event_type = 'click' AND (user_id + event_id % 5 + 1) % 4 <> 0 GROUP BY user_id, event_id % 5 + 1"""
+  SELECT user_id, CAST(json_extract_string(props, '$.k') AS BIGINT) + 1 AS idx, event_type || ' ' || props AS chunk FROM events"""
 _LIBRARY = """SELECT p_partkey AS item_key, 'http://items/' || p_partkey AS uri, '{"title":"' || p_name || '"}' AS csl_json FROM part WHERE p_partkey % 10 <> 3"""
 _ITEMS = "SELECT l_orderkey, l_linenumber, l_partkey AS item_key, CASE l_linenumber % 3 WHEN 0 THEN 'own/' || l_partkey WHEN 1 THEN '' END AS uri FROM lineitem"
 _LISTED = f"SELECT source, doc_id AS ordinal, {_NAME} AS citation_id, {_BODY} AS payload, '(see ' || doc_id || ')' AS visible FROM documents WHERE {_LENGTH} % 6 <= 2"
@@ -194,9 +193,9 @@ ORACLES = {
         WITH f AS (SELECT doc_id, {_LENGTH} % 6 AS k, {_BODY} AS body, unnest([0, 1, 2]) AS form FROM documents),
         g AS (SELECT *, CASE WHEN form < 2 THEN CASE WHEN k <= 2 THEN 'citation' WHEN k = 4 THEN 'bibliography' END WHEN k <= 1 THEN 'citation' END AS kind FROM f)
         SELECT doc_id, CAST(form AS BIGINT) AS form, kind, CASE kind WHEN 'citation' THEN body WHEN 'bibliography' THEN '{{"uncited":[]}}' END AS payload, kind IS NOT NULL AND kind = 'citation' AND (form = 2 OR k = 2) AS legacy FROM g""",
-    "f05_field_id": f"SELECT doc_id, CASE WHEN {_LENGTH} % 6 <= 2 AND {_LENGTH} % 9 <> 0 THEN {_NAME} ELSE 'body:' || doc_id END AS field_id FROM documents",
+    "f05_field_id": f"SELECT doc_id, CASE WHEN {_LENGTH} % 6 <= 3 AND {_LENGTH} % 9 <> 0 THEN {_NAME} WHEN {_LENGTH} % 6 = 4 THEN 'bibliography' ELSE 'body:' || doc_id END AS field_id FROM documents",
     "j12_decoded_preferences": """
-        SELECT doc_id, CASE WHEN ok THEN '3' END AS data_version, CASE WHEN ok THEN 'http://styles/?a=1&amp;b=' || source END AS style, CASE WHEN ok THEN lang END AS locale, CASE WHEN ok THEN sha256(text)[1:8] END AS session,
+        SELECT doc_id, CASE WHEN ok THEN '3' END AS data_version, CASE WHEN ok THEN 'http://styles/?a=1&b=' || source END AS style, CASE WHEN ok THEN lang END AS locale, CASE WHEN ok THEN sha256(text)[1:8] END AS session,
                ok AND n_chars % 2 = 0 AS has_bibliography, CASE WHEN ok THEN 'Field' END AS field_type, CASE WHEN NOT ok THEN 'invalid XML' END AS warning
         FROM (SELECT *, doc_id % 7 <> 0 AS ok FROM documents)""",
     "j16_inserted_citations": """
@@ -210,13 +209,13 @@ ORACLES = {
                     WHEN count(citation_id) OVER (PARTITION BY source, citation_id) > 1 THEN 'duplicate id' WHEN k = 2 THEN 'legacy' END AS warning FROM f""",
     "j08_fallback_text": "SELECT l_orderkey, '[Citation: ' || string_agg('P' || l_partkey, '; ' ORDER BY l_linenumber, l_partkey) || ']' AS text FROM lineitem GROUP BY l_orderkey",
     "j09_plain_formatted": """
-        SELECT page_id, trim(replace(replace(replace(replace(replace(regexp_replace(regexp_extract(html, '(?s)<footer>(.*?)</footer>', 1), '<[^>]*>', '', 'g'),
-               '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')) AS plain FROM pages""",
+        SELECT page_id, regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]*>', '', 'g'),
+               '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '^\\s+|\\s+$', '', 'g') AS plain FROM pages""",
     "j10_chunk": """
         SELECT doc_id, k, length(chunk) AS chars, sha256(chunk) AS chunk_sha256
         FROM (SELECT doc_id, unnest(regexp_extract_all(text, '(?s).{1,255}')) AS chunk, generate_subscripts(regexp_extract_all(text, '(?s).{1,255}'), 1) - 1 AS k FROM documents)""",
     "j11_joined_preferences": f"""
-        SELECT user_id, string_agg(chunk, '' ORDER BY idx) AS value, count(*) = count(DISTINCT idx) AND min(idx) = 1 AND max(idx) = count(*) AS contiguous FROM ({_PREFS}) GROUP BY user_id""",
+        SELECT user_id, string_agg(chunk, '' ORDER BY idx, chunk) AS value, count(*) = count(DISTINCT idx) AND min(idx) = 1 AND max(idx) = count(*) AS contiguous FROM ({_PREFS}) GROUP BY user_id""",
     "v03_missing_preferences": f"""
         WITH p AS ({_PREFS}) SELECT user_id, idx FROM (SELECT user_id, unnest(generate_series(1, max(idx))) AS idx FROM p GROUP BY user_id) w
         WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.user_id = w.user_id AND p.idx = w.idx)""",

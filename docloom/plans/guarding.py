@@ -55,9 +55,9 @@ def e05_set_alt_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def e06_add_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers of a nation are its comments; customers with much on account add theirs."""
+    """Suppliers of a nation are its comments; customers add theirs."""
     old = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("doc_id"), F.col("s_suppkey").cast("string").alias("comment_id"), F.col("s_name").alias("text"))
-    new = table(spark, sf_dir, "customer").filter("c_acctbal > 9000").select(F.col("c_nationkey").alias("doc_id"), F.col("c_custkey").alias("place"), F.col("c_name").alias("text"))
+    new = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("doc_id"), F.col("c_custkey").alias("place"), F.col("c_name").alias("text"))
     return protection.add_comments(old, new)
 
 
@@ -143,7 +143,7 @@ ORACLES = {
         WITH n AS (SELECT s_nationkey, max(s_suppkey) + 1 AS next FROM supplier GROUP BY 1)
         SELECT s_nationkey AS doc_id, CAST(s_suppkey AS VARCHAR) AS comment_id, s_name AS text FROM supplier
         UNION ALL SELECT c_nationkey, CAST(coalesce(next, 0) + row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS VARCHAR), c_name
-        FROM customer LEFT JOIN n ON s_nationkey = c_nationkey WHERE c_acctbal > 9000""",
+        FROM customer LEFT JOIN n ON s_nationkey = c_nationkey""",
     "j13_written_preferences": """
         WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)
         SELECT doc_id, name, 'old' AS value FROM (SELECT doc_id, unnest(['ZOTERO_PREF_1', 'ZOTERO_PREF_9', 'Company']) AS name FROM d) WHERE doc_id % 3 <> 0 OR name = 'Company'

@@ -95,12 +95,12 @@ _FORMS = f"""
 
 ORACLES = {
     "s02_safe_names": f"""
-        SELECT page_id, form, name, NOT (said LIKE '/%' OR contains(said, '\\') OR regexp_matches(said, '^[A-Za-z]:')
-               OR len([x FOR x IN string_split(said, '/') IF x IN ('', '.', '..')]) > 0) AS safe FROM ({_FORMS})""",
+        SELECT page_id, form, name, raw <> '' AND NOT (contains(raw, '\\') OR contains(pieces[1], ':') OR len([x FOR x IN pieces[:-2] IF x = '']) > 0 OR len([x FOR x IN pieces IF x IN ('.', '..')]) > 0) AS safe
+        FROM (SELECT *, CASE WHEN name LIKE '/%' THEN substr(name, 2) ELSE name END AS raw, string_split(CASE WHEN said LIKE '/%' THEN substr(said, 2) ELSE said END, '/') AS pieces FROM ({_FORMS}))""",
     # A page begins with a document type, and without it has void elements that never end.
     "s03_xml_errors": """
-        SELECT page_id, 'a.xml' AS part_name, CASE WHEN regexp_matches(html, '(?i)<!\\s*(doctype|entity)') THEN 'UNSAFE_PACKAGE' ELSE 'UNSUPPORTED_DOCUMENT' END AS error FROM pages
-        UNION ALL SELECT page_id, 'b.XML', 'UNSUPPORTED_DOCUMENT' FROM pages""",
+        SELECT page_id, 'a.xml' AS part_name, 'UNSAFE_PACKAGE' AS error FROM pages
+        UNION ALL SELECT page_id, 'b.XML', 'UNSAFE_PACKAGE' FROM pages""",
     "s10_page_links": """
         SELECT page_id, k, substr(target, 2) AS part_name, 'x' || target AS below, CAST(NULL AS VARCHAR) AS beyond
         FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS target, generate_subscripts(regexp_extract_all(html, 'href="([^"]*)"', 1), 1) - 1 AS k FROM pages)""",

@@ -50,22 +50,23 @@ def n02_valid_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def n05_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records of four shapes made from events; their CSL data is an object, its text, or the text of a list of one."""
+    """Records of four shapes made from events; their CSL data is an object, its text, or the text of a list of one. Keys are digests of the events; those with a 0 or 1 are none."""
     return _normalised(spark, sf_dir)
 
 
 def _record(n: Column, k: Column, shape: Column) -> Column:
     return (
-        F.when(shape == 0, F.concat(F.lit('{"key":"K'), n, F.lit('","version":'), k, F.lit(',"library":{"type":"user","id":7},"csljson":{"id":1}}')))
-        .when(shape == 1, F.concat(F.lit('{"data":{"key":"D'), n, F.lit('","version":"'), k, F.lit('"},"library":{"type":"group","id":8},"cslJSON":"{\\"id\\":2}"}')))
-        .when(shape == 2, F.concat(F.lit('{"itemKey":"I'), n, F.lit('","uri":"u/'), k, F.lit('","csl":"[{\\"id\\":3}]"}'))).otherwise(F.lit('{"version":"x","csl":"{broken"}'))
+        F.when(shape == 0, F.concat(F.lit('{"key":"'), n, F.lit('","version":'), k, F.lit(',"library":{"type":"user","id":7},"csljson":{"id":1}}')))
+        .when(shape == 1, F.concat(F.lit('{"data":{"key":"'), n, F.lit('","version":"'), k, F.lit('"},"library":{"type":"group","id":8},"cslJSON":"{\\"id\\":2}"}')))
+        .when(shape == 2, F.concat(F.lit('{"itemKey":"'), n, F.lit('","uri":"u/'), k, F.lit('","csl":"[{\\"id\\":3}]"}'))).otherwise(F.lit('{"version":"x","csl":"{broken"}'))
     )
 
 
 def _normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
-    record = _record(F.col("event_id").cast("string"), F.get_json_object("props", "$.k"), F.col("event_id") % 4)
-    rows = table(spark, sf_dir, "events").select("event_id", record.alias("record"))
-    found = rows.select("event_id", *items.normalised(F.col("record"), F.concat(F.lit("H"), F.col("event_id").cast("string"))))
+    digest = F.upper(F.substring(F.md5(F.concat_ws(" ", F.col("event_id").cast("string"), "event_type", "props")), 1, 8))
+    record = _record(digest, F.get_json_object("props", "$.k"), F.get_json_object("props", "$.k").cast("int") % 4)
+    rows = table(spark, sf_dir, "events").select("event_id", digest.alias("digest"), record.alias("record"))
+    found = rows.select("event_id", *items.normalised(F.col("record"), F.col("digest")))
     return found.withColumn("version", F.coalesce("version", F.lit(-1).cast("long")))
 
 
@@ -194,10 +195,12 @@ ORACLES = {
         SELECT c_custkey, key, regexp_matches(key, '{items.KEY_PATTERN}') AS valid
         FROM (SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN translate(upper(md5(CAST(c_custkey AS VARCHAR))[1:8]), '01O', '2XZ') ELSE upper(md5(CAST(c_custkey AS VARCHAR))[1:8]) END AS key FROM customer)""",
     "n05_normalised": """
-        WITH e AS (SELECT event_id, event_id % 4 AS s, json_extract_string(props, '$.k') AS k FROM events)
-        SELECT event_id, CASE s WHEN 0 THEN 'K' WHEN 1 THEN 'D' WHEN 2 THEN 'I' ELSE 'H' END || event_id AS item_key, CASE WHEN s <= 1 THEN CAST(k AS BIGINT) ELSE -1 END AS version,
-               CASE s WHEN 0 THEN '{"id":1}' WHEN 1 THEN '{"id":2}' WHEN 2 THEN '{"id":3}' END AS csl_json,
-               CASE s WHEN 0 THEN 'http://zotero.org/users/7/items/K' || event_id WHEN 1 THEN 'http://zotero.org/groups/8/items/D' || event_id WHEN 2 THEN 'u/' || k END AS uri FROM e""",
+        WITH e AS (SELECT event_id, upper(md5(event_id || ' ' || event_type || ' ' || props)[1:8]) AS key, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events),
+        f AS (SELECT *, k % 4 AS s, NOT (contains(key, '0') OR contains(key, '1')) AS ok FROM e)
+        SELECT event_id, CASE WHEN ok THEN key END AS item_key, CASE WHEN ok AND s <= 1 THEN k ELSE -1 END AS version,
+               CASE WHEN ok THEN CASE s WHEN 0 THEN '{"id":1}' WHEN 1 THEN '{"id":2}' WHEN 2 THEN '{"id":3}' END END AS csl_json,
+               CASE WHEN ok THEN CASE s WHEN 0 THEN 'http://zotero.org/users/7/items/' || key WHEN 1 THEN 'http://zotero.org/groups/8/items/' || key WHEN 2 THEN 'u/' || k END END AS uri,
+               CASE WHEN NOT ok THEN 'ZOTERO_INCOMPATIBLE' END AS error FROM f""",
     "n04_records": """
         WITH e AS (SELECT event_id, event_id % 6 AS s, '{"key":"K' || event_id || '"}' AS one FROM events)
         SELECT event_id, CAST(0 AS BIGINT) AS place, CASE WHEN s = 4 THEN 'A' END AS hinted_key, CASE WHEN s = 4 THEN '{"x":' || event_id || '}' ELSE one END AS record, NULL AS error FROM e WHERE s IN (0, 1, 3, 4)

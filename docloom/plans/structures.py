@@ -69,10 +69,11 @@ def k01_rewritten_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def s10_resolved_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Targets of four shapes from two source parts."""
-    target = F.element_at(F.array(*map(F.lit, ("media/image%201.png#x", "../docProps/core.xml", "/word/document.xml", "../../../outside.xml", "https://example.com/a"))), (F.col("page_id") % 5 + 1).cast("int"))
-    source = F.when(F.col("page_id") % 2 == 0, "word/document.xml").otherwise("")
-    return table(spark, sf_dir, "pages").select("page_id", packages.resolved_target(source, target).alias("part_name"))
+    """Every link of every page, taken as relative to the page's own path, and its letters beyond ASCII escaped."""
+    found = F.posexplode(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit('href="/?([^"]*)"'), F.lit(1))).alias("k", "target")
+    rows = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "^[^:]*://[^/?#]*/?([^?#]*)", 1).alias("path"), found)
+    escaped = F.replace(F.url_encode("target"), F.lit("+"), F.lit("%20"))
+    return rows.select("page_id", long("k"), packages.resolved_target(F.col("path"), F.col("target")).alias("part_name"), packages.resolved_target(F.col("path"), escaped).alias("from_escaped"))
 
 
 def _relationships(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -163,8 +164,9 @@ ORACLES = {
     "s01_package_paragraphs": f"SELECT doc_id, idx, sha256(text) AS text_sha256 FROM ({PARAGRAPHS})",
     "k01_rewritten_packages": "SELECT doc_id, CAST(CASE WHEN doc_id % 3 = 0 THEN 4 ELSE 3 END AS BIGINT) AS parts, doc_id % 3 <> 0 AS unchanged FROM documents",
     "s10_resolved_targets": """
-        SELECT page_id, CASE page_id % 10 WHEN 0 THEN 'word/media/image 1.png' WHEN 5 THEN 'media/image 1.png' WHEN 6 THEN 'docProps/core.xml'
-                                          WHEN 2 THEN 'word/document.xml' WHEN 7 THEN 'word/document.xml' END AS part_name FROM pages""",
+        SELECT page_id, k, CASE WHEN NOT regexp_matches(target, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN folder || regexp_replace(target, '[?#].*$', '') END AS part_name, folder || target AS from_escaped
+        FROM (SELECT page_id, regexp_extract(regexp_extract(url, '^[^:]*://[^/?#]*/?([^?#]*)', 1), '^(.*/)?', 0) AS folder, unnest(regexp_extract_all(html, 'href="/?([^"]*)"', 1)) AS target,
+                     generate_subscripts(regexp_extract_all(html, 'href="/?([^"]*)"', 1), 1) - 1 AS k FROM pages)""",
     "v01_dangling": """
         SELECT CAST(o_orderkey AS VARCHAR) AS doc_path, 'package' AS layer, 'error' AS severity, 'relationship rId' || o_custkey || ' targets a missing part: word/c' || o_custkey || '.xml' AS message
         FROM orders WHERE o_orderstatus = 'F' AND o_orderkey % 10 <> 0

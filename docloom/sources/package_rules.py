@@ -49,7 +49,7 @@ def type_findings(part_rows: DataFrame, declared: DataFrame) -> DataFrame:
     defaults, overrides = usable.filter("kind = 'Default'"), usable.filter("kind = 'Override'")
     twice = lambda rows, key: rows.groupBy("doc_path", key.alias("name")).count().filter("count > 1")
     kind = F.lower("content_type")
-    named = part_rows.filter("part_name IS NOT NULL AND part_name NOT IN ('[Content_Types].xml')").select("doc_path", "part_name")
+    named = part_rows.filter("part_name IS NOT NULL AND part_name NOT IN ('[Content_Types].xml') AND NOT endswith(part_name, '/')").select("doc_path", "part_name")
     untyped = packages.declared_types(named, declared).filter("content_type IS NULL")
     return united([
         _error(twice(defaults, F.lower("name")), "duplicate default content type: ", "name"), _error(twice(overrides, F.col("name")), "duplicate content type override: ", "name"),

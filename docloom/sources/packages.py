@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from docloom.operators.edits import lowest_free
 from docloom.operators.fields import covered
 from docloom.operators.paragraphs import is_heading_style, word_count
+from docloom.sources.xml import read_xml
 
 # Limits, names and namespaces of the format.
 MAX_DOCUMENT_BYTES, MAX_EXPANDED_BYTES, MAX_MEMBERS = 104_857_600, 536_870_912, 10_000
@@ -56,10 +57,22 @@ def checked_hashes(files: DataFrame, expected: DataFrame) -> DataFrame:
     return met.withColumn("error", F.when(F.col("sha256").isNull(), "DOCUMENT_NOT_FOUND").when(changed, "STALE_REVISION"))
 
 
+def percent_decoded(text: Column) -> Column:
+    """Percent escapes read as UTF-8; what is no escape stays, and so does a plus sign."""
+    kept = F.replace(F.regexp_replace(text, "%(?![0-9A-Fa-f]{2})", "%25"), F.lit("+"), F.lit("%2B"))
+    return F.try_url_decode(kept)
+
+
 def safe_name(name: Column) -> Column:
-    """No NUL, backslash, drive, leading slash, or empty, ``.`` or ``..`` component, plain or percent-encoded."""
-    decoded = F.regexp_replace(F.regexp_replace(name, "(?i)%2e", "."), "(?i)%2f", "/")
-    return ~F.regexp_like(decoded, F.lit(r"[\x00\\]|^[A-Za-z]:|^/|(^|/)(\.{0,2})(/|$)|(?i:%5c|%00)"))
+    """Whether a member may have the name. One leading slash, and a closing one as folders have it, are allowed.
+
+    Not allowed are the empty name, a NUL or backslash as written, and, once escapes are read, a leading slash, an empty
+    component before the last, ``.`` or ``..`` anywhere, and a colon in the first component. A null name is null.
+    """
+    raw = F.regexp_replace(name, "^/", "")
+    spoiled = F.regexp_like(raw, F.lit(r"[\x00\\]|^/"))
+    walks = F.regexp_like(percent_decoded(raw), F.lit(r"(^|/)\.{0,2}/|(^|/)\.{1,2}$|^[^/]*:"))
+    return (raw != "") & ~spoiled & ~walks
 
 
 def _members(content: bytes | None) -> tuple[list[tuple[str, bytes]], str | None]:
@@ -115,14 +128,12 @@ def _tree(data: bytes) -> ElementTree.Element | None:
 
 
 def xml_errors(part_rows: DataFrame) -> DataFrame:
-    """XML parts that are unsafe or don't parse: doc_path, part_name, error."""
+    """XML parts that hold a document type or an entity, or don't parse: doc_path, part_name, error. All of them are unsafe."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             bad = [_tree(d) is None for d in batch["data"]]
-            unsafe = [bool(UNSAFE_XML.search(d)) for d in batch["data"]]
-            found = batch[["doc_path", "part_name"]].assign(error=["UNSAFE_PACKAGE" if u else "UNSUPPORTED_DOCUMENT" for u in unsafe])
-            yield found[bad]
+            yield batch[["doc_path", "part_name"]].assign(error="UNSAFE_PACKAGE")[bad]
 
     named = part_rows.filter(F.col("data").isNotNull() & F.regexp_like("part_name", F.lit(r"(?i)\.(xml|rels)$")))
     return named.select("doc_path", "part_name", "data").mapInPandas(run, "doc_path string, part_name string, error string")
@@ -145,12 +156,12 @@ def relationships(part_rows: DataFrame) -> DataFrame:
 
 
 def resolved_target(source: Column, target: Column) -> Column:
-    """The part a relative or absolute target means: fragment dropped, spaces decoded, ``.`` and ``..`` walked; null if it leaves the package.
+    """The part a relative or absolute target means: query and fragment dropped, escapes read, ``.`` and ``..`` walked; null if it leaves the package or is no safe name.
 
     A fold over the path's components, so no Python is needed.
     """
-    bare = F.replace(F.regexp_replace(target, r"[?#].*$", ""), F.lit("%20"), F.lit(" "))
-    bare = F.regexp_replace(F.regexp_replace(bare, "(?i)%2e", "."), "(?i)%2f", "/")
+    said = F.regexp_replace(target, r"(?s)[?#].*$", "")
+    bare = percent_decoded(said)
     folder = F.regexp_replace(source, "[^/]*$", "")
     path = F.when(F.startswith(bare, F.lit("/")), F.substring(bare, F.lit(2), F.length(bare))).otherwise(F.concat(folder, bare))
     start = F.struct(F.array().cast("array<string>").alias("at"), F.lit(True).alias("inside"))
@@ -161,8 +172,9 @@ def resolved_target(source: Column, target: Column) -> Column:
         return F.struct(at.alias("at"), (acc["inside"] & ~(up & (F.size(acc["at"]) == 0))).alias("inside"))
 
     walked = F.aggregate(F.split(path, "/", -1), start, step)
-    unsafe = F.regexp_like(bare, F.lit(r"^[A-Za-z][A-Za-z0-9+.-]*:|^//|\\|[\x00]"))
-    return F.when(~unsafe & walked["inside"] & (F.size(walked["at"]) > 0), F.array_join(walked["at"], "/"))
+    unsafe = F.regexp_like(said, F.lit("^[A-Za-z][A-Za-z0-9+.-]*:|^//")) | F.regexp_like(bare, F.lit(r"[\x00\\]"))
+    reached = F.array_join(walked["at"], "/")
+    return F.when(~unsafe & walked["inside"] & (F.size(walked["at"]) > 0) & safe_name(reached), reached)
 
 
 def content_types(part_names: DataFrame, overrides: DataFrame, defaults: DataFrame) -> DataFrame:
@@ -435,26 +447,22 @@ def summaries(part_rows: DataFrame) -> DataFrame:
     return met.select("doc_path", "stories", zero("paragraphs"), zero("words"), zero("headings"), "tables", "figures", "footnotes", "endnotes", "comments", "revisions", "citations", "has_bibliography", zero("external"))
 
 
-def _said(xml_text: Column) -> Column:
-    """A text of XML with its five named entities read."""
-    for entity, sign in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("amp", "&")):
-        xml_text = F.replace(xml_text, F.lit(f"&{entity};"), F.lit(sign))
-    return xml_text
+#: The names of core properties.
+CORE_PROPERTIES = (
+    "category", "contentStatus", "contentType", "created", "creator", "description", "identifier", "keywords", "language", "lastModifiedBy", "lastPrinted", "modified", "revision", "subject", "title", "version",
+)
 
 
 def core_properties(part_rows: DataFrame) -> DataFrame:
-    """doc_path, name, value: the core properties that have a text, by local name; of several of a name the last counts."""
-    found = F.regexp_extract_all(F.decode("data", "UTF-8"), F.lit(r"<(?:\w+:)?\w+(?:\s[^>]*)?>[^<]+</"), F.lit(0))
-    rows = part_rows.filter("part_name = 'docProps/core.xml'").select("doc_path", F.posexplode(found).alias("k", "e"))
-    named = rows.select("doc_path", "k", F.regexp_extract("e", r"^<(?:\w+:)?(\w+)", 1).alias("name"), F.trim(_said(F.regexp_extract("e", r">([^<]+)<", 1))).alias("value"))
-    return named.filter("value <> ''").groupBy("doc_path", "name").agg(F.max_by("value", "k").alias("value"))
+    """doc_path, name, value: the core properties that have a text, by local name; of several of a name the last counts. Names the format doesn't know are none."""
+    schema = ", ".join(f"{name} array<struct<_VALUE: string>>" for name in CORE_PROPERTIES)
+    rows = part_rows.filter("part_name = 'docProps/core.xml'").select("doc_path", read_xml(F.decode("data", "UTF-8"), schema).alias("p"))
+    told = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), F.trim(F.try_element_at(F.filter(F.col(f"p.{name}._VALUE"), lambda v: F.trim(v) != ""), F.lit(-1))).alias("value")) for name in CORE_PROPERTIES]))
+    return rows.select("doc_path", told.alias("e")).select("doc_path", "e.name", "e.value").filter("value <> ''")
 
 
 def style_names(part_rows: DataFrame) -> DataFrame:
-    """doc_path, style_id, style_name: the name of each style, its id where it has none."""
-    xml = F.decode("data", "UTF-8")
-    found = F.regexp_extract_all(xml, F.lit(r"(?s)<(?:\w+:)?style\s.*?</(?:\w+:)?style>"), F.lit(0))
-    rows = part_rows.filter("part_name = 'word/styles.xml'").select("doc_path", F.explode(found).alias("e"))
-    name = F.regexp_extract("e", r"<(?:\w+:)?name\s[^>]*\bval=\"([^\"]*)\"", 1)
-    style = F.regexp_extract("e", r"^[^>]*\bstyleId=\"([^\"]*)\"", 1)
-    return rows.select("doc_path", style.alias("style_id"), F.coalesce(F.nullif(_said(name), F.lit("")), style).alias("style_name"))
+    """doc_path, style_id, style_name: the name of each style, its id where it has none; a style without an id is none."""
+    read = read_xml(F.decode("data", "UTF-8"), "style array<struct<_styleId: string, name: array<struct<_val: string>>>>")
+    rows = part_rows.filter("part_name = 'word/styles.xml'").select("doc_path", F.explode(read["style"]).alias("s")).filter("coalesce(s._styleId, '') <> ''")
+    return rows.select("doc_path", F.col("s._styleId").alias("style_id"), F.coalesce(F.nullif(F.get(F.col("s.name"), 0)["_val"], F.lit("")), F.col("s._styleId")).alias("style_name"))
