@@ -7,7 +7,13 @@ falls into short segments between such places, and only these are searched. Of p
 separator between letters, a doubled letter) that stand by themselves, arrays find those whose other reading is cheaper.
 Segments of any length are decoded with a fixed lag, so memory doesn't grow with them.
 
-The scorer is a logistic regression over words and word beginnings. It is fitted on a bounded sample, at most
+What the path changes must hold as words. The ``MOST_WORDS`` most frequent words of all documents are known with their
+counts; a token, or the tokens a segment spans, is changed only if the restored words are likelier than the written ones
+by what the channel costs. Unknown words are equally unlikely, and then plain letters stay as they are written. Of a short
+token all readings are weighed, not the path's alone. One apostrophe inside a word hides nothing.
+
+The scorer is a logistic regression over words and word beginnings of four letters or more: at most ``MOST_FEATURES``, each in
+``LEAST_TOXIC_DOCS`` toxic documents of the sample and ``LEAST_LIFT`` times as frequent in them as in others. It is fitted on a bounded sample, at most
 ``SAMPLE_TOXIC`` toxic and ``SAMPLE_CLEAN`` other labelled documents by hash of doc_id, none of them held out.
 
 Defined results: null text is empty text and gets the score of a document without any feature, as does text without a
@@ -21,7 +27,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from itertools import chain
+from itertools import chain, product
 
 import numpy as np
 import pandas as pd
@@ -47,9 +53,16 @@ SEPARATORS, AT_EDGE = ".-_*~,'/", "0123456789@$€£+"
 #: put between letters: between single ones, between any of a token, and between words.
 LEET_COST, KEPT_SIGN_COST, REPEAT_COST, DOUBLED_COST, SPACING_COST, SEPARATOR_COST, JOIN_COST = 1.0, 6.0, 0.7, 4.0, 0.2, 2.0, 6.0
 KEPT_SPACE_COST = 4.0
+#: A plain word counted so often, or of so few letters, is meant as it is written.
+KNOWN_COUNT, SHORT_WORD = 5, 3
 #: Columns after which a choice no longer changes.
 LAG = 64
-PREFIXES = (3, 4, 5, 6)
+PREFIXES = (4, 5, 6)
+#: Words known with their counts, at most; words counted together in a task before they are handed on; readings of a token that are weighed.
+MOST_WORDS, WORDS_HELD, MOST_READINGS = 200_000, 200_000, 64
+#: A token: what stands between white space, without punctuation at its edges. A word of plain letters, apostrophes and hyphens inside.
+EDGES = ".,;:!?()[]{}\"'’“”«»<>-*_~/\\"
+PLAIN_WORD = regex.compile(r"\p{L}+(?:['’\-]\p{L}+)*")
 FEATURE_BITS = 22
 MOST_FEATURES, LEAST_TOXIC_DOCS, LEAST_LIFT = 20_000, 4, 3.0
 MEMO_CHARS, MOST_REMEMBERED, MEMO_WORDS = 4_000_000, 60, 200_000
@@ -104,6 +117,28 @@ def trigram_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return rows.groupBy("gram").agg(F.sum("count").alias("count"))
 
 
+def word_counts(docs: DataFrame, text_col: str = "text", most: int = MOST_WORDS) -> DataFrame:
+    """word, count of the most frequent words of plain letters over all texts, lower-cased: counted in tasks, summed, the first ``most`` by count and word."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: Counter[str] = Counter()
+        for batch in batches:
+            for text in batch["text"]:
+                if isinstance(text, str):
+                    held.update(token.strip(EDGES) for token in text.lower().split())
+                    if len(held) > WORDS_HELD:
+                        yield plain(held)
+                        held = Counter()
+        yield plain(held)
+
+    def plain(held: Counter[str]) -> pd.DataFrame:
+        own = [(w, n) for w, n in held.items() if len(w) <= MOST_REMEMBERED and PLAIN_WORD.fullmatch(w)]
+        return pd.DataFrame(own, columns=["word", "count"])
+
+    rows = docs.select(F.col(text_col).cast("string").alias("text")).mapInPandas(count, "word string, count long")
+    return rows.groupBy("word").agg(F.sum("count").alias("count")).orderBy(F.desc("count"), "word").limit(most)
+
+
 def language_model(counts: np.ndarray) -> np.ndarray:
     """Interpolated costs (negative log probabilities) of the third symbol after two others."""
     three = counts.reshape(WIDTH, WIDTH, WIDTH).astype(float)
@@ -178,8 +213,11 @@ def viterbi(columns: Iterable[list[tuple[str, float]]], model: np.ndarray, symbo
 
 
 class Restorer:
-    def __init__(self, model: np.ndarray):
+    """Restores texts under costs of letters (``model``) and counts of words; without counts the path alone decides."""
+
+    def __init__(self, model: np.ndarray, counts: dict[str, int] | None = None):
         self.model, self.symbol, self.memo, self.size = model, {c: k + 1 for k, c in enumerate(LETTERS)}, {}, 0
+        self.counts, self.total, self.held = counts, sum(counts.values()) + 1 if counts else 1, {}
         self.table = symbol_table()
         self.kinds = {}
         for name, signs in (("sign", LEET), ("separator", SEPARATORS), ("edge", AT_EDGE), ("blank", " \t")):
@@ -205,6 +243,48 @@ class Restorer:
             self.memo[key] = found
         return found
 
+    def likely(self, text: str) -> float:
+        """Log probability of a text's words; a word that isn't known has half a count."""
+        return sum(float(np.log(self.counts.get(token.strip(EDGES), 0.5) / self.total)) for token in text.split())
+
+    def chosen(self, written: str, restored: str) -> str:
+        """The likelier of whole tokens as they are written and as they might be meant."""
+        if self.counts is None or written == restored:
+            return restored
+        apart, meant = regex.split(r"(\s+)", written), restored.split()
+        if len(apart) > 1 and len([token for token in apart if token and not token.isspace()]) == len(meant):
+            own = iter(meant)
+            return "".join(self.chosen(token, next(own)) if token and not token.isspace() else token for token in apart)
+        if len(written) <= MOST_REMEMBERED and (written, restored) in self.held:
+            return self.held[written, restored]
+        own = self.likely(written)
+        joined = len(written.split()) - len(restored.split())
+        drawn = regex.search(r"(\p{L})\1\1", written) is not None
+        plain = all(PLAIN_WORD.fullmatch(token.strip(EDGES)) or not token.strip(EDGES) for token in written.split()) and not drawn
+        known = self.counts.get(written.strip(EDGES), 0) >= KNOWN_COUNT
+        # Plain letters change only into words that are known, and short words and known ones not at all.
+        core = written.strip(EDGES)
+        stay = (np.inf if known or len(core) <= SHORT_WORD else DOUBLED_COST) if plain and not joined else 0.0
+        meant = [token.strip(EDGES) for token in restored.split()]
+        if plain and any(self.counts.get(word, 0) < KNOWN_COUNT for word in set(meant) - {token.strip(EDGES) for token in written.split()}):
+            stay = np.inf
+        cost = JOIN_COST * joined + stay
+        options = [(own, 1 if plain else 0, written), (self.likely(restored) - cost, 0 if plain else 1, restored)]
+        if not written.split()[1:] and 0 < len(core) <= MOST_REMEMBERED:
+            columns = list(lattice(core, False))
+            if np.prod([len(column) for column in columns], dtype=float) <= MOST_READINGS:
+                at = written.index(core)
+                for reading in product(*columns):
+                    word = "".join(emitted for emitted, _ in reading)
+                    if word in self.counts and word != core:
+                        options.append((self.likely(word) - max(stay, sum(c for _, c in reading)), 2, written[:at] + word + written[at + len(core) :]))
+        best = max(options, key=lambda o: o[:2])[2]
+        if len(written) <= MOST_REMEMBERED:
+            if len(self.held) > MEMO_WORDS:
+                self.held = {}
+            self.held[written, restored] = best
+        return best
+
     def spaced(self, c: np.ndarray) -> np.ndarray:
         """Places of letters or signs that stand alone, three of them within reach of each other."""
         part = (self.table[c] > 0) | self.kinds["sign"][c] & (c != ord("!"))
@@ -236,6 +316,12 @@ class Restorer:
         inner = left & right & (held["sign"] + held["separator"] > 0)
         edge = (left ^ right) & (held["edge"] == e - b) & (e - b <= 2)
         plain = inner & (held["sign"] == 0) & (e - b == 1)
+        # An apostrophe without another separator two places on is part of its word.
+        lone = plain & np.isin(c[np.minimum(b, n - 1)], [ord("'"), ord("’")])
+        beside = np.zeros(len(b), bool)
+        beside[1:] |= b[1:] - e[:-1] <= 2
+        beside[:-1] |= b[1:] - e[:-1] <= 2
+        inner &= ~lone | beside
         b, e, plain = b[inner | edge], e[inner | edge], plain[inner | edge]
         add(b, e, ~plain | self._cheaper(sym, b, e, SEPARATOR_COST), True)
         # One blank between words.
@@ -279,10 +365,25 @@ class Restorer:
         owner = np.searchsorted(bounds, begin, "right") - 1
         begin, end, owner = (begin - bounds[owner]).tolist(), (end - bounds[owner]).tolist(), owner.tolist()
         pieces, done = {k: [] for k in set(owner)}, dict.fromkeys(owner, 0)
-        for b, e, k in zip(begin, end, owner, strict=True):
-            text = texts[k]
-            pieces[k] += [text[done[k] : b], self.decoded(text[max(b - 2, 0) : b], text[b:e], text[e : e + 2])]
-            done[k] = e
+        at, size = 0, len(begin)
+        while at < size:
+            # All segments of one token are weighed together, between its white space.
+            k, text, b, e = owner[at], texts[owner[at]], begin[at], end[at]
+            first, last = b - len(regex.search(r"\S*$", text[max(b - MOST_REMEMBERED, 0) : b])[0]), at
+            restored = [text[first:b]]
+            while True:
+                restored.append(self.decoded(text[max(begin[last] - 2, 0) : begin[last]], text[begin[last] : end[last]], text[end[last] : end[last] + 2]))
+                e = end[last]
+                rest = regex.match(r"\S*", text[e : e + MOST_REMEMBERED])[0]
+                if last + 1 < size and owner[last + 1] == k and begin[last + 1] < e + len(rest):
+                    restored.append(text[e : begin[last + 1]])
+                    last += 1
+                else:
+                    break
+            first = max(first, done[k])
+            restored[0] = text[first:b]
+            pieces[k] += [text[done[k] : first], self.chosen(text[first : e + len(rest)], "".join([*restored, rest]))]
+            done[k], at = e + len(rest), last + 1
         for k, own in pieces.items():
             texts[k] = "".join([*own, texts[k][done[k] :]])
         return texts
@@ -325,6 +426,7 @@ def features_of(word: str) -> list[int]:
 @dataclass(frozen=True)
 class Model:
     costs: bytes
+    counts: dict[str, int]
     index: dict[int, int]
     weights: np.ndarray
     bias: float
@@ -336,8 +438,8 @@ def held_out(doc_id: Column, folds: int = 5) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % folds == 0, F.lit(False))
 
 
-def _restorer(costs: bytes) -> Restorer:
-    return Restorer(np.frombuffer(costs, np.float32).reshape(WIDTH, WIDTH, WIDTH))
+def _restorer(costs: bytes, counts: dict[str, int]) -> Restorer:
+    return Restorer(np.frombuffer(costs, np.float32).reshape(WIDTH, WIDTH, WIDTH), counts)
 
 
 def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
@@ -347,6 +449,8 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id_co
     grams = trigram_counts(docs, text_col).toPandas()
     total[grams["gram"]] = grams["count"]
     costs = language_model(total).tobytes()
+    known_words = word_counts(docs, text_col).toPandas()
+    counts = dict(zip(known_words["word"], known_words["count"].astype(int).tolist(), strict=True))
 
     learn = ~held_out(F.col("doc_id")) if learn is None else learn
     known = labels.select(F.col("doc_id"), F.col(label_col).alias("toxic")).filter(learn & F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
@@ -357,10 +461,11 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id_co
     # At most SAMPLE_TOXIC + SAMPLE_CLEAN ids.
     picked = F.broadcast(toxic.unionByName(clean).withColumnRenamed("doc_id", "__id"))
     sample = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).cast("string").alias("text")).join(picked, F.col("__doc") == F.col("__id")).select("text", "toxic")
-    shared = spark.sparkContext.broadcast(costs)
+    # Costs of at most 64 ** 3 grams and MOST_WORDS words.
+    shared = spark.sparkContext.broadcast((costs, counts))
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        restorer = _restorer(shared.value)
+        restorer = _restorer(*shared.value)
         for batch in batches:
             rows = []
             for words in restorer.words([text or "" for text in batch["text"]]):
@@ -373,7 +478,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id_co
 
     seen = cut(sample.mapInPandas(read, "features array<int>, counts array<int>, words long, toxic int"))
     sizes = {r["toxic"]: r["count"] for r in seen.groupBy("toxic").count().collect()}
-    empty = Model(costs, {}, np.zeros(0), -40.0, 0.0, False)
+    empty = Model(costs, counts, {}, np.zeros(0), -40.0, 0.0, False)
     if len(sizes) < 2:
         return empty
 
@@ -408,7 +513,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id_co
     rows = seen.mapInPandas(narrow, seen.schema).toPandas()
     rows = rows.assign(key=[str((t, w, sorted(f))) for f, w, t in zip(rows["features"], rows["words"], rows["toxic"], strict=True)]).sort_values("key", kind="stable")
     weights, bias, length_weight = fit(rows, index)
-    return Model(costs, index, weights, bias, length_weight, True)
+    return Model(costs, counts, index, weights, bias, length_weight, True)
 
 
 def fit(rows: pd.DataFrame, index: dict[int, int], steps: int = 400, penalty: float = 1e-4) -> tuple[np.ndarray, float, float]:
@@ -435,7 +540,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = shared.value
-        restorer, memo = _restorer(model.costs), {}
+        restorer, memo = _restorer(model.costs, model.counts), {}
         for batch in batches:
             scores = np.zeros(len(batch))
             for k, words in enumerate(restorer.words([text or "" for text in batch["text"]])):

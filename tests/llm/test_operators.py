@@ -624,9 +624,9 @@ def test_disguised_words_are_restored(restorer):
 def test_disguises_of_common_words_are_mostly_restored(spark, toxic_model):
     """Drawn-out letters, signs and separators put into the frequent words of a corpus."""
     rng = random.Random(15)
-    restorer = toxicity.Restorer(np.frombuffer(toxic_model.costs, np.float32).reshape((toxicity.WIDTH,) * 3))
+    restorer = toxicity._restorer(toxic_model.costs, toxic_model.counts)
     texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("lang = 'en'").select("text").limit(300).collect()]
-    common = sorted({w for w in re.findall("[a-z]{5,9}", " ".join(texts)) if restorer.text(w) == w})
+    common = sorted(set(re.findall(r"(?<!\\S)[a-z]{5,9}(?!\\S)", " ".join(texts))))
     signs = {"o": "0", "i": "1", "e": "3", "a": "@", "s": "$", "t": "7"}
     right, tried = 0, 0
     for word in rng.sample(common, 300):
@@ -637,6 +637,25 @@ def test_disguises_of_common_words_are_mostly_restored(spark, toxic_model):
     assert right > 0.7 * tried
 
 
+def test_clean_text_stays_as_it_is(spark, toxic_model):
+    """Contractions, doubled letters, hyphens; and of the tokens of all documents without a toxic label at least 99.5 in a hundred."""
+    words = "you are can't and we go they don't know it's free too see bee worthless dummy well-known coffee book kill l'homme d'accord".split()
+    counts = toxic_model.counts | dict.fromkeys(words, 50)
+    restorer = toxicity._restorer(toxic_model.costs, counts)
+    for text in ("you are can't and", "we can't go and they don't know it's free", "see the bee too", "worthless dummy, well-known (coffee) book!", "l'homme d'accord", "a rock'n'roll free-for-all"):
+        assert restorer.text(text) == text
+    assert restorer.text("b00k k1ll") == "book kill" and restorer.text("fr33") == "free" and restorer.text("w0rthless") == "worthless"
+    restorer = toxicity._restorer(toxic_model.costs, toxic_model.counts)
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{name}.parquet") for name in ("documents", "labels"))
+    same, changed = 0, Counter()
+    for r in docs.join(labels.filter("toxic = 0"), "doc_id").select("text").collect():
+        before, after = (r.text or "").lower().split(), restorer.text(r.text or "").split()
+        gone = Counter(before) - Counter(after)
+        changed += gone
+        same += len(before) - sum(gone.values())
+    assert same > 0.995 * (same + sum(changed.values())), changed.most_common(30)
+
+
 def test_memory_is_bounded_for_long_tokens(restorer):
     import tracemalloc
 
@@ -665,12 +684,12 @@ def test_segments_are_read_as_the_whole_lattice_is(restorer):
 def test_scores_against_brute_force(spark, toxic_model):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     found = {r["doc_id"]: r["score"] for r in rows(toxicity.score(docs, toxic_model))}
-    restorer = toxicity.Restorer(np.frombuffer(toxic_model.costs, np.float32).reshape((toxicity.WIDTH,) * 3))
+    restorer = toxicity._restorer(toxic_model.costs, toxic_model.counts)
     for r in docs.collect():
         words = "".join(c if c.isalpha() else " " for c in restorer.text(r.text or "")).split()
         counts = defaultdict(int)
         for word in words:
-            for name in [word + "$", *(word[:n] for n in (3, 4, 5, 6) if len(word) > n)]:
+            for name in [word + "$", *(word[:n] for n in (4, 5, 6) if len(word) > n)]:
                 counts[xxhash.xxh32_intdigest(name) >> 10] += 1
         z = toxic_model.bias + toxic_model.length_weight * np.log(1 + len(words)) + sum(toxic_model.weights[toxic_model.index[f]] * np.log(1 + n) for f, n in counts.items() if f in toxic_model.index)
         assert found[r.doc_id] == pytest.approx(1 / (1 + np.exp(-np.clip(z, -40, 40))), abs=1e-9)
