@@ -136,7 +136,14 @@ def word_counts(docs: DataFrame, text_col: str = "text", most: int = MOST_WORDS)
         return pd.DataFrame(own, columns=["word", "count"])
 
     rows = docs.select(F.col(text_col).cast("string").alias("text")).mapInPandas(count, "word string, count long")
-    return rows.groupBy("word").agg(F.sum("count").alias("count")).orderBy(F.desc("count"), "word").limit(most)
+    counted = cut(rows.groupBy("word").agg(F.sum("count").alias("count")))
+    # At most 64 lengths of counts in bits: below the length at which enough words are met, none is sorted.
+    enough, least = 0, 1
+    for r in counted.groupBy(F.length(F.bin("count")).alias("bits")).agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("bits")).collect():
+        enough, least = enough + r["words"], 1 << (r["bits"] - 1)
+        if enough >= most:
+            break
+    return counted.filter(F.col("count") >= least).orderBy(F.desc("count"), "word").limit(most)
 
 
 def language_model(counts: np.ndarray) -> np.ndarray:

@@ -656,6 +656,17 @@ def test_clean_text_stays_as_it_is(spark, toxic_model):
     assert same > 0.995 * (same + sum(changed.values())), changed.most_common(30)
 
 
+def test_most_frequent_words(spark):
+    """By count, then word, however many words share a count; without words there are none."""
+    texts = ["It's it's, (it's) b b b c c c c d d e 1d10t", "", None, "f g h well-known 'b'"]
+    docs = docs_of(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])
+    counts = Counter(w.strip("'(),") for t in texts for w in (t or "").lower().split() if "1" not in w)
+    want = sorted(counts.items(), key=lambda e: (-e[1], e[0]))
+    for most in (1, 3, 5, 100):
+        assert [tuple(r) for r in toxicity.word_counts(docs, most=most).collect()] == want[:most]
+    assert toxicity.word_counts(docs.filter("text = ''")).count() == 0
+
+
 def test_memory_is_bounded_for_long_tokens(restorer):
     import tracemalloc
 
