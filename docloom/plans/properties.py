@@ -52,8 +52,8 @@ def s03_xml_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     html = F.coalesce("html", F.lit(""))
     bare = F.regexp_replace(html, "(?i)<!\\s*(?:doctype|entity)[^>]*>", "")
     told = F.explode(F.array(*[F.struct(F.lit(n).alias("part_name"), F.encode(x, "UTF-8").alias("data")) for n, x in (("a.xml", html), ("b.XML", F.concat(F.lit("<a>"), bare)), ("c.rels", F.concat(F.lit("<a>"), escaped(bare), F.lit("</a>"))), ("d.bin", html))])).alias("p")
-    found = packages.xml_errors(table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("doc_path"), told).select("doc_path", "p.*"))
-    return found.select(F.col("doc_path").cast("long").alias("page_id"), "part_name", "error")
+    found = packages.xml_findings(table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("doc_path"), told).select("doc_path", "p.*"))
+    return found.select(F.col("doc_path").cast("long").alias("page_id"), "part_name", "error", "reason")
 
 
 def s10_page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,10 +97,10 @@ ORACLES = {
     "s02_safe_names": f"""
         SELECT page_id, form, name, raw <> '' AND NOT (contains(raw, '\\') OR contains(pieces[1], ':') OR len([x FOR x IN pieces[:-2] IF x = '']) > 0 OR len([x FOR x IN pieces IF x IN ('.', '..')]) > 0) AS safe
         FROM (SELECT *, CASE WHEN name LIKE '/%' THEN substr(name, 2) ELSE name END AS raw, string_split(CASE WHEN said LIKE '/%' THEN substr(said, 2) ELSE said END, '/') AS pieces FROM ({_FORMS}))""",
-    # A page begins with a document type, and without it has void elements that never end.
+    # A page with a document type is refused by it; one without, or whose document type was taken out, has elements that never end.
     "s03_xml_errors": """
-        SELECT page_id, 'a.xml' AS part_name, 'UNSAFE_PACKAGE' AS error FROM pages
-        UNION ALL SELECT page_id, 'b.XML', 'UNSAFE_PACKAGE' FROM pages""",
+        SELECT page_id, 'a.xml' AS part_name, 'UNSAFE_PACKAGE' AS error, CASE WHEN regexp_matches(html, '(?i)<!\\s*(doctype|entity)\\b') THEN 'DECLARATION' ELSE 'MALFORMED' END AS reason FROM pages
+        UNION ALL SELECT page_id, 'b.XML', 'UNSAFE_PACKAGE', CASE WHEN regexp_matches(regexp_replace(html, '(?i)<!\\s*(doctype|entity)[^>]*>', '', 'g'), '(?i)<!\\s*(doctype|entity)\\b') THEN 'DECLARATION' ELSE 'MALFORMED' END FROM pages""",
     "s10_page_links": """
         SELECT page_id, k, substr(target, 2) AS part_name, 'x' || target AS below, CAST(NULL AS VARCHAR) AS beyond
         FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS target, generate_subscripts(regexp_extract_all(html, 'href="([^"]*)"', 1), 1) - 1 AS k FROM pages)""",

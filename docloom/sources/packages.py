@@ -127,16 +127,22 @@ def _tree(data: bytes) -> ElementTree.Element | None:
         return None
 
 
-def xml_errors(part_rows: DataFrame) -> DataFrame:
-    """XML parts that hold a document type or an entity, or don't parse: doc_path, part_name, error. All of them are unsafe."""
+def xml_findings(part_rows: DataFrame) -> DataFrame:
+    """XML parts that hold a document type or an entity, or don't parse: doc_path, part_name, error, reason. All of them are unsafe, by the first rule that refuses them."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             bad = [_tree(d) is None for d in batch["data"]]
-            yield batch[["doc_path", "part_name"]].assign(error="UNSAFE_PACKAGE")[bad]
+            reasons = ["DECLARATION" if UNSAFE_XML.search(d) else "MALFORMED" for d in batch["data"]]
+            yield batch[["doc_path", "part_name"]].assign(error="UNSAFE_PACKAGE", reason=reasons)[bad]
 
     named = part_rows.filter(F.col("data").isNotNull() & F.regexp_like("part_name", F.lit(r"(?i)\.(xml|rels)$")))
-    return named.select("doc_path", "part_name", "data").mapInPandas(run, "doc_path string, part_name string, error string")
+    return named.select("doc_path", "part_name", "data").mapInPandas(run, "doc_path string, part_name string, error string, reason string")
+
+
+def xml_errors(part_rows: DataFrame) -> DataFrame:
+    """doc_path, part_name, error of ``xml_findings``."""
+    return xml_findings(part_rows).drop("reason")
 
 
 def relationships(part_rows: DataFrame) -> DataFrame:
