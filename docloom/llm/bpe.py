@@ -139,13 +139,18 @@ def stitch(vocabulary: Vocabulary) -> Callable[[pd.DataFrame], pd.DataFrame]:
     return run
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """One row per document: doc_id, ids (binary, little-endian unsigned 32-bit)."""
+#: A mapInArrow function and its schema.
+Step = tuple[Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], str]
+
+
+def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP, then: Step | None = None) -> DataFrame:
+    """One row per document: doc_id, ids (binary, little-endian unsigned 32-bit); or what ``then`` makes of them, by the workers that encode short texts."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
     plain = over_text(vocabulary, lambda coder, text: coder.encode(text))
     is_long = F.length("text") > chunk
-    short = rows.filter(~is_long).mapInArrow(plain, f"doc_id {id_type}, ids binary")
+    step, schema = then or (lambda batches: batches, f"doc_id {id_type}, ids binary")
+    short = rows.filter(~is_long).mapInArrow(lambda batches: step(plain(batches)), schema)
 
     keyed = rows.filter(is_long).select("doc_id", F.sha2("text", 256).alias("key"), "text")
     starts = F.sequence(F.lit(0), F.length("text") - 1, F.lit(chunk))
@@ -167,16 +172,11 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text
     read = parts.mapInPandas(pretokenise, "key string, chunk int, start int, text string, begins binary")
     pieces = read.groupBy("key").applyInPandas(stitch(vocabulary), "key string, piece int, text string")
     coded = pieces.repartition("key", "piece").mapInArrow(plain, "key string, piece int, ids binary")
-    whole = coded.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("piece", "ids"))).alias("parts"))
-    whole = whole.select("key", F.xxhash64("key").alias("spread"), join_bytes(F.transform("parts", lambda p: p["ids"])).alias("ids"))
+    whole = coded.groupBy("key").agg(F.expr("listagg(ids) WITHIN GROUP (ORDER BY piece)").alias("ids"))
+    whole = whole.select("key", F.xxhash64("key").alias("spread"), "ids")
     # Two keys: the ids lie by text, so both sides are exchanged and the copies of one long text can be split.
     long = keyed.select("doc_id", "key", F.xxhash64("key").alias("spread")).join(whole, ["key", "spread"]).select("doc_id", "ids")
-    return short.unionByName(long)
-
-
-@F.pandas_udf(BinaryType())
-def join_bytes(parts: pd.Series) -> pd.Series:
-    return parts.map(lambda p: b"".join(p))
+    return short.unionByName(long.mapInArrow(*then) if then else long)
 
 
 def decode(ids: Column, vocabulary: Vocabulary) -> Column:

@@ -53,7 +53,8 @@ def op6_voronoi_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ids of op5's vocabulary fit 16 bits."""
-    manifest = training_order.materialise(bpe.encode(texts(spark, sf_dir), vocabulary()), width=2)
+    packed = bpe.encode(texts(spark, sf_dir), vocabulary(), then=training_order.packing(width=2))
+    manifest = training_order.materialise_packed(packed, width=2)
     return training_order.read(manifest).select("slot", "shard", "byte_offset", "doc_id", "seq", "n_tokens", F.crc32("tokens").alias("tokens_crc32"))
 
 

@@ -10,11 +10,15 @@ unsigned numbers of ``width`` bytes, padded with zeros. Numbers are little-endia
 smallest 64-bit number.
 
 Sequences are numbered by content: documents in the order of a hash of doc_id and ids, so the order doesn't depend on how
-the input is split. The packed documents are written to the shared folder once; only their hashes and sizes are sorted,
-by ranges of the hash, and of ranges only the counts meet. Each document's first number is written to a table, parted as
-the documents are, where the task that has the document reads it. So ids move once, to their shards, and a task that runs
-again reads the same rows. A shard is written under a passing name and then renamed, so tasks may run again, or twice at
-a time.
+the input is split. The packed documents are written to the shared folder once, some together in a block; only their
+hashes and sizes are sorted, by ranges of the hash, and of ranges only the counts meet. Each document's first number is
+written to a table, parted as the documents are, where the task that has the document reads it. So ids move once, to
+their shards, and a task that runs again reads the same rows. A shard is written under a passing name and then renamed,
+so tasks may run again, or twice at a time.
+
+The shards are written in ``WAVES`` waves of slots that follow each other. Each reads the packed documents, sends what
+belongs to its own shards, unpadded, and drops its shuffle when they are written, as the encoder's was dropped when the
+documents were. So the disk holds one wave's shuffle beside the documents and the shards.
 
 Defined results: null and empty ids have no sequence; rows that repeat are written each; an id too large for the width is
 an error; an empty table gives no shard. Other columns are not read, whatever their names.
@@ -24,7 +28,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -37,12 +41,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docloom.session import cut, shared_folder
+from docloom.llm.bpe import Step
+from docloom.session import cut_and_free, shared_folder
 
-LENGTH, SHARD_RECORDS, ROUNDS = 512, 16_384, 6
+LENGTH, SHARD_RECORDS, ROUNDS, WAVES = 512, 16_384, 6, 3
 NO_ID = -(1 << 63)
-#: A task packs as many bytes of records at a time, and of a batch so many rows are Python objects at a time.
-PACKED_BYTES, SLICE = 64_000_000, 256
+#: A task packs as many bytes of ids for the shards at a time. Documents share a block up to so many, or so many bytes.
+PACKED_BYTES, SLICE, SLICE_BYTES = 16_000_000, 256, 4_000_000
 
 
 def record_type(length: int, width: int = 4) -> np.dtype:
@@ -96,36 +101,56 @@ def _numbers(folder: str, part: int) -> np.ndarray:
     return out
 
 
-def materialise(docs: DataFrame, key: str = "order-1", id_col: str = "doc_id", ids_col: str = "ids", folder: str | None = None, length: int = LENGTH, shard_records: int = SHARD_RECORDS, width: int = 4) -> DataFrame:
-    """docs (doc_id, ids as little-endian unsigned 32-bit numbers): writes the shards and returns their manifest: shard, path, first_slot, records, length, width."""
-    spark = docs.sparkSession
-    folder = _qualified(spark, folder or f"{shared_folder(spark).rstrip('/')}/shards-{uuid.uuid4().hex}")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).alias("ids")).filter(F.octet_length("ids") > 0)
+def packing(width: int = 4) -> Step:
+    """doc_id (long), ids -> documents packed together: the task, the first one's place in it, of each its order, id and size, and a block of all ids."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compress = zstandard.ZstdCompressor(level=3).compress
+        compress = zstandard.ZstdCompressor(level=6).compress
         part, row = TaskContext.get().partitionId(), 0
+
+        def packed(doc_ids: list[int | None], held: list[bytes]) -> pa.RecordBatch:
+            wide = np.frombuffer(b"".join(held), "<u4")
+            if int(wide.max()) >> (8 * width):
+                raise ValueError("an id is too large for the width")
+            order = [content_order(d, ids) for d, ids in zip(doc_ids, held, strict=True)]
+            return pa.RecordBatch.from_pydict({
+                "part": pa.array([part], pa.int32()), "row": pa.array([row], pa.int64()), "places": pa.array([order], pa.list_(pa.int64())),
+                "doc_ids": pa.array([doc_ids], pa.list_(pa.int64())), "sizes": pa.array([[len(x) // 4 for x in held]], pa.list_(pa.int64())),
+                "block": pa.array([compress(wide.astype(f"<u{width}").tobytes())], pa.binary()),
+            })
+
+        doc_ids, held, size = [], [], 0
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                own = batch.slice(at, SLICE).to_pydict()
-                sizes, blocks = [], []
-                for ids in own["ids"]:
-                    wide = np.frombuffer(ids, "<u4")
-                    if int(wide.max()) >> (8 * width):
-                        raise ValueError("an id is too large for the width")
-                    sizes.append(len(wide))
-                    blocks.append(compress(wide.astype(f"<u{width}").tobytes()))
-                order = [content_order(d, ids) for d, ids in zip(own["doc_id"], own["ids"], strict=True)]
-                size = len(blocks)
-                yield pa.RecordBatch.from_pydict({
-                    "part": pa.array([part] * size, pa.int32()), "row": pa.array(range(row, row + size), pa.int64()), "place": pa.array(order, pa.int64()),
-                    "doc_id": pa.array(own["doc_id"], pa.int64()), "size": pa.array(sizes, pa.int64()), "block": pa.array(blocks, pa.binary()),
-                })
-                row += size
-
-    dealt = cut(rows.mapInArrow(pack, "part int, row long, place long, doc_id long, size long, block binary"))
+            for doc_id, ids in zip(batch["doc_id"], batch["ids"], strict=True):
+                if not (own := ids.as_py()):
+                    continue
+                doc_ids.append(doc_id.as_py())
+                held.append(own)
+                size += len(own)
+                if len(held) == SLICE or size > SLICE_BYTES:
+                    yield packed(doc_ids, held)
+                    row += len(held)
+                    doc_ids, held, size = [], [], 0
+        if held:
+            yield packed(doc_ids, held)
+
+    return pack, "part int, row long, places array<long>, doc_ids array<long>, sizes array<long>, block binary"
+
+
+def materialise(docs: DataFrame, key: str = "order-1", id_col: str = "doc_id", ids_col: str = "ids", folder: str | None = None, length: int = LENGTH, shard_records: int = SHARD_RECORDS, width: int = 4) -> DataFrame:
+    """docs (doc_id, ids as little-endian unsigned 32-bit numbers): writes the shards and returns their manifest: shard, path, first_slot, records, length, width."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).alias("ids"))
+    return materialise_packed(rows.mapInArrow(*packing(width)), key, folder, length, shard_records, width)
+
+
+def materialise_packed(packed: DataFrame, key: str = "order-1", folder: str | None = None, length: int = LENGTH, shard_records: int = SHARD_RECORDS, width: int = 4) -> DataFrame:
+    """``materialise`` of what ``packing`` has made; the packing may so share a worker with the encoder."""
+    spark = packed.sparkSession
+    folder = _qualified(spark, folder or f"{shared_folder(spark).rstrip('/')}/shards-{uuid.uuid4().hex}")
+    dealt = cut_and_free(packed)
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = dealt.select("part", "row", "place", "doc_id", F.ceil(F.col("size") / length).cast("long").alias("n"), F.shiftright(F.shiftright("place", 31) * ranges, 32).cast("int").alias("range"))
+    each = dealt.select("part", F.col("row").alias("begin"), F.posexplode(F.arrays_zip(F.col("places").alias("place"), F.col("doc_ids").alias("doc_id"), F.col("sizes").alias("size"))).alias("k", "doc"))
+    keys = each.select("part", (F.col("begin") + F.col("k")).alias("row"), "doc.*").select("part", "row", "place", "doc_id", F.ceil(F.col("size") / length).cast("long").alias("n"), F.shiftright(F.shiftright("place", 31) * ranges, 32).cast("int").alias("range"))
     # One row per range of the hash.
     counted = {r["range"]: r["n"] for r in keys.groupBy("range").agg(F.sum("n").alias("n")).collect()}
     begins = np.cumsum([0, *(counted.get(k, 0) for k in range(ranges))]).tolist()
@@ -140,74 +165,101 @@ def materialise(docs: DataFrame, key: str = "order-1", id_col: str = "doc_id", i
     shards = -(-total // shard_records)
     order = Permutation(total, key)
 
-    kind, passing_kind = record_type(length, width), np.dtype([("slot", "<i8"), ("record", record_type(length, width))])
-
-    def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Records with their slots, packed and compressed by shard, a bounded number of bytes at a time."""
-        unpack = zstandard.ZstdDecompressor().decompress
-
-        def packed(held: list[np.ndarray], numbers: list[np.ndarray]) -> pd.DataFrame:
-            records = np.concatenate(held)
-            slots = order(np.concatenate(numbers))
-            place = np.argsort(slots)
-            out = np.empty(len(records), passing_kind)
-            out["slot"], out["record"] = slots[place], records[place]
-            shard = out["slot"] // shard_records
-            bounds = np.concatenate([[0], np.flatnonzero(np.diff(shard)) + 1, [len(out)]])
-            compress = zstandard.ZstdCompressor(level=3).compress
-            return pd.DataFrame({"shard": shard[bounds[:-1]].astype(np.int32), "block": [compress(out[a:b].tobytes()) for a, b in zip(bounds, bounds[1:], strict=False)]})
-
-        held, numbers, size, first = [], [], 0, None
-        for batch in batches:
-            if first is None and len(batch):
-                first = _numbers(numbers_at, int(batch["part"].iat[0]))
-            for row, doc_id, block in zip(batch["row"].tolist(), batch["doc_id"].astype("Int64").fillna(NO_ID).tolist(), batch["block"], strict=True):
-                at = int(first[row])
-                ids = np.frombuffer(unpack(block), f"<u{width}")
-                n = -(-len(ids) // length)
-                records = np.zeros(n, kind)
-                records["doc_id"], records["seq"], records["n_tokens"] = doc_id, np.arange(n), length
-                records["n_tokens"][-1] = len(ids) - (n - 1) * length
-                records["tokens"] = np.pad(ids, (0, n * length - len(ids))).reshape(n, length)
-                held.append(records)
-                numbers.append(np.arange(at, at + n))
-                size += records.nbytes
-                if size > PACKED_BYTES:
-                    yield packed(held, numbers)
-                    held, numbers, size = [], [], 0
-        if held:
-            yield packed(held, numbers)
-
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    kind = record_type(length, width)
+    heads, ids_type = np.dtype([("slot", "<i8"), ("doc_id", "<i8"), ("seq", "<i4"), ("n_tokens", "<i4")]), np.dtype(f"<u{width}")
+
+    def runs(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The places of runs that follow each other."""
+        return np.repeat(begins - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+
+    def number(low: int, high: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        """Sequences of the shards from ``low`` to below ``high``, packed by shard, a bounded number of bytes at a time."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            unpack, compress = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=3).compress
+
+            def sent(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+                head, ids = (np.concatenate(x) for x in zip(*held, strict=True))
+                n = head["n_tokens"].astype(np.int64)
+                begins = np.cumsum(n) - n
+                place = np.argsort(head["slot"])
+                head = head[place]
+                shard = head["slot"] // shard_records
+                bounds = np.concatenate([[0], np.flatnonzero(np.diff(shard)) + 1, [len(head)]])
+                blocks = [compress(head[a:b].tobytes() + ids[runs(begins[place[a:b]], n[place[a:b]])].tobytes()) for a, b in zip(bounds, bounds[1:], strict=False)]
+                return pa.RecordBatch.from_pydict({"shard": pa.array(shard[bounds[:-1]], pa.int32()), "records": pa.array(np.diff(bounds), pa.int32()), "block": pa.array(blocks, pa.binary())})
+
+            held, size, first, known = [], 0, None, None
+            for batch in batches:
+                for k in range(batch.num_rows):
+                    part, row = batch["part"][k].as_py(), batch["row"][k].as_py()
+                    if part != known:
+                        first, known = _numbers(numbers_at, part), part
+                    sizes = batch["sizes"][k].values.to_numpy()
+                    n = -(-sizes // length)
+                    seq = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                    slots = order(np.repeat(first[row : row + len(sizes)], n) + seq)
+                    own = (slots >= low * shard_records) & (slots < high * shard_records)
+                    head = np.empty(int(own.sum()), heads)
+                    head["slot"], head["seq"] = slots[own], seq[own]
+                    head["doc_id"] = np.repeat(batch["doc_ids"][k].values.fill_null(NO_ID).to_numpy(), n)[own]
+                    head["n_tokens"] = np.minimum(np.repeat(sizes, n) - seq * length, length)[own]
+                    begins = (np.repeat(np.cumsum(sizes) - sizes, n) + seq * length)[own]
+                    ids = np.frombuffer(unpack(batch["block"][k].as_buffer()), ids_type)[runs(begins, head["n_tokens"].astype(np.int64))]
+                    if len(head):
+                        held.append((head, ids))
+                        size += head.nbytes + ids.nbytes
+                    if size > PACKED_BYTES:
+                        yield sent(held)
+                        held, size = [], 0
+            if held:
+                yield sent(held)
+
+        return run
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A shard's blocks come one after the other; a shard is all that is held."""
         fs, base = pafs.FileSystem.from_uri(folder)
         fs.create_dir(base, recursive=True)
         unpack = zstandard.ZstdDecompressor().decompress
 
-        def store(shard: int, blocks: list[bytes]) -> pd.DataFrame:
-            records = np.concatenate([np.frombuffer(unpack(b), passing_kind) for b in blocks])
-            records = records[np.argsort(records["slot"])]
+        def store(shard: int, records: np.ndarray, filled: int) -> pa.RecordBatch:
+            if filled != len(records):
+                raise ValueError(f"shard {shard} has {filled} of {len(records)} records")
             passing = f"{base}/passing-{shard}-{uuid.uuid4().hex}"
             with fs.open_output_stream(passing) as stream:
-                stream.write(records["record"].tobytes())
+                stream.write(memoryview(records).cast("B"))
             fs.move(passing, f"{base}/shard-{shard:08d}.bin")
-            return pd.DataFrame({"shard": [shard], "path": [f"{folder}/shard-{shard:08d}.bin"], "first_slot": [int(records["slot"][0])], "records": [len(records)], "length": [length], "width": [width]})
+            row = {"shard": shard, "path": f"{folder}/shard-{shard:08d}.bin", "first_slot": shard * shard_records, "records": len(records), "length": length, "width": width}
+            return pa.RecordBatch.from_pylist([row], pa.schema([("shard", pa.int32()), ("path", pa.string()), ("first_slot", pa.int64()), ("records", pa.int64()), ("length", pa.int32()), ("width", pa.int32())]))
 
-        shard, blocks = -1, []
+        shard, records, filled = -1, None, 0
         for batch in batches:
-            for own, block in zip(batch["shard"].tolist(), batch["block"], strict=True):
-                if own != shard and blocks:
-                    yield store(shard, blocks)
-                    blocks = []
-                shard = own
-                blocks.append(block)
-        if blocks:
-            yield store(shard, blocks)
-
-    numbered = dealt.select("part", "row", "doc_id", "block").mapInPandas(number, "shard int, block binary")
-    tasks = min(shards, 20_000)
-    by_shard = numbered.repartitionById(tasks, F.floor(F.col("shard").cast("long") * tasks / shards).cast("int")).sortWithinPartitions("shard")
-    return cut(by_shard.mapInPandas(write, shape))
+            for k in range(batch.num_rows):
+                own, size, data = batch["shard"][k].as_py(), batch["records"][k].as_py(), unpack(batch["block"][k].as_buffer())
+                if own != shard:
+                    if records is not None:
+                        yield store(shard, records, filled)
+                    shard, filled = own, 0
+                    records = np.zeros(min(shard_records, total - shard * shard_records), kind)
+                head = np.frombuffer(data, heads, size)
+                made = np.zeros(size, kind)
+                made["doc_id"], made["seq"], made["n_tokens"] = head["doc_id"], head["seq"], head["n_tokens"]
+                made["tokens"][np.arange(length) < head["n_tokens"][:, None]] = np.frombuffer(data, ids_type, offset=size * heads.itemsize)
+                records[head["slot"] - shard * shard_records] = made
+                filled += size
+        if records is not None:
+            yield store(shard, records, filled)
+
+    waves, manifest = min(WAVES, shards), None
+    for wave in range(waves):
+        low, high = shards * wave // waves, shards * (wave + 1) // waves
+        tasks = min(high - low, 20_000)
+        numbered = dealt.mapInArrow(number(low, high), "shard int, records int, block binary")
+        by_shard = numbered.repartitionById(tasks, F.floor((F.col("shard").cast("long") - low) * tasks / (high - low)).cast("int")).sortWithinPartitions("shard")
+        written = cut_and_free(by_shard.mapInArrow(write, shape))
+        manifest = written if manifest is None else manifest.unionByName(written)
+    return manifest
 
 
 def read(manifest: DataFrame, from_slot: int = 0) -> DataFrame:

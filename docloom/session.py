@@ -51,6 +51,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_and_free(df: DataFrame) -> DataFrame:
+    """``cut``, after which the shuffles behind ``df`` are deleted, since nothing reads them again."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    spark = df.sparkSession
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        # A plan takes the setting that holds when it is made.
+        return cut(df.select("*"))
+    finally:
+        spark.conf.set(name, before)
+
+
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
     """Rows that hold whole texts are large: at most so many of them travel to Python at a time, or fewer if the session says so."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"

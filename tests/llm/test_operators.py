@@ -477,6 +477,31 @@ def test_slots_are_those_of_the_sorted_documents(spark, tmp_path):
         training_order.materialise(ids_of(spark, [(1, [1 << 16])]), width=2)
 
 
+def shuffle_bytes(spark):
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return sum(files.apply(k).length() for k in range(files.size()) if files.apply(k).getName().endswith(".data"))
+
+
+def test_shards_leave_no_shuffle_of_ids(spark, tmp_path):
+    """op7 in round 3: ids lay in the encoder's and the shards' shuffles beside documents and shards."""
+    rng = np.random.default_rng(7)
+    texts = [(k, " ".join(map(str, rng.integers(0, 10**9, 12_000)))) for k in range(8)] + [(k, f"short {k}") for k in range(8, 40)]
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(4).localCheckpoint()
+    coder = queries.vocabulary().load()
+    raw = sum(len(coder.encode(t)) // 2 for _, t in texts)
+    before = shuffle_bytes(spark)
+    packed = bpe.encode(df, queries.vocabulary(), then=training_order.packing(width=2))
+    # Short texts are encoded and packed by one worker, pieces of long ones are joined without Python.
+    plan = packed._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 3 and "ArrowEvalPython" not in plan
+    manifest = training_order.materialise_packed(packed, folder=str(tmp_path / "s"), length=64, shard_records=100, width=2)
+    assert shuffle_bytes(spark) - before < raw / 4
+    ids = defaultdict(bytes)
+    for r in sorted(rows(training_order.read(manifest)), key=lambda r: r["seq"]):
+        ids[r["doc_id"]] += np.frombuffer(r["tokens"], "<u2").astype("<u4").tobytes()
+    assert ids == {k: coder.encode(t) for k, t in texts}
+
+
 def test_encoded_documents_read_back(spark, odd, tmp_path):
     coded = bpe.encode(odd, queries.vocabulary())
     found = rows(training_order.read(training_order.materialise(coded, folder=str(tmp_path / "s"), width=2)))
