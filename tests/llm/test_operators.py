@@ -833,6 +833,18 @@ def test_collocations_against_brute_force(spark, odd, none, monkeypatch):
     assert collocations.collocations(none).count() == 0
 
 
+def test_stripes_are_small_and_leave_no_shuffle(spark):
+    """op11 in round 3: stripes of words took several times the input, and stayed. Stripes of rare and of common words."""
+    rng = random.Random(3)
+    words, weights = ["de", "en", *(f"word{k}" for k in range(298))], [1 / (k + 1) for k in range(300)]
+    said = [(rng.choice(["en", "de"]), " ".join(rng.choices(words, weights, k=1000)) + rng.choice(["", ".", " a"])) for _ in range(120)]
+    df = docs_of(spark, [(k, text, lang, "s") for k, (lang, text) in enumerate(said)]).repartition(6).localCheckpoint()
+    before = shuffle_bytes(spark)
+    _, levels = collocations.frequent_phrases(df, 5)
+    assert len(levels) == 5 and shuffle_bytes(spark) - before < sum(len(t) for _, t in said) / 10
+    assert sorted(map(tuple, collocations.collocations(df, 5, top=300).collect())) == brute_collocations(said, 5, 300)
+
+
 # Spelling variants
 
 
