@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from docloom.llm import bpe, exact_dedup, language_id, mixing, near_dedup, queries
 from docloom.session import shared_folder, small_batches, table
 
+#: Rows that go to Python at a time. A batch is held on both sides, outside the heap, and workers keep the most they ever held.
+TEXTS_AT_ONCE = 500
+
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a letter, and those that noise explains better than any learnt language.
@@ -18,7 +21,7 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     word is no evidence yet and a page of them is. A document without a language gets the one that was found. Null text
     has no letter and goes; rows that repeat are judged alike; with nothing learnt, or an empty table, nothing stays.
     """
-    small_batches(spark)
+    small_batches(spark, TEXTS_AT_ONCE)
     found = language_id.predict_column(F.col("text").cast("string"), language_id.train(docs)).alias("found")
     told = docs.select(exact_dedup.nested(docs), found)
     kept = told.filter((F.col("found.lang_pred") != language_id.UNKNOWN) & (F.col("found.evidence") >= -language_id.PRIOR_BITS))
@@ -42,7 +45,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     its group has no other; of rows that repeat doc_id and text one stays. Other columns are kept, whatever their names;
     an empty table stays empty.
     """
-    small_batches(spark)
+    small_batches(spark, TEXTS_AT_ONCE)
     return near_dedup.drop_near_copies(docs)
 
 
@@ -60,7 +63,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null and empty texts have no ids; rows that repeat are encoded each; an empty table gives no row.
     """
-    small_batches(spark)
+    small_batches(spark, TEXTS_AT_ONCE)
     coded = bpe.encode(docs, queries.vocabulary())
     return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids")
 

@@ -122,11 +122,13 @@ class Parser:
 
     def __init__(self, model: Model):
         tables = [suffix_automaton(s) for s in model.samples]
-        starts = np.cumsum([0, *(len(t) for t in tables)])[:-1]
-        self.roots = starts.astype(np.int32)[:, None]
-        self.goes = np.concatenate([np.where(t >= 0, t + s, -1) for t, s in zip(tables, starts, strict=True)]).astype(np.int32).ravel()
+        self.roots = np.cumsum([0, *(len(t) for t in tables)])[:-1].astype(np.int32)[:, None]
+        # In place and in 32 bits: copies on the way were several times as large as the table.
+        for t, root in zip(tables, self.roots, strict=True):
+            t[t >= 0] += root
         first = np.stack([t[0] for t in tables])
-        self.first = np.where(first >= 0, first + self.roots, self.roots).astype(np.int32)
+        self.first = np.where(first >= 0, first, self.roots)
+        self.goes = np.concatenate(tables).ravel()
         self.cost = np.array([np.log2(len(s) + 1.0) for s in model.samples])
         self.tables = symbol_tables(model.letters)
 
@@ -182,9 +184,10 @@ def train(docs: DataFrame, learn: Column | None = None, id_col: str = "doc_id",
     rows = docs.filter(learn & F.col(id_col).isNotNull() & F.col(lang_col).isNotNull()).select(
         F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")
     )
-    told = rows.withColumn("said", _letters(F.col("text"))).filter("said <> ''").withColumn("text_hash", F.xxhash64("text"))
-    first = F.min_by(F.substring("said", 1, PIECE), "text_hash").alias("first")
-    known = {r["lang"]: r for r in told.groupBy("lang").agg(F.sum(F.length("said")).alias("size"), first).collect()}
+    told = rows.filter(F.col("text").rlike(r"\p{L}")).select("lang", _letters(F.col("text")).alias("said"), F.xxhash64("text").alias("text_hash"))
+    # The grouping sorts its rows, so they hold the texts' beginnings and not the texts.
+    told = told.select("lang", F.length("said").alias("size"), F.substring("said", 1, PIECE).alias("first"), "text_hash")
+    known = {r["lang"]: r for r in told.groupBy("lang").agg(F.sum("size").alias("size"), F.min_by("first", "text_hash").alias("first")).collect()}
     if not known:
         return Model((), "", ())
     share = F.create_map(*[F.lit(x) for name, r in known.items() for x in (name, 2.0 * SAMPLE_CHARS / r["size"])])
@@ -212,7 +215,11 @@ def train(docs: DataFrame, learn: Column | None = None, id_col: str = "doc_id",
 
 
 def predict_column(text: Column, model: Model) -> Column:
-    """lang_pred, score and evidence (bits saved against noise, 0 for ``und``) of a text, as a struct."""
+    """lang_pred, score and evidence (bits saved against noise, 0 for ``und``) of a text, as a struct.
+
+    It is called nondeterministic, which it isn't, so that a filter on it stays above it. Pushed below, the filter would
+    judge every text a second time, by a second Python worker for each task.
+    """
 
     @F.arrow_udf(FOUND)
     def judge(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -230,7 +237,7 @@ def predict_column(text: Column, model: Model) -> Column:
             found = pd.concat(parts, ignore_index=True)
             yield pa.StructArray.from_arrays([pa.array(found[c], t) for c, t in zip(found, (pa.string(), pa.float64(), pa.float64()), strict=True)], found.columns.tolist())
 
-    return judge(text)
+    return judge.asNondeterministic()(text)
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 from itertools import combinations
@@ -580,6 +581,20 @@ def test_scripts_of_many_letters_are_told_apart(spark):
     assert {r["doc_id"]: r["lang_pred"] for r in rows(language_id.predict(docs_of(spark, asked), model))} == {k: n for k, _, _, n in asked}
 
 
+def test_automata_are_put_together_without_large_copies():
+    rng = random.Random(21)
+    model = language_id.Model(("x", "y", "z"), "abc", tuple(bytes(rng.randrange(30) for _ in range(5000)) for _ in range(3)))
+    tracemalloc.start()
+    parser = language_id.Parser(model)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    tables = [language_id.suffix_automaton(s) for s in model.samples]
+    for table, root in zip(tables, parser.roots[:, 0].tolist(), strict=True):
+        own = parser.goes.reshape(-1, language_id.WIDTH)[root : root + len(table)]
+        assert ((own >= 0) == (table >= 0)).all() and (own[table >= 0] == table[table >= 0] + root).all()
+    assert most < 3.5 * parser.goes.nbytes
+
+
 def test_languages_of_held_out_documents(spark, odd, none):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     found = language_id.predict(docs, language_id.train(docs)).join(docs.select("doc_id", "lang"), "doc_id").filter(language_id.held_out(F.col("doc_id"))).toPandas()
@@ -991,6 +1006,14 @@ def test_language_stage_of_odd_rows(spark, odd, none):
     assert corpus_pipeline.keep_known_languages(spark, none, SF).count() == 0
 
 
+def test_language_stage_judges_a_text_once(spark, odd):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    kept = corpus_pipeline.keep_known_languages(spark, odd, SF)
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+    assert 0 < int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= corpus_pipeline.TEXTS_AT_ONCE
+
+
 def test_pipeline_stages_keep_whole_rows(spark, odd):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     docs = spark.read.parquet(f"{SF}/documents.parquet")
