@@ -9,7 +9,7 @@ from __future__ import annotations
 import html
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -137,9 +137,18 @@ def fallback_text(keys: Column) -> Column:
     return F.concat(F.lit("[Citation: "), F.array_join(keys, "; "), F.lit("]"))
 
 
-def plain_formatted(text: Column) -> Column:
-    """Tags removed, entities resolved, white space at the ends dropped. Python only sees text that holds an entity."""
+def plain_formatted(text: Column, entities: Mapping[str, str] | None = None) -> Column:
+    """Tags removed, entities resolved, white space at the ends dropped.
+
+    Without ``entities`` all of HTML's are resolved, unclosed ones too, and white space is Unicode's. With them (name to
+    character) just these are, where a semicolon closes them, and white space is ASCII's; no Python is needed then.
+    """
     bare = F.regexp_replace(text, "<[^>]*>", "")
+    if entities is not None:
+        # The ampersand comes last: what it makes is read no second time.
+        for name in sorted(entities, key=lambda n: entities[n] == "&"):
+            bare = F.replace(bare, F.lit(f"&{name};"), F.lit(entities[name]))
+        return F.regexp_replace(bare, r"^[ \t\n\f\r]+|[ \t\n\f\r]+\z", "")
     said = F.when(F.contains(bare, F.lit("&")), _unescaped(bare)).otherwise(bare)
     return F.regexp_replace(said, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
 
