@@ -158,14 +158,18 @@ def _unescaped(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: html.unescape(t) if t else t)
 
 
+def chunk_points(text: Column, limit: int = 255) -> Column:
+    """Greedy pieces of at most ``limit`` code points; the empty text has none. Of text within the first plane, ``chunk_utf16``'s pieces."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{limit}}}"), F.lit(0))
+
+
 def chunk_utf16(text: Column, limit: int = 255) -> Column:
     """Greedy pieces of at most ``limit`` UTF-16 units that never split a pair; the empty text is one empty piece."""
     if limit < 2:
         raise ValueError("a pair needs two units")
     units = F.octet_length(F.encode(text, "UTF-16LE")) / 2
-    plain = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{limit}}}"), F.lit(0))
     wide = _chunk(text, F.lit(limit))
-    return F.when(text == "", F.array(F.lit(""))).when(units == F.length(text), plain).otherwise(wide)
+    return F.when(text == "", F.array(F.lit(""))).when(units == F.length(text), chunk_points(text, limit)).otherwise(wide)
 
 
 @F.pandas_udf(ArrayType(StringType()))
