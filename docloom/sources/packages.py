@@ -16,6 +16,7 @@ from xml.etree import ElementTree
 from xml.sax.saxutils import escape
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,9 +36,14 @@ SEPARATORS = ("separator", "continuationSeparator", "continuationNotice")
 STORIES = {"header": "header", "footer": "footer", "footnotes": "footnote", "endnotes": "endnote", "comments": "comment"}
 #: A frame of results holds about so many bytes of members.
 FRAME_BYTES = 16_000_000
+#: And a frame of facts about so many rows.
+FRAME_ROWS = 20_000
 
 PARTS = "doc_path string, ordinal int, part_name string, data binary, error string"
 RELATIONSHIPS = "doc_path string, source_part string, ordinal int, rel_id string, rel_type string, target string, target_mode string"
+FACTS = "doc_path string, fact string, ordinal int, name string, kind string, content_type string, source_part string, rel_type string, target string, target_mode string, marked boolean, error string"
+FACT_NAMES = [column.split()[0] for column in FACTS.split(", ")]
+FACT_TYPES = [{"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_()}[column.split()[1]] for column in FACTS.split(", ")]
 TOKENS = "doc_path string, part_name string, paragraph int, seq int, kind string, value string, deleted boolean"
 
 
@@ -145,6 +151,13 @@ def xml_errors(part_rows: DataFrame) -> DataFrame:
     return xml_findings(part_rows).drop("reason")
 
 
+def _relationships_in(name: str, data: bytes) -> Iterator[tuple[str, int, str | None, str | None, str | None, str | None]]:
+    tree = _tree(data)
+    folder, _, file = name.removesuffix(".rels").rpartition("_rels/")
+    for k, r in enumerate(tree if tree is not None else []):
+        yield folder + file, k, r.get("Id"), r.get("Type"), r.get("Target"), r.get("TargetMode")
+
+
 def relationships(part_rows: DataFrame) -> DataFrame:
     """All relationships of the relationship parts in their order, each with the part it starts from ("" for the package)."""
 
@@ -152,10 +165,7 @@ def relationships(part_rows: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for path, name, data in zip(batch["doc_path"], batch["part_name"], batch["data"], strict=True):
-                tree = _tree(data)
-                folder, _, file = name.removesuffix(".rels").rpartition("_rels/")
-                for k, r in enumerate(tree if tree is not None else []):
-                    rows.append((path, folder + file, k, r.get("Id"), r.get("Type"), r.get("Target"), r.get("TargetMode")))
+                rows += [(path, *r) for r in _relationships_in(name, data)]
             yield pd.DataFrame(rows, columns=["doc_path", "source_part", "ordinal", "rel_id", "rel_type", "target", "target_mode"])
 
     return part_rows.filter(F.endswith("part_name", F.lit(".rels"))).select("doc_path", "part_name", "data").mapInPandas(run, RELATIONSHIPS)
@@ -183,10 +193,13 @@ def resolved_target(source: Column, target: Column) -> Column:
     return F.when(~unsafe & walked["inside"] & (F.size(walked["at"]) > 0) & safe_name(reached), reached)
 
 
+def extension(part_name: Column) -> Column:
+    return F.lower(F.regexp_extract(part_name, r"\.([^./]*)$", 1))
+
+
 def content_types(part_names: DataFrame, overrides: DataFrame, defaults: DataFrame) -> DataFrame:
     """part_names (doc_path, part_name) with their type: an override by name, else the default of the extension."""
-    extension = F.lower(F.regexp_extract("part_name", r"\.([^./]*)$", 1))
-    rows = part_names.withColumn("extension", extension)
+    rows = part_names.withColumn("extension", extension(F.col("part_name")))
     rows = rows.join(overrides.withColumnRenamed("content_type", "__override"), ["doc_path", "part_name"], "left")
     rows = rows.join(defaults.withColumnRenamed("content_type", "__default"), ["doc_path", "extension"], "left")
     return rows.select("doc_path", "part_name", F.coalesce("__override", "__default").alias("content_type"))
@@ -271,6 +284,13 @@ def story_paragraphs(part_rows: DataFrame, story_rows: DataFrame) -> DataFrame:
     return paragraph_texts(wanted).join(story_rows, ["doc_path", "part_name"])
 
 
+def _types_in(data: bytes) -> Iterator[tuple[str, str | None, str | None, int]]:
+    tree = _tree(data)
+    for k, e in enumerate(tree if tree is not None else []):
+        kind = e.tag.rpartition("}")[2]
+        yield kind, e.get("Extension" if kind == "Default" else "PartName"), e.get("ContentType"), k
+
+
 def content_type_rows(part_rows: DataFrame) -> DataFrame:
     """What the content types part declares: doc_path, kind (Default or Override), name (extension or part), content_type, ordinal."""
 
@@ -278,16 +298,41 @@ def content_type_rows(part_rows: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for path, data in zip(batch["doc_path"], batch["data"], strict=True):
-                tree = _tree(data)
-                for k, e in enumerate(tree if tree is not None else []):
-                    kind = e.tag.rpartition("}")[2]
-                    rows.append((path, kind, e.get("Extension" if kind == "Default" else "PartName"), e.get("ContentType"), k))
+                rows += [(path, *t) for t in _types_in(data)]
             yield pd.DataFrame(rows, columns=["doc_path", "kind", "name", "content_type", "ordinal"])
 
     named = part_rows.filter("part_name = '[Content_Types].xml' AND data IS NOT NULL").select("doc_path", "data")
     return named.mapInPandas(run, "doc_path string, kind string, name string, content_type string, ordinal int")
 
 
+def facts(part_rows: DataFrame, marked: Column) -> DataFrame:
+    """Everything a package says of its parts, in one pass: a row for each part (name, error, and whether ``marked`` holds), declared type and relationship (name: its id).
+
+    The column fact tells them apart. Only the types part and relationship parts bring their bytes to Python.
+    """
+
+    def frame(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), FACT_TYPES, strict=True)], names=FACT_NAMES)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for path, part, error, mark, data in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                rows.append((path, "part", None, part, None, None, None, None, None, None, mark, error))
+                if data is not None and part.endswith(".rels"):
+                    rows += [(path, "relationship", k, rel_id, None, None, source, kind, target, mode, None, None) for source, k, rel_id, kind, target, mode in _relationships_in(part, data)]
+                elif data is not None:
+                    rows += [(path, "type", k, name, kind, content_type, None, None, None, None, None, None) for kind, name, content_type, k in _types_in(data)]
+                if len(rows) > FRAME_ROWS:
+                    yield frame(rows)
+                    rows = []
+            if rows:
+                yield frame(rows)
+
+    read = (F.col("part_name") == "[Content_Types].xml") | F.endswith("part_name", F.lit(".rels"))
+    return part_rows.select("doc_path", "part_name", "error", marked.alias("marked"), F.when(read, F.col("data")).alias("data")).mapInArrow(run, FACTS)
+
+
 def declared_types(part_names: DataFrame, declared: DataFrame) -> DataFrame:
     """part_names with their types as declared; of a name that is declared twice the first counts (``rules`` finds it)."""
     usable = declared.filter("name IS NOT NULL AND content_type IS NOT NULL")
