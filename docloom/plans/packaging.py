@@ -35,8 +35,10 @@ def said(*pieces: Column | str) -> Column:
 
 def parts_of(docs: DataFrame) -> DataFrame:
     """doc_path, ordinal, part_name, data, error as ``packages.parts`` gives them, without a ZIP between."""
-    lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
-    n = F.length(F.coalesce("text", F.lit("")))
+    # As columns they are made once; inside the array of parts each use would make them again.
+    text = F.coalesce("text", F.lit(""))
+    docs = docs.select("doc_id", F.split(text, "\n", -1).alias("lines"), F.length(text).alias("n"))
+    lines, n = F.col("lines"), F.col("n")
     main = F.when(n % 5 == 0, "word/main.xml").otherwise("word/document.xml")
     body = said(f"<w:document {NAMESPACE}><w:body>", F.array_join(F.transform(lines, _paragraph), ""), F.when(n % 7 == 0, _FIELD).otherwise(""), "</w:body></w:document>")
     header = F.when(n % 2 == 0, said(f"<w:hdr {NAMESPACE}>", _paragraph(lines[0]), "</w:hdr>"))

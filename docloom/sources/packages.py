@@ -174,7 +174,7 @@ def relationships(part_rows: DataFrame) -> DataFrame:
 def resolved_target(source: Column, target: Column) -> Column:
     """The part a relative or absolute target means: query and fragment dropped, escapes read, ``.`` and ``..`` walked; null if it leaves the package or is no safe name.
 
-    A fold over the path's components, so no Python is needed.
+    A fold over the path's components, so no Python is needed; what comes of it is judged at its end, so it runs once.
     """
     said = F.regexp_replace(target, r"(?s)[?#].*$", "")
     bare = percent_decoded(said)
@@ -187,10 +187,12 @@ def resolved_target(source: Column, target: Column) -> Column:
         at = F.when(up, F.slice(acc["at"], 1, F.greatest(F.size(acc["at"]) - 1, F.lit(0)))).when(piece.isin("", "."), acc["at"]).otherwise(F.concat(acc["at"], F.array(piece)))
         return F.struct(at.alias("at"), (acc["inside"] & ~(up & (F.size(acc["at"]) == 0))).alias("inside"))
 
-    walked = F.aggregate(F.split(path, "/", -1), start, step)
+    def reached(acc: Column) -> Column:
+        name = F.array_join(acc["at"], "/")
+        return F.when(acc["inside"] & (F.size(acc["at"]) > 0) & safe_name(name), name)
+
     unsafe = F.regexp_like(said, F.lit("^[A-Za-z][A-Za-z0-9+.-]*:|^//")) | F.regexp_like(bare, F.lit(r"[\x00\\]"))
-    reached = F.array_join(walked["at"], "/")
-    return F.when(~unsafe & walked["inside"] & (F.size(walked["at"]) > 0) & safe_name(reached), reached)
+    return F.when(~unsafe, F.aggregate(F.split(path, "/", -1), start, step, reached))
 
 
 def extension(part_name: Column) -> Column:
